@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
@@ -58,6 +59,14 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataF
     return F.broadcast(df) if rows <= limit else df
 
 
+def extended(schema: T.StructType, **more: str) -> T.StructType:
+    """A copy of ``schema`` with further columns."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
+
+
 def fold(column: str, n: int) -> F.Column:
     """crc32 of the column as text, modulo ``n``."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))

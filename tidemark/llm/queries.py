@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, jaccard, packing, token_files, tokens
+from . import common, embeddings, jaccard, langid, packing, quality_fm, token_files, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,19 @@ counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT p.vec_id, coalesce(c.n_links, 0) AS n_links, p.component_id, p.vec_id = p.component_id AS kept
 FROM parts p LEFT JOIN counts c ON p.vec_id = c.vec_id
 """
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(common.fold("doc_id", 4) != 2))
+    told = langid.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    labels = common.table(spark, sf_dir, "labels").where(common.fold("doc_id", 3) != 1)
+    scored = quality_fm.score(docs.select("doc_id", "text"), quality_fm.train(docs, labels))
+    return scored.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
