@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embeddings, jaccard, langid, packing, quality_fm, token_files, tokens
+from . import bloom_lm, common, embeddings, jaccard, langid, packing, quality_fm, token_files, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,11 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels").where(common.fold("doc_id", 3) != 1)
     scored = quality_fm.score(docs.select("doc_id", "text"), quality_fm.train(docs, labels))
     return scored.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = bloom_lm.train(docs.where(common.fold("doc_id", 10) != 0))
+    scored = bloom_lm.score(docs, model)
+    return scored.select("doc_id", (common.fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
