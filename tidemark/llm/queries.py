@@ -28,8 +28,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "token-files")
     token_files.write_token_files(common.table(spark, sf_dir, "documents"), path, tokens.tokenizer_path("byte_bpe_50k.json"), end_id=0)
-    checked = token_files.with_crc32(token_files.read_token_files(spark, path))
-    return token_files.with_global_start(checked).select("doc_id", "start", "n_tokens", "ids_crc32")
+    files = token_files.read_token_files(spark, path)
+    return token_files.with_global_start(token_files.with_crc32(files), files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query

@@ -72,9 +72,10 @@ def read_token_files(spark: SparkSession, path: str, first: int | None = None, l
     return rows
 
 
-def with_global_start(rows: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before. Sums one number per part."""
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def with_global_start(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds start, the ids of all documents before, to ``rows`` of ``files``. Sums one number per
+    part; the files' ids stay unread for that."""
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return rows.join(before, rows["part"] == before["of"]).withColumn("start", F.col("before") + F.col("part_start")).drop("of", "before")
 

@@ -16,8 +16,8 @@ import numpy as np
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 PLAIN = re.compile(f" ?[^{SPACE}\\x01]+")
-#: Entries kept between batches; the store starts anew beyond them.
-MOST = 400_000
+#: Entries of a generation; two generations are kept between batches.
+MOST = 300_000
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -32,6 +32,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # between two chunks stands a piece that is one token of its own and in no plain chunk
         self.between, self.mark = next(((gap, ids[0]) for gap in ("\n", " \x01 ") if len(ids := self._ids(gap)) == 1 and self._ids(f"a{gap} b") == [*self._ids("a"), *ids, *self._ids(" b")]), (None, None))
 
@@ -39,8 +40,6 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > MOST:
-            self.known.clear()
         plain, odd = [], []
         for c in chunks:
             (plain if self.between and PLAIN.fullmatch(c) else odd).append(c)
@@ -66,10 +65,12 @@ class Encoder:
         """The ids of each text and then ``end``; a null text counts as empty."""
         tail = np.array([end], dtype="<u4").tobytes()
         cut = [CHUNK.findall(t) if t else [] for t in texts]
+        if len(self.known) > MOST:
+            self.known, self.older = {}, self.known
         new = {c for chunks in cut for c in chunks}.difference(self.known)
-        if len(self.known) + len(new) > MOST:  # _learn will start anew
-            new = {c for chunks in cut for c in chunks}
-        self._learn(list(new))
+        again = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in again)
+        self._learn(list(new - again))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) + tail for chunks in cut]
 
