@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, common, embeddings, jaccard, langid, packing, quality_fm, token_files, tokens
+from . import bloom_lm, common, embeddings, html_main, jaccard, langid, packing, quality_fm, token_files, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bloom_lm.train(docs.where(common.fold("doc_id", 10) != 0))
     scored = bloom_lm.score(docs, model)
     return scored.select("doc_id", (common.fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_pages(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
