@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, common, embeddings, html_main, jaccard, langid, packing, quality_fm, token_files, tokens
+from . import bloom_lm, common, embeddings, html_main, jaccard, langid, packing, quality_fm, token_files, tokens, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,27 @@ def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_pages(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.archive_pages(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "wacz"))
+    response = F.col("record_type") == "response"
+    return records.select(
+        "page_id",
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("declared_length")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.col("declared_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+ORACLES["op4_warc_zip"] = """
+WITH told AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS head
+  FROM pages)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> head THEN head END AS refers_to
+FROM told
+"""
