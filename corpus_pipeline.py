@@ -1,8 +1,72 @@
-"""The training-data pipeline: each stage works on all that the one before kept."""
+"""The training-data pipeline: each stage works on all that the one before kept.
 
-STAGES = []
+Stages: quality classifier, language identification, n-gram Jaccard join, benchmark
+decontamination, packing. Every stage but the last returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontaminate, jaccard, langid, packing, quality_fm, tokens
+
+#: Word shingles of the near-duplicate stage and the similarity, in percent, from which documents link.
+SHINGLE, SIMILAR = 5, 80
+#: Documents whose quality score is below are rejected.
+LEAST_QUALITY = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, trained on the labelled ones, does not reject."""
+    model = quality_fm.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality_fm.score(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with the confidence that calibration asks for."""
+    return langid.predict(docs, langid.train(docs)).where(~F.col("lang_rejected")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of linked ones.
+
+    Rows that share a doc_id are one document and leave one row; those without doc_id stay.
+    """
+    links = common.written(jaccard.jaccard_links(docs, width=SHINGLE, percent=SIMILAR), "links")
+    copies = links.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    copies = common.bounded_broadcast(common.written(copies, "copies"), copies.count())
+    kept = docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
+    if links.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokens.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("packing", packed),
+]
+
+#: Trained models have no SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is written in the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
