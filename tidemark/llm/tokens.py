@@ -15,7 +15,9 @@ import numpy as np
 #: Unicode's white space, as the tokenizers' patterns take it (fixed values).
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+ODD = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile(f" ?[^{SPACE}\\x01]+")
+MARKS = ",.;:!?"
 #: Entries of a generation; two generations are kept between batches.
 MOST = 300_000
 
@@ -36,9 +38,30 @@ class Encoder:
         # between two chunks stands a piece that is one token of its own and in no plain chunk
         self.between, self.mark = next(((gap, ids[0]) for gap in ("\n", " \x01 ") if len(ids := self._ids(gap)) == 1 and self._ids(f"a{gap} b") == [*self._ids("a"), *ids, *self._ids(" b")]), (None, None))
 
+        self.drops_space = self._ids(" a\nb ") == self._ids("a") + self._ids("b") and self._ids("a b") == self._ids("a") + self._ids("b")
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _cut(self, text: str) -> list[str]:
+        # str.split also cuts at four controls that are no white space to the tokenizers
+        return text.split() if self.drops_space and not ODD.search(text) else CHUNK.findall(text)
+
+    def _resolve(self, chunks: list[str]) -> None:
+        """Fills in ``chunks``. Marks after a letter or digit up to the chunk's end are a pre-token of
+        their own, so a chunk that ends in them is its stem and the marks."""
+        ended, wanted, known = [], set(), self.known
+        for c in chunks:
+            stem = c.rstrip(MARKS)
+            if stem != c and stem[-1:].isalnum():
+                ended.append((c, stem, c[len(stem) :]))
+                wanted.update((stem, c[len(stem) :]))
+            else:
+                wanted.add(c)
+        self._learn([c for c in wanted if c not in known])
+        for c, stem, marks in ended:
+            known[c] = known[stem] + known[marks]
+
     def _learn(self, chunks: list[str]) -> None:
         plain, odd = [], []
         for c in chunks:
@@ -64,13 +87,13 @@ class Encoder:
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """The ids of each text and then ``end``; a null text counts as empty."""
         tail = np.array([end], dtype="<u4").tobytes()
-        cut = [CHUNK.findall(t) if t else [] for t in texts]
+        cut = [self._cut(t) if t else [] for t in texts]
         if len(self.known) > MOST:
             self.known, self.older = {}, self.known
-        new = {c for chunks in cut for c in chunks}.difference(self.known)
+        new = set().union(*cut).difference(self.known)
         again = new & self.older.keys()
         self.known.update((c, self.older[c]) for c in again)
-        self._learn(list(new - again))
+        self._resolve(list(new - again))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) + tail for chunks in cut]
 
