@@ -8,8 +8,9 @@
 3. Index lists are cut into blocks by token and size level. Each block's members are compared
    with the block's head alone: a linear number of pairs. Linked members inherit the head's
    component, so a large group of similar sets costs one comparison per member and token.
-4. What remains are pairs of different components that share a token. Blocks by position that
-   cannot reach the overlap are skipped; and where both sets have been compared with one pivot,
+4. What remains are pairs of different components that share a token. Before any set is read,
+   the sets' histograms bound every pair's overlap from above. Blocks by position
+   that cannot reach the overlap are skipped; and where both sets have been compared with one pivot,
    their overlap is bounded from the two known ones, |x n y| >= |x n p| + |y n p| - |p| and
    |x n y| <= min(|x n p|, |y n p|) + min(|x - p|, |y - p|), so many pairs are answered without
    reading the sets. The rest is compared exactly.
@@ -18,6 +19,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 CHUNK = 1 << 12
+#: Buckets of a set's histogram, which bounds overlaps from above.
+BUCKETS = 128
 #: Ids up to this count may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Tokens up to this count may be broadcast (8 bytes each).
+BROADCAST_TOKENS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -71,7 +77,8 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                     [rows.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                     names=names,
                 )
-        parts = [(i, c.tobytes()) for i in range(len(counts) // CHUNK) if (c := counts[i * CHUNK : (i + 1) * CHUNK]).any()]
+        narrow = np.uint8 if counts.max(initial=0) < 256 else np.uint32
+        parts = [(i, bytes([narrow().itemsize]) + zlib.compress(c.astype(narrow).tobytes(), 1)) for i in range(len(counts) // CHUNK) if (c := counts[i * CHUNK : (i + 1) * CHUNK]).any()]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p[0] for p in parts], type=pa.int32()), pa.array([p[1] for p in parts], type=pa.binary())], names=names)
 
@@ -85,23 +92,21 @@ def _levels(sketch: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                part = np.frombuffer(raw, dtype=np.uint32)
-                if i in sums:
-                    sums[i] += part
-                else:
-                    sums[i] = part.astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8 if raw[0] == 1 else np.uint32)
+                sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
         for i, c in sums.items():
             level = np.minimum(255, 6 * np.log2(c + 1.0)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([level.tobytes()], type=pa.binary())], names=["chunk", "levels"])
 
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for row in sketch.repartition(64, "chunk").mapInArrow(run, "chunk int, levels binary").collect():  # 2 MB in all
+    for row in sketch.repartition(64, "chunk").mapInArrow(run, "chunk int, levels binary").collect():  # 4 MB in all
         levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], dtype=np.uint8)
     return levels
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, prefix) of each text that has shingles; the prefix in the tokens' order."""
+    """(doc_id, n, prefix, histogram) of each text that has shingles; the prefix in the tokens' order,
+    the histogram of its hashes over BUCKETS as bytes (255 and more as 255)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     mask = np.uint64((1 << SKETCH_BITS) - 1)
 
@@ -109,7 +114,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) ->
         level = shared.value
         for batch in batches:
             for rows in common.slices(batch, "text"):
-                ids, sizes, prefixes = [], [], []
+                ids, sizes, prefixes, histograms = [], [], [], []
                 for doc_id, s in zip(rows.column("doc_id").to_pylist(), shingle_sets(rows.column("text"), width), strict=True):
                     if n := len(s):
                         k = n - -(-percent * n // 100) + 1
@@ -117,11 +122,12 @@ def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) ->
                         ids.append(doc_id)
                         sizes.append(n)
                         prefixes.append(s[order].view(np.int64))
+                        histograms.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 edges = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["doc_id", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(histograms, type=pa.binary())], names=["doc_id", "n", "prefix", "histogram"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>, histogram binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -136,7 +142,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["id", "shingles"])
 
     ids = common.bounded_broadcast(ids, ids.count(), BROADCAST_IDS)
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
 def _needed(percent: int, n: F.Column, m: F.Column) -> F.Column:
@@ -150,9 +156,28 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, width: int, name: str) -> DataF
     sets = common.written(_sets(docs, ids, width), f"{name}-sets")
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    return both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
+    # one row a pair, also where rows share a doc_id
+    return both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i")).groupBy("a", "na", "b", "nb").agg(F.max("i").alias("i"))
 
 
+def _possible(pairs: DataFrame, histograms: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` whose histograms leave room for a link: an overlap is at most the sum of the lesser counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ha, hb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS) for c in ("ha", "hb"))
+            na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            full = ((ha == 255) | (hb == 255)).any(axis=1)  # a count that did not fit bounds nothing
+            most = np.minimum(ha, hb).sum(axis=1, dtype=np.int64)
+            keep = full | ((100 + percent) * most >= percent * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "na", "b", "nb")], names=["a", "na", "b", "nb"]).filter(pa.array(keep))
+
+    of = lambda side: histograms.select(F.col("doc_id").alias(side), F.col("histogram").alias(f"h{side}"))
+    told = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "na", "b", "nb", "ha", "hb")
+    return told.mapInArrow(run, "a long, na long, b long, nb long").distinct()
+
 def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -174,21 +199,22 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column:
     # equal sets are one class, named by its smallest doc_id
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
     classes = common.written(classes, "classes")
-    prefixes = _prefixes(docs.where("doc_id is not null"), width, percent, levels).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    prefixes = _prefixes(docs.where("doc_id is not null"), width, percent, levels).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    prefixes = common.written(prefixes, "prefixes")
+    histograms = prefixes.select("doc_id", "histogram")
     step = math.log(100 / percent)
     postings = prefixes.select(F.col("doc_id").alias("id"), "n", F.floor(F.log("n") / step + 1e-9).cast("int").alias("level"), F.posexplode("prefix").alias("pos", "token"))
-    postings = common.written(postings, "postings")
 
     # lists of one entry link nothing; each block's head is the member whose token stands first
-    heads = postings.groupBy("token", "level").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "id", "n")).alias("head"))
-    heads = common.written(heads, "heads")
-    lists = common.written(heads.groupBy("token").agg(F.sum("entries").alias("entries")).where("entries > 1").select("token"), "lists")
+    lists = common.written(postings.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "lists")
+    lists = common.bounded_broadcast(lists, lists.count(), BROADCAST_TOKENS)
     shared = common.written(postings.join(lists, "token"), "shared")
-    blocks = heads.where("entries > 1").select("token", "level", "head")
+    blocks = shared.groupBy("token", "level").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "id", "n")).alias("head")).where("entries > 1").select("token", "level", "head")
     near = shared.join(blocks, ["token", "level"]).where("id <> head.id")
     near = near.where(F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= _needed(percent, F.col("n"), F.col("head.n")))
     near = near.select(F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-    answers = common.written(_overlaps(docs, common.written(near, "near"), width, "near"), "answers")
+    near = common.written(_possible(near, histograms, percent), "near")
+    answers = common.written(_overlaps(docs, near, width, "near"), "answers")
     linked = F.col("i") >= _needed(percent, F.col("na"), F.col("nb"))
     links = answers.where(linked).select("a", "b")
     parts = common.written(common.connected_components(links), "parts")
@@ -215,6 +241,7 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column:
     known = known.unionByName(answers.select(F.col("a").alias("id"), F.struct(F.col("na").alias("i"), F.col("a").alias("p"), F.col("na").alias("np")).alias("best")))
     pivots = common.written(known.groupBy("id").agg(F.max("best").alias("best")).select("id", "best.*"), "pivots")
     of = lambda side: pivots.select(F.col("id").alias(side), F.col("i").alias(f"i{side}"), F.col("p").alias(f"p{side}"), F.col("np").alias(f"np{side}"))
+    far = _possible(far, histograms, percent)
     far = far.join(of("a"), "a", "left").join(of("b"), "b", "left")
     same = F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))
     need = _needed(percent, F.col("na"), F.col("nb"))
