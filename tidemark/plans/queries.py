@@ -29,6 +29,8 @@ from . import tune as U
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Moves decimal ties off the half, so that both engines round them alike.
+NUDGE = 1.7e-8
 TIME = "%Y-%m-%d %H:%M:%S"
 
 
@@ -40,7 +42,7 @@ def shown(df: DataFrame) -> DataFrame:
         if kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "double":
-            c = F.round(c, 6) + F.lit(0.0)
+            c = F.round(c + F.lit(NUDGE), 6) + F.lit(0.0)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -49,7 +51,7 @@ def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None
     """Registers a query and its SQL; ``ts`` and ``num`` name the SQL's time and double columns."""
     QUERIES[name] = lambda spark, folder: shown(f(spark, folder))
     if sql:
-        replace = [f"strftime({c}, '{TIME}') AS {c}" for c in ts.split()] + [f"round({c}, 6) + 0.0 AS {c}" for c in num.split()]
+        replace = [f"strftime({c}, '{TIME}') AS {c}" for c in ts.split()] + [f"round({c} + {NUDGE}, 6) + 0.0 AS {c}" for c in num.split()]
         with_, _, body = sql.rpartition("--main")
         ORACLES[name] = f"{with_}SELECT * {'REPLACE (' + ', '.join(replace) + ')' if replace else ''} FROM ({body}) q"
 
@@ -222,8 +224,8 @@ add("sanitize", lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nat
 add("asof_join", lambda s, d: J.asof_join(raw(s, d), views(s, d), ["load"]), select(RAW + VIEWS, "SELECT r.*, v.load FROM raw r ASOF LEFT JOIN views v ON r.ts >= v.ts"), "ts", "value load")
 add("join_sources", lambda s, d: J.join_sources(hourly(s, d), {"grid": views(s, d), "off": None, "bad": views(s, d).drop("ts")})[0], select(HOURLY + VIEWS, "SELECT r.*, v.load AS exogenous_grid_load FROM hourly r ASOF LEFT JOIN views v ON r.ts >= v.ts"), "ts", "value exogenous_grid_load")
 add("align", lambda s, d: J.align(system_scores(s, d).select("panel_id", "ts", "anomaly_score"), whole(s, d).where("channel = 'click'").select("panel_id", "ts", "pred"), hourly(s, d).where("channel = 'click' and value is not null").select("panel_id", "ts", "value")), select(SYSTEM, "SELECT s.panel_id, s.ts, s.anomaly_score, w.pred, h.value FROM scores s JOIN whole w ON s.panel_id = w.panel_id AND s.ts = w.ts AND w.channel = 'click' JOIN hourly h ON h.panel_id = s.panel_id AND h.ts = s.ts AND h.channel = 'click' AND h.value IS NOT NULL"), "ts", "anomaly_score pred value")
-add("merge_results", lambda s, d: J.merge_results(panel(s, d).select(*K, "ts", "value"), system_scores(s, d).select("panel_id", "ts", "anomaly_flag"), system_scores(s, d).select("panel_id", "ts", "anomaly_score"), whole(s, d).select(*K, "ts", "pred")), select(SYSTEM, "SELECT p.panel_id, p.channel, p.ts, p.value, s.anomaly_flag, s.anomaly_score, w.pred FROM panel p LEFT JOIN scores s ON p.panel_id = s.panel_id AND p.ts = s.ts LEFT JOIN whole w ON w.panel_id = p.panel_id AND w.channel = p.channel AND w.ts = p.ts"), "ts", "value anomaly_score pred")
-add("combine_first", lambda s, d: J.combine_first(hourly(s, d).where("ts < '2024-01-20'"), panel(s, d).where("ts > '2024-01-10'"), [*K, "ts"]), select(PANEL, "SELECT coalesce(o.panel_id, n.panel_id) AS panel_id, coalesce(o.channel, n.channel) AS channel, coalesce(o.ts, n.ts) AS ts, coalesce(o.value, n.value) AS value, n.observed FROM (SELECT * FROM hourly WHERE ts < TIMESTAMP '2024-01-20') o FULL JOIN (SELECT * FROM panel WHERE ts > TIMESTAMP '2024-01-10') n ON o.panel_id = n.panel_id AND o.channel = n.channel AND o.ts = n.ts"), "ts", "value")
+add("merge_results", lambda s, d: J.merge_results(panel(s, d).select(*K, "ts", "value"), system_scores(s, d).select("panel_id", "ts", "anomaly_flag"), system_scores(s, d).select("panel_id", "ts", "anomaly_score"), whole(s, d).select(*K, "ts", "pred")).withColumn("anomaly_flag", F.coalesce("anomaly_flag", F.lit(-1))), select(SYSTEM, "SELECT p.panel_id, p.channel, p.ts, p.value, coalesce(s.anomaly_flag, -1) AS anomaly_flag, s.anomaly_score, w.pred FROM panel p LEFT JOIN scores s ON p.panel_id = s.panel_id AND p.ts = s.ts LEFT JOIN whole w ON w.panel_id = p.panel_id AND w.channel = p.channel AND w.ts = p.ts"), "ts", "value anomaly_score pred")
+add("combine_first", lambda s, d: J.combine_first(hourly(s, d).where("ts < '2024-01-20'"), panel(s, d).where("ts > '2024-01-10'"), [*K, "ts"]).withColumn("observed", F.coalesce("observed", F.lit(-1))), select(PANEL, "SELECT coalesce(o.panel_id, n.panel_id) AS panel_id, coalesce(o.channel, n.channel) AS channel, coalesce(o.ts, n.ts) AS ts, coalesce(o.value, n.value) AS value, coalesce(n.observed, -1) AS observed FROM (SELECT * FROM hourly WHERE ts < TIMESTAMP '2024-01-20') o FULL JOIN (SELECT * FROM panel WHERE ts > TIMESTAMP '2024-01-10') n ON o.panel_id = n.panel_id AND o.channel = n.channel AND o.ts = n.ts"), "ts", "value")
 add("stitch_history", lambda s, d: J.stitch_history(hourly(s, d).where("ts < '2024-01-20'"), panel(s, d).where("ts > '2024-01-18'").select(*K, "ts", "value")), select(PANEL, "SELECT panel_id, channel, ts, value, false AS recent FROM hourly WHERE ts <= TIMESTAMP '2024-01-18' UNION ALL SELECT panel_id, channel, ts, value, true FROM panel WHERE ts > TIMESTAMP '2024-01-18'"), "ts", "value")
 add("join_regions", lambda s, d: J.join_regions(whole(s, d), regions(s, d)).select(*K, "ts", "region_id"), select(REGIONS, "SELECT w.panel_id, w.channel, w.ts, r.region_id FROM whole w JOIN regions r ON w.panel_id = r.panel_id AND w.ts BETWEEN r.start_ts AND r.end_ts"), "ts")
 add("classify_gaps", lambda s, d: J.classify_gaps(W.time_gaps(raw(s, d), 600), W.time_gaps(raw(s, d).where("channel <> 'error'"), 1200)), select(RAW + TIMEGAPS + ", ref AS (SELECT * FROM (SELECT panel_id, lag(ts) OVER (PARTITION BY panel_id ORDER BY ts) AS start_ts, ts AS end_ts FROM (SELECT DISTINCT panel_id, ts FROM raw WHERE channel <> 'error')) WHERE end_ts - start_ts > INTERVAL 20 MINUTE)", "SELECT g.*, CASE WHEN EXISTS (SELECT 1 FROM ref r WHERE r.panel_id = g.panel_id AND abs(epoch_us(r.start_ts) - epoch_us(g.start_ts)) < 3600000000 AND abs(epoch_us(r.end_ts) - epoch_us(g.end_ts)) < 3600000000) THEN 'natural' ELSE 'fixable' END AS kind FROM timegaps g"), "start_ts end_ts")
@@ -234,3 +236,207 @@ add("strategy_grid", lambda s, d: J.strategy_grid(raw(s, d).select("panel_id").d
 add("assign_groups", lambda s, d: J.assign_groups(whole(s, d), groups(s)).select(*K, "ts", F.col("group").alias("grp")), select(GROUPED, "SELECT panel_id, channel, ts, grp FROM mem"), "ts")
 add("missing_group_channels", lambda s, d: J.missing_group_channels(raw(s, d), groups(s)).withColumnRenamed("group", "grp"), select(RAW + GROUPS, "SELECT g.panel_id, g.grp, g.channel FROM groups g WHERE NOT EXISTS (SELECT 1 FROM raw r WHERE r.panel_id = g.panel_id AND r.channel = g.channel)"))
 add("compare_overlap", lambda s, d: J.compare_overlap(raw(s, d).where("channel <> 'error'"), hourly(s, d)), select(HOURLY, "SELECT x.* FROM (SELECT panel_id, channel, ts, value, 'raw' AS stage FROM raw UNION ALL SELECT *, 'processed' FROM hourly) x JOIN (SELECT s.panel_id, greatest(lo, a) AS a, least(hi, b) AS b FROM span s JOIN (SELECT panel_id, min(ts) AS a, max(ts) AS b FROM raw WHERE channel <> 'error' GROUP BY panel_id) r ON s.panel_id = r.panel_id) l ON l.panel_id = x.panel_id AND x.ts BETWEEN l.a AND l.b WHERE channel <> 'error'"), "ts", "value")
+
+# ------------------------------------------------------------------ aggregates
+add("eval_metrics", lambda s, d: A.eval_metrics(whole(s, d)), select(NAIVE, "SELECT panel_id, channel, sqrt(avg(CASE WHEN observed = 1 THEN pow(value - pred, 2) END)) AS rmse, avg(CASE WHEN observed = 1 THEN abs(value - pred) END) AS mae, count(CASE WHEN observed = 1 THEN 1 END) AS n FROM whole GROUP BY ALL"), "", "rmse mae")
+add("forecast_metrics", lambda s, d: A.forecast_metrics(naive(s, d)), select(NAIVE, "SELECT panel_id, channel, avg(abs(value - pred)) AS mae, sqrt(avg(pow(value - pred, 2))) AS rmse, avg(abs((value - pred) / (value + 1e-10))) * 100 AS mape, count(*) AS n FROM whole GROUP BY ALL"), "", "mae rmse mape")
+ERRORS = "SELECT panel_id, channel, '{0}' AS span, avg(abs(value - pred)) AS mae, sqrt(avg(pow(value - pred, 2))) AS rmse, count(value - pred) AS n, count(*) - count(value - pred) AS n_nan FROM rows {1} GROUP BY ALL"
+add("channel_errors", lambda s, d: A.channel_errors(W.chronological_split(M.predict_naive(hourly(s, d)), 80, 10, 10)), select(SPLIT + ", hn AS (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM hourly), rows AS (SELECT h.*, split FROM hn h JOIN split s ON h.panel_id = s.panel_id AND h.ts = s.ts)", ERRORS.format("full", "") + " UNION ALL " + ERRORS.format("test", "WHERE split = 'test'")), "", "mae rmse")
+add("score_summary", lambda s, d: A.score_summary(system_scores(s, d)), select(SYSTEM, "SELECT panel_id, count(*) AS n, sum(anomaly_flag) AS flags, avg(anomaly_flag) AS rate, " + ", ".join(f"min({c}) AS {n}_min, max({c}) AS {n}_max, avg({c}) AS {n}_mean, stddev_samp({c}) AS {n}_std, quantile_cont({c}, 0.25) AS {n}_p25, quantile_cont({c}, 0.5) AS {n}_median, quantile_cont({c}, 0.75) AS {n}_p75, quantile_cont({c}, 0.95) AS {n}_p95, quantile_cont({c}, 0.99) AS {n}_p99" for c, n in (("anomaly_score", "score"), ("anomaly_score_normalized", "normalized"))) + " FROM scores GROUP BY panel_id"), "", "rate " + " ".join(f"{n}_{k}" for n in ("score", "normalized") for k in ("min", "max", "mean", "std", "p25", "median", "p75", "p95", "p99")))
+add("feature_errors", lambda s, d: A.feature_errors(whole(s, d)), select(NAIVE, "SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY mean_abs_residual DESC, channel) AS place FROM (SELECT panel_id, channel, avg(abs(value - pred)) AS mean_abs_residual, sqrt(avg(pow(value - pred, 2))) AS rmse FROM whole GROUP BY ALL)"), "", "mean_abs_residual rmse")
+SR = SYSTEM + ", sr AS (SELECT w.*, s.anomaly_score FROM whole w JOIN scores s ON w.panel_id = s.panel_id AND w.ts = s.ts)"
+add("residual_score_corr", lambda s, d: A.residual_score_corr(scored_rows(s, d)), select(SR, "SELECT panel_id, channel, corr(abs(value - pred), anomaly_score) AS corr FROM sr GROUP BY ALL"), "", "corr")
+add("high_score_contrast", lambda s, d: A.high_score_contrast(scored_rows(s, d)), select(SR + ", cut AS (SELECT panel_id, quantile_cont(anomaly_score, 0.95) AS c FROM scores GROUP BY panel_id)", "SELECT *, high - normal AS contrast FROM (SELECT sr.panel_id, channel, avg(CASE WHEN anomaly_score > c THEN abs(value - pred) END) AS high, avg(CASE WHEN NOT anomaly_score > c THEN abs(value - pred) END) AS normal FROM sr JOIN cut ON sr.panel_id = cut.panel_id GROUP BY sr.panel_id, channel)"), "", "high normal contrast")
+add("score_attribution", lambda s, d: A.score_attribution(scored_rows(s, d)), select(SR, "SELECT panel_id, channel, avg(share * anomaly_score) AS attribution FROM (SELECT *, pow(value - pred, 2) / nullif(sum(pow(value - pred, 2)) OVER (PARTITION BY panel_id, ts), 0) AS share FROM sr) GROUP BY ALL"), "", "attribution")
+add("group_flag_summary", lambda s, d: A.group_flag_summary(group_scores(s, d)).withColumnRenamed("group", "grp"), select(GROUPED, "SELECT panel_id, grp, count(*) AS rows, sum(flag) AS flags, avg(flag) AS rate, max(threshold) AS threshold FROM gf GROUP BY ALL"), "", "rate threshold")
+add("known_window_eval", lambda s, d: A.known_window_eval(system_scores(s, d), intervals(s)), select(SYSTEM + KNOWN, f"SELECT *, flags_in / nullif(flags_in + flags_out, 0) AS precision FROM (SELECT panel_id, count(*) FILTER (anomaly_flag = 1 AND k) AS flags_in, count(*) FILTER (anomaly_flag = 1 AND NOT k) AS flags_out, count(*) FILTER (k) AS known_points FROM (SELECT *, {HIT.format(0)} AS k FROM scores p) GROUP BY panel_id)"), "", "precision")
+add("outlier_summary", lambda s, d: A.outlier_summary(raw(s, d), bounds(s)), select(RAW + BOUNDS, "SELECT *, removed / nullif(total, 0) * 100 AS pct FROM (SELECT r.panel_id, r.channel, lower, upper, count(value) AS total, count(*) FILTER (value < lower OR value > upper) AS removed, min(value) FILTER (value < lower OR value > upper) AS min_removed, max(value) FILTER (value < lower OR value > upper) AS max_removed FROM raw r JOIN bounds b ON r.panel_id = b.panel_id AND r.channel = b.channel GROUP BY ALL)"), "", "lower upper min_removed max_removed pct")
+
+
+def board(s: SparkSession, d: str) -> DataFrame:
+    """(channel, model, score): mean absolute errors of three predictions."""
+    w = Window.partitionBy(*K).orderBy("ts")
+    rows = whole(s, d).withColumns({"two": F.lag("value", 2).over(w), "zero": F.lit(0.0)})
+    return rows.groupBy("channel").agg(*[F.avg(F.abs(F.col("value") - F.col(c))).alias(n) for c, n in (("pred", "last"), ("two", "older"), ("zero", "none"))]).unpivot("channel", ["last", "older", "none"], "model", "score")
+
+
+BOARD = NAIVE + ", bw AS (SELECT *, lag(value, 2) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS two FROM whole), bd AS (SELECT channel, avg(abs(value - pred)) AS last, avg(abs(value - two)) AS older, avg(abs(value)) AS none FROM bw GROUP BY channel), board AS (SELECT channel, 'last' AS model, last AS score FROM bd UNION ALL SELECT channel, 'older', older FROM bd UNION ALL SELECT channel, 'none', none FROM bd), won AS (SELECT *, least(last, older, none) AS winner_score FROM bd), led AS (SELECT *, CASE WHEN winner_score = last THEN 'last' WHEN winner_score = none THEN 'none' ELSE 'older' END AS winner FROM won)"
+add("leaderboard", lambda s, d: A.leaderboard(board(s, d), ["last", "older", "none"]), select(BOARD, "SELECT * FROM led"), "", "last older none winner_score")
+add("leaderboard_z", lambda s, d: A.leaderboard_z(board(s, d)), select(BOARD, "SELECT channel, model, (score - avg(score) OVER w) / nullif(stddev_samp(score) OVER w, 0) AS z FROM board WINDOW w AS (PARTITION BY channel)"), "", "z")
+add("winner_share", lambda s, d: A.winner_share(A.leaderboard(board(s, d), ["last", "older", "none"])), select(BOARD, "SELECT winner, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM led GROUP BY winner"), "", "share")
+add("hourly_profile", lambda s, d: A.hourly_profile(hourly(s, d)), select(HOURLY + PROFILE, "SELECT * FROM prof"), "", "mean")
+MAD = ", md AS (SELECT panel_id, channel, median(value) AS median FROM hourly GROUP BY ALL)"
+add("median_mad", lambda s, d: A.median_mad(hourly(s, d)), select(HOURLY + MAD, "SELECT h.panel_id, h.channel, any_value(median) AS median, CASE WHEN median(abs(value - median)) = 0 THEN 1e-12 ELSE median(abs(value - median)) END AS mad FROM hourly h JOIN md ON h.panel_id = md.panel_id AND h.channel = md.channel GROUP BY ALL"), "", "median mad")
+add("freshness", lambda s, d: A.freshness(hourly(s, d), F.expr(NOW)), select(HOURLY + ", seen AS (SELECT panel_id, ts, count(value) AS k FROM hourly GROUP BY ALL), ends AS (SELECT panel_id, max(ts) AS latest_ts, max(ts) FILTER (k > 0) AS last_valid_ts FROM seen GROUP BY panel_id)", f"SELECT *, CASE WHEN age_seconds > 3600 OR trailing_missing >= 12 THEN 'degraded' ELSE 'ok' END AS status FROM (SELECT e.panel_id, latest_ts, last_valid_ts, count(*) FILTER (s.ts > last_valid_ts) AS trailing_missing, (epoch_us({HERE}) - epoch_us(last_valid_ts)) / 1000000.0 AS age_seconds, count(*) FILTER (s.ts > last_valid_ts) * 3600 AS trailing_seconds FROM seen s JOIN ends e ON s.panel_id = e.panel_id GROUP BY ALL)"), "latest_ts last_valid_ts", "age_seconds")
+
+
+def model_versions(s: SparkSession, d: str) -> DataFrame:
+    return raw(s, d).select("panel_id", "channel").distinct().crossJoin(s.sql("SELECT explode(array('20240110_000000', '20240125_120000', '20240130_000000')) AS version")).where("panel_id = '0' OR version < '20240130'")
+
+
+VERSIONS = ", mv AS (SELECT panel_id, channel, version FROM (SELECT DISTINCT panel_id, channel FROM raw), (VALUES ('20240110_000000'), ('20240125_120000'), ('20240130_000000')) v(version) WHERE panel_id = '0' OR version < '20240130')"
+add("readiness", lambda s, d: A.readiness(raw(s, d).select("panel_id").distinct(), raw(s, d), model_versions(s, d), F.expr(NOW), 5), select(RAW, f"SELECT bool_and(m > {HERE} - INTERVAL 5 DAY) AS data_ready, false AS models_ready, false AS ready FROM (SELECT panel_id, max(ts) AS m FROM raw GROUP BY panel_id)"))
+
+
+def strategies(s: SparkSession, d: str) -> DataFrame:
+    p = panel(s, d)
+    return C.combine_groups(D.score_all(p, None)).withColumn("strategy", F.lit("norm4")).unionByName(C.combine_groups(D.score_all(p, None, q=0.95, order=2.0)).withColumn("strategy", F.lit("norm2")))
+
+
+STRAT = SYSTEM + """, sc2 AS (SELECT panel_id, ts, sqrt(sum(pow(value - pred, 2))) AS score FROM whole GROUP BY panel_id, ts),
+th2 AS (SELECT panel_id, quantile_cont(score, 0.95) AS threshold, quantile_cont(score, 0.01) AS q_low FROM sc2 GROUP BY panel_id),
+strat AS (SELECT panel_id, ts, 'norm4' AS strategy, anomaly_score, anomaly_score_normalized, anomaly_flag FROM scores UNION ALL
+SELECT s.panel_id, ts, 'norm2', score, CASE WHEN threshold > q_low THEN least(greatest((score - q_low) / (threshold - q_low), 0), 1) END, CAST(score >= threshold AS INTEGER) FROM sc2 s JOIN th2 t ON s.panel_id = t.panel_id)"""
+add("strategy_table", lambda s, d: A.strategy_table(strategies(s, d)), select(STRAT, "SELECT panel_id, strategy, count(*) AS rows, sum(anomaly_flag) AS flags, avg(anomaly_flag) AS rate, avg(anomaly_score) AS score_mean, quantile_cont(anomaly_score, 0.95) AS score_q95, quantile_cont(anomaly_score, 0.99) AS score_q99, avg(anomaly_score_normalized) AS normalized_mean FROM strat GROUP BY ALL"), "", "rate score_mean score_q95 score_q99 normalized_mean")
+add("split_bounds", lambda s, d: A.split_bounds(W.chronological_split(panel(s, d))), select(SPLIT, "SELECT panel_id, count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, max(ts) FILTER (split = 'train') AS train_end, max(ts) FILTER (split = 'val') AS val_end, min(ts) FILTER (split = 'test') AS test_start FROM split GROUP BY panel_id"), "train_end val_end test_start")
+add("r2", lambda s, d: A.r2(whole(s, d)), select(NAIVE, "SELECT panel_id, channel, 1 - sum(pow(value - pred, 2)) / nullif(var_pop(value) * count(*), 0) AS r2 FROM whole GROUP BY ALL"), "", "r2")
+CONTRIB = REGIONS + SHARES
+add("contributions", lambda s, d: contributed(s, d), select(SYSTEM + SHARES, "SELECT * FROM contributions"), "ts", "contribution")
+add("region_contributions", lambda s, d: A.region_contributions(contributed(s, d), regions(s, d)), select(CONTRIB, "SELECT c.panel_id, region_id, channel, avg(contribution) AS contribution FROM contributions c JOIN regions r ON c.panel_id = r.panel_id AND c.ts BETWEEN start_ts AND end_ts GROUP BY ALL"), "", "contribution")
+add("suspicious_channels", lambda s, d: A.suspicious_channels(W.chronological_split(panel(s, d)).withColumn("value", F.when(F.col("channel") == "click", F.col("rn") - 1.0).otherwise(F.col("value")))), select(SPLIT, "SELECT p.panel_id, channel, 0.0 AS low, max(rn) - 1.0 AS high, count(*) AS n FROM panel p JOIN split s ON p.panel_id = s.panel_id AND p.ts = s.ts WHERE channel = 'click' GROUP BY ALL"), "", "low high")
+add("snapshot_metadata", lambda s, d: A.snapshot_metadata(raw(s, d)), select(RAW, "SELECT panel_id, count(DISTINCT ts) AS rows, min(ts) AS start_ts, max(ts) AS end_ts FROM raw GROUP BY panel_id"), "start_ts end_ts")
+
+# ------------------------------------------------------------------ ranking and sets
+add("top_anomalies", lambda s, d: R.top_anomalies(system_scores(s, d)).select("panel_id", "ts", "anomaly_score", "place"), select(SYSTEM, "SELECT * FROM (SELECT panel_id, ts, anomaly_score, row_number() OVER (PARTITION BY panel_id ORDER BY anomaly_score DESC, ts) AS place FROM scores) WHERE place <= 5"), "ts", "anomaly_score")
+add("top_features", lambda s, d: R.top_features(contributed(s, d)), select(SYSTEM + SHARES, "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, ts ORDER BY contribution DESC NULLS LAST, channel) AS place FROM contributions) WHERE place <= 3"), "ts", "contribution")
+add("event_contributions", lambda s, d: R.event_contributions(contributed(s, d), regions(s, d)).select("panel_id", "region_id", "start_ts", "end_ts", F.array_join(F.transform("features", lambda x: x["feature"]), ",").alias("channels"), F.get("features", F.lit(0))["contribution"].alias("largest")), select(CONTRIB + ", rc AS (SELECT c.panel_id, region_id, channel, avg(contribution) AS c FROM contributions c JOIN regions r ON c.panel_id = r.panel_id AND c.ts BETWEEN start_ts AND end_ts GROUP BY ALL)", "SELECT r.panel_id, r.region_id, r.start_ts, r.end_ts, string_agg(channel, ',' ORDER BY c DESC, channel) AS channels, max(c) AS largest FROM regions r LEFT JOIN rc ON rc.panel_id = r.panel_id AND rc.region_id = r.region_id GROUP BY ALL"), "start_ts end_ts", "largest")
+add("current_status", lambda s, d: R.current_status(system_scores(s, d), panel(s, d)).withColumn("channels", F.array_join("channels", ",")), select(SYSTEM, "SELECT s.panel_id, s.ts, s.anomaly_flag, s.anomaly_score, (SELECT string_agg(channel, ',' ORDER BY value DESC NULLS FIRST, channel) FROM panel p WHERE p.panel_id = s.panel_id AND p.ts = s.ts) AS channels FROM scores s JOIN (SELECT panel_id, max(ts) AS m FROM scores GROUP BY panel_id) x ON s.panel_id = x.panel_id AND s.ts = x.m"), "ts", "anomaly_score")
+add("best_model", lambda s, d: R.best_model(board(s, d).withColumns({"metric": F.col("score"), "trial": F.when(F.col("model") == "last", 0).when(F.col("model") == "none", 1).otherwise(2)})), select(BOARD, "SELECT channel, winner AS model, winner_score AS metric FROM led"), "", "metric")
+add("common_timestamps", lambda s, d: R.common_timestamps(hourly(s, d).where("channel = 'click' and value is not null"), hourly(s, d).where("channel = 'view' and value is not null")), select(HOURLY, "SELECT panel_id, ts FROM hourly WHERE channel = 'click' AND value IS NOT NULL INTERSECT SELECT panel_id, ts FROM hourly WHERE channel = 'view' AND value IS NOT NULL"), "ts")
+add("schema_diff", lambda s, d: R.schema_diff(raw(s, d).where("channel <> 'error'"), raw(s, d).where("channel <> 'view' or panel_id = '0'")), select(RAW, "SELECT DISTINCT panel_id, channel, CASE channel WHEN 'error' THEN 'baseline' ELSE 'live' END AS side FROM raw WHERE channel = 'error' OR (channel = 'view' AND panel_id = '1')"))
+add("union_first", lambda s, d: R.union_first(hourly(s, d).where("value > 50"), panel(s, d).select(*K, "ts", "value"), keys=[*K, "ts"]), select(PANEL, "SELECT panel_id, channel, ts, value FROM panel"), "ts", "value")
+
+# ------------------------------------------------------------------ imputation
+FILL = {
+    "mean": "coalesce(value, CASE WHEN lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL THEN (lag(value) OVER w + lead(value) OVER w) / 2 END)",
+    "forward_fill": "coalesce(pv, nv)",
+    "backward_fill": "coalesce(nv, pv)",
+    "iterative": "coalesce(value, avg(value) OVER (PARTITION BY panel_id, channel))",
+    "knn_sklearn": "coalesce(value, avg(value) OVER (PARTITION BY panel_id, channel))",
+}
+for name, expr in FILL.items():
+    body = f"SELECT panel_id, channel, ts, {expr} AS value, CAST(value IS NOT NULL AS INTEGER) AS observed FROM carried WINDOW w AS (PARTITION BY panel_id, channel ORDER BY ts)"
+    if name == "mean":
+        body = f"SELECT panel_id, channel, ts, coalesce(value, avg(value) OVER (PARTITION BY panel_id, channel)) AS value, observed FROM ({body})"
+    add(f"impute_{name}", lambda s, d, name=name: I.impute(hourly(s, d), name), select(CARRIED, body), "ts", "value")
+add("impute_linear_interpolation", panel, select(PANEL, "SELECT * FROM panel"), "ts", "value")
+add("impute_seasonal", lambda s, d: I.impute(hourly(s, d).where("value is not null or hour(ts) <> 5"), "seasonal", period=24))
+for name, params in (("spline_interpolation", {}), ("knn_temporal", {"n_neighbors": 3}), ("rolling_mean", {"window": 5}), ("psm", {})):
+    add(f"impute_{name}", lambda s, d, name=name, params=params: I.impute(hourly(s, d), name, **params))
+add("impute_channels", lambda s, d: I.impute_channels(hourly(s, d), {"click": {"method": "forward_fill"}}), select(PANEL, "SELECT p.panel_id, p.channel, p.ts, CASE WHEN p.channel = 'click' THEN coalesce(pv, nv) ELSE p.value END AS value, observed FROM panel p JOIN carried c ON c.panel_id = p.panel_id AND c.channel = p.channel AND c.ts = p.ts"), "ts", "value")
+add("impute_frame", lambda s, d: I.impute_frame(hourly(s, d), "backward_fill", ["view"]), select(CARRIED, "SELECT panel_id, channel, ts, CASE WHEN channel = 'view' THEN coalesce(nv, pv) ELSE value END AS value, CAST(value IS NOT NULL AS INTEGER) AS observed FROM carried"), "ts", "value")
+BLANK = PANEL + KNOWN + f", blank AS (SELECT panel_id, channel, ts, CASE WHEN {HIT.format(3600)} THEN NULL ELSE value END AS value, observed FROM panel p)"
+add("reimpute_known", lambda s, d: I.reimpute_known(panel(s, d), intervals(s), 3600), select(BLANK + ", bc AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN ts END) OVER b AS pt, last_value(value IGNORE NULLS) OVER b AS pv, min(CASE WHEN value IS NOT NULL THEN ts END) OVER f AS nt, first_value(value IGNORE NULLS) OVER f AS nv FROM blank WINDOW b AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", "SELECT panel_id, channel, ts, coalesce(value, pv + (nv - pv) * (epoch_us(ts) - epoch_us(pt)) / nullif(epoch_us(nt) - epoch_us(pt), 0), pv, nv) AS value, CASE WHEN value IS NULL THEN 0 ELSE observed END AS observed FROM bc"), "ts", "value")
+add("inject_gaps", lambda s, d: I.inject_gaps(hourly(s, d), 5, 10))
+add("benchmark_imputation", lambda s, d: A.summarize_methods(I.benchmark_imputation(hourly(s, d), ["mean", "forward_fill", "linear_interpolation"])))
+
+# ------------------------------------------------------------------ models
+add("sample_weight", lambda s, d: M.sample_weight(panel(s, d), 3).select(*K, "ts", "weight"), select(PANEL, "SELECT panel_id, channel, ts, CAST(min(observed) OVER w = 1 AND count(*) OVER w = 4 AS DOUBLE) AS weight FROM panel WINDOW w AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"), "ts", "weight")
+add("standardize", lambda s, d: M.standardize(panel(s, d)).select(*K, "ts", "z", "mu", "sigma"), select(PANEL, "SELECT panel_id, channel, ts, (value - avg(value) OVER w) / coalesce(nullif(stddev_pop(value) OVER w, 0), 1) AS z, avg(value) OVER w AS mu, coalesce(nullif(stddev_pop(value) OVER w, 0), 1) AS sigma FROM panel WINDOW w AS (PARTITION BY panel_id, channel)"), "ts", "z mu sigma")
+add("fit_linear", lambda s, d: M.fit_linear(panel(s, d), "linear", 1).select(*K, F.col("coef")[0].alias("slope"), "intercept", "n"), select(NAIVE, "SELECT panel_id, channel, regr_slope(value, pred) AS slope, regr_intercept(value, pred) AS intercept, count(*) AS n FROM whole GROUP BY ALL"), "", "slope intercept")
+add("fit_ridge", lambda s, d: M.fit_linear(panel(s, d), "ridge", 1, alpha=10.0).select(*K, F.col("coef")[0].alias("slope"), "intercept", "n"), select(NAIVE, "SELECT panel_id, channel, b AS slope, my - b * mx AS intercept, n FROM (SELECT panel_id, channel, covar_pop(value, pred) * count(*) / (var_pop(pred) * count(*) + 10 * var_pop(value)) AS b, avg(value) AS my, avg(pred) AS mx, count(*) AS n FROM whole GROUP BY ALL)"), "", "slope intercept")
+for kind in ("lasso", "elasticnet", "bayesianridge"):
+    add(f"fit_{kind}", lambda s, d, kind=kind: M.fit_linear(panel(s, d), kind, 3, alpha=0.01).select(*K, "model", "intercept", F.array_join(F.transform("coef", lambda c: F.round(c, 4).cast("string")), ",").alias("coef")))
+add("fit_huber", lambda s, d: M.fit_huber(panel(s, d), 2, rounds=2).select(*K, "model", "intercept"))
+add("fit_trees", lambda s, d: A.forecast_metrics(M.fit_trees(panel(s, d), 3, 2, 2)))
+add("fit_nystroem", lambda s, d: A.forecast_metrics(M.fit_nystroem(panel(s, d), 3, 16)))
+add("auto_clean", lambda s, d: M.auto_clean(panel(s, d), 3).select(*K, "ts", "cleaned"))
+add("prepare_channels", lambda s, d: M.prepare_channels(panel(s, d), 6).select(*K).distinct(), select(PANEL, "SELECT panel_id, channel FROM panel GROUP BY ALL HAVING count(value) >= 16"))
+
+
+def specs(s: SparkSession) -> DataFrame:
+    return s.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), CAST(NULL AS STRING), 'ridge', map('alpha', 1.0D), 6), ('0', NULL, 'lasso', map('alpha', 0.1D), CAST(NULL AS INT)), ('0', 'click', 'lasso', CAST(NULL AS MAP<STRING, DOUBLE>), 12), ('1', 'view', 'ridge', map('alpha', 5.0D), NULL) t(panel_id, channel, model, params, lags)")
+
+
+add("resolve_specs", lambda s, d: M.resolve_specs(raw(s, d), specs(s)).select(*K, "model", F.col("params")["alpha"].alias("alpha"), "lags"), select(RAW, "SELECT panel_id, channel, CASE panel_id WHEN '0' THEN 'lasso' ELSE 'ridge' END AS model, CASE WHEN panel_id = '0' THEN 0.1 WHEN channel = 'view' THEN 5.0 ELSE 1.0 END AS alpha, CASE WHEN panel_id = '0' AND channel = 'click' THEN 12 ELSE 6 END AS lags FROM (SELECT DISTINCT panel_id, channel FROM raw)"), "", "alpha")
+
+
+def fixed_models(s: SparkSession, d: str) -> DataFrame:
+    return raw(s, d).select(*K).distinct().where("channel <> 'error'").selectExpr("panel_id", "channel", "'fixed' AS model", "array(1, 3) AS lags", "array(0.5D, 0.25D) AS coef", "10.0D AS intercept")
+
+
+FIXED = PANEL + ", fx AS (SELECT *, CASE WHEN channel <> 'error' THEN 10 + 0.5 * lag(value) OVER w + 0.25 * lag(value, 3) OVER w END AS pred FROM panel WINDOW w AS (PARTITION BY panel_id, channel ORDER BY ts))"
+add("predict", lambda s, d: M.predict(panel(s, d), fixed_models(s, d)).select(*K, "ts", "pred"), select(FIXED, "SELECT panel_id, channel, ts, pred FROM fx"), "ts", "pred")
+add("predict_naive", lambda s, d: naive(s, d).select(*K, "ts", "pred"), select(NAIVE, "SELECT panel_id, channel, ts, pred FROM naive"), "ts", "pred")
+add("train", lambda s, d: M.train(panel(s, d), "ridge", 3)[1])
+
+# ------------------------------------------------------------------ scoring and detection
+add("score_norm", lambda s, d: C.score_norm(J.assign_groups(whole(s, d), groups(s))).withColumnRenamed("group", "grp"), select(GROUPED, "SELECT panel_id, grp, ts, score FROM gs"), "ts", "score")
+add("group_quantiles", lambda s, d: C.group_quantiles(groups(s)).withColumnRenamed("group", "grp").join(raw(s, d).select("panel_id").distinct(), "panel_id"), select(RAW + GROUPS, "SELECT g.panel_id, g.grp, coalesce(max(quantile), 0.995) AS q FROM groups g WHERE g.panel_id IN (SELECT panel_id FROM raw) GROUP BY ALL"), "", "q")
+add("fit_threshold", lambda s, d: C.fit_threshold(C.score_norm(J.assign_groups(whole(s, d), C.system_groups(raw(s, d))))).drop("group"), select(SYSTEM, "SELECT * FROM th"), "", "threshold q_low")
+add("score_grouped", lambda s, d: group_scores(s, d).withColumnRenamed("group", "grp"), select(GROUPED, "SELECT * FROM gf"), "ts", "score threshold normalized")
+add("combine_groups", lambda s, d: C.combine_groups(group_scores(s, d)), select(GROUPED, "SELECT panel_id, ts, first(score ORDER BY normalized DESC NULLS LAST, grp) AS anomaly_score, first(normalized ORDER BY normalized DESC NULLS LAST, grp) AS anomaly_score_normalized, first(threshold ORDER BY normalized DESC NULLS LAST, grp) AS anomaly_threshold, max(flag) AS anomaly_flag, first(grp ORDER BY normalized DESC NULLS LAST, grp) AS winner FROM gf GROUP BY panel_id, ts"), "ts", "anomaly_score anomaly_score_normalized anomaly_threshold")
+add("group_details", lambda s, d: C.group_details(group_scores(s, d).where("panel_id = '0'"), ["money", "web"]).select("panel_id", "ts", "group_money_raw", "group_web_normalized", "group_web_flag"), select(GROUPED, "SELECT panel_id, ts, max(score) FILTER (grp = 'money') AS group_money_raw, max(normalized) FILTER (grp = 'web') AS group_web_normalized, max(flag) FILTER (grp = 'web') AS group_web_flag FROM gf WHERE panel_id = '0' GROUP BY panel_id, ts"), "ts", "group_money_raw group_web_normalized")
+TRIM = NAIVE + ", te AS (SELECT panel_id, ts, avg(abs(value - pred)) AS e FROM whole GROUP BY ALL), tc AS (SELECT panel_id, quantile_cont(e, 0.9) AS c FROM te GROUP BY panel_id)"
+add("trim_fit", lambda s, d: C.trim_fit(whole(s, d), 0.9).select(*K, "ts"), select(TRIM, "SELECT w.panel_id, w.channel, w.ts FROM whole w JOIN te ON te.panel_id = w.panel_id AND te.ts = w.ts JOIN tc ON tc.panel_id = w.panel_id WHERE e <= c"), "ts")
+add("flag_overlap", lambda s, d: J.flag_overlap(*[C.combine_groups(D.score_all(panel(s, d), None, q=q, order=o)) for q, o in ((0.99, 4.0), (0.95, 2.0))]), select(STRAT + ", fo AS (SELECT a.panel_id, a.anomaly_flag AS x, b.anomaly_flag AS y, a.anomaly_score AS p, b.anomaly_score AS q FROM strat a JOIN strat b ON a.strategy = 'norm4' AND b.strategy = 'norm2' AND a.panel_id = b.panel_id AND a.ts = b.ts)", "SELECT panel_id, count(*) AS rows, sum(x) AS flags_a, sum(y) AS flags_b, sum(CAST(x = 1 AND y = 0 AS INTEGER)) AS only_a, sum(CAST(x = 0 AND y = 1 AS INTEGER)) AS only_b, sum(x * y) AS both, median(p) AS median_a, median(q) AS median_b, avg(x) AS rate_a, avg(y) AS rate_b, sum(x * y) / nullif(sum(greatest(x, y)), 0) AS jaccard FROM fo GROUP BY panel_id"), "", "median_a median_b rate_a rate_b jaccard")
+DETECT = SPLIT + """, dn AS (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM panel), un AS (SELECT d.* FROM dn d JOIN split s ON s.panel_id = d.panel_id AND s.ts = d.ts WHERE split = 'test'),
+ew AS (SELECT panel_id, ts, row_number() OVER (PARTITION BY panel_id ORDER BY ts DESC) <= 24 AS ev FROM (SELECT DISTINCT panel_id, ts FROM un)),
+ds AS (SELECT u.panel_id, u.ts, any_value(ev) AS ev, min(observed) AS o, pow(sum(pow(abs(value - pred), 4)), 0.25) AS score FROM un u JOIN ew e ON e.panel_id = u.panel_id AND e.ts = u.ts GROUP BY u.panel_id, u.ts),
+dt AS (SELECT panel_id, quantile_cont(score, 0.9) AS threshold, quantile_cont(score, 0.01) AS q_low FROM ds WHERE NOT ev AND o = 1 GROUP BY panel_id)"""
+add("detect", lambda s, d: C.combine_groups(D.detect(panel(s, d), None, D.no_bounds(raw(s, d)), hist=24, q=0.9)).drop("winner"), select(DETECT, "SELECT ds.panel_id, ts, score AS anomaly_score, CASE WHEN threshold > q_low THEN least(greatest((score - q_low) / (threshold - q_low), 0), 1) END AS anomaly_score_normalized, threshold AS anomaly_threshold, CAST(coalesce(score >= threshold, false) AS INTEGER) AS anomaly_flag FROM ds LEFT JOIN dt ON ds.panel_id = dt.panel_id WHERE ev"), "ts", "anomaly_score anomaly_score_normalized anomaly_threshold")
+add("score_all", system_scores, select(SYSTEM, "SELECT * FROM scores"), "ts", "anomaly_score anomaly_score_normalized anomaly_threshold")
+add("compare_scopes", lambda s, d: D.compare_scopes(D.detect(panel(s, d), None, D.no_bounds(raw(s, d)), hist=24, q=0.9), D.score_all(panel(s, d), None))[1].withColumnRenamed("group", "grp"))
+add("replay_known", lambda s, d: D.replay_known(panel(s, d), None, intervals(s).where("start_ts <= end_ts"), D.no_bounds(raw(s, d)), hist=24, q=0.9).select("panel_id", "window_id", "ts", "anomaly_score", "anomaly_flag"))
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    rows = B.residuals(whole(s, d)).groupBy("panel_id", "ts").agg(F.sort_array(F.collect_list(F.struct("channel", "residual"))).alias("a"))
+    return rows.select("panel_id", "ts", F.col("a.residual").alias("vector"))
+
+
+def _learned(name: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from ..operators import ml_scorers
+
+        v = vectors(s, d)
+        return getattr(ml_scorers, name)(v, v, **options)
+
+    return run
+
+
+add("score_kmeans", _learned("score_kmeans", k=3))
+add("score_gmm", _learned("score_gmm", most=2))
+add("score_iforest", _learned("score_iforest", trees=20))
+
+# ------------------------------------------------------------------ search
+SPACE = {"ridge": {"alpha": [0.01, 10.0, "log10"], "lags": [1, 3]}, "lasso": {"alpha": [0.001, 0.1, "log10"], "lags": [3]}}
+add("trial_budget", lambda s, d: U.trial_budget(raw(s, d), s.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), CAST(NULL AS STRING), 10), ('0', NULL, 20), ('0', 'click', 30) t(panel_id, channel, trials)")), select(RAW, "SELECT panel_id, channel, CASE WHEN panel_id <> '0' THEN 10 WHEN channel = 'click' THEN 30 ELSE 20 END AS trials FROM (SELECT DISTINCT panel_id, channel FROM raw)"))
+add("one_step_fold", lambda s, d: U.one_step_fold(panel(s, d)).select(*K, "ts", "split"), select(PANEL + ", st AS (SELECT panel_id, ts, row_number() OVER (PARTITION BY panel_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY panel_id) AS n FROM (SELECT DISTINCT panel_id, ts FROM panel))", "SELECT p.panel_id, p.channel, p.ts, CASE WHEN rn <= floor(n * 60 / 100.0) THEN 'train' ELSE 'val' END AS split FROM panel p JOIN st ON st.panel_id = p.panel_id AND st.ts = p.ts WHERE rn <= floor(n * 60 / 100.0) + floor(n * 20 / 100.0)"), "ts")
+for name, expr in (("mae", "avg(abs(value - pred))"), ("mse", "avg(pow(value - pred, 2))"), ("mape", "avg(abs((value - pred) / value))"), ("r2", "-(1 - sum(pow(value - pred, 2)) / nullif(var_pop(value) * count(*), 0))")):
+    add(f"metric_{name}", lambda s, d, name=name: U.metric(whole(s, d), name), select(NAIVE, f"SELECT panel_id, channel, {expr} AS metric FROM whole GROUP BY ALL"), "", "metric")
+add("tune", lambda s, d: U.tune(panel(s, d), U.expand_space(s, SPACE, 4)).select(*K, "model", "lags", "metric"))
+
+# ------------------------------------------------------------------ sources
+add("latest_model", lambda s, d: T.latest_model(model_versions(s, d)).select("panel_id", "channel", "version"), select(RAW + VERSIONS, "SELECT * FROM mv QUALIFY version = max(version) OVER (PARTITION BY panel_id)"))
+add("latest_version", lambda s, d: T.latest_version(raw(s, d).withColumn("version", F.when(F.col("channel") == "click", "20240101_000000").when(F.col("channel") == "view", "20240301_120000").otherwise("notes"))), select(RAW, "SELECT *, '20240301_120000' AS version FROM raw WHERE channel = 'view'"), "ts", "value")
+add("explode_hourly_json", lambda s, d: T.explode_hourly_json(_payloads(s, d), ["load", "absent"]).drop("absent"), select(RAW + VIEWS, "SELECT ts, load FROM views"), "ts", "load")
+
+
+def _payloads(s: SparkSession, d: str) -> DataFrame:
+    """One payload a day: {"hourly": {"time": [...], "load": [...]}}, and one that is an error."""
+    rows = views(s, d).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), "load"))).alias("a"))
+    return rows.select(F.to_json(F.struct(F.struct(F.col("a.t").alias("time"), F.col("a.load").alias("load")).alias("hourly"))).alias("payload")).unionByName(s.sql("SELECT '{\"error\": true, \"reason\": \"limit\"}' AS payload"))
+
+
+add("shape_single_channel", lambda s, d: T.shape_single_channel(views(s, d).select("ts", F.lit("x").alias("Forecast"), F.col("load").cast("string").alias("Actual Load"))), select(RAW + VIEWS, "SELECT ts, load AS value FROM views"), "ts", "value")
+add("upsert_channel_config", lambda s, d: T.upsert_channel_config(_config(s, d, "ridge").where("channel <> 'view'"), _config(s, d, "lasso").where("panel_id = '0'").withColumn("error", F.when(F.col("channel") == "click", "failed"))).select(*K, "model"), select(RAW, "SELECT panel_id, channel, CASE WHEN panel_id = '0' AND channel <> 'click' THEN 'lasso' ELSE 'ridge' END AS model FROM (SELECT DISTINCT panel_id, channel FROM raw) WHERE panel_id = '0' OR channel <> 'view'"))
+
+
+def _config(s: SparkSession, d: str, model: str) -> DataFrame:
+    return raw(s, d).select(*K).distinct().select(*K, F.lit(model).alias("model"), F.create_map(F.lit("alpha"), F.lit(1.0)).alias("params"))
+
+
+add("detail_export", lambda s, d: T.detail_export(whole(s, d), strategies(s, d), ["click", "view"]).select("panel_id", "ts", "click_true", "view_abs_err", "mean_abs_err", "norm2_score", "norm4_flag"), select(STRAT, "SELECT w.panel_id, w.ts, max(value) FILTER (channel = 'click') AS click_true, max(abs(value - pred)) FILTER (channel = 'view') AS view_abs_err, avg(abs(value - pred)) AS mean_abs_err, any_value(a.anomaly_score) AS norm2_score, any_value(b.anomaly_flag) AS norm4_flag FROM whole w JOIN strat a ON a.strategy = 'norm2' AND a.panel_id = w.panel_id AND a.ts = w.ts JOIN strat b ON b.strategy = 'norm4' AND b.panel_id = w.panel_id AND b.ts = w.ts GROUP BY w.panel_id, w.ts"), "ts", "click_true view_abs_err mean_abs_err norm2_score")
+START, END = "timestamp'2023-12-25 10:30:00'", "timestamp'2024-02-05 00:00:00'"
+RANGES = ", rg AS (SELECT TIMESTAMP '2023-12-25 10:00:00' AS start_ts, min(ts) - INTERVAL 1 HOUR AS end_ts FROM views UNION ALL SELECT max(ts) + INTERVAL 1 HOUR, TIMESTAMP '2024-02-05 00:00:00' FROM views)"
+add("missing_ranges", lambda s, d: T.missing_ranges(views(s, d), F.expr(START), F.expr(END)), select(RAW + VIEWS + RANGES, "SELECT * FROM rg"), "start_ts end_ts")
+CUT = "timestamp'2024-02-02 00:00:00'"
+add("split_range", lambda s, d: T.split_range(T.missing_ranges(views(s, d), F.expr(START), F.expr(END)), F.expr(CUT)), select(RAW + VIEWS + RANGES, "SELECT start_ts, least(end_ts, TIMESTAMP '2024-02-02') AS end_ts, 'archive' AS source FROM rg UNION ALL SELECT TIMESTAMP '2024-02-02 01:00:00', end_ts, 'forecast' FROM rg WHERE end_ts > TIMESTAMP '2024-02-02'"), "start_ts end_ts")
+add("stitch", lambda s, d: T.stitch(views(s, d).where("ts < '2024-01-15'"), views(s, d).withColumn("load", F.col("load") + 1)), select(RAW + VIEWS, "SELECT ts, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN load ELSE load + 1 END AS load FROM views"), "ts", "load")
+add("cyclic_fallback", lambda s, d: T.cyclic_fallback(views(s, d).withColumnRenamed("load", "value"), F.expr("timestamp'2024-02-01 00:00:00'"), F.expr("timestamp'2024-02-03 00:00:00'")), select(RAW + VIEWS + ", tail AS (SELECT load, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT * FROM views ORDER BY ts DESC LIMIT 24))", "SELECT g.ts, load AS value, true AS synthetic FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-03', INTERVAL 1 HOUR)) AS ts) g JOIN tail ON i = date_diff('hour', TIMESTAMP '2024-02-01', g.ts) % 24"), "ts", "value")
+add("fetch_window", lambda s, d: T.fetch_window(raw(s, d), F.expr(NOW)), select(RAW, "SELECT min(ts) AS start_ts, max(ts) AS end_ts FROM raw"), "start_ts end_ts")
+
+# ------------------------------------------------------------------ composites
+add("process", lambda s, d: P.process(raw(s, d), views(s, d), bounds=bounds(s), median="click", average="i"))
+add("prepare_panel", lambda s, d: P.prepare_panel(panel(s, d), intervals(s), 3600).select(*K, "ts", "value", "observed", "role"))
