@@ -89,10 +89,11 @@ def long(df: DataFrame, channels: list[str]) -> DataFrame:
     return df.unpivot(["panel_id", "ts"], channels, "channel", "value").select("panel_id", "channel", "ts", "value")
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A parameter table marked for broadcast, after a look at its size: larger ones are joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def last_of(*cols: str) -> Column:
-    return F.struct(*[F.col(c) for c in cols])
+def small(df: DataFrame) -> DataFrame:
+    """A parameter table (bounds, thresholds, models), to be joined without a hint.
+
+    Adaptive execution sees its true size when its stage has run and broadcasts it if it is under
+    ``spark.sql.autoBroadcastJoinThreshold``; a larger one is joined by shuffle. Counting it first
+    would run the plan below it twice.
+    """
+    return df

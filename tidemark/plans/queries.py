@@ -242,13 +242,13 @@ add("eval_metrics", lambda s, d: A.eval_metrics(whole(s, d)), select(NAIVE, "SEL
 add("forecast_metrics", lambda s, d: A.forecast_metrics(naive(s, d)), select(NAIVE, "SELECT panel_id, channel, avg(abs(value - pred)) AS mae, sqrt(avg(pow(value - pred, 2))) AS rmse, avg(abs((value - pred) / (value + 1e-10))) * 100 AS mape, count(*) AS n FROM whole GROUP BY ALL"), "", "mae rmse mape")
 ERRORS = "SELECT panel_id, channel, '{0}' AS span, avg(abs(value - pred)) AS mae, sqrt(avg(pow(value - pred, 2))) AS rmse, count(value - pred) AS n, count(*) - count(value - pred) AS n_nan FROM rows {1} GROUP BY ALL"
 add("channel_errors", lambda s, d: A.channel_errors(W.chronological_split(M.predict_naive(hourly(s, d)), 80, 10, 10)), select(SPLIT + ", hn AS (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM hourly), rows AS (SELECT h.*, split FROM hn h JOIN split s ON h.panel_id = s.panel_id AND h.ts = s.ts)", ERRORS.format("full", "") + " UNION ALL " + ERRORS.format("test", "WHERE split = 'test'")), "", "mae rmse")
-add("score_summary", lambda s, d: A.score_summary(system_scores(s, d)), select(SYSTEM, "SELECT panel_id, count(*) AS n, sum(anomaly_flag) AS flags, avg(anomaly_flag) AS rate, " + ", ".join(f"min({c}) AS {n}_min, max({c}) AS {n}_max, avg({c}) AS {n}_mean, stddev_samp({c}) AS {n}_std, quantile_cont({c}, 0.25) AS {n}_p25, quantile_cont({c}, 0.5) AS {n}_median, quantile_cont({c}, 0.75) AS {n}_p75, quantile_cont({c}, 0.95) AS {n}_p95, quantile_cont({c}, 0.99) AS {n}_p99" for c, n in (("anomaly_score", "score"), ("anomaly_score_normalized", "normalized"))) + " FROM scores GROUP BY panel_id"), "", "rate " + " ".join(f"{n}_{k}" for n in ("score", "normalized") for k in ("min", "max", "mean", "std", "p25", "median", "p75", "p95", "p99")))
+add("score_summary", lambda s, d: A.score_summary(system_scores(s, d)), select(SYSTEM, "SELECT panel_id, count(*) AS n, CAST(sum(anomaly_flag) AS BIGINT) AS flags, avg(anomaly_flag) AS rate, " + ", ".join(f"min({c}) AS {n}_min, max({c}) AS {n}_max, avg({c}) AS {n}_mean, stddev_samp({c}) AS {n}_std, quantile_cont({c}, 0.25) AS {n}_p25, quantile_cont({c}, 0.5) AS {n}_median, quantile_cont({c}, 0.75) AS {n}_p75, quantile_cont({c}, 0.95) AS {n}_p95, quantile_cont({c}, 0.99) AS {n}_p99" for c, n in (("anomaly_score", "score"), ("anomaly_score_normalized", "normalized"))) + " FROM scores GROUP BY panel_id"), "", "rate " + " ".join(f"{n}_{k}" for n in ("score", "normalized") for k in ("min", "max", "mean", "std", "p25", "median", "p75", "p95", "p99")))
 add("feature_errors", lambda s, d: A.feature_errors(whole(s, d)), select(NAIVE, "SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY mean_abs_residual DESC, channel) AS place FROM (SELECT panel_id, channel, avg(abs(value - pred)) AS mean_abs_residual, sqrt(avg(pow(value - pred, 2))) AS rmse FROM whole GROUP BY ALL)"), "", "mean_abs_residual rmse")
 SR = SYSTEM + ", sr AS (SELECT w.*, s.anomaly_score FROM whole w JOIN scores s ON w.panel_id = s.panel_id AND w.ts = s.ts)"
 add("residual_score_corr", lambda s, d: A.residual_score_corr(scored_rows(s, d)), select(SR, "SELECT panel_id, channel, corr(abs(value - pred), anomaly_score) AS corr FROM sr GROUP BY ALL"), "", "corr")
 add("high_score_contrast", lambda s, d: A.high_score_contrast(scored_rows(s, d)), select(SR + ", cut AS (SELECT panel_id, quantile_cont(anomaly_score, 0.95) AS c FROM scores GROUP BY panel_id)", "SELECT *, high - normal AS contrast FROM (SELECT sr.panel_id, channel, avg(CASE WHEN anomaly_score > c THEN abs(value - pred) END) AS high, avg(CASE WHEN NOT anomaly_score > c THEN abs(value - pred) END) AS normal FROM sr JOIN cut ON sr.panel_id = cut.panel_id GROUP BY sr.panel_id, channel)"), "", "high normal contrast")
 add("score_attribution", lambda s, d: A.score_attribution(scored_rows(s, d)), select(SR, "SELECT panel_id, channel, avg(share * anomaly_score) AS attribution FROM (SELECT *, pow(value - pred, 2) / nullif(sum(pow(value - pred, 2)) OVER (PARTITION BY panel_id, ts), 0) AS share FROM sr) GROUP BY ALL"), "", "attribution")
-add("group_flag_summary", lambda s, d: A.group_flag_summary(group_scores(s, d)).withColumnRenamed("group", "grp"), select(GROUPED, "SELECT panel_id, grp, count(*) AS rows, sum(flag) AS flags, avg(flag) AS rate, max(threshold) AS threshold FROM gf GROUP BY ALL"), "", "rate threshold")
+add("group_flag_summary", lambda s, d: A.group_flag_summary(group_scores(s, d)).withColumnRenamed("group", "grp"), select(GROUPED, "SELECT panel_id, grp, count(*) AS rows, CAST(sum(flag) AS BIGINT) AS flags, avg(flag) AS rate, max(threshold) AS threshold FROM gf GROUP BY ALL"), "", "rate threshold")
 add("known_window_eval", lambda s, d: A.known_window_eval(system_scores(s, d), intervals(s)), select(SYSTEM + KNOWN, f"SELECT *, flags_in / nullif(flags_in + flags_out, 0) AS precision FROM (SELECT panel_id, count(*) FILTER (anomaly_flag = 1 AND k) AS flags_in, count(*) FILTER (anomaly_flag = 1 AND NOT k) AS flags_out, count(*) FILTER (k) AS known_points FROM (SELECT *, {HIT.format(0)} AS k FROM scores p) GROUP BY panel_id)"), "", "precision")
 add("outlier_summary", lambda s, d: A.outlier_summary(raw(s, d), bounds(s)), select(RAW + BOUNDS, "SELECT *, removed / nullif(total, 0) * 100 AS pct FROM (SELECT r.panel_id, r.channel, lower, upper, count(value) AS total, count(*) FILTER (value < lower OR value > upper) AS removed, min(value) FILTER (value < lower OR value > upper) AS min_removed, max(value) FILTER (value < lower OR value > upper) AS max_removed FROM raw r JOIN bounds b ON r.panel_id = b.panel_id AND r.channel = b.channel GROUP BY ALL)"), "", "lower upper min_removed max_removed pct")
 
@@ -287,7 +287,7 @@ STRAT = SYSTEM + """, sc2 AS (SELECT panel_id, ts, sqrt(sum(pow(value - pred, 2)
 th2 AS (SELECT panel_id, quantile_cont(score, 0.95) AS threshold, quantile_cont(score, 0.01) AS q_low FROM sc2 GROUP BY panel_id),
 strat AS (SELECT panel_id, ts, 'norm4' AS strategy, anomaly_score, anomaly_score_normalized, anomaly_flag FROM scores UNION ALL
 SELECT s.panel_id, ts, 'norm2', score, CASE WHEN threshold > q_low THEN least(greatest((score - q_low) / (threshold - q_low), 0), 1) END, CAST(score >= threshold AS INTEGER) FROM sc2 s JOIN th2 t ON s.panel_id = t.panel_id)"""
-add("strategy_table", lambda s, d: A.strategy_table(strategies(s, d)), select(STRAT, "SELECT panel_id, strategy, count(*) AS rows, sum(anomaly_flag) AS flags, avg(anomaly_flag) AS rate, avg(anomaly_score) AS score_mean, quantile_cont(anomaly_score, 0.95) AS score_q95, quantile_cont(anomaly_score, 0.99) AS score_q99, avg(anomaly_score_normalized) AS normalized_mean FROM strat GROUP BY ALL"), "", "rate score_mean score_q95 score_q99 normalized_mean")
+add("strategy_table", lambda s, d: A.strategy_table(strategies(s, d)), select(STRAT, "SELECT panel_id, strategy, count(*) AS rows, CAST(sum(anomaly_flag) AS BIGINT) AS flags, avg(anomaly_flag) AS rate, avg(anomaly_score) AS score_mean, quantile_cont(anomaly_score, 0.95) AS score_q95, quantile_cont(anomaly_score, 0.99) AS score_q99, avg(anomaly_score_normalized) AS normalized_mean FROM strat GROUP BY ALL"), "", "rate score_mean score_q95 score_q99 normalized_mean")
 add("split_bounds", lambda s, d: A.split_bounds(W.chronological_split(panel(s, d))), select(SPLIT, "SELECT panel_id, count(*) AS n, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val, count(*) FILTER (split = 'test') AS n_test, max(ts) FILTER (split = 'train') AS train_end, max(ts) FILTER (split = 'val') AS val_end, min(ts) FILTER (split = 'test') AS test_start FROM split GROUP BY panel_id"), "train_end val_end test_start")
 add("r2", lambda s, d: A.r2(whole(s, d)), select(NAIVE, "SELECT panel_id, channel, 1 - sum(pow(value - pred, 2)) / nullif(var_pop(value) * count(*), 0) AS r2 FROM whole GROUP BY ALL"), "", "r2")
 CONTRIB = REGIONS + SHARES
@@ -369,7 +369,7 @@ add("combine_groups", lambda s, d: C.combine_groups(group_scores(s, d)), select(
 add("group_details", lambda s, d: C.group_details(group_scores(s, d).where("panel_id = '0'"), ["money", "web"]).select("panel_id", "ts", "group_money_raw", "group_web_normalized", "group_web_flag"), select(GROUPED, "SELECT panel_id, ts, max(score) FILTER (grp = 'money') AS group_money_raw, max(normalized) FILTER (grp = 'web') AS group_web_normalized, max(flag) FILTER (grp = 'web') AS group_web_flag FROM gf WHERE panel_id = '0' GROUP BY panel_id, ts"), "ts", "group_money_raw group_web_normalized")
 TRIM = NAIVE + ", te AS (SELECT panel_id, ts, avg(abs(value - pred)) AS e FROM whole GROUP BY ALL), tc AS (SELECT panel_id, quantile_cont(e, 0.9) AS c FROM te GROUP BY panel_id)"
 add("trim_fit", lambda s, d: C.trim_fit(whole(s, d), 0.9).select(*K, "ts"), select(TRIM, "SELECT w.panel_id, w.channel, w.ts FROM whole w JOIN te ON te.panel_id = w.panel_id AND te.ts = w.ts JOIN tc ON tc.panel_id = w.panel_id WHERE e <= c"), "ts")
-add("flag_overlap", lambda s, d: J.flag_overlap(*[C.combine_groups(D.score_all(panel(s, d), None, q=q, order=o)) for q, o in ((0.99, 4.0), (0.95, 2.0))]), select(STRAT + ", fo AS (SELECT a.panel_id, a.anomaly_flag AS x, b.anomaly_flag AS y, a.anomaly_score AS p, b.anomaly_score AS q FROM strat a JOIN strat b ON a.strategy = 'norm4' AND b.strategy = 'norm2' AND a.panel_id = b.panel_id AND a.ts = b.ts)", "SELECT panel_id, count(*) AS rows, sum(x) AS flags_a, sum(y) AS flags_b, sum(CAST(x = 1 AND y = 0 AS INTEGER)) AS only_a, sum(CAST(x = 0 AND y = 1 AS INTEGER)) AS only_b, sum(x * y) AS both, median(p) AS median_a, median(q) AS median_b, avg(x) AS rate_a, avg(y) AS rate_b, sum(x * y) / nullif(sum(greatest(x, y)), 0) AS jaccard FROM fo GROUP BY panel_id"), "", "median_a median_b rate_a rate_b jaccard")
+add("flag_overlap", lambda s, d: J.flag_overlap(*[C.combine_groups(D.score_all(panel(s, d), None, q=q, order=o)) for q, o in ((0.99, 4.0), (0.95, 2.0))]), select(STRAT + ", fo AS (SELECT a.panel_id, a.anomaly_flag AS x, b.anomaly_flag AS y, a.anomaly_score AS p, b.anomaly_score AS q FROM strat a JOIN strat b ON a.strategy = 'norm4' AND b.strategy = 'norm2' AND a.panel_id = b.panel_id AND a.ts = b.ts)", "SELECT panel_id, count(*) AS rows, CAST(sum(x) AS BIGINT) AS flags_a, CAST(sum(y) AS BIGINT) AS flags_b, CAST(sum(CAST(x = 1 AND y = 0 AS INTEGER)) AS BIGINT) AS only_a, CAST(sum(CAST(x = 0 AND y = 1 AS INTEGER)) AS BIGINT) AS only_b, CAST(sum(x * y) AS BIGINT) AS both, median(p) AS median_a, median(q) AS median_b, avg(x) AS rate_a, avg(y) AS rate_b, sum(x * y) / nullif(sum(greatest(x, y)), 0) AS jaccard FROM fo GROUP BY panel_id"), "", "median_a median_b rate_a rate_b jaccard")
 DETECT = SPLIT + """, dn AS (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM panel), un AS (SELECT d.* FROM dn d JOIN split s ON s.panel_id = d.panel_id AND s.ts = d.ts WHERE split = 'test'),
 ew AS (SELECT panel_id, ts, row_number() OVER (PARTITION BY panel_id ORDER BY ts DESC) <= 24 AS ev FROM (SELECT DISTINCT panel_id, ts FROM un)),
 ds AS (SELECT u.panel_id, u.ts, any_value(ev) AS ev, min(observed) AS o, pow(sum(pow(abs(value - pred), 4)), 0.25) AS score FROM un u JOIN ew e ON e.panel_id = u.panel_id AND e.ts = u.ts GROUP BY u.panel_id, u.ts),
