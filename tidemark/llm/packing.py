@@ -177,9 +177,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
         sentence_end[[i for t, i in names.items() if t.removesuffix("</w>")[-1:] in (".", "!", "?", "…", "。")]] = True
         packer = _Packer(length, sentence_end, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for part in common.slices(batch, "text", 2 << 20):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist(), end_id), strict=True):
-                    packer.add(doc_id, ids)
+            for part in common.slices(batch, "text", 8 << 20):
+                ids, edges = encoder.encode(part.column("text"), end_id)
+                raw, edges = ids.tobytes(), (edges * 4).tolist()
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), edges, edges[1:], strict=False):
+                    packer.add(doc_id, raw[a:b])
                 if packer.rows:
                     yield packer.taken()
         packer.settle(True)

@@ -36,13 +36,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in common.slices(batch, "text", 2 << 20):
-                ids = encoder.encode(rows.column("text").to_pylist(), end_id)
-                n = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
-                edges = np.concatenate(([0], np.cumsum(n)))
-                lists = pa.ListArray.from_arrays(pa.array(edges, type=pa.int32()), pa.Array.from_buffers(pa.int32(), int(edges[-1]), [None, pa.py_buffer(b"".join(ids))]))
+            for rows in common.slices(batch, "text", 8 << 20):
+                ids, edges = encoder.encode(rows.column("text"), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(edges, type=pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(start + edges[:-1]), pa.array(n), lists],
+                    [rows.column("doc_id"), pa.array(np.full(rows.num_rows, part, dtype=np.int32)), pa.array(start + edges[:-1]), pa.array(np.diff(edges)), lists],
                     names=["doc_id", "part", "part_start", "n_tokens", "tokens"],
                 )
                 start += int(edges[-1])

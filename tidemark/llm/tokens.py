@@ -11,11 +11,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode's white space, as the tokenizers' patterns take it (fixed values).
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-ODD = re.compile("[\x1c-\x1f]")
+INNER = re.compile(f"[^{SPACE}][{SPACE}]")
+#: A single space with white space before it and white space or the end behind it.
+UNSAFE = r"[\t-\r\x{85}\p{Z}] (?:[\t-\r\x{85}\p{Z}]|\z)"
 PLAIN = re.compile(f" ?[^{SPACE}\\x01]+")
 MARKS = ",.;:!?"
 #: Entries of a generation; two generations are kept between batches.
@@ -43,15 +47,15 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _cut(self, text: str) -> list[str]:
-        # str.split also cuts at four controls that are no white space to the tokenizers
-        return text.split() if self.drops_space and not ODD.search(text) else CHUNK.findall(text)
-
     def _resolve(self, chunks: list[str]) -> None:
         """Fills in ``chunks``. Marks after a letter or digit up to the chunk's end are a pre-token of
         their own, so a chunk that ends in them is its stem and the marks."""
-        ended, wanted, known = [], set(), self.known
+        ended, several, wanted, known = [], [], set(), self.known
         for c in chunks:
+            if INNER.search(c):  # more than one chunk: white space inside
+                several.append((c, CHUNK.findall(c)))
+                wanted.update(several[-1][1])
+                continue
             stem = c.rstrip(MARKS)
             if stem != c and stem[-1:].isalnum():
                 ended.append((c, stem, c[len(stem) :]))
@@ -61,6 +65,8 @@ class Encoder:
         self._learn([c for c in wanted if c not in known])
         for c, stem, marks in ended:
             known[c] = known[stem] + known[marks]
+        for c, parts in several:
+            known[c] = b"".join(map(known.__getitem__, parts))
 
     def _learn(self, chunks: list[str]) -> None:
         plain, odd = [], []
@@ -84,18 +90,62 @@ class Encoder:
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """The ids of each text and then ``end``; a null text counts as empty."""
-        tail = np.array([end], dtype="<u4").tobytes()
-        cut = [self._cut(t) if t else [] for t in texts]
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """For each text its pieces as numbers, the texts' edges in them, and the distinct pieces.
+
+        Where white space is dropped: the words. Else the parts between single spaces, each with its
+        space in front; a text in which such a cut may fall inside a run of white space is one piece.
+        """
+        if self.drops_space:
+            lists = pc.ascii_split_whitespace(texts)
+        else:
+            lists = pc.split_pattern(texts, " ")
+        edges = np.asarray(lists.offsets, dtype=np.int64)
+        flat, edges = lists.values.slice(edges[0], edges[-1] - edges[0]), edges - edges[0]
+        coded = flat.dictionary_encode()
+        code, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
+        if self.drops_space:
+            return code, edges, names
+        # a text's first part has no space in front of it: it gets a number of its own
+        first = edges[:-1]
+        once = {}
+        own = np.array([once.setdefault(c, len(names) + len(once)) for c in code[first].tolist()], dtype=np.int64)
+        code = code.copy()
+        code[first] = own
+        names = [" " + n for n in names] + [names[c] for c in once]
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, UNSAFE)))
+        if len(odd):
+            keep = np.ones(len(code), dtype=bool)
+            size = np.diff(edges)
+            for i in odd.tolist():
+                keep[edges[i] + 1 : edges[i + 1]] = False
+                code[edges[i]] = len(names)
+                names.append(texts[i].as_py())
+                size[i] = 1
+            code, edges = code[keep], np.concatenate(([0], np.cumsum(size)))
+        return code, edges, names
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end``, and the texts' edges in them; null counts as empty."""
+        code, edges, names = self._chunks(pc.fill_null(texts, ""))
         if len(self.known) > MOST:
             self.known, self.older = {}, self.known
-        new = set().union(*cut).difference(self.known)
+        new = {n for n in names if n and n not in self.known}
         again = new & self.older.keys()
         self.known.update((c, self.older[c]) for c in again)
         self._resolve(list(new - again))
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) + tail for chunks in cut]
+        known = self.known
+        ids = [known[n] if n else b"" for n in names] + [np.array([end], dtype="<u4").tobytes()]
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate(([0], np.cumsum(length)[:-1]))
+        # the end's number behind every text's pieces
+        n = len(edges) - 1
+        every = np.full(len(code) + n, len(names), dtype=np.int64)
+        every[np.arange(len(code)) + np.repeat(np.arange(n), np.diff(edges))] = code
+        size = length[every]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        out = flat[np.repeat(start[every] - upto[:-1], size) + np.arange(upto[-1])]
+        return out, upto[edges + np.arange(n + 1)]
 
 
 def encoder(path: str) -> Encoder:
