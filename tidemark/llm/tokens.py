@@ -23,7 +23,7 @@ UNSAFE = r"[\t-\r\x{85}\p{Z}] (?:[\t-\r\x{85}\p{Z}]|\z)"
 PLAIN = re.compile(f" ?[^{SPACE}\\x01]+")
 MARKS = ",.;:!?"
 #: Entries of a generation; two generations are kept between batches.
-MOST = 300_000
+MOST = 150_000
 
 _loaded: dict[str, "Encoder"] = {}
 
