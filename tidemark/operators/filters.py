@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -83,14 +83,14 @@ def in_interval(df: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def drop_imputed_rows(df: DataFrame) -> DataFrame:
     """Timestamps at which every channel was observed."""
-    whole = df.groupBy("panel_id", "ts").agg(F.min(F.coalesce("observed", F.lit(0))).alias("least")).where("least >= 0.5").select("panel_id", "ts")
-    return df.join(whole, ["panel_id", "ts"], "left_semi")
+    least = F.min(F.coalesce("observed", F.lit(0))).over(Window.partitionBy("panel_id", "ts"))  # a panel's channels
+    return df.withColumn("__least", least).where("__least >= 0.5").drop("__least")
 
 
 def drop_invalid_fit_rows(fit: DataFrame) -> DataFrame:
     """Timestamps at which all channels have finite true and predicted values."""
-    good = fit.groupBy("panel_id", "ts").agg(F.bool_and(S.is_finite(F.col("value")) & S.is_finite(F.col("pred"))).alias("ok")).where("ok").select("panel_id", "ts")
-    return fit.join(good, ["panel_id", "ts"], "left_semi")
+    good = F.bool_and(S.is_finite(F.col("value")) & S.is_finite(F.col("pred"))).over(Window.partitionBy("panel_id", "ts"))  # a panel's channels
+    return fit.withColumn("__ok", good).where("__ok").drop("__ok")
 
 
 def validate_inputs(df: DataFrame, strict: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,14 @@ def detect(df: DataFrame, trained: DataFrame | None, bounds: DataFrame, groups:
 
     ``bounds``: (panel_id, test_start, train_end, train_size). Without ``trained`` models the
     value before predicts. The rest of the unseen rows fits thresholds; fit rows with an imputed or
-    non-finite value are left out. One lazy plan over all panels.
+    non-finite value are left out. One lazy plan over all panels; predicted rows are used several
+    times and therefore kept (in memory, else on disk) until the session lets them go.
     """
     told = models.predict(df, trained, every) if trained is not None else models.predict_naive(df, every)
     told = windows.unseen_split(told, bounds, scope).where("unseen").drop("unseen")
     if multipliers is not None:
         told = filters.apply_multiplier(told, multipliers)
+    told = told.persist(StorageLevel.MEMORY_AND_DISK)
     evaluated = windows.eval_window(told, hist)
     fit = told.join(evaluated.select("panel_id", "ts").distinct(), ["panel_id", "ts"], "left_anti")
     fit = filters.drop_invalid_fit_rows(filters.drop_imputed_rows(fit))
