@@ -51,6 +51,30 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").limit(0)).count() == 0
 
 
+
+def test_embeddings_lose_no_link_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 0)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    hot = rng.normal(size=64)
+    x[:1000] = hot / np.linalg.norm(hot) + rng.normal(size=(1000, 64)) * np.sqrt(0.03 / 64)  # cosine about 0.97
+    x[1000:1200] = x[1000] + rng.normal(size=(200, 64)) * 0.02  # a tight group: all link
+    x[1200:2000] = x[2000:2800] + rng.normal(size=(800, 64)) * 0.31  # pairs about the threshold
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    assert got["n_links"].tolist() == links.sum(axis=1).tolist()
+    component = np.arange(len(x))
+    for _ in range(len(x)):
+        lower = np.minimum(component, np.where(links, component[None, :], len(x)).min(axis=1))
+        if (lower == component).all():
+            break
+        component = lower
+    assert got["component_id"].tolist() == component.tolist()
+    assert (got["kept"] == (got["component_id"] == got["vec_id"])).all()
+
+
 def test_archives_round_trip(spark, tmp_path):
     long = "<p>" + "x" * 300 + "é</p>"
     rows = [(5, "http://a/ b\r\nc", long), (3, "http://b", long), (9, None, long), (4, "http://c", None), (6, "http://d", ""), (7, "u", "tiny"), (8, "u", "tiny"), (2, "u", "\r\n\r\nbody\r\n" + "y" * 200), (3, "http://b", long), (None, "u", long)]

@@ -1,15 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside them.
 
 Equal vectors form one class, counted and represented once. Centroids are fitted on a bounded
-sample; every class is then assigned to its nearest cells. A class is stored in its nearest
-cell and looked up in its ``probes`` nearest ones, so pairs across a border are found. A cell's
-members are dealt into blocks and every two blocks meet in a task of their own, as one matrix
-product in double precision: a cell of any size is split, none is sampled.
+sample; every class is then assigned to its nearest cell. Cells lie in blocks, and every two
+blocks whose members may link meet in a task of their own, as matrix products in double
+precision: a cell of any size is split, none is sampled. What may link follows exactly from the
+angles to the centroids, by the triangle inequality, so no link is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,10 @@ from . import common
 SAMPLE, ROUNDS = 20_000, 8
 #: Members for each cell aimed at, and cells at most (they are broadcast: 8 * dimensions bytes each).
 CELL, MOST_CELLS = 400, 4096
-#: Rows of a block.
-BLOCK = 1024
+#: Bytes of a block's vectors, at most; blocks that a smaller table is dealt into for parallel work.
+BLOCK_BYTES, SPREAD = 8 << 20, 8
+#: Rows compared with all centroids at once; what angles may be off by rounding.
+STEP, MARGIN = 1024, 1e-6
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 7) -> np.ndarray:
@@ -87,25 +90,93 @@ def _fit(classes: DataFrame, rows: int, d: int) -> np.ndarray:
     return spherical_kmeans(x, k, ROUNDS) if len(x) else np.eye(1, d)
 
 
-def _cells(classes: DataFrame, centroids: dict[int, np.ndarray], probes: int) -> DataFrame:
-    """Each class once for every cell it is looked up in: (d, cell, nearest, probed, rep, size, unit)."""
+def _angles(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centroids.T, -1.0, 1.0))
+
+
+def _units(column: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(u, dtype=np.float64) for u in column])
+
+
+def _cells(classes: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
+    """Each class with its nearest cell and the angle to that cell's centroid."""
     shared = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            for d, rows in frame.groupby("d"):
-                x = np.stack([np.frombuffer(u, dtype=np.float64) for u in rows["unit"]])
-                dots = x @ shared.value[int(d)].T
-                near = np.argsort(-dots, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                n, m = near.shape
-                out = rows.loc[rows.index.repeat(m)].reset_index(drop=True)
-                out["cell"] = near.reshape(-1)
-                out["nearest"] = np.repeat(near[:, 0], m)
-                out["probed"] = list(np.repeat(near, m, axis=0))
-                yield pa.RecordBatch.from_pandas(out[["d", "cell", "nearest", "probed", "rep", "size", "unit"]], preserve_index=False)
+            for k in range(0, batch.num_rows, STEP):
+                for d, rows in batch.slice(k, STEP).to_pandas().groupby("d"):
+                    angles = _angles(_units(rows["unit"]), shared.value[int(d)])
+                    cell = angles.argmin(axis=1)
+                    out = rows.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(cell)), cell])
+                    yield pa.RecordBatch.from_pandas(out[["d", "cell", "angle", "rep", "size", "unit"]], preserve_index=False)
+
+    return classes.select("d", "rep", "size", "unit").mapInArrow(run, "d int, cell int, angle double, rep long, size long, unit binary")
+
+
+@dataclass
+class Plan:
+    """The cells of one length: centroids, angles of their members, and the blocks these are dealt into."""
+
+    centroids: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray  # a cell's first block, and in how many it is
+    parts: np.ndarray
+    cells: np.ndarray  # the cells of all blocks, block by block, and each block's first place in them
+    edges: np.ndarray
+
+
+def _plan(centroids: np.ndarray, regions: list) -> Plan:
+    """Deals the cells into blocks, near ones beside each other; a cell larger than a block has some of its own."""
+    k, d = centroids.shape
+    low, high, members = np.full(k, np.inf), np.full(k, -np.inf), np.zeros(k, dtype=np.int64)
+    for r in regions:
+        low[r["cell"]], high[r["cell"]], members[r["cell"]] = r["low"], r["high"], r["members"]
+    n = int(members.sum())
+    most = max(256, BLOCK_BYTES // (8 * d))
+    most = max(1, -(-n // max(-(-n // most), min(SPREAD, -(-n // 1024)))))
+    left, now, chain = members > 0, int(members.argmax()), []
+    while left.any():  # from each cell to the nearest one that is left
+        chain.append(now)
+        left[now] = False
+        now = int(np.where(left, centroids @ centroids[now], -np.inf).argmax())
+    first, parts, held, at, cells = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64), 0, 0, []
+    for c in chain:
+        size = int(members[c])
+        if held and held + size > most:
+            at, held = at + 1, 0
+        parts[c] = max(1, -(-size // most))
+        first[c] = at
+        cells += [(at + i, c) for i in range(int(parts[c]))]
+        held += size
+        if parts[c] > 1:
+            at, held = at + int(parts[c]), 0
+    block = np.array([b for b, _ in cells], dtype=np.int64)
+    return Plan(centroids, low, high, first, parts, np.array([c for _, c in cells], dtype=np.int64), np.flatnonzero(np.diff(block, prepend=-1)))
+
+
+def _dealt(cells: DataFrame, plans: dict[int, Plan], reach: float) -> DataFrame:
+    """Each class once for every pair of blocks (i, j), one of them its own, in which it may have links."""
+    shared = cells.sparkSession.sparkContext.broadcast(plans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, STEP):
+                for d, rows in batch.slice(k, STEP).to_pandas().groupby("d"):
+                    plan = shared.value[int(d)]
+                    angles = _angles(_units(rows["unit"]), plan.centroids)
+                    near = (angles <= plan.high + (reach + MARGIN)) & (angles >= plan.low - (reach + MARGIN))
+                    near = np.logical_or.reduceat(near[:, plan.cells], plan.edges, axis=1)
+                    cell = rows["cell"].to_numpy()
+                    part = common.mix(rows["rep"].to_numpy().view(np.uint64)) % plan.parts[cell].astype(np.uint64)
+                    own = plan.first[cell] + part.astype(np.int64)
+                    near[np.arange(len(own)), own] = True
+                    at, other = np.nonzero(near)
+                    out = rows.iloc[at].assign(i=np.minimum(own[at], other).astype(np.int32), j=np.maximum(own[at], other).astype(np.int32), block=own[at].astype(np.int32))
+                    yield pa.RecordBatch.from_pandas(out[["d", "i", "j", "block", "cell", "angle", "rep", "size", "unit"]], preserve_index=False)
 
-    return classes.select("d", "rep", "size", "unit").mapInArrow(run, "d int, cell int, nearest int, probed array<int>, rep long, size long, unit binary")
+    return cells.mapInArrow(run, "d int, i int, j int, block int, cell int, angle double, rep long, size long, unit binary")
 
 
 def _spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,54 +198,93 @@ def _spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
     return node[keep], low[keep]
 
 
-def _links(cells: DataFrame, threshold: float) -> DataFrame:
+def _shortened(node: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same: each node with the smallest one that it reaches."""
+    names, code = np.unique(np.concatenate([node, low]), return_inverse=True)
+    u, v = code[: len(node)], code[len(node) :]
+    label = np.arange(len(names))
+    while True:
+        a, b = label[u], label[v]
+        new, least = label.copy(), np.minimum(a, b)
+        for x in (u, v, a, b):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(names))
+    return names[keep], names[label[keep]]
+
+
+def _links(dealt: DataFrame, plans: dict[int, Plan], threshold: float, reach: float) -> DataFrame:
     """Rows (rep, other, n): n linked rows of other classes where ``other`` is null, else an edge.
 
-    Edges span the links found in a task, one for each class at most, so no group's pairs are
-    listed. A class's home members stand on both sides, lookers-in on the left only; the left
-    block i and the right block j of a cell meet in task (cell, i, j). A pair of two cells that is
-    found from either side counts in the cell of the smaller number.
+    Two blocks meet in one task, cell by cell. By the triangle inequality a vector has links in a
+    cell only if its angle to the centroid is within ``reach`` of the members' angles, and has all
+    of them if the angle and the largest one of the members stay below ``reach`` together: that
+    needs no products. Edges span the links found in a task, one for each class at most, so no
+    group's pairs are listed.
     """
-    sizes = cells.groupBy("d", "cell").agg(F.count("*").alias("members"))
-    sizes = sizes.select("d", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = cells.join(sizes, ["d", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["nearest", "probed", "rep", "size", "unit"]
-    left = dealt.select("d", "cell", F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("is_left"), *columns)
-    right = dealt.where("cell = nearest").select("d", "cell", other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_left"), *columns)
-    left = left.where("cell <> nearest or i <= j")  # two home members meet in (i, j) and (j, i)
+    shared = dealt.sparkSession.sparkContext.broadcast({d: plan.centroids for d, plan in plans.items()})
+
+    def side(rows: pd.DataFrame) -> tuple:
+        rows = rows.sort_values("cell", kind="stable")
+        cells, starts = np.unique(rows["cell"].to_numpy(), return_index=True)
+        edges = [*starts.tolist(), len(rows)]
+        angle = rows["angle"].to_numpy()
+        return cells, edges, np.minimum.reduceat(angle, starts), np.maximum.reduceat(angle, starts), _units(rows["unit"]), rows["rep"].to_numpy(), rows["size"].to_numpy()
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["is_left"]], rows[~rows["is_left"]]
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        a, b = rows[rows["block"] == i], rows[rows["block"] == j]
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "other": [], "n": []}, dtype="int64")
-        cell = int(rows["cell"].iloc[0])
-        same = bool(rows["i"].iloc[0] == rows["j"].iloc[0])
-        unit = lambda f: np.stack([np.frombuffer(u, dtype=np.float64) for u in f["unit"]])
-        y, rb, sb, probed = unit(b), b["rep"].to_numpy(), b["size"].to_numpy(), np.stack(list(b["probed"]))
-        seen_right = np.zeros(len(b), dtype=np.int64)
-        counts, edges = [], []
-        for k in range(0, len(a), BLOCK):
-            part = a.iloc[k : k + BLOCK]
-            ra, sa, nearest = part["rep"].to_numpy(), part["size"].to_numpy(), part["nearest"].to_numpy()
-            home = nearest == cell
-            m = (unit(part) @ y.T >= threshold) & (ra[:, None] != rb[None, :])
-            m &= home[:, None] | (nearest > cell)[:, None] | ~(probed[None, :, :] == nearest[:, None, None]).any(axis=2)
-            counts.append((ra, m @ sb))
-            once = m[~home] if same else m  # in its own block a home pair stands in both orders
-            seen_right += once.T @ (sa[~home] if same else sa)
-            edges.append(_spanning(m, ra, rb))
-        counts.append((rb, seen_right))
-        rep, n = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
-        node, low = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-        out = pd.DataFrame({"rep": np.concatenate([rep[n > 0], node]), "other": pd.array(np.concatenate([np.zeros((n > 0).sum(), dtype=np.int64), low]), dtype="Int64"), "n": np.concatenate([n[n > 0], np.zeros(len(node), dtype=np.int64)])})
-        out.loc[out["n"] > 0, "other"] = pd.NA
-        return out
-
-    return left.unionByName(right).groupBy("d", "cell", "i", "j").applyInPandas(compare, "rep long, other long, n long")
-
-
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, probes: int = 4, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+        cells_a, edges_a, low_a, high_a, x, ra, sa = left = side(a)
+        cells_b, edges_b, low_b, high_b, y, rb, sb = left if i == j else side(b)
+        centroids = shared.value[int(rows["d"].iloc[0])]
+        to_b, to_a = _angles(x, centroids[cells_b]), _angles(y, centroids[cells_a])
+        far = reach + MARGIN
+        seen_a, edges = np.zeros(len(ra), dtype=np.int64), []
+        seen_b = seen_a if i == j else np.zeros(len(rb), dtype=np.int64)
+        for p in range(len(cells_a)):
+            of_a = slice(edges_a[p], edges_a[p + 1])
+            for q in range(p if i == j else 0, len(cells_b)):
+                of_b = slice(edges_b[q], edges_b[q + 1])
+                own = i == j and p == q
+                t, u = to_b[of_a, q], to_a[of_b, p]
+                k = np.flatnonzero((t <= high_b[q] + far) & (t >= low_b[q] - far)) + of_a.start
+                m = np.flatnonzero((u <= high_a[p] + far) & (u >= low_a[p] - far)) + of_b.start
+                if not len(k) or not len(m):
+                    continue
+                if to_b[k, q].max() + high_b[q] <= reach - MARGIN:
+                    # every one of k has all of the cell
+                    seen_a[k] += sb[of_b].sum() - (sa[k] if own else 0)
+                    if not own:
+                        seen_b[of_b] += sa[k].sum()
+                    node = np.concatenate([ra[k], rb[of_b]])
+                    low = np.full(len(node), node.min())
+                else:
+                    links = x[k] @ y[m].T >= threshold
+                    if own:
+                        links &= ra[k][:, None] != rb[m][None, :]
+                    if not links.any():
+                        continue
+                    seen_a[k] += links @ sb[m]
+                    if not own:
+                        seen_b[m] += links.T @ sa[k]
+                    node, low = _spanning(links, ra[k], rb[m])
+                edges.append((node[node != low], low[node != low]))
+        node, low = _shortened(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])) if edges else (ra[:0], ra[:0])
+        rep, n = (ra, seen_a) if i == j else (np.concatenate([ra, rb]), np.concatenate([seen_a, seen_b]))
+        rep, n = rep[n > 0], n[n > 0]
+        other = pd.array(np.concatenate([np.zeros(len(rep), dtype=np.int64), low]), dtype="Int64")
+        other[: len(rep)] = pd.NA
+        return pd.DataFrame({"rep": np.concatenate([rep, node]), "other": other, "n": np.concatenate([n, np.zeros(len(node), dtype=np.int64)])})
+
+    return dealt.groupBy("d", "i", "j").applyInPandas(compare, "rep long, other long, n long")
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Two vectors link when their cosine in double precision is at least ``threshold``. n_links:
@@ -184,9 +294,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, probes:
     Cases: null, empty and zero vectors and those with null or non-finite components link with
     nothing; vectors of different lengths do not link; equal vectors link, as often as they
     occur; repeated rows count as rows; a null vec_id has no component and is not kept, and
-    links of it count; an empty table gives no rows; other columns are not read. Links inside a
-    cell and its lookers-in are exact; a link is missed only if neither vector has the other's
-    nearest cell among its ``probes`` nearest ones.
+    links of it count; an empty table gives no rows; other columns are not read. All
+    links are found; where vectors spread evenly in many dimensions no cell can be left out, and
+    the products grow with the square of the rows.
     """
     narrow = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("vector"))
     rows = common.written(_classes(narrow), "vectors")
@@ -195,7 +305,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, probes:
     classes = common.written(classes.withColumn("rep", F.coalesce("least", F.xxhash64("print"))), "classes")
     lengths = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
     centroids = {d: _fit(classes, n, d) for d, n in lengths.items()}
-    found = common.written(_links(common.written(_cells(classes, centroids, probes), "cells"), threshold), "links")
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+    cells = common.written(_cells(classes, centroids), "cells")
+    regions: dict[int, list] = {d: [] for d in lengths}
+    for r in cells.groupBy("d", "cell").agg(F.count("*").alias("members"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect():  # MOST_CELLS a length at most
+        regions[r["d"]].append(r)
+    plans = {d: _plan(centroids[d], regions[d]) for d in lengths}
+    found = common.written(_links(_dealt(cells, plans, reach), plans, threshold, reach), "links")
     linked = found.where("other is null").groupBy("rep").agg(F.sum("n").alias("others"))
     edges = found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     parts = common.connected_components(edges).select(F.col("id").alias("rep"), F.col("component"))
