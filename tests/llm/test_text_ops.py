@@ -170,6 +170,15 @@ def test_language_model(spark):
     assert len(empty) == len(texts) and all(r["n_known"] == 0 for r in empty)
 
 
+
+def test_language_model_counts_bigrams_of_rare_words(spark, monkeypatch):
+    table = docs(spark, ["of the of the of the"] * 20 + ["salty otter", "otter salty otter"] * 4 + ["salty otter", "otter otter salty"])
+    scores = lambda: {r["doc_id"]: r["score"] for r in bloom_lm.score(table, bloom_lm.train(table)).collect()}
+    all_words = scores()
+    monkeypatch.setattr(bloom_lm, "FREQUENT", 3, raising=False)
+    assert scores() == pytest.approx(all_words)
+
+
 def test_filter_counts_are_quantised_and_never_too_low():
     h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     c = np.arange(1, 2000)

@@ -70,24 +70,11 @@ def _unigrams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _bigrams_of(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(h, v, c): counts of bigrams whose two tokens are among ``words`` (sorted hashes), v the first.
-
-    A bigram is no more frequent than either of its words, so those of rare words would be cut
-    off anyway. Rows are dealt by h before they are summed: few repeat within a task.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def both(hashed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        types, code = np.unique(hashed, return_inverse=True)
-        known = shared.value
-        good = (known[np.minimum(np.searchsorted(known, types), len(known) - 1)] == types) | (types == EDGE) if len(known) else types == EDGE
-        good = good[code]
-        at = at[good[at] & good[at - 1]]
-        return common.chain([hashed[at - 1], hashed[at]]) if len(at) else hashed[:0], hashed[at - 1]
+def _bigrams_of(docs: DataFrame) -> DataFrame:
+    """(h, v, c): every bigram's count, v its first token. Rows are dealt by h before they are summed: few repeat within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, v, c in _gathered(batches, both):
+        for h, v, c in _gathered(batches, lambda hashed, at: (common.chain([hashed[at - 1], hashed[at]]) if len(at) else hashed[:0], hashed[at - 1])):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(v.view(np.int64)), pa.array(c)], names=["h", "v", "c"])
 
     return docs.mapInArrow(run, "h long, v long, c long").repartition("h").groupBy("h", "v").agg(F.sum("c").alias("c"))
@@ -201,7 +188,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     order = np.argsort(words)
     words, word_counts = words[order], np.array([x[1] for x in known], dtype=np.int64)[order]
 
-    two = common.written(_bigrams_of(texts, words).where(F.col("c") >= LEAST), "bigrams")
+    two = common.written(_bigrams_of(texts).where(F.col("c") >= LEAST), "bigrams")
     most = (MOST_BLOCKS << BLOCK_BITS) / BITS
     cut_one = _cut(ones_shape, most / 4)
     ones = sum(r["entries"] for r in ones_shape if r["low"] >= cut_one)
