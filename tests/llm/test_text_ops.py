@@ -179,6 +179,49 @@ def test_language_model_counts_bigrams_of_rare_words(spark, monkeypatch):
     assert scores() == pytest.approx(all_words)
 
 
+
+def test_language_model_keeps_bigrams_seen_once(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    rng.shuffle(words)
+    swapped = words[:]
+    rng.shuffle(swapped)
+    train = docs(spark, [" ".join(words)])
+    got = {r["doc_id"]: r for r in bloom_lm.score(docs(spark, [" ".join(words), " ".join(swapped)]), bloom_lm.train(train)).collect()}
+    assert got[0]["base_score"] == pytest.approx(got[1]["base_score"])
+    assert got[0]["score"] > got[1]["score"] + 250  # each word follows its own predecessor, once
+
+
+def test_language_model_in_many_shards(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(200)) for _ in range(60)]
+    table = docs(spark, texts)
+    scored = lambda: bloom_lm.score(table, model).orderBy("doc_id").toPandas()
+    model = bloom_lm.train(table)
+    whole = scored()
+    monkeypatch.setattr(bloom_lm, "WORDS_BYTES", 4000)
+    monkeypatch.setattr(common, "SLICE_BYTES", 5000)
+    monkeypatch.setattr(bloom_lm, "BITS", 40_000)  # 1 MB a shard is fixed: so there are many
+    model = bloom_lm.train(table)
+    assert model.words > 5 and model.filters > 50
+    many = scored()
+    assert many["n_known"].tolist() == whole["n_known"].tolist() == many["n_tokens"].tolist()
+    assert many["base_score"].tolist() == pytest.approx(whole["base_score"].tolist())
+    # by the formula, with quantised bigram counts
+    split = [["$", *t.split(), "$"] for t in texts]
+    one, two = collections.Counter(w for t in split for w in t[1:]), collections.Counter(p for t in split for p in itertools.pairwise(t))
+    after = collections.Counter(v for v, _ in two)
+    n = sum(one.values()) + 0.1 * (len(one) + 1)
+
+    def p(v, w):
+        seen = min(float(bloom_lm._value(bloom_lm._level(np.array([two[v, w]])))[0]), one[v], one[w])
+        return min(1.0, (seen - 0.5) / one[v] + min(1.0, max(0.02, 0.5 * after[v] / one[v])) * (one[w] + 0.1) / n)
+
+    exact = [sum(math.log10(p(v, w)) for v, w in itertools.pairwise(t)) for t in split]
+    assert many["score"].tolist() == pytest.approx(exact)
+    assert whole["score"].tolist() == pytest.approx(exact, rel=0.01)
+
+
 def test_filter_counts_are_quantised_and_never_too_low():
     h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     c = np.arange(1, 2000)

@@ -1,22 +1,21 @@
 """A bigram language model in a log-frequency Bloom filter.
 
-Counts are quantised on a logarithmic scale, q(c) = 1 + floor(log_b c), and an n-gram enters the
-filter q(c) times, as (n-gram, 1) ... (n-gram, q). A worker asks for (n-gram, 1), (n-gram, 2) and
+Counts are quantised on a logarithmic scale, q(c) = 1 + floor(log_b c), and a bigram enters the
+filter q(c) times, as (bigram, 1) ... (bigram, q). A worker asks for (bigram, 1), (bigram, 2) and
 on until a miss: the last hit is the count's level. Probabilities are smoothed by absolute discounting:
-p(w | v) = (c(v, w) - d) / c(v) + (1 - S(v) / c(v)) p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
-where S(v), the discounted mass of the bigrams kept after v, is a third kind of entry.
+p(w | v) = (c(v, w) - d) / c(v) + d T(v) / c(v) p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+where T(v) is the number of distinct bigrams that begin with v; c(v), c(w) and T(v) are exact.
 
-The filter is made of blocks that tasks fill side by side; its size is bounded, so that it can be
-broadcast. Beyond the bound the rarest n-grams are left to the prior: the smallest cut-off is
-taken from the histogram of all counts, and S(v) leaves their mass to the prior. Next to the model score stands the exact unigram score:
-frequent words' counts are broadcast (bounded), rarer ones are joined by shuffle.
+No n-gram is cut. Words and the filter are dealt by hash into shards of about one size, as many as
+the corpus needs, and a task holds one of them at a time. Texts are scored in batches: a batch's
+distinct words and bigrams are asked of their shards, and the answers come back to the batch. What
+travels is packed, one row for each batch and shard.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Quantisation base, discount, least weight of the prior, hash functions, bits for each entry aimed at.
+#: Quantisation base, discount, least weight of the prior after a known word, hash functions, bits for each entry aimed at.
 BASE, DISCOUNT, FLOOR, PROBES, BITS = 1.5, 0.5, 0.02, 4, 10
-#: Bigrams seen less often are left to the prior.
-LEAST = 2
-BLOCK_BITS, MOST_BLOCKS = 16, 1 << 12  # 8 KB a block, 32 MB at most
-#: Words whose counts are broadcast, at most.
-FREQUENT = 500_000
+#: Bits of a shard of the filter (1 MB), as a power of two; bytes of text for each shard of words.
+SHARD_BITS, WORDS_BYTES = 23, 64 << 20
 #: Stands before and after a text; no word holds a space.
 EDGE = np.uint64(xxhash.xxh3_64_intdigest(" edge"))
 GATHER = 1_000_000
@@ -60,24 +56,46 @@ def _bigrams(hashed: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, common.chain([hashed[at - 1], hashed[at]]) if len(at) else np.zeros(0, dtype=np.uint64)
 
 
-def _unigrams(docs: DataFrame) -> DataFrame:
-    """(h, c): every token's count."""
+def _shards_of(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of ``h`` by shard, and (shard, first place, end) of those that occur."""
+    shard = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    present, first = np.unique(shard[order], return_index=True)
+    edges = [*first.tolist(), len(h)]
+    return order, list(zip(present.tolist(), edges, edges[1:], strict=False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, _, c in _gathered(batches, lambda hashed, at: (hashed[at], None)):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The packed values of all rows."""
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype=kind)
+
+
+def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``h`` in order, the sums of ``c``, and where each stands first."""
+    if not len(h):
+        return h, c.astype(np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(c[order].astype(np.int64), first), order[first]
+
 
+def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
+    """(shard, h, v, c): packed counts of bigrams (``pairs``; v the first token) or tokens, of some texts each."""
 
-def _bigrams_of(docs: DataFrame) -> DataFrame:
-    """(h, v, c): every bigram's count, v its first token. Rows are dealt by h before they are summed: few repeat within a task."""
+    def keys(hashed: np.ndarray, at: np.ndarray) -> tuple:
+        if not pairs:
+            return hashed[at], None
+        return common.chain([hashed[at - 1], hashed[at]]) if len(at) else hashed[:0], hashed[at - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, v, c in _gathered(batches, lambda hashed, at: (common.chain([hashed[at - 1], hashed[at]]) if len(at) else hashed[:0], hashed[at - 1])):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(v.view(np.int64)), pa.array(c)], names=["h", "v", "c"])
+        for h, v, c in _gathered(batches, keys):
+            order, places = _shards_of(h, shards)
+            pack = lambda x: [x[order[a:b]].tobytes() for _, a, b in places]  # noqa: B023, E731
+            columns = [pa.array([s for s, _, _ in places], type=pa.int32()), pa.array(pack(h), type=pa.binary()), pa.array(pack(v) if pairs else [None] * len(places), type=pa.binary()), pa.array(pack(c.astype(np.uint32)), type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "h", "v", "c"])
 
-    return docs.mapInArrow(run, "h long, v long, c long").repartition("h").groupBy("h", "v").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "shard int, h binary, v binary, c binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], keys) -> Iterator[tuple]:
@@ -112,118 +130,98 @@ def _value(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (np.ceil(BASE ** (q - 1.0) - 1e-9) + np.maximum(np.ceil(BASE**q - 1e-9) - 1, np.ceil(BASE ** (q - 1.0) - 1e-9))) / 2, 0.0)
 
 
-def _places(h: np.ndarray, n: int, j: int) -> Iterator[np.ndarray]:
-    """Bits inside the block for entry (n-gram, j)."""
-    key = common.mix(h + np.uint64(((n << 32) + j) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+def _places(h: np.ndarray, j: int) -> Iterator[np.ndarray]:
+    """Bits of the shard for entry (bigram, j)."""
+    key = common.mix(h + np.uint64(((2 << 32) + j) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     first, step = key, (key >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
-        yield ((first + np.uint64(i) * step) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+        yield ((first + np.uint64(i) * step) & np.uint64((1 << SHARD_BITS) - 1)).astype(np.int64)
 
 
-def _block(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
+def _filled(h: np.ndarray, c: np.ndarray) -> bytes:
+    """A shard of the filter with the bigrams ``h``."""
+    bits, level, j = np.zeros(1 << SHARD_BITS, dtype=bool), _level(c), 1
+    while len(h):
+        for place in _places(h, j):
+            bits[place] = True
+        j += 1
+        h, level = h[level >= j], level[level >= j]
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-@dataclass
-class Filter:
-    """The filter's bytes, block by block."""
-
-    bits: np.ndarray
-    blocks: int
-
-    def counts(self, h: np.ndarray, n: int) -> np.ndarray:
-        """Approximate counts by probing level after level until a miss."""
-        level = np.zeros(len(h), dtype=np.int64)
-        base = _block(h, self.blocks) << BLOCK_BITS
-        live, j = np.arange(len(h)), 1
-        while len(live):
-            asked = h[live]
-            hit = np.ones(len(live), dtype=bool)
-            for place in _places(asked, n, j):
-                bit = base[live] + place
-                hit &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
-            level[live] = j
-            j += 1
-        return _value(level)
+def _levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Levels of the bigrams ``h`` by probing a shard until a miss."""
+    level, live, j = np.zeros(len(h), dtype=np.uint8), np.arange(len(h)), 1
+    while len(live):
+        hit = np.ones(len(live), dtype=bool)
+        for bit in _places(h[live], j):
+            hit &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        live = live[hit]
+        level[live] = j
+        j += 1
+    return level
 
 
 @dataclass
 class Model:
-    """What training leaves: the filter, N, V, the frequent words' exact counts and the others' table."""
+    """What training leaves: N, V, and the shards of the words (kind 1) and of the filter (kind 2) with their numbers."""
 
-    filter: Filter
     tokens: int
     types: int
-    words: np.ndarray
-    counts: np.ndarray
-    rare: DataFrame
+    words: int
+    filters: int
+    shards: DataFrame
 
 
-def _cut(histogram: list, room: float) -> int:
-    """The smallest count such that the entries of all n-grams from there on fit in ``room``."""
-    total, cut = 0.0, None
-    for r in sorted(histogram, key=lambda r: -r["low"]):
-        total += r["entries"]
-        if total > room:
-            break
-        cut = r["low"]
-    return int(cut if cut is not None else max(r["low"] for r in histogram) + 1) if histogram else 1
+def _bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def train(docs: DataFrame, text_column: str = "text") -> Model:
     """Counts all of ``docs`` and builds the model; a null text is an empty one."""
-    spark = docs.sparkSession
     texts = docs.select(docs[text_column].cast("string").alias("text"))
-    # counts in classes: exact to 64, then by halves of powers of two
-    low = F.when(F.col("c") <= 64, F.col("c")).otherwise(F.floor(F.pow(2.0, F.floor(F.log2("c") * 2) / 2)).cast("long"))
-    entries = F.floor(F.log("c") / np.log(BASE) + 1e-9) + 1
-    shape = lambda df: df.groupBy(low.alias("low")).agg(F.count("*").alias("grams"), F.sum("c").alias("mass"), F.sum(entries).alias("entries")).collect()  # noqa: E731  a few hundred classes
-    one = common.written(_unigrams(texts), "unigrams")
-    ones_shape = shape(one)
-    tokens, types = sum(r["mass"] for r in ones_shape), sum(r["grams"] for r in ones_shape)
-    line = _cut([{"low": r["low"], "entries": r["grams"]} for r in ones_shape], FREQUENT)
-    known = [(r["h"], r["c"]) for r in one.where(low >= line).toLocalIterator()]  # FREQUENT at most
-    words = np.array([x[0] for x in known], dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    words, word_counts = words[order], np.array([x[1] for x in known], dtype=np.int64)[order]
-
-    two = common.written(_bigrams_of(texts).where(F.col("c") >= LEAST), "bigrams")
-    most = (MOST_BLOCKS << BLOCK_BITS) / BITS
-    cut_one = _cut(ones_shape, most / 4)
-    ones = sum(r["entries"] for r in ones_shape if r["low"] >= cut_one)
-    twos_shape = shape(two)
-    cut_two = _cut(twos_shape, most - 2 * ones)
-    twos = sum(r["entries"] for r in twos_shape if r["low"] >= cut_two)
-    blocks = int(min(MOST_BLOCKS, max(1, -(-(2 * ones + twos) * BITS // (1 << BLOCK_BITS)))))
-    two = two.where(low >= cut_two)
-    mass = two.groupBy(F.col("v").alias("h")).agg(F.ceil(F.sum(F.col("c") - DISCOUNT)).alias("c")).where(F.col("c") >= cut_one)
-    kinds = [one.where(low >= cut_one), two, mass]
-    kept = reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("n"), "h", "c") for i, df in enumerate(kinds, 1)])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled: dict[int, np.ndarray] = {}
-        for batch in batches:
-            n, c = np.asarray(batch.column("n")), _level(np.asarray(batch.column("c")))
-            h = np.asarray(batch.column("h")).view(np.uint64)
-            block = _block(h, blocks)
-            for b in np.unique(block).tolist():
-                bits = filled.setdefault(b, np.zeros(1 << BLOCK_BITS, dtype=bool))
-                here = block == b
-                for kind in (1, 2, 3):
-                    some = here & (n == kind)
-                    for j in range(1, int(c[some].max()) + 1 if some.any() else 1):
-                        for place in _places(h[some & (c >= j)], kind, j):
-                            bits[place] = True
-        for b, bits in filled.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], type=pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())], names=["block", "bits"])
-
-    block = F.expr(f"cast(pmod(shiftrightunsigned(h, 20), {blocks}) as int)")
-    size = 1 << (BLOCK_BITS - 3)
-    bits = np.zeros(blocks * size, dtype=np.uint8)
-    for r in kept.repartition(block).sortWithinPartitions(block).mapInArrow(fill, "block int, bits binary").toLocalIterator():  # MOST_BLOCKS rows of 8 KB at most
-        bits[r["block"] * size : (r["block"] + 1) * size] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return Model(Filter(bits, blocks), tokens, types, words, word_counts, one.where(low < line).select("h", "c"))
+    words = -(-_bytes(texts) // WORDS_BYTES) or 1
+
+    def count(rows: pa.Table) -> pa.Table:
+        h, c, _ = _summed(_joined(rows.column("h"), np.uint64), _joined(rows.column("c"), np.uint32))
+        return pa.table({"shard": rows.column("shard")[:1].cast(pa.int32()), "h": pa.array([h.tobytes()], type=pa.binary()), "c": pa.array([c.tobytes()], type=pa.binary()), "types": pa.array([len(h)]), "tokens": pa.array([int(c.sum())])})
+
+    one = common.written(_partial(texts, False, words).groupBy("shard").applyInArrow(count, "shard int, h binary, c binary, types long, tokens long"), "unigrams")
+    sums = one.agg(F.sum("tokens"), F.sum("types")).first()
+    tokens, types = sums[0] or 0, sums[1] or 0
+    # q(c) <= c, so a bigram's entries are no more than its tokens
+    filters = -(-tokens * BITS // (1 << SHARD_BITS)) or 1
+
+    def fill(rows: pa.Table) -> pa.Table:
+        v = _joined(rows.column("v"), np.uint64)
+        h, c, first = _summed(_joined(rows.column("h"), np.uint64), _joined(rows.column("c"), np.uint32))
+        v, t, _ = _summed(v[first], np.ones(len(h), dtype=np.int64))
+        order, places = _shards_of(v, words)
+        pack = lambda x: [None, *[x[order[a:b]].tobytes() for _, a, b in places]]
+        n = len(places)
+        return pa.table(
+            {
+                "kind": pa.array([2] + [1] * n, type=pa.int32()),
+                "shard": pa.array([rows.column("shard")[0].as_py(), *[s for s, _, _ in places]], type=pa.int32()),
+                "bits": pa.array([_filled(h, c), *[None] * n], type=pa.binary()),
+                "h": pa.array(pack(v), type=pa.binary()),
+                "t": pa.array(pack(t.astype(np.uint32)), type=pa.binary()),
+            }
+        )
+
+    two = common.written(_partial(texts, True, filters).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, h binary, t binary"), "bigrams")
+
+    def follow(of: pa.Table, after: pa.Table) -> pa.Table:
+        h, c = _joined(of.column("h"), np.uint64), _joined(of.column("c"), np.int64)
+        v, types_after, _ = _summed(_joined(after.column("h"), np.uint64), _joined(after.column("t"), np.uint32))
+        t = np.zeros(len(h), dtype=np.int64)
+        t[np.searchsorted(h, v)] = types_after  # what precedes a token is one
+        return pa.table({"kind": pa.array([1], type=pa.int32()), "shard": of.column("shard")[:1].cast(pa.int32()), "x": pa.array([h.tobytes()], type=pa.binary()), "y": pa.array([c.tobytes()], type=pa.binary()), "z": pa.array([t.tobytes()], type=pa.binary())})
+
+    ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(follow, "kind int, shard int, x binary, y binary, z binary")
+    none = F.lit(None).cast("binary")
+    shards = common.written(ones.unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z"))), "model")
+    return Model(tokens, types, words, filters, shards)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -233,73 +231,69 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     those that training saw. base_score: the exact smoothed unigram log10 probability; score: the
     model's. Cases: a null or empty text is the end alone; repeated rows are scored each; a null
     doc_id is carried; an empty training set leaves N = V = 0 and all tokens unknown; other columns
-    are not read.
+    are not read. ``docs`` is read three times; a batch holds all rows that share id and text.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.filter, model.words, model.counts))
-    tokens, types = model.tokens, model.types
+    tokens, types, words, filters = model.tokens, model.types, model.words, model.filters
     total = tokens + 0.1 * (types + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        lm, words, counts = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                hashed, starts = _padded(part.column("text"))
-                at, pairs = _bigrams(hashed, starts)
-                n = len(starts) - 1
-                size = np.diff(starts) - 1
-                owner = np.repeat(np.arange(n), size)
-                types_here, code = np.unique(hashed, return_inverse=True)
-                place = np.minimum(np.searchsorted(words, types_here), max(len(words) - 1, 0))
-                exact = np.where(words[place] == types_here, counts[place], 0) if len(words) else np.zeros(len(types_here), dtype=np.int64)
-                about = lm.counts(types_here, 1)
-                now, before = code[at], code[at - 1]
-                prior = (about[now] + 0.1) / total
-                # the edge as a context was seen once a text, as it was as a token
-                seen = np.minimum(lm.counts(pairs, 2), np.minimum(about[now], about[before]))
-                context = np.maximum(about, 1)
-                rest = np.clip(1 - lm.counts(types_here, 3) / context, FLOOR, 1.0)
-                p = np.maximum(seen - DISCOUNT, 0) / context[before] + rest[before] * prior
-                by = lambda v: np.bincount(owner, weights=v, minlength=n)
-                frequent = exact[now] > 0
-                base = by(np.where(frequent, np.log10((exact[now] + 0.1) / total), 0.0))
-                ids = row + np.arange(n)
-                row += n
-                # words that are not among the frequent ones: counted by text, looked up by join
-                key, times = np.unique(owner[~frequent] * len(types_here) + now[~frequent], return_counts=True)
-                whose, word = key // max(len(types_here), 1), types_here[key % max(len(types_here), 1)] if len(key) else types_here[:0]
-                m = len(times)
-                doc = part.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids, ids[whose]])),
-                        pa.concat_arrays([doc, pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(word.view(np.int64))]),
-                        pa.array(np.concatenate([size, times])),
-                        pa.array(np.concatenate([by(frequent), np.zeros(m)]).astype(np.int64)),
-                        pa.array(np.concatenate([base, np.zeros(m)])),
-                        pa.array(np.concatenate([by(np.log10(np.minimum(p, 1.0))), np.zeros(m)])),
-                    ],
-                    names=["row", "doc_id", "h", "times", "known", "base", "score"],
-                )
-
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    told = narrow.mapInArrow(run, "row long, doc_id long, h long, times long, known long, base double, score double")
-    rare = model.rare.withColumnRenamed("h", "word")
-    told = told.join(rare, told["h"] == rare["word"], "left")
-    is_word = F.col("h").isNotNull()
-    c = F.coalesce("c", F.lit(0))
-    return (
-        told.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.sum(F.when(~is_word, F.col("times"))).alias("n_tokens"),
-            F.sum(F.when(is_word & (c > 0), F.col("times")).otherwise(F.col("known"))).cast("long").alias("n_known"),
-            F.sum(F.when(is_word, F.col("times") * F.log10((c + 0.1) / F.lit(total))).otherwise(F.col("base"))).alias("base_score"),
-            F.sum("score").alias("score"),
-        )
-        .drop("row")
-    )
+    batches = -(-_bytes(narrow) // common.SLICE_BYTES) or 1
+    narrow = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+
+    def distinct(rows: pa.Table) -> tuple:
+        texts = rows.column("text").combine_chunks()
+        hashed, starts = _padded(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts)
+        at, pairs = _bigrams(hashed, starts)
+        return starts, at, np.unique(hashed, return_inverse=True), np.unique(pairs, return_inverse=True)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        _, _, (one, _), (two, _) = distinct(rows)
+        kinds, shards, packed = [], [], []
+        for kind, h, n in ((1, one, words), (2, two, filters)):
+            order, places = _shards_of(h, n)
+            for s, a, b in places:
+                kinds.append(kind), shards.append(s), packed.append(h[order[a:b]].tobytes())
+        return pa.table({"kind": pa.array(kinds, type=pa.int32()), "shard": pa.array(shards, type=pa.int32()), "batch": pa.array([rows.column("batch")[0].as_py()] * len(kinds), type=pa.int64()), "h": pa.array(packed, type=pa.binary())})
+
+    def answer(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        c, t = [], []
+        kind = asked.column("kind")[0].as_py() if asked.num_rows else 0
+        known = [_joined(shard.column(x), np.uint8) for x in ("x", "y", "z")]
+        for raw in asked.column("h").to_pylist():
+            h = np.frombuffer(raw, dtype=np.uint64)
+            if kind == 2:
+                c.append((_levels(known[0], h) if len(known[0]) else np.zeros(len(h), dtype=np.uint8)).tobytes()), t.append(None)
+                continue
+            have = known[0].view(np.uint64)
+            place = np.minimum(np.searchsorted(have, h), max(len(have) - 1, 0))
+            for out, values in ((c, known[1]), (t, known[2])):
+                out.append((np.where(have[place] == h, values.view(np.int64)[place], 0) if len(have) else np.zeros(len(h), dtype=np.int64)).tobytes())
+        return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "shard": asked.column("shard"), "c": pa.array(c, type=pa.binary()), "t": pa.array(t, type=pa.binary())})
+
+    def told(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        starts, at, (one, code), (two, pair) = distinct(rows)
+        c, t, level = np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64), np.zeros(len(two), dtype=np.int64)
+        order_one, places = _shards_of(one, words)
+        of_one = {s: order_one[a:b] for s, a, b in places}
+        order_two, places = _shards_of(two, filters)
+        of_two = {s: order_two[a:b] for s, a, b in places}
+        for r in answers.to_pylist():
+            if r["kind"] == 2:
+                level[of_two[r["shard"]]] = np.frombuffer(r["c"], dtype=np.uint8)
+            else:
+                c[of_one[r["shard"]]] = np.frombuffer(r["c"], dtype=np.int64)
+                t[of_one[r["shard"]]] = np.frombuffer(r["t"], dtype=np.int64)
+        n, size = len(starts) - 1, np.diff(starts) - 1
+        owner = np.repeat(np.arange(n), size)
+        now, before = code[at], code[at - 1]
+        prior = (c + 0.1) / total
+        # the edge as a context was seen once a text, as it was as a token
+        seen = np.minimum(_value(level)[pair], np.minimum(c[now], c[before]))
+        context = np.maximum(c, 1)
+        rest = np.where(c > 0, np.clip(DISCOUNT * t / context, FLOOR, 1.0), 1.0)
+        p = np.maximum(seen - DISCOUNT, 0) / context[before] + rest[before] * prior[now]
+        by = lambda v: np.bincount(owner, weights=v, minlength=n)
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(by(c[now] > 0).astype(np.int64)), "base_score": pa.array(by(np.log10(prior[now]))), "score": pa.array(by(np.log10(np.minimum(p, 1.0))))})
+
+    asked = narrow.groupBy("batch").applyInArrow(ask, "kind int, shard int, batch long, h binary")
+    answers = model.shards.groupBy("kind", "shard").cogroup(asked.groupBy("kind", "shard")).applyInArrow(answer, "batch long, kind int, shard int, c binary, t binary")
+    return narrow.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(told, "doc_id long, n_tokens long, n_known long, base_score double, score double")
