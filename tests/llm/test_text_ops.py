@@ -150,6 +150,22 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table.limit(0), bench).count() == decontaminate.contaminated(table, bench.limit(0)).count() == 0
 
 
+
+def test_decontamination_finds_verbatim_copies(spark):
+    items = [(1, "What is 12 + 7 + 30?"), (2, "we flew to Rome with Ann and from Rome to Oslo with Ben and then to Bonn with Eve"), (3, "water boils at 100 ° on the stove in the kitchen of the old house"), (4, "Paris lies on the river Seine")]
+    texts = [
+        "So: What is 12 + 7 + 30? Tell me.",
+        items[1][1].lower(),
+        items[1][1].upper(),
+        "It is known that " + items[2][1],
+        "they say Paris lies on the river Seine",
+        "What is 12 + 8 + 30?",
+        "a mark \ue001 here. " + items[1][1],
+    ]
+    got = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got} == {(0, 1, True), (1, 2, True), (2, 2, True), (3, 3, True), (4, 4, True), (6, 2, True)}
+
+
 def test_language_model(spark):
     rng = random.Random(5)
     texts = [None, "", "\n", *[" ".join(rng.choice(["the", "Cat", "sat", "on", "mat", f"w{rng.randrange(400)}"]) for _ in range(rng.randint(1, 60))) for _ in range(80)], "unseen words only"]

@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders, the rest is lower-
 punctuation: a template. Windows of template words are hash-joined between documents and items.
 Windows of one item that follow each other in a document lie on one diagonal; there the slots'
 values must be consistent, one value of the document for each value of the item. That finds
-verbatim copies and questions with other numbers, names or units in them.
+questions with other numbers, names or units in them. Windows of the plain lower-cased words are
+joined as well, so verbatim copies are found whatever their case and however many their numbers.
 """
 
 from __future__ import annotations
@@ -28,24 +29,25 @@ UNITS = "mm|cm|dm|m|km|in|inch|inches|ft|feet|foot|yd|yards|yard|mi|miles|mile|m
 
 
 def template(text: Column) -> Column:
-    """The text with placeholders, word for word beside ``plain_words``."""
-    t = F.regexp_replace(text, SLOT, " ")
+    """The text, which holds no placeholder yet, with placeholders; white space stays as it is."""
     # a capitalised word inside a sentence is a name
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},] )\p{Lu}[\p{L}\p{M}\p{N}'’-]*", NAME)
+    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},] )\p{Lu}[\p{L}\p{M}\p{N}'’-]*", NAME)
     t = F.regexp_replace(t, r"[+-]?\p{Nd}[\p{Nd}.,:/]*(?<=\p{Nd})", NUMBER)
     t = F.regexp_replace(t, rf"(?i)(?<={NUMBER})(\s?)(?:{UNITS}|°[cf]?)(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
     return F.lower(t)
 
 
 def _words(text: Column) -> Column:
-    """Words of letters, marks, digits and placeholders; the rest falls away."""
-    bare = F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\s\x{E001}-\x{E003}]+", "")
-    return F.filter(F.split(bare, r"\s+"), lambda w: w != "")
+    """Words of letters, marks, digits and placeholders; the rest falls away and may leave empty words."""
+    return F.split(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\s\x{E001}-\x{E003}]+", ""), r"\s+")
 
 
-def _shapes(texts: DataFrame, key: str) -> DataFrame:
-    """(key, words): template words."""
-    return texts.select(key, _words(template(F.coalesce("text", F.lit("")))).alias("words"))
+def _shapes(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, words, values): template words and, place by place, the plain words that they stand for."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), SLOT, " ")
+    both = F.zip_with(_words(template(text)), _words(F.lower(text)), lambda w, v: F.struct(w.alias("word"), v.alias("value")))
+    both = texts.select(*keys, F.filter(both, lambda t: (t["word"] != "") | (t["value"] != "")).alias("both"))
+    return both.select(*keys, F.col("both.word").alias("words"), F.col("both.value").alias("values"))
 
 
 def _hashes(words: Column, width: int) -> Column:
@@ -62,14 +64,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     Cases: null and empty texts hold nothing; items of fewer than SHORTEST words are too common to
     be looked for; items shorter than a window are one window; windows with fewer than LITERALS
-    literal words are no evidence; rows that share a doc_id are judged together, a null doc_id is
+    literal words are evidence only if they are the same word for word; rows that share a doc_id are judged together, a null doc_id is
     judged like any other; repeated items are found each; documents of any length are searched
     whole; other columns are not read; empty tables find nothing.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text_column].cast("string").alias("text"))
-    items = _shapes(items, "item_id").join(items.select(F.col("item_id").alias("of"), _words(F.lower("text")).alias("values")), F.col("item_id").eqNullSafe(F.col("of"))).drop("of")
-    items = items.where((F.size("words") >= SHORTEST) & (F.size("words") == F.size("values"))).withColumn("item", F.xxhash64("item_id", "values"))
+    items = _shapes(items, "item_id").where(F.size("words") >= SHORTEST).withColumn("item", F.xxhash64("item_id", "values", "words"))
     items = common.written(items.dropDuplicates(["item"]), "items")
     widths = sorted({min(window, r["n"]) for r in items.select(F.least(F.lit(window), F.size("words")).alias("n")).distinct().collect()})  # window numbers at most
     if not widths:
@@ -78,16 +79,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     sides = []
     for width in widths:
         own = items.where(F.least(F.lit(window), F.size("words")) == width)
+        sides.append(own.select("item", F.posexplode(_hashes(F.col("values"), width)).alias("at", "hash")).select("item", "at", "hash", F.lit(width).alias("width")))
         sides.append(own.select("item", F.posexplode(_hashes(F.col("words"), width)).alias("at", "hash"), "words").where(literal(F.slice("words", F.col("at") + 1, F.lit(width))) >= min(LITERALS, width)).select("item", "at", "hash", F.lit(width).alias("width")))
     wanted = sides[0]
     for s in sides[1:]:
         wanted = wanted.unionByName(s)
-    wanted = common.written(wanted, "wanted")
+    wanted = common.written(wanted.distinct(), "wanted")
     wanted = common.bounded_broadcast(wanted, wanted.count(), BROADCAST_WINDOWS)
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     shapes = _shapes(narrow, "doc_id")
-    seen = shapes.select("doc_id", F.explode(F.array(*[F.struct(F.lit(w).alias("width"), _hashes(F.col("words"), w).alias("hashes")) for w in widths])).alias("s")) if len(widths) > 1 else shapes.select("doc_id", F.struct(F.lit(widths[0]).alias("width"), _hashes(F.col("words"), widths[0]).alias("hashes")).alias("s"))
+    kinds = [F.struct(F.lit(w).alias("width"), _hashes(F.col(of), w).alias("hashes")) for w in widths for of in ("words", "values")]
+    seen = shapes.select("doc_id", F.explode(F.array(*kinds)).alias("s"))
     seen = seen.select("doc_id", F.col("s.width").alias("w"), F.posexplode("s.hashes").alias("place", "h"))
     met = seen.join(wanted, (F.col("h") == F.col("hash")) & (F.col("w") == F.col("width")))
     lines = met.groupBy("doc_id", "item", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_set(F.struct("at", "width"))).alias("windows"))  # an item's windows at most
@@ -95,8 +98,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     # the words themselves, for the slots: only of documents and items that met
     pairs = lines.join(items, "item")
-    whole = narrow.join(lines.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select(F.col("doc_id").alias("of"), _words(F.lower(F.coalesce("text", F.lit("")))).alias("own"), _words(template(F.coalesce("text", F.lit("")))).alias("shape"))
-    pairs = pairs.join(whole, F.col("doc_id").eqNullSafe(F.col("of"))).where(F.size("own") == F.size("shape"))
+    whole = narrow.join(lines.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    whole = _shapes(whole, "doc_id").select(F.col("doc_id").alias("of"), F.col("values").alias("own"))
+    pairs = pairs.join(whole, F.col("doc_id").eqNullSafe(F.col("of")))
     places = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1))))
     pairs = pairs.withColumn("places", places)
     cut = F.expr(f"filter(places, p -> words[p] rlike '{SLOT}' and p + diagonal >= 0 and p + diagonal < size(own))")
