@@ -166,6 +166,23 @@ def test_decontamination_finds_verbatim_copies(spark):
     assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got} == {(0, 1, True), (1, 2, True), (2, 2, True), (3, 3, True), (4, 4, True), (6, 2, True)}
 
 
+
+def test_decontamination_sums_neighbouring_diagonals(spark):
+    thirds = ["one red fox ran over the wide field", "while two grey owls sat in some tree", "and no dog of that farm woke up"]
+    letter = "on the first day of june we all wrote to New York that our %s boxes had been sent off by mail and paid in full"
+    items = [(1, " ".join(thirds)), (2, letter % 15)]
+    texts = [
+        "Look. " + " then ".join(thirds),
+        thirds[0] + " and other things",
+        thirds[0] + " then" * 40 + " " + thirds[1],
+        (letter % 20).replace("New York", "Boston"),
+        " ".join(thirds),
+    ]
+    got = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got} == {(0, 1, True), (3, 2, False), (4, 1, True)}
+    assert {r["doc_id"]: (r["found"], r["words"]) for r in got if r["item_id"] == 1} == {0: (24, 24), 4: (24, 24)}
+
+
 def test_language_model(spark):
     rng = random.Random(5)
     texts = [None, "", "\n", *[" ".join(rng.choice(["the", "Cat", "sat", "on", "mat", f"w{rng.randrange(400)}"]) for _ in range(rng.randint(1, 60))) for _ in range(80)], "unseen words only"]

@@ -6,6 +6,7 @@ Windows of one item that follow each other in a document lie on one diagonal; th
 values must be consistent, one value of the document for each value of the item. That finds
 questions with other numbers, names or units in them. Windows of the plain lower-cased words are
 joined as well, so verbatim copies are found whatever their case and however many their numbers.
+Words put in or left out shift the diagonal: what neighbouring diagonals cover is summed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from . import common
 
 #: Words of a window; the shortest item that is looked for; the share of an item that must be found.
 WINDOW, SHORTEST, SHARE = 8, 5, 0.5
+#: How far diagonals may lie apart to be summed, as a share of the item's words.
+DRIFT = 0.5
 #: Words of a window that must not be placeholders.
 LITERALS = 4
 #: Benchmark windows up to this count may be broadcast (about 24 bytes each).
@@ -58,9 +61,10 @@ def _hashes(words: Column, width: int) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(doc_id, item_id, found, words, slots, exact) for each item found in a document.
 
-    An item is found where its windows on one diagonal of a document, consistent in their slots,
-    cover at least ``share`` of its words: found of words. slots: placeholders among them; exact:
-    whether all slots have the item's own values. The diagonal that covers most counts.
+    An item is found where its windows on neighbouring diagonals of a document, consistent in their
+    slots, cover at least ``share`` of its words: found of words. slots: placeholders among them;
+    exact: whether all slots have the item's own values. The stretch that covers most counts;
+    diagonals are taken up by size, one that contradicts those before is left out.
 
     Cases: null and empty texts hold nothing; items of fewer than SHORTEST words are too common to
     be looked for; items shorter than a window are one window; windows with fewer than LITERALS
@@ -103,11 +107,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     pairs = pairs.join(whole, F.col("doc_id").eqNullSafe(F.col("of")))
     places = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1))))
     pairs = pairs.withColumn("places", places)
-    cut = F.expr(f"filter(places, p -> words[p] rlike '{SLOT}' and p + diagonal >= 0 and p + diagonal < size(own))")
-    pairs = pairs.withColumn("cut", cut).withColumn("told", F.expr("array_distinct(transform(cut, p -> struct(values[p] as theirs, own[p + diagonal] as ours)))"))
-    consistent = F.size("told") == F.expr("size(array_distinct(transform(told, t -> t.theirs)))")
-    exact = F.expr("forall(told, t -> t.theirs = t.ours)")
-    pairs = pairs.where(consistent).select("doc_id", "item_id", F.size("places").alias("found"), F.size("words").alias("words"), F.size("cut").alias("slots"), exact.alias("exact"))
+    cut = f"filter(places, p -> words[p] rlike '{SLOT}' and p + diagonal >= 0 and p + diagonal < size(own))"
+    pairs = pairs.withColumn("told", F.expr(f"array_distinct(transform({cut}, p -> struct(values[p] as theirs, own[p + diagonal] as ours)))"))
+    pairs = pairs.where(F.size("told") == F.expr("size(array_distinct(transform(told, t -> t.theirs)))"))
+    slots = F.expr(f"filter(sequence(0, size(words) - 1), p -> words[p] rlike '{SLOT}')").alias("slots")
+    pairs = pairs.select("doc_id", "item", "item_id", F.size("words").alias("words"), slots, (F.col("diagonal") / F.size("words")).alias("shift"), "diagonal", "places", "told")
+    # from each diagonal on, as many as an item has words times DRIFT at most
+    near = F.expr(f"collect_list(struct(-size(places) as rank, diagonal, places, told)) over (partition by doc_id, item order by shift range between current row and {DRIFT}D following)")
+    pairs = pairs.withColumn("near", near).withColumn("near", F.sort_array("near"))
+    pairs = pairs.withColumn(
+        "sum",
+        F.expr(
+            """aggregate(near, cast(named_struct('places', array(), 'told', array()) as struct<places:array<int>,told:array<struct<theirs:string,ours:string>>>), (sum, line) ->
+               if(size(array_union(sum.told, line.told)) = size(array_distinct(transform(array_union(sum.told, line.told), t -> t.theirs))),
+                  named_struct('places', array_union(sum.places, line.places), 'told', array_union(sum.told, line.told)), sum))"""
+        ),
+    )
+    exact = F.expr("forall(sum.told, t -> t.theirs = t.ours)")
+    pairs = pairs.select("doc_id", "item_id", F.size("sum.places").alias("found"), "words", F.size(F.array_intersect("sum.places", "slots")).alias("slots"), exact.alias("exact"))
     pairs = pairs.where(F.col("found") >= F.lit(share) * F.col("words"))
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("found", "exact", "slots", "words")).alias("b"))
     return best.select("doc_id", "item_id", "b.found", "b.words", "b.slots", "b.exact")
