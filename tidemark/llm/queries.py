@@ -108,14 +108,7 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_zip.archive_pages(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "wacz"))
-    response = F.col("record_type") == "response"
-    return records.select(
-        "page_id",
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("declared_length")).alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.col("declared_digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    return warc_zip.with_payloads(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLES["op4_warc_zip"] = """

@@ -199,6 +199,8 @@ def _records(source: pa.NativeFile, start: int, length: int) -> Iterator[bytes]:
 
     more()
     while raw or (left and more()):
+        while len(raw) < 2 and left and more():  # a read may end inside the two bytes that tell gzip
+            pass
         if raw[:2] == b"\x1f\x8b":
             inflate, parts = zlib.decompressobj(31), []
             while True:
@@ -260,6 +262,23 @@ def read_records(ranges: DataFrame) -> DataFrame:
     return ranges.mapInArrow(read, schema)
 
 
+def with_payloads(records: DataFrame) -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest) of records read back.
+
+    Size and digest are measured on the payloads that were read. A revisit has none: it takes
+    those of the response that it refers to, of the digest that it declares; where that response is
+    in none of the archives, what its own header declares. The payloads are read once.
+    """
+    told = records.select("page_id", "url", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), "declared_length", "declared_digest")
+    told = common.written(told, "records")
+    wanted = told.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), F.col("declared_digest").alias("digest")).distinct()
+    heads = told.where("record_type = 'response'").join(wanted, ["page_id", "digest"], "left_semi").groupBy("page_id", "digest").agg(F.max("size").alias("head_size"))
+    heads = common.written(heads.select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "head_size"), "responses")
+    heads = common.bounded_broadcast(heads, heads.count(), 200_000)
+    out = told.join(heads, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("of")) & (F.col("declared_digest") == F.col("of_digest")), "left")
+    return out.select("page_id", "url", "record_type", "refers_to", F.coalesce("size", "head_size", "declared_length").alias("payload_bytes"), F.coalesce("digest", "of_digest", "declared_digest").alias("payload_digest"))
+
+
 def archive_pages(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Writes ``pages`` as archives below ``folder`` and returns the records read back.
 
