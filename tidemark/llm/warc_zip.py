@@ -30,6 +30,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 LEAST_REVISIT = 100
 #: Bytes of records in a range.
 RANGE = 4 << 20
+#: Ranges that a task reads one after the other; tasks at most, beyond which they read more.
+RANGES_A_TASK, MOST_TASKS = 2, 100_000
 ID = "urn:page:"
 
 
@@ -290,4 +292,5 @@ def archive_pages(pages: DataFrame, folder: str, id_column: str = "page_id", url
     named = pages.select(pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"), F.coalesce(pages[html_column].cast("string"), F.lit("")).cast("binary").alias("payload"))
     files = write_archives(mark_revisits(named), folder)
     ranges = common.written(locate_ranges(files), "ranges")
-    return read_records(ranges.repartition("file", "start"))
+    # a range is a small row but much work: a number of its own, which adaptive execution does not merge
+    return read_records(ranges.repartition(min(max(1, -(-ranges.count() // RANGES_A_TASK)), MOST_TASKS)))
