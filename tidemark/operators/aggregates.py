@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .filters import in_interval
-from .panel import K, small
+from .panel import K, exact_quantiles, settled, small
 
 
 def eval_metrics(df: DataFrame) -> DataFrame:
@@ -49,15 +49,15 @@ def summarize_methods(metrics: DataFrame) -> DataFrame:
 
 def score_summary(df: DataFrame) -> DataFrame:
     """For each panel: rows, flags, rate and the distribution of raw and normalised scores; exact quantiles."""
+    df = settled(df.select("panel_id", "anomaly_score", "anomaly_score_normalized", "anomaly_flag"), "scores")
     out = [F.count("*").alias("n"), F.sum("anomaly_flag").alias("flags")]
-    for c, name in (("anomaly_score", "score"), ("anomaly_score_normalized", "normalized")):
-        q = F.percentile(c, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95, 0.99)]))
-        out += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_std"), q.alias(f"__{name}")]
+    columns = (("anomaly_score", "score"), ("anomaly_score_normalized", "normalized"))
+    for c, name in columns:
+        out += [F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"), F.avg(c).alias(f"{name}_mean"), F.stddev_samp(c).alias(f"{name}_std")]
     rows = df.groupBy("panel_id").agg(*out).withColumn("rate", F.try_divide("flags", "n"))
-    for name in ("score", "normalized"):
-        for i, p in enumerate(("p25", "median", "p75", "p95", "p99")):
-            rows = rows.withColumn(f"{name}_{p}", F.col(f"__{name}")[i])
-        rows = rows.drop(f"__{name}")
+    for c, name in columns:
+        points = {f"{name}_{p}": q for p, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95), ("p99", 0.99))}
+        rows = rows.join(small(exact_quantiles(df, ["panel_id"], c, points)), "panel_id", "left")
     return rows
 
 
@@ -75,7 +75,8 @@ def residual_score_corr(df: DataFrame) -> DataFrame:
 
 def high_score_contrast(df: DataFrame, q: float = 0.95) -> DataFrame:
     """(panel_id, channel, high, normal, contrast): mean absolute residual above the panel's score quantile and below."""
-    cut = small(df.select("panel_id", "ts", "anomaly_score").distinct().groupBy("panel_id").agg(F.percentile("anomaly_score", q).alias("__cut")))
+    df = settled(df.select(*K, "ts", "value", "pred", "anomaly_score"), "scored")
+    cut = small(exact_quantiles(df.select("panel_id", "ts", "anomaly_score").distinct(), ["panel_id"], "anomaly_score", {"__cut": q}))
     r, high = F.abs(F.col("value") - F.col("pred")), F.col("anomaly_score") > F.col("__cut")
     out = df.join(cut, "panel_id").groupBy(*K).agg(F.avg(F.when(high, r)).alias("high"), F.avg(F.when(~high, r)).alias("normal"))
     return out.withColumn("contrast", F.col("high") - F.col("normal"))
@@ -133,9 +134,12 @@ def hourly_profile(df: DataFrame) -> DataFrame:
 
 def median_mad(df: DataFrame) -> DataFrame:
     """(panel_id, channel, median, mad): the median and the median distance from it, 1e-12 if that is 0."""
-    mid = df.groupBy(*K).agg(F.percentile("value", 0.5).alias("median"))
-    spread = df.join(mid, K).groupBy(*K, "median").agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    return spread.withColumn("mad", S.guard_zero(F.col("mad"), 1e-12))
+    rows = settled(df.select(*K, "value"), "values")
+    mid = settled(exact_quantiles(rows, K, "value", {"median": 0.5}), "medians")
+    spread = rows.join(small(mid), K).select(*K, F.abs(F.col("value") - F.col("median")).alias("e"))
+    mad = exact_quantiles(spread, K, "e", {"mad": 0.5})
+    every = rows.select(*K).distinct().join(small(mid), K, "left").join(small(mad), K, "left")
+    return every.select(*K, "median", S.guard_zero(F.col("mad"), 1e-12).alias("mad"))
 
 
 def freshness(df: DataFrame, now: Column, every: int = 3600, stale: int = 3600, tail: int = 12) -> DataFrame:

@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .panel import carried, small
+from .panel import settled, small
 
 
-def asof_join(df: DataFrame, exog: DataFrame, cols: list[str]) -> DataFrame:
+def asof_join(df: DataFrame, exog: DataFrame, cols: list[str], bucket: int = 3600) -> DataFrame:
     """``df`` with the last value of each of ``cols`` of ``exog`` (ts, cols) at or before its ts; null before the first.
 
-    Both sides are stacked and filled forward by panel, in buckets; the external series, the small
-    side, is repeated for each panel. A value equal in time counts.
+    The answer depends on the time alone: the distinct timestamps of all panels are stacked with
+    the external rows and filled forward, all columns in one pass, in buckets of ``bucket`` seconds;
+    what a bucket starts with is carried over the buckets, one row each. A value equal in time counts; of external rows with one ts the largest value.
     """
-    stamps = df.select("panel_id", "ts").distinct()
-    side = exog.select("ts", *cols).crossJoin(small(df.select("panel_id").distinct()))
-    out = df
-    for c in cols:
-        both = stamps.select("panel_id", "ts", F.lit(None).cast("double").alias("value"), F.lit(1).alias("own")).unionByName(side.where(F.col(c).isNotNull()).select("panel_id", "ts", F.col(c).cast("double").alias("value"), F.lit(0).alias("own")))
-        # at equal ts the external row counts for its neighbours: one row a timestamp
-        flat = both.groupBy("panel_id", "ts").agg(F.max("value").alias("value"), F.max("own").alias("own")).withColumn("channel", F.lit(c))
-        filled = carried(flat).where("own = 1").select("panel_id", "ts", F.col("prev_value").alias(c))
-        out = out.join(filled, ["panel_id", "ts"], "left")
-    return out
+    place = F.floor(S.micros(F.col("ts")) / F.lit(bucket * S.MICROS))
+    columns = [F.col(f"`{c}`").cast("double").alias(c) for c in cols]
+    none = [F.lit(None).cast("double").alias(c) for c in cols]
+    both = df.select("ts").distinct().select("ts", *none, F.lit(1).alias("own")).unionByName(exog.select("ts", *columns).groupBy("ts").agg(*[F.max(f"`{c}`").alias(c) for c in cols], F.lit(0).alias("own")))
+    both = settled(both.where("ts is not null").withColumn("bucket", place), "stamps")
+    last = lambda c: F.max(F.when(F.col(f"`{c}`").isNotNull(), F.struct("ts", F.col(f"`{c}`").alias("v"))))["v"]
+    ends = both.groupBy("bucket").agg(*[last(c).alias(f"__{c}") for c in cols])
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
+    ends = ends.select("bucket", *[F.last(f"`__{c}`", ignorenulls=True).over(earlier).alias(f"__{c}") for c in cols])
+    # at equal ts the external row stands before the own one
+    w = Window.partitionBy("bucket").orderBy("ts", "own")
+    filled = both.join(small(ends), "bucket").select("ts", "own", *[F.coalesce(F.last(f"`{c}`", ignorenulls=True).over(w), F.col(f"`__{c}`")).alias(c) for c in cols]).where("own = 1").drop("own")
+    return df.join(filled, "ts", "left").select(*[df[c] for c in df.columns], *[F.col(f"`{c}`") for c in cols])
 
 
 def join_sources(df: DataFrame, sources: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from . import windows
 from .aggregates import median_mad
-from .panel import K, bounded, small
+from .panel import K, bounded, exact_quantiles, settled, small
 
 MODEL = "panel_id string, channel string, model string, lags array<int>, coef array<double>, intercept double, n long, mu double, sigma double"
 
@@ -92,47 +92,79 @@ def _bayes(xx: np.ndarray, xy: np.ndarray, yy: float, n: float, alpha: float, l1
 SOLVERS: dict[str, Callable] = {"ridge": _ridge, "linear": lambda *a: _ridge(*a[:4], 0.0, 0.0), "lasso": lambda *a: _elastic(*a[:5], 1.0), "elasticnet": _elastic, "bayesianridge": _bayes}
 
 
-def _solve(grams: DataFrame, steps: list[int], kind: str, alpha: float, l1: float) -> DataFrame:
+def _solve(grams: DataFrame, steps: list[int], kind: str | None, alpha: float, l1: float) -> DataFrame:
+    """Models from sums; ``kind`` None: each row has model, alpha, l1_ratio and size (of its own inputs) columns."""
     p = len(steps)
+    inputs = grams if kind is None else grams.withColumns({"model": F.lit(kind), "alpha": F.lit(float(alpha)), "l1_ratio": F.lit(float(l1))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
-                n, mx, xx, xy, my, yy = _moments(np.asarray(r.sums, dtype=float), p)
-                if n < p + 1:
+                width = int(np.sqrt(2 * len(r.sums))) - 2  # lags, then external inputs
+                n, mx, xx, xy, my, yy = _moments(np.asarray(r.sums, dtype=float), width)
+                if n < width + 1:
                     continue
                 sigma = np.sqrt(max(yy / n, 0)) or 1.0
                 # standardised by the target's spread; the coefficients stay those of raw units
-                b = SOLVERS[kind](xx / sigma**2, xy / sigma**2, yy / sigma**2, n, alpha, l1)
-                out.append((r.panel_id, r.channel, kind, steps, b.tolist(), float(my - b @ mx), int(r.n), float(my), float(sigma)))
+                b = SOLVERS[r.model](xx / sigma**2, xy / sigma**2, yy / sigma**2, n, r.alpha, r.l1_ratio)
+                out.append((r.panel_id, r.channel, r.model, steps, b.tolist(), float(my - b @ mx), int(r.n), float(my), float(sigma)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MODEL.split(", ")])
 
-    return grams.mapInPandas(run, MODEL)
+    return inputs.mapInPandas(run, MODEL)
 
 
-def fit_linear(df: DataFrame, kind: str = "ridge", lags: int | list[int] = 6, alpha: float = 1.0, l1_ratio: float = 0.5, every: int = 3600) -> DataFrame:
-    """One row a series: the linear model of its next value from its lags. Rows with weight 0 (column weight, if there) do not count."""
+def with_exog(df: DataFrame, channels: list[str]) -> DataFrame:
+    """The rows of other channels with exog: the values of ``channels`` at their timestamp, in that
+    order; a missing one takes the last before it, else the first after it, else 0."""
+    side = windows.interpolate_with(df.where(F.col("channel").isin(*channels)).select(*K, "ts", "value"), lambda: F.coalesce("value", "prev_value", "next_value", F.lit(0.0)))
+    at = side.groupBy("panel_id", "ts").agg(*[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(f"__e{i}") for i, c in enumerate(channels)])
+    out = df.where(~F.col("channel").isin(*channels)).join(at, ["panel_id", "ts"], "left")
+    return out.withColumn("exog", F.array(*[F.coalesce(f"__e{i}", F.lit(0.0)) for i in range(len(channels))])).drop(*[f"__e{i}" for i in range(len(channels))])
+
+
+def fit_linear(df: DataFrame, kind: str = "ridge", lags: int | list[int] = 6, alpha: float = 1.0, l1_ratio: float = 0.5, every: int = 3600, n_exog: int = 0) -> DataFrame:
+    """One row a series: the linear model of its next value from its lags, and from the ``n_exog`` external
+    values of its row (column exog). Rows with weight 0 (column weight, if there) do not count."""
     steps = list(range(1, lags + 1)) if isinstance(lags, int) else sorted(lags)
+    return _solve(gram(_inputs(df, steps, every), len(steps) + n_exog), steps, kind, alpha, l1_ratio)
+
+
+def _inputs(df: DataFrame, steps: list[int], every: int) -> DataFrame:
     lagged = windows.lag_features(df, steps, every)
-    if "weight" in df.columns:
-        lagged = lagged.where("weight > 0")
-    return _solve(gram(lagged, len(steps)), steps, kind, alpha, l1_ratio)
+    if "exog" in df.columns:
+        lagged = lagged.withColumn("lags", F.concat("lags", "exog"))
+    return lagged.where("weight > 0") if "weight" in df.columns else lagged
+
+
+def fit_specs(df: DataFrame, specs: DataFrame, every: int = 3600, n_exog: int = 0) -> DataFrame:
+    """Models by ``specs`` (panel_id, channel, model, params, lags; see ``resolve_specs``): each series its own
+    kind, parameters and lags. One pass of sums for each number of lags in the configuration."""
+    specs = settled(specs, "specs")
+    kinds = specs.select("model", "lags").distinct().collect()  # a configuration's
+    if unknown := sorted({r["model"] for r in kinds} - SOLVERS.keys()):
+        raise ValueError(f"unknown models {unknown}; known: {sorted(SOLVERS)}")
+    told = specs.select(*K, "model", "lags", F.coalesce(F.col("params")["alpha"], F.lit(1.0)).alias("alpha"), F.coalesce(F.col("params")["l1_ratio"], F.lit(0.5)).alias("l1_ratio"))
+    out = None
+    for lags in sorted({r["lags"] for r in kinds}):
+        own, steps = told.where(F.col("lags") == lags).drop("lags"), list(range(1, lags + 1))
+        part = _solve(gram(_inputs(df.join(small(own.select(*K)), K, "left_semi"), steps, every), lags + n_exog).join(small(own), K), steps, None, 0.0, 0.0)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.sparkSession.createDataFrame([], MODEL)
 
 
 def fit_huber(df: DataFrame, lags: int = 6, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 6, every: int = 3600) -> DataFrame:
     """Huber regression by reweighting: a Gram pass a round; residuals over epsilon scales weigh less."""
     steps = list(range(1, lags + 1))
-    lagged = windows.lag_features(df, steps, every).where("value is not null")
-    models = _solve(gram(lagged, lags), steps, "ridge", alpha, 0.0)
+    lagged = settled(windows.lag_features(df, steps, every).where("value is not null").select(*K, "ts", "value", "lags"), "lags")
+    models = settled(_solve(gram(lagged, lags), steps, "ridge", alpha, 0.0), "models")
     for _ in range(rounds):
-        rows = models.collect()  # a row for each series: the model table
-        now = small(df.sparkSession.createDataFrame(rows, MODEL).select(*K, "coef", "intercept"))
-        told = lagged.join(now, K).withColumn("r", F.abs(F.col("value") - F.col("intercept") - dot("lags", "coef")))
-        scale = told.groupBy(*K).agg((F.percentile("r", 0.5) / F.lit(0.6745)).alias("scale"))
-        limit = F.lit(epsilon) * F.greatest(F.col("scale"), F.lit(1e-12))
-        weighted = told.join(scale, K).withColumn("w", F.when(F.col("r") <= limit, 1.0).otherwise(limit / F.col("r")))
-        models = _solve(gram(weighted, lags, F.col("w")), steps, "ridge", alpha, 0.0)
+        told = lagged.join(small(models.select(*K, "coef", "intercept")), K).withColumn("r", F.abs(F.col("value") - F.col("intercept") - dot("lags", "coef")))
+        told = settled(told.drop("coef", "intercept"), "residuals")
+        scale = exact_quantiles(told, K, "r", {"scale": 0.5})
+        limit = F.lit(epsilon) * F.greatest(F.col("scale") / F.lit(0.6745), F.lit(1e-12))
+        weighted = told.join(small(scale), K).withColumn("w", F.when(F.col("r") <= limit, 1.0).otherwise(limit / F.col("r")))
+        models = settled(_solve(gram(weighted, lags, F.col("w")), steps, "ridge", alpha, 0.0), "models")
     return models.withColumn("model", F.lit("huber"))
 
 
@@ -140,17 +172,35 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def predict(df: DataFrame, models: DataFrame, every: int = 3600) -> DataFrame:
-    """``df`` with pred: one step ahead from observed lags; null without model or lag. No user code: a dot product."""
+def predict(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | None = None) -> DataFrame:
+    """``df`` with pred: one step ahead from observed lags (and exog, where the model has more coefficients
+    than lags); null without model or input. No user code: a dot product.
+
+    ``reach``: the longest lag, where it is known; else the model table is read for it.
+    """
     m = models.select(*K, F.col("lags").alias("__k"), "coef", "intercept")
-    reach = m.agg(F.max(F.array_max("__k"))).first()[0] or 1
+    if reach is None:
+        reach = m.agg(F.max(F.array_max("__k"))).first()[0] or 1
     out = bounded(df, {"__past": lambda w: F.array(*[F.lag("value", k).over(w) for k in range(1, reach + 1)])}, reach * every, 0)
     chosen = F.transform("__k", lambda k: F.get("__past", k - 1))
+    if "exog" in df.columns:
+        chosen = F.when(F.size("coef") > F.size("__k"), F.concat(chosen, "exog")).otherwise(chosen)
     out = out.join(small(m), K, "left").withColumn("__x", chosen)
-    whole = F.col("coef").isNotNull() & ~F.exists("__x", lambda v: v.isNull())
+    whole = F.col("coef").isNotNull() & (F.size("__x") == F.size("coef")) & ~F.exists("__x", lambda v: v.isNull())
     return out.withColumn("pred", F.when(whole, F.col("intercept") + dot("__x", "coef"))).drop("__past", "__k", "coef", "intercept", "__x")
 
 
+def differenced(df: DataFrame, every: int = 3600) -> DataFrame:
+    """``df`` with the change since the row before as value; the first row of a series falls away."""
+    return windows.difference(df, 1, every).withColumn("value", F.col("delta")).drop("delta")
+
+
+def predict_differenced(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | None = None) -> DataFrame:
+    """``df`` with pred of ``models`` of the changes, added to the value before."""
+    changes = predict(differenced(df, every), models, every, reach).select(*K, "ts", "pred")
+    return windows.integrate(df.join(changes, [*K, "ts"], "left"), every)
+
+
 def predict_naive(df: DataFrame, every: int = 3600) -> DataFrame:
     """``df`` with pred: the value before."""
     return bounded(df, {"pred": lambda w: F.lag("value").over(w)}, every, 0)
@@ -158,8 +208,8 @@ def predict_naive(df: DataFrame, every: int = 3600) -> DataFrame:
 
 def auto_clean(df: DataFrame, lags: int = 24, factor: float = 4.0, spread: int = 3, every: int = 3600) -> DataFrame:
     """``df`` with cleaned: residuals of a ridge pass above median + ``factor`` MAD, spread by ``spread`` rows."""
-    told = predict(df, fit_linear(df, "ridge", lags, 1.0, every=every), every)
-    told = told.withColumn("__r", F.abs(F.col("value") - F.col("pred")))
+    told = predict(df, fit_linear(df, "ridge", lags, 1.0, every=every), every, lags)
+    told = settled(told.withColumn("__r", F.abs(F.col("value") - F.col("pred"))), "residuals")
     limits = small(median_mad(told.select(*K, F.col("__r").alias("value"))))
     hit = F.coalesce(F.col("__r") > F.col("median") + factor * F.col("mad"), F.lit(False))
     out = windows.dilate(told.join(limits, K, "left").withColumn("cleaned", hit.cast("int")), spread, "cleaned", every)
@@ -189,27 +239,59 @@ def resolve_specs(channels: DataFrame, specs: DataFrame) -> DataFrame:
     return out.select(*K, model.alias("model"), merged.alias("params"), F.coalesce("lags_2", "lags_1", "lags_0").alias("lags"))
 
 
-def train(df: DataFrame, kind: str = "ridge", lags: int = 6, alpha: float = 1.0, split: tuple[int, int, int] = (80, 10, 10), every: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """(models, evaluation): fitted on train rows; rmse and mae on val and test rows with real lags."""
+def train(df: DataFrame, kind: str = "ridge", lags: int = 6, alpha: float = 1.0, split: tuple[int, int, int] = (80, 10, 10), every: int = 3600, specs: DataFrame | None = None, exog: list[str] = (), difference: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(models, evaluation): fitted on train rows; rmse and mae on val and test rows with real lags.
+
+    ``specs``: configured models (see ``resolve_specs``), each series by its own; else all by ``kind``,
+    ``lags`` and ``alpha``. ``exog``: channels that are inputs at their timestamp, not targets.
+    ``difference``: models of the changes, predictions in raw units. The split frame and the models are settled.
+    """
     from .aggregates import eval_metrics
 
-    parts = windows.chronological_split(df, *split)
-    models = fit_linear(prepare_channels(sample_weight(parts.where("split = 'train'").drop("rn", "n"), lags, every), lags), kind, lags, alpha, every=every)
-    told = predict(parts, models, every)
-    of = lambda s: eval_metrics(told.where(F.col("split") == s)).select(*K, F.col("rmse").alias(f"{s}_rmse"), F.col("mae").alias(f"{s}_mae"))
-    return models, of("val").join(of("test"), K, "full")
+    if exog:
+        df = with_exog(df, list(exog))
+    parts = settled(windows.chronological_split(df, *split), "split")
+    learn = parts.where("split = 'train'").drop("rn", "n", "split")
+    if specs is not None:
+        specs = settled(resolve_specs(learn, specs), "specs")
+        lags = specs.agg(F.max("lags")).first()[0] or lags
+    learn = prepare_channels(sample_weight(learn, lags, every), lags)
+    if difference:
+        learn = differenced(learn, every)
+    if specs is None:
+        models = fit_linear(learn, kind, lags, alpha, every=every, n_exog=len(exog))
+    else:
+        models = fit_specs(learn, specs, every, len(exog))
+    models = settled(models, "models")
+    told = (predict_differenced if difference else predict)(parts, models, every, lags)
+    told = told.where("split <> 'train'")
+    scores = eval_metrics(told.withColumn("channel", F.concat_ws("\u0001", "channel", "split")))
+    scores = scores.select("panel_id", F.split_part("channel", F.lit("\u0001"), F.lit(1)).alias("channel"), F.split_part("channel", F.lit("\u0001"), F.lit(2)).alias("split"), "rmse", "mae")
+    of = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
+    return models, scores.groupBy(*K).agg(*[of(s, c) for s in ("val", "test") for c in ("rmse", "mae")])
+
+
+#: Numbers that stand for a series among the trees' inputs.
+SERIES_CODES = 4
 
 
 def fit_trees(df: DataFrame, lags: int = 6, depth: int = 4, rounds: int = 10, seed: int = 42, every: int = 3600) -> DataFrame:
-    """``df`` rows that have lags with pred of gradient-boosted trees, pooled over the series: lags and the series' number."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    """``df`` rows that have lags with pred of gradient-boosted trees, pooled over the series.
+
+    Inputs: standardised lags, the series' log spread and mean over spread, and SERIES_CODES numbers
+    hashed from its name, so that trees can tell any number of series apart by thresholds.
+    """
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
 
-    rows = standardize(windows.lag_features(df, lags, every).where("value is not null")).withColumn("series", F.concat_ws("/", *K))
-    rows = rows.withColumn("x", array_to_vector(F.transform("lags", lambda v: (v - F.col("mu")) / F.col("sigma"))))
-    rows = StringIndexer(inputCol="series", outputCol="number").fit(rows).transform(rows)
-    rows = VectorAssembler(inputCols=["number", "x"], outputCol="features").transform(rows)
+    rows = settled(windows.lag_features(df, lags, every).where("value is not null").select(*K, "ts", "value", "lags"), "lags")
+    rows = standardize(rows)
+    codes = [F.pmod(F.xxhash64(*K, F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20)) for i in range(SERIES_CODES)]
+    statistics = [F.log("sigma"), F.col("mu") / F.col("sigma"), *codes]
+    rows = rows.withColumn("x", array_to_vector(F.concat(F.transform("lags", lambda v: (v - F.col("mu")) / F.col("sigma")), F.array(*statistics))))
+    rows = settled(rows.select(*K, "ts", "value", "mu", "sigma", "z", "x"), "inputs")
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
     model = GBTRegressor(featuresCol="features", labelCol="z", predictionCol="p", maxDepth=depth, maxIter=rounds, seed=seed, subsamplingRate=1.0).fit(rows)
     return model.transform(rows).select(*K, "ts", "value", (F.col("p") * F.col("sigma") + F.col("mu")).alias("pred"))
 

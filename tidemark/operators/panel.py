@@ -9,7 +9,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -97,3 +102,64 @@ def small(df: DataFrame) -> DataFrame:
     would run the plan below it twice.
     """
     return df
+
+
+# --------------------------------------------------------------- tables between steps
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of tables between steps: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local session gets a temporary folder, removed at exit; a cluster, whose
+    machines would not see it, gets an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read again: what is used several times is computed
+    once, plans stay short, and lost executors do not lose it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# --------------------------------------------------------------- quantiles
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, q: dict[str, float | str], per: DataFrame | None = None, cells: int = 32) -> DataFrame:
+    """(keys, names of ``q``): exact quantiles of ``value`` with linear interpolation; keys without a value are absent.
+
+    ``q``: a quantile for each name, or the column of ``per`` (keys, columns) that holds a key's own.
+    A mergeable sketch cuts each key's values into ``cells``; counts of the cells tell in which the
+    wanted ranks lie, and only these are ordered, equal values counted together. No task holds or
+    orders a key's values. ``df`` is read three times: settle it first if it is a long plan.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", [i / cells for i in range(1, cells)], 1000).alias("__cuts"))
+    if per is not None:
+        ends = ends.join(small(per), keys)
+    places = [(name, (F.col(x) if isinstance(x, str) else F.lit(float(x))) * (F.col("__n") - 1)) for name, x in q.items()]
+    ends = ends.withColumn("__places", F.array(*[p for _, p in places]))
+    placed = rows.join(small(ends.select(*keys, "__cuts")), keys).select(*keys, "__v", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__cell"))
+    counts = placed.groupBy(*keys, "__cell").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__cell")) - F.col("__c")  # as many rows as cells
+    wanted = counts.withColumn("__before", before).join(small(ends.select(*keys, "__places")), keys)
+    ranks = F.array_distinct(F.flatten(F.transform("__places", lambda p: F.array(F.floor(p), F.ceil(p)))))
+    wanted = wanted.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))).where(F.size("__ranks") > 0)
+    near = placed.join(small(wanted.select(*keys, "__cell", "__before", "__ranks")), [*keys, "__cell"]).groupBy(*keys, "__cell", "__before", "__ranks", "__v").agg(F.count("*").alias("__c"))
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__cell").orderBy("__v"))
+    hits = near.withColumn("__upto", upto).withColumn("__rank", F.explode(F.filter("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c")))))
+    found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))  # two ranks a name
+    out = found.join(small(ends.drop("__cuts")), keys)
+
+    def at(p: Column) -> Column:
+        a, b = F.col("__at")[F.floor(p)], F.col("__at")[F.ceil(p)]
+        return a + (b - a) * (p - F.floor(p))
+
+    return out.select(*keys, *[at(p).alias(name) for name, p in places])

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from . import joins
-from .panel import small
+from .panel import exact_quantiles, settled, small
+
+#: Rows with group, value, pred, fit and evaluated -> (panel_id, group, ts, fit, evaluated, score).
+Scorer = Callable[[DataFrame], DataFrame]
 
 
-def score_norm(df: DataFrame, order: float = 4.0) -> DataFrame:
-    """(panel_id, group, ts, score): the L^order norm of the channels' residuals; null if one is missing."""
+def score_norm(df: DataFrame, order: float = 4.0, extra: list[str] = ()) -> DataFrame:
+    """(panel_id, group, ts, extra, score): the L^order norm of the channels' residuals; null if one is missing."""
     r = F.abs(F.col("value") - F.col("pred"))
-    out = df.groupBy("panel_id", "group", "ts").agg(F.sum(F.pow(r, F.lit(float(order)))).alias("s"), F.count(r).alias("k"), F.count("*").alias("n"))
-    return out.select("panel_id", "group", "ts", F.when(F.col("k") == F.col("n"), F.pow("s", F.lit(1.0 / order))).alias("score"))
+    keys = ["panel_id", "group", "ts", *extra]
+    out = df.groupBy(*keys).agg(F.sum(F.pow(r, F.lit(float(order)))).alias("s"), F.count(r).alias("k"), F.count("*").alias("n"))
+    return out.select(*keys, F.when(F.col("k") == F.col("n"), F.pow("s", F.lit(1.0 / order))).alias("score"))
 
 
 def group_quantiles(groups: DataFrame, q: float = 0.99) -> DataFrame:
@@ -27,18 +33,10 @@ def group_quantiles(groups: DataFrame, q: float = 0.99) -> DataFrame:
 def fit_threshold(fit: DataFrame, q: float | DataFrame = 0.99, low: float = 0.01) -> DataFrame:
     """(panel_id, group, threshold, q_low): exact quantiles of the fit scores.
 
-    ``q``: one quantile, or a table (panel_id, group, q): then each group's own. The quantile of a
-    group follows from its sorted scores by rank, with linear interpolation.
+    ``q``: one quantile, or a table (panel_id, group, q): then each group's own.
     """
-    if not isinstance(q, DataFrame):
-        return fit.groupBy("panel_id", "group").agg(F.percentile("score", q).alias("threshold"), F.percentile("score", low).alias("q_low"))
-    lows = fit.groupBy("panel_id", "group").agg(F.percentile("score", low).alias("q_low"))
-    w = Window.partitionBy("panel_id", "group")
-    ranked = fit.where("score is not null").join(small(q), ["panel_id", "group"]).withColumns({"rn": F.row_number().over(w.orderBy("score")) - 1, "n": F.count("*").over(w)})
-    place = F.col("q") * (F.col("n") - 1)
-    near = ranked.where(F.col("rn").isin(-1) | (F.col("rn") == F.floor(place)) | (F.col("rn") == F.ceil(place)))
-    ends = near.groupBy("panel_id", "group", "q", "n").agg(F.min("score").alias("a"), F.max("score").alias("b"))
-    return ends.join(lows, ["panel_id", "group"]).select("panel_id", "group", (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("threshold"), "q_low")
+    own = q if isinstance(q, DataFrame) else None
+    return exact_quantiles(fit, ["panel_id", "group"], "score", {"threshold": "q" if own is not None else q, "q_low": low}, own)
 
 
 def flag(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -70,12 +68,35 @@ def group_details(scored: DataFrame, groups: list[str]) -> DataFrame:
     return scored.groupBy("panel_id", "ts").agg(*[of(g, c).alias(f"group_{g}_{n}") for g in groups for c, n in (("score", "raw"), ("normalized", "normalized"), ("threshold", "threshold"), ("flag", "flag"))])
 
 
-def score_grouped(fit: DataFrame, rows: DataFrame, groups: DataFrame, q: float = 0.99, order: float = 4.0) -> DataFrame:
+def norm_scorer(order: float = 4.0) -> Scorer:
+    """The default scorer: the L^order norm needs no fit; rows ``fit`` and others are scored alike."""
+    return lambda rows: score_norm(rows, order, ["fit", "evaluated"])
+
+
+def score_rows(rows: DataFrame, groups: DataFrame, q: float = 0.99, order: float = 4.0, scorer: Scorer | None = None) -> DataFrame:
+    """Long group scores of the rows ``evaluated``, with thresholds fitted on the rows ``fit`` (both flags of a
+    timestamp; a row may be both or neither).
+
+    ``scorer``: rows with group, value and pred -> (panel_id, group, ts, score, fit, evaluated); by
+    default the norm of ``order``, see ``ml_scorers`` for learned ones. One pass: each row is scored
+    once and the scores, one row a group and timestamp, are settled for the threshold and the flags.
+    """
+    scores = (scorer or norm_scorer(order))(joins.assign_groups(rows, groups))
+    scores = settled(scores, "scores")
+    fit = scores.where("fit").select("panel_id", "group", "score")
+    bare = fit.select("panel_id", "group").distinct().join(small(group_quantiles(groups, q)), ["panel_id", "group"], "left").select("panel_id", "group", F.coalesce("q", F.lit(q)).alias("q"))
+    return flag(scores.where("evaluated").drop("fit", "evaluated"), fit_threshold(fit, bare))
+
+
+def score_grouped(fit: DataFrame, rows: DataFrame, groups: DataFrame, q: float = 0.99, order: float = 4.0, scorer: Scorer | None = None) -> DataFrame:
     """Long group scores of ``rows`` with thresholds fitted on ``fit``; both with value and pred."""
-    quantiles = group_quantiles(groups, q)
-    scored_fit = score_norm(joins.assign_groups(fit, groups), order)
-    bare = scored_fit.select("panel_id", "group").distinct().join(quantiles, ["panel_id", "group"], "left").select("panel_id", "group", F.coalesce("q", F.lit(q)).alias("q"))
-    return flag(score_norm(joins.assign_groups(rows, groups), order), fit_threshold(scored_fit, bare))
+    columns = ["panel_id", "channel", "ts", "value", "pred"]
+    if fit is rows:
+        both = rows.select(*columns, F.lit(True).alias("fit"), F.lit(True).alias("evaluated"))
+    else:
+        side = lambda df, is_fit: df.select(*columns, F.lit(is_fit).alias("fit"), F.lit(not is_fit).alias("evaluated"))
+        both = side(fit, True).unionByName(side(rows, False))
+    return score_rows(both, groups, q, order, scorer)
 
 
 def system_groups(df: DataFrame) -> DataFrame:
@@ -97,9 +118,9 @@ def contributions(df: DataFrame, scores: DataFrame) -> DataFrame:
 def trim_fit(fit: DataFrame, q: float = 0.95, least: int = 10) -> DataFrame:
     """Fit rows without the timestamps whose mean absolute error is above the panel's quantile ``q``;
     a panel that would keep fewer than ``least`` keeps all."""
-    errors = fit.groupBy("panel_id", "ts").agg(F.avg(F.abs(F.col("value") - F.col("pred"))).alias("e"))
-    cut = small(errors.groupBy("panel_id").agg(F.percentile("e", q).alias("__cut")))
-    kept = errors.join(cut, "panel_id").withColumn("ok", F.coalesce(F.col("e") <= F.col("__cut"), F.lit(False)))
+    errors = settled(fit.groupBy("panel_id", "ts").agg(F.avg(F.abs(F.col("value") - F.col("pred"))).alias("e")), "errors")
+    cut = small(exact_quantiles(errors, ["panel_id"], "e", {"__cut": q}))
+    kept = errors.join(cut, "panel_id", "left").withColumn("ok", F.coalesce(F.col("e") <= F.col("__cut"), F.lit(False)))
     enough = small(kept.groupBy("panel_id").agg((F.count_if("ok") >= least).alias("enough")))
     keep = kept.join(enough, "panel_id").where("ok or not enough").select("panel_id", "ts")
     return fit.join(keep, ["panel_id", "ts"], "left_semi")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .panel import BUCKET, K, bounded, carried, row_numbers, small
+from .panel import BUCKET, K, bounded, carried, row_numbers, settled, small
 
 
 def grid(df: DataFrame, every: int) -> DataFrame:
@@ -75,6 +77,11 @@ def bfill(df: DataFrame) -> DataFrame:
     return carried(df).withColumn("value", F.col("next_value")).drop("prev_ts", "prev_value", "next_ts", "next_value")
 
 
+def interpolate_with(df: DataFrame, fill: Callable[[], Column]) -> DataFrame:
+    """``df`` with value by ``fill``, an expression of value, prev_value, next_value, prev_ts and next_ts."""
+    return carried(df).withColumn("value", fill()).drop("prev_ts", "prev_value", "next_ts", "next_value")
+
+
 def interpolate_time(df: DataFrame) -> DataFrame:
     """Linear in time between observations; the ends constant."""
     t, a, b = (S.micros(F.col(c)) for c in ("ts", "prev_ts", "next_ts"))
@@ -182,6 +189,17 @@ def adjust_window(bounds: DataFrame, hist: int, least: int = 100, ratio: float =
     return bounds.withColumns({"window_start": F.when(problem.isNull(), first), "window_end": F.when(problem.isNull(), last), "problem": problem})
 
 
+def _placed(stamps: DataFrame, models: DataFrame, scope: str, train: int, val: int) -> DataFrame:
+    """(panel_id, ts, rn, n, unseen) of timestamps (panel_id, ts)."""
+    placed = row_numbers(stamps, ["panel_id"])
+    if scope == "all":
+        return placed.withColumn("unseen", F.lit(True))
+    placed = placed.join(small(models.select("panel_id", "test_start", "train_end", "train_size")), "panel_id", "left")
+    cut = F.floor(F.col("n") * train / 100) + F.floor(F.col("n") * val / 100)
+    unseen = F.coalesce(F.col("ts") >= F.col("test_start"), F.col("ts") > F.col("train_end"), F.col("rn") > F.col("train_size"), F.col("rn") > cut)
+    return placed.select("panel_id", "ts", "rn", "n", unseen.alias("unseen"))
+
+
 def unseen_split(df: DataFrame, models: DataFrame, scope: str = "unseen", train: int = 80, val: int = 10) -> DataFrame:
     """``df`` with unseen: by the model's test_start (>=), else train_end (>), else train_size (rows), else percentages.
 
@@ -189,10 +207,30 @@ def unseen_split(df: DataFrame, models: DataFrame, scope: str = "unseen", train:
     """
     if scope == "all":
         return df.withColumn("unseen", F.lit(True))
-    stamps = row_numbers(df.select("panel_id", "ts").distinct(), ["panel_id"]).join(small(models.select("panel_id", "test_start", "train_end", "train_size")), "panel_id", "left")
-    cut = F.floor(F.col("n") * train / 100) + F.floor(F.col("n") * val / 100)
-    unseen = F.coalesce(F.col("ts") >= F.col("test_start"), F.col("ts") > F.col("train_end"), F.col("rn") > F.col("train_size"), F.col("rn") > cut)
-    return df.join(stamps.select("panel_id", "ts", unseen.alias("unseen")), ["panel_id", "ts"])
+    stamps = _placed(df.select("panel_id", "ts").distinct(), models, scope, train, val)
+    return df.join(stamps.select("panel_id", "ts", "unseen"), ["panel_id", "ts"])
+
+
+def scoring_windows(df: DataFrame, models: DataFrame, hist: int, scope: str = "unseen", target=None, least: int | None = None, ratio: float = 0.6, train: int = 80, val: int = 10) -> DataFrame:
+    """(panel_id, ts, fit, evaluated) of each unseen timestamp up to the end of the evaluation window.
+
+    The window: the last ``hist`` unseen timestamps of a panel, or those that end at the last one not
+    after ``target``; what is unseen before it fits the scorer. ``least``: the window gives way where
+    there are too few rows (see ``adjust_window``); a panel for which that fails has no rows.
+    """
+    stamps = settled(df.select("panel_id", "ts").distinct(), "stamps")
+    placed = settled(_placed(stamps, models, scope, train, val).where("unseen"), "placed")
+    upto = F.lit(True) if target is None else S.micros(F.col("ts")) <= S.micros(F.lit(target).cast("timestamp"))
+    # unseen timestamps are the last ones of a panel: their places follow each other
+    ends = placed.groupBy("panel_id").agg(F.min("rn").alias("first"), F.count("*").alias("n"), F.count_if(upto).alias("end"))
+    ends = ends.withColumn("start", F.greatest(F.lit(0), F.col("end") - hist))
+    if least is None:
+        ends = ends.withColumns({"window_start": F.col("start"), "window_end": F.col("end")})
+    else:
+        ends = adjust_window(ends, hist, least, ratio)
+    at = F.col("rn") - F.col("first")
+    out = placed.join(small(ends.select("panel_id", "first", "window_start", "window_end")), "panel_id").where(at < F.col("window_end"))
+    return out.select("panel_id", "ts", (at < F.col("window_start")).alias("fit"), (at >= F.col("window_start")).alias("evaluated"))
 
 
 def residual_windows(df: DataFrame, w: int, every: int = 3600) -> DataFrame:

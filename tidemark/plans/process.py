@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters, imputation, joins, windows
+from ..operators.panel import settled, small
 
 
 def pipeline(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -42,6 +43,6 @@ def process(raw: DataFrame, exog: DataFrame | None = None, every: int = 3600, fl
 
 def prepare_panel(df: DataFrame, intervals: DataFrame, buffer: int = 0) -> DataFrame:
     """The processed panel with known windows blanked and filled again, as targets with roles."""
-    again = imputation.reimpute_known(df, intervals, buffer)
+    again = settled(imputation.reimpute_known(df, intervals, buffer), "panel")
     roles = filters.classify_channels(again)
-    return again.join(F.broadcast(roles.select("panel_id", "channel", "role")), ["panel_id", "channel"])
+    return again.join(small(roles.select("panel_id", "channel", "role")), ["panel_id", "channel"])

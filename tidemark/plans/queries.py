@@ -20,7 +20,7 @@ from ..operators import models as M
 from ..operators import ranking as R
 from ..operators import scoring as C
 from ..operators import windows as W
-from ..operators.panel import K
+from ..operators.panel import K, settled
 from ..sources import tables as T
 from . import detect as D
 from . import process as P
@@ -49,13 +49,33 @@ def shown(df: DataFrame) -> DataFrame:
 
 def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None = None, ts: str = "", num: str = "") -> None:
     """Registers a query and its SQL; ``ts`` and ``num`` name the SQL's time and double columns."""
-    QUERIES[name] = lambda spark, folder: shown(f(spark, folder))
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        _settled.clear()  # each query computes its own inputs
+        return shown(f(spark, folder))
+
+    QUERIES[name] = run
     if sql:
         replace = [f"strftime({c}, '{TIME}') AS {c}" for c in ts.split()] + [f"round({c} + {NUDGE}, 6) + 0.0 AS {c}" for c in num.split()]
         with_, _, body = sql.rpartition("--main")
         ORACLES[name] = f"{with_}SELECT * {'REPLACE (' + ', '.join(replace) + ')' if replace else ''} FROM ({body}) q"
 
 
+#: Settled inputs of the query that is being built.
+_settled: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """An input that a query computes once and settles, however often it names it."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        if (f.__name__, d) not in _settled:
+            _settled[f.__name__, d] = settled(f(s, d), f.__name__)
+        return _settled[f.__name__, d]
+
+    return run
+
+
 # ------------------------------------------------------------------ inputs, Spark
 def raw(s: SparkSession, d: str) -> DataFrame:
     return T.events_panel(s, d)
@@ -65,19 +85,11 @@ def hourly(s: SparkSession, d: str) -> DataFrame:
     return W.resample_mean(raw(s, d), 3600)
 
 
+@once
 def panel(s: SparkSession, d: str) -> DataFrame:
     return I.impute(hourly(s, d))
 
 
-def naive(s: SparkSession, d: str) -> DataFrame:
-    return M.predict_naive(panel(s, d))
-
-
-def whole(s: SparkSession, d: str) -> DataFrame:
-    """Naive predictions where there is one."""
-    return naive(s, d).where("pred is not null")
-
-
 def intervals(s: SparkSession) -> DataFrame:
     return s.sql("SELECT 0 AS window_id, timestamp'2024-01-10 00:00:00' AS start_ts, timestamp'2024-01-10 23:00:00' AS end_ts UNION ALL SELECT 1, timestamp'2024-01-20 06:00:00', timestamp'2024-01-20 18:00:00' UNION ALL SELECT 2, timestamp'2024-01-25 00:00:00', timestamp'2024-01-24 00:00:00'")
 
@@ -96,15 +108,27 @@ def views(s: SparkSession, d: str) -> DataFrame:
     return r.groupBy(S.ceil_to(F.col("ts"), 3600).alias("ts")).agg(F.avg("value").alias("load"))
 
 
+@once
+def naive(s: SparkSession, d: str) -> DataFrame:
+    return M.predict_naive(panel(s, d))
+
+
+def whole(s: SparkSession, d: str) -> DataFrame:
+    """Naive predictions where there is one."""
+    return naive(s, d).where("pred is not null")
+
+
+@once
 def system_scores(s: SparkSession, d: str) -> DataFrame:
     """Scores of every row, thresholds on all of them."""
-    return C.combine_groups(D.score_all(panel(s, d), None))
+    return C.combine_groups(D.score_told(naive(s, d)))
 
 
 def group_scores(s: SparkSession, d: str) -> DataFrame:
-    return D.score_all(panel(s, d), None, groups(s))
+    return D.score_told(naive(s, d), groups(s))
 
 
+@once
 def regions(s: SparkSession, d: str) -> DataFrame:
     return W.anomaly_regions(system_scores(s, d))
 
@@ -279,8 +303,8 @@ add("readiness", lambda s, d: A.readiness(raw(s, d).select("panel_id").distinct(
 
 
 def strategies(s: SparkSession, d: str) -> DataFrame:
-    p = panel(s, d)
-    return C.combine_groups(D.score_all(p, None)).withColumn("strategy", F.lit("norm4")).unionByName(C.combine_groups(D.score_all(p, None, q=0.95, order=2.0)).withColumn("strategy", F.lit("norm2")))
+    told = naive(s, d)
+    return C.combine_groups(D.score_told(told)).withColumn("strategy", F.lit("norm4")).unionByName(C.combine_groups(D.score_told(told, q=0.95, order=2.0)).withColumn("strategy", F.lit("norm2")))
 
 
 STRAT = SYSTEM + """, sc2 AS (SELECT panel_id, ts, sqrt(sum(pow(value - pred, 2))) AS score FROM whole GROUP BY panel_id, ts),
@@ -369,7 +393,7 @@ add("combine_groups", lambda s, d: C.combine_groups(group_scores(s, d)), select(
 add("group_details", lambda s, d: C.group_details(group_scores(s, d).where("panel_id = '0'"), ["money", "web"]).select("panel_id", "ts", "group_money_raw", "group_web_normalized", "group_web_flag"), select(GROUPED, "SELECT panel_id, ts, max(score) FILTER (grp = 'money') AS group_money_raw, max(normalized) FILTER (grp = 'web') AS group_web_normalized, max(flag) FILTER (grp = 'web') AS group_web_flag FROM gf WHERE panel_id = '0' GROUP BY panel_id, ts"), "ts", "group_money_raw group_web_normalized")
 TRIM = NAIVE + ", te AS (SELECT panel_id, ts, avg(abs(value - pred)) AS e FROM whole GROUP BY ALL), tc AS (SELECT panel_id, quantile_cont(e, 0.9) AS c FROM te GROUP BY panel_id)"
 add("trim_fit", lambda s, d: C.trim_fit(whole(s, d), 0.9).select(*K, "ts"), select(TRIM, "SELECT w.panel_id, w.channel, w.ts FROM whole w JOIN te ON te.panel_id = w.panel_id AND te.ts = w.ts JOIN tc ON tc.panel_id = w.panel_id WHERE e <= c"), "ts")
-add("flag_overlap", lambda s, d: J.flag_overlap(*[C.combine_groups(D.score_all(panel(s, d), None, q=q, order=o)) for q, o in ((0.99, 4.0), (0.95, 2.0))]), select(STRAT + ", fo AS (SELECT a.panel_id, a.anomaly_flag AS x, b.anomaly_flag AS y, a.anomaly_score AS p, b.anomaly_score AS q FROM strat a JOIN strat b ON a.strategy = 'norm4' AND b.strategy = 'norm2' AND a.panel_id = b.panel_id AND a.ts = b.ts)", "SELECT panel_id, count(*) AS rows, CAST(sum(x) AS BIGINT) AS flags_a, CAST(sum(y) AS BIGINT) AS flags_b, CAST(sum(CAST(x = 1 AND y = 0 AS INTEGER)) AS BIGINT) AS only_a, CAST(sum(CAST(x = 0 AND y = 1 AS INTEGER)) AS BIGINT) AS only_b, CAST(sum(x * y) AS BIGINT) AS both, median(p) AS median_a, median(q) AS median_b, avg(x) AS rate_a, avg(y) AS rate_b, sum(x * y) / nullif(sum(greatest(x, y)), 0) AS jaccard FROM fo GROUP BY panel_id"), "", "median_a median_b rate_a rate_b jaccard")
+add("flag_overlap", lambda s, d: J.flag_overlap(*[C.combine_groups(D.score_told(naive(s, d), q=q, order=o)) for q, o in ((0.99, 4.0), (0.95, 2.0))]), select(STRAT + ", fo AS (SELECT a.panel_id, a.anomaly_flag AS x, b.anomaly_flag AS y, a.anomaly_score AS p, b.anomaly_score AS q FROM strat a JOIN strat b ON a.strategy = 'norm4' AND b.strategy = 'norm2' AND a.panel_id = b.panel_id AND a.ts = b.ts)", "SELECT panel_id, count(*) AS rows, CAST(sum(x) AS BIGINT) AS flags_a, CAST(sum(y) AS BIGINT) AS flags_b, CAST(sum(CAST(x = 1 AND y = 0 AS INTEGER)) AS BIGINT) AS only_a, CAST(sum(CAST(x = 0 AND y = 1 AS INTEGER)) AS BIGINT) AS only_b, CAST(sum(x * y) AS BIGINT) AS both, median(p) AS median_a, median(q) AS median_b, avg(x) AS rate_a, avg(y) AS rate_b, sum(x * y) / nullif(sum(greatest(x, y)), 0) AS jaccard FROM fo GROUP BY panel_id"), "", "median_a median_b rate_a rate_b jaccard")
 DETECT = SPLIT + """, dn AS (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM panel), un AS (SELECT d.* FROM dn d JOIN split s ON s.panel_id = d.panel_id AND s.ts = d.ts WHERE split = 'test'),
 ew AS (SELECT panel_id, ts, row_number() OVER (PARTITION BY panel_id ORDER BY ts DESC) <= 24 AS ev FROM (SELECT DISTINCT panel_id, ts FROM un)),
 ds AS (SELECT u.panel_id, u.ts, any_value(ev) AS ev, min(observed) AS o, pow(sum(pow(abs(value - pred), 4)), 0.25) AS score FROM un u JOIN ew e ON e.panel_id = u.panel_id AND e.ts = u.ts GROUP BY u.panel_id, u.ts),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import models, windows
-from ..operators.panel import K
+from ..operators.panel import K, settled, small
 
 PENALTY = 1e12
 
@@ -25,7 +26,7 @@ def expand_space(spark: SparkSession, spec: dict[str, dict], n: int = 10, seed:
                 if name == "lags":
                     lags = rng.choice(values)
                 elif len(values) == 3 and values[2] == "log10":
-                    params[name] = 10 ** rng.uniform(np.log10(values[0]), np.log10(values[1]))
+                    params[name] = float(10 ** rng.uniform(math.log10(values[0]), math.log10(values[1])))
                 else:
                     params[name] = float(rng.uniform(*values))
             rows.append((len(rows), model, params, lags))
@@ -37,7 +38,7 @@ def trial_budget(series: DataFrame, budgets: DataFrame) -> DataFrame:
     own = budgets.where("panel_id is not null and channel is not null").select(*K, F.col("trials").alias("a"))
     panel = budgets.where("panel_id is not null and channel is null").select("panel_id", F.col("trials").alias("b"))
     every = budgets.where("panel_id is null").agg(F.max("trials").alias("c"))
-    return series.select(*K).distinct().join(F.broadcast(own), K, "left").join(F.broadcast(panel), "panel_id", "left").crossJoin(F.broadcast(every)).select(*K, F.coalesce("a", "b", "c").alias("trials"))
+    return series.select(*K).distinct().join(small(own), K, "left").join(small(panel), "panel_id", "left").crossJoin(F.broadcast(every)).select(*K, F.coalesce("a", "b", "c").alias("trials"))
 
 
 def one_step_fold(df: DataFrame, train: int = 60, val: int = 20, test: int = 20) -> DataFrame:
@@ -69,7 +70,7 @@ def tune(df: DataFrame, candidates: DataFrame, train: int = 60, val: int = 20, t
     """
     tried = candidates.collect()  # the search space, as given
     p = max(r["lags"] for r in tried)
-    lagged = windows.lag_features(one_step_fold(df, train, val, test), p, every)
+    lagged = settled(windows.lag_features(one_step_fold(df, train, val, test), p, every).select(*K, "ts", "value", "split", "lags"), "lags")
     of = lambda s, n: models.gram(lagged.where(F.col("split") == s), p).select(*K, F.col("sums").alias(n))
     both = of("train", "a").join(of("val", "b"), K)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators.panel import clean
+from ..operators.panel import clean, small
 
 PANEL = "channel string, ts timestamp, value double, panel_id string"
 VERSION = r"^\d{8}_\d{6}$"
@@ -63,7 +63,7 @@ def latest_model(models: DataFrame, version: str | None = None) -> DataFrame:
     if version is not None:
         return models.where(F.col("version") == version)
     newest = models.groupBy("panel_id").agg(F.max("version").alias("version"))
-    return models.join(F.broadcast(newest), ["panel_id", "version"])
+    return models.join(small(newest), ["panel_id", "version"])
 
 
 def save_models(models: DataFrame, path: str, version: str) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates, joins, ranking, windows
-from ..operators.panel import K, clean
+from ..operators.panel import K, clean, small
 
 
 def stream_panels(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -103,7 +103,7 @@ def choose_live_base(live: DataFrame | None, baseline: DataFrame | None, behind:
     differ = ranking.schema_diff(live, baseline).select("panel_id").distinct().withColumn("differ", F.lit(True))
     told = ends(baseline, "b").join(ends(live, "l"), "panel_id", "full").join(differ, "panel_id", "left")
     late = F.col("l").isNull() | F.coalesce(F.col("differ"), F.lit(False)) | (S.micros(F.col("b")) - S.micros(F.col("l")) > behind * S.MICROS)
-    told = F.broadcast(told.select("panel_id", (F.coalesce(late, F.lit(False)) & F.col("b").isNotNull()).alias("__renew")))
+    told = small(told.select("panel_id", (F.coalesce(late, F.lit(False)) & F.col("b").isNotNull()).alias("__renew")))
     columns = [c for c in live.columns if c in baseline.columns]
     side = lambda df, renew: df.select(*columns).join(told.where(F.col("__renew") if renew else ~F.col("__renew")).select("panel_id"), "panel_id", "left_semi")
     return side(live, False).unionByName(side(baseline, True))
@@ -140,7 +140,7 @@ def stream_score(stream: DataFrame, models: DataFrame) -> DataFrame:
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    rows = stream.join(F.broadcast(models.select(*K, "lags", "coef", "intercept")), K)
+    rows = stream.join(small(models.select(*K, "lags", "coef", "intercept")), K)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         past = list(state.get[0]) if state.exists else []
