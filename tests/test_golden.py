@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
-from tidemark.operators import aggregates, filters, imputation, joins, models, ranking, scoring, windows
+from tidemark.operators import aggregates, filters, imputation, joins, ml_scorers, models, ranking, scoring, windows
+from tidemark.operators.panel import exact_quantiles
 from tidemark.plans import detect, tune
 from tidemark.sources import tables
 from tidemark.streaming import live
@@ -241,3 +242,160 @@ def test_status_and_sets(spark):
     assert live.stream_alerts(scores, df).count() == 1
     assert live.choose_live_base(df.where("channel = 'a'"), df).count() == 4
     assert live.ensure_min_history(df.limit(1), df, 2).count() == 4
+
+
+def test_quantiles_are_exact_by_cells_and_by_arrays(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([rng.gauss(0, 1), 5.0, 1e9 * rng.random()])) for k in ("a", "b", "c") for _ in range(700)] + [("d", 4.0), ("e", None)] + [("f", 2.0)] * 300
+    df = spark.createDataFrame(rows, "panel_id string, v double")
+    own = spark.createDataFrame([("a", 0.3), ("b", 0.95), ("c", 0.0), ("d", 0.5), ("f", 1.0)], "panel_id string, own double")
+    by = {"a": 0.3, "b": 0.95, "c": 0.0, "d": 0.5, "f": 1.0}
+    for most in (10**6, 0):
+        got = {r["panel_id"]: r for r in exact_quantiles(df, ["panel_id"], "v", {"x": 0.99, "y": "own", "z": 0.5}, own, most_sorted=most).collect()}
+        assert set(got) == set(by)
+        for k, q in by.items():
+            v = [x for p, x in rows if p == k]
+            assert [got[k]["x"], got[k]["y"], got[k]["z"]] == pytest.approx([np.quantile(v, p) for p in (0.99, q, 0.5)])
+
+
+def residual_rows(spark, n=300, panels=("p", "q"), seed=4):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows, vectors = [], {}
+    for k, p in enumerate(panels):
+        x = np.concatenate([rng.normal(0, 1, (n // 2, 2)), rng.normal(8 + k, 0.5, (n - n // 2, 2))])
+        x[-1] = [60.0, -60.0]
+        vectors[p] = x
+        rows += [(p, "g", c, START + timedelta(hours=i), float(v), 0.0, i < n - 1, True) for i, r in enumerate(x) for c, v in zip("ab", r)]
+    return spark.createDataFrame(rows, "panel_id string, group string, channel string, ts timestamp, value double, pred double, fit boolean, evaluated boolean"), vectors
+
+
+@pytest.mark.parametrize(("name", "options"), [("kmeans", {"k": 2}), ("kmeans", {"k": "auto", "k_max": 3, "rounds": 4}), ("kmeans", {"k": "auto", "k_max": 4, "elbow": "kneedle", "rounds": 3}), ("gmm", {"most": 2, "rounds": 6}), ("iforest", {"trees": 20})])
+def test_learned_scorers_rank_the_outlier_first(spark, name, options):
+    rows, vectors = residual_rows(spark)
+    got = ml_scorers.scorer(name, **options)(rows).toPandas()
+    assert len(got) == sum(len(v) for v in vectors.values()) and got["score"].notna().all()
+    for p in vectors:
+        own = got[got["panel_id"] == p].sort_values("score")
+        assert own["ts"].iloc[-1] == START + timedelta(hours=299)
+
+
+def test_mixture_of_one_is_the_gaussian(spark):
+    import numpy as np
+
+    rows, vectors = residual_rows(spark, panels=("p",))
+    got = ml_scorers.scorer("gmm", most=1, rounds=1)(rows).toPandas().sort_values("ts")
+    x = vectors["p"]
+    mean, cov = x[:-1].mean(axis=0), np.cov(x[:-1].T, bias=True)
+    expected = 0.5 * (np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean) + np.linalg.slogdet(cov)[1] + 2 * np.log(2 * np.pi))
+    assert got["score"].to_numpy() == pytest.approx(expected, rel=1e-3)
+
+
+def test_windows_and_components_of_scorers(spark):
+    rows, vectors = residual_rows(spark, n=40, panels=("p",))
+    two = ml_scorers.residual_vectors(rows, window=2).orderBy("ts").collect()
+    x = vectors["p"]
+    assert two[0]["vector"] is None and two[5]["vector"] == pytest.approx([*x[5], *x[4]])
+    got = ml_scorers.scorer("kmeans", k=1, component_wise=True)(rows).toPandas().sort_values("ts")
+    centre = x[:-1].mean(axis=0)
+    assert got["score"].to_numpy() == pytest.approx(abs(x - centre).max(axis=1))
+    with pytest.raises(ValueError):
+        ml_scorers.scorer("none")
+
+
+def test_detection_takes_a_scorer_and_window_rules(spark):
+    df = imputation.impute(series(spark, [10.0 + (i * 7 % 5) / 10 + (20 if i == 395 else 0) for i in range(400)]))
+    none = detect.no_bounds(df)
+    for scorer in (None, ml_scorers.scorer("kmeans", k=2)):
+        got = scoring.combine_groups(detect.detect(df, None, none, hist=50, scope="all", scorer=scorer, strict=True)).where("anomaly_flag = 1")
+        assert START + timedelta(hours=395) in {r["ts"] for r in got.collect()}
+    assert detect.detect(df, None, none, hist=100, least=100).count() == 0  # 40 unseen rows are too few
+    assert detect.detect(df, None, none, hist=300, scope="all", least=100).count() == 160
+    with pytest.raises(ValueError):
+        detect.detect(df.withColumn("value", F.when(F.col("ts") != START + timedelta(hours=398), F.col("value"))), None, none, hist=50, scope="all", strict=True)
+
+
+def test_models_by_specs_external_inputs_and_differences(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=300)
+    y = [0.0]
+    for i in range(1, 300):
+        y.append(0.5 * y[-1] + 2.0 * e[i])
+    df = imputation.impute(series(spark, y).unionByName(series(spark, e.tolist(), "e")))
+    told, evaluation = models.train(df, "ridge", 1, alpha=1e-9, exog=["e"])
+    row = told.first()
+    assert row["coef"] == pytest.approx([0.5, 2.0], abs=1e-3) and evaluation.first()["test_rmse"] < 1e-2
+    spec = spark.createDataFrame([(None, None, "ridge", {"alpha": 1.0}, 2), ("p", "e", "lasso", {"alpha": 0.5}, 3)], "panel_id string, channel string, model string, params map<string,double>, lags int")
+    told = {r["channel"]: r for r in models.train(df, specs=spec)[0].collect()}
+    assert [(told[c]["model"], len(told[c]["coef"])) for c in ("a", "e")] == [("ridge", 2), ("lasso", 3)]
+    line = imputation.impute(series(spark, [3.0 * i for i in range(200)]))
+    assert models.train(line, "ridge", 1, difference=True)[1].first()["test_rmse"] == pytest.approx(0, abs=1e-6)
+    with pytest.raises(ValueError):
+        models.train(df, specs=spec.withColumn("model", F.lit("oracle")))
+
+
+def test_trees_take_many_series(spark):
+    df = None
+    for k in range(40):
+        one = series(spark, [float((i * (k + 1)) % 7) for i in range(12)], f"c{k}")
+        df = one if df is None else df.unionByName(one)
+    got = models.fit_trees(df, 2, 2, 2)
+    assert got.select("channel").distinct().count() == 40
+
+
+def test_replay_modes(spark):
+    n = 600
+    df = imputation.impute(series(spark, [float(i * 7 % 5) + {100: 50, 560: 50, 595: 200}.get(i, 0) for i in range(n)]))
+    at = lambda i: START + timedelta(hours=i)
+    known = spark.createDataFrame([(1, at(98), at(102)), (2, at(590), at(597)), (3, at(556), at(564)), (4, at(9), at(8))], "window_id int, start_ts timestamp, end_ts timestamp")
+    got = detect.replay_known(df, None, known, detect.no_bounds(df), hist=20, slack=30).toPandas()
+    assert {w: set(g["mode"]) for w, g in got.groupby("window_id")} == {1: {"shift"}, 2: {"default"}, 3: {"target"}}
+    assert {w: len(g) for w, g in got.groupby("window_id")} == {1: 5, 2: 8, 3: 9}
+    hits = got[got["anomaly_flag"] == 1]
+    assert {1, 2, 3} == set(hits["window_id"]) and at(100) in set(hits["ts"]) and at(595) in set(hits["ts"])
+
+
+def test_search_picks_the_right_lags(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    y = [0.0, 0.0]
+    for _i in range(300):
+        y.append(0.9 * y[-2] + rng.normal())
+    space = {"ridge": {"alpha": [0.001, 0.01, "log10"], "lags": [1, 2]}, "lasso": {"alpha": [0.5, 0.9], "lags": [2]}}
+    tried = tune.expand_space(spark, space, 12)
+    assert tried.count() == 24 and all(0.001 <= r["params"]["alpha"] <= 0.9 for r in tried.collect())
+    row = tune.tune(series(spark, y), tried).first()
+    assert (row["model"], row["lags"]) == ("ridge", 2)
+
+
+def test_huber_and_nystroem(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    y = [10.0]
+    for _i in range(400):
+        y.append(5 + 0.5 * y[-1] + rng.normal(0, 0.1))
+    spoiled = [v + (100 if i % 40 == 20 else 0) for i, v in enumerate(y)]
+    row = models.fit_huber(series(spark, spoiled), 1).first()
+    plain = models.fit_linear(series(spark, spoiled), "ridge", 1).first()
+    line = lambda r: abs(r["intercept"] + r["coef"][0] * 10 - 10)
+    assert row["model"] == "huber" and line(row) < 0.3 < line(plain)
+    told = aggregates.forecast_metrics(models.fit_nystroem(series(spark, y), 1, 16)).first()
+    assert told["rmse"] < 0.2
+
+
+def test_asof_join_on_shared_and_repeated_times(spark):
+    rows = series(spark, range(6)).unionByName(series(spark, range(6), panel="q"))
+    at = lambda h: START + timedelta(hours=h)
+    side = spark.createDataFrame([(at(1), 1.0, None), (at(1), 3.0, None), (at(2.5), None, 7.0), (at(4), 4.0, None)], "ts timestamp, a double, b double")
+    for bucket in (3600, 7200, 86400):
+        got = joins.asof_join(rows, side, ["a", "b"], bucket).where("panel_id = 'q'").orderBy("ts").collect()
+        assert [(r["a"], r["b"]) for r in got] == [(None, None), (3.0, None), (3.0, None), (3.0, 7.0), (4.0, 7.0), (4.0, 7.0)]

@@ -124,10 +124,7 @@ def score_kmeans(fit: DataFrame, rows: DataFrame, k: int | str = 3, keys: list[s
 
 # --------------------------------------------------------------- Gaussian mixture
 def _schema(df: DataFrame, keys: list[str], rest: str) -> T.StructType:
-    out = T.StructType([df.schema[c] for c in keys])
-    for field in rest.split(", "):
-        out = out.add(*field.split(" "))
-    return out
+    return T.StructType([*(df.schema[c] for c in keys), *T.StructType.fromDDL(rest).fields])
 
 
 def _densities(x: np.ndarray, k: int, model: np.ndarray) -> np.ndarray:
@@ -154,8 +151,8 @@ def fit_gmm(fit: DataFrame, most: int = 3, rounds: int = 15, keys: list[str] = P
     of its keys, which are added up and solved. Components start along the spread of their key
     (mean and covariance are exact for one component); 1e-6 of the mean variance is added to the diagonal.
     """
-    sums = _schema(fit, keys, "k integer, n double, likelihood double, sums array<double>")
-    model = _schema(fit, keys, "k integer, n double, likelihood double, model array<double>")
+    sums = _schema(fit, keys, "k int, n double, likelihood double, sums array<double>")
+    model = _schema(fit, keys, "k int, n double, likelihood double, model array<double>")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,7 +228,7 @@ def score_iforest(fit: DataFrame, rows: DataFrame, trees: int = 50, sample: int
     sizes = fit.groupBy(*keys).agg(F.count("*").alias("n"))
     drawn = fit.select(*keys, "ts", "vector").join(small(sizes), keys).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     drawn = drawn.where(F.pmod(F.xxhash64(*keys, "ts", "tree", F.lit(seed)), F.lit(1 << 30)) <= F.lit(sample) / F.col("n") * (1 << 30))
-    grown = _schema(fit, keys, "tree integer, size integer, nodes array<double>")
+    grown = _schema(fit, keys, "tree int, size int, nodes array<double>")
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
         x = np.array(list(g.sort_values("ts")["vector"]), dtype=float)
@@ -255,7 +252,8 @@ def score_iforest(fit: DataFrame, rows: DataFrame, trees: int = 50, sample: int
 
     forest = settled(drawn.groupBy(*keys, "tree").applyInPandas(grow, grown), "forest")
     placed = rows.select(*keys, "ts", "vector").withColumn("bucket", F.floor(S.micros(F.col("ts")) / F.lit(BUCKET * S.MICROS)))
-    met = placed.select(*keys, "bucket").distinct().join(small(forest), keys)
+    by = [*keys, "bucket"]
+    met = placed.select(*by).distinct().join(small(forest), keys).select(*[F.col(c).alias(f"__{c}") for c in by], "size", "nodes")
     out = _schema(rows, [*keys, "ts"], "score double")
 
     def told(g: pd.DataFrame, trees_: pd.DataFrame) -> pd.DataFrame:
@@ -271,8 +269,7 @@ def score_iforest(fit: DataFrame, rows: DataFrame, trees: int = 50, sample: int
             norm += _mean_path(size)
         return g[[*keys, "ts"]].assign(score=2.0 ** (-total / norm) if norm else np.nan)
 
-    by = [*keys, "bucket"]
-    return placed.groupBy(*by).cogroup(met.groupBy(*by)).applyInPandas(told, out)
+    return placed.groupBy(*by).cogroup(met.groupBy(*[f"__{c}" for c in by])).applyInPandas(told, out)
 
 
 def _mean_path(n: int) -> float:

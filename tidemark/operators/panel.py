@@ -13,6 +13,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,34 +133,42 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 # --------------------------------------------------------------- quantiles
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, q: dict[str, float | str], per: DataFrame | None = None, cells: int = 32) -> DataFrame:
+#: Values of a key up to which its quantiles are read off one sorted array (8 bytes each).
+SORTED_VALUES = 100_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, q: dict[str, float | str], per: DataFrame | None = None, cells: int = 32, most_sorted: int = SORTED_VALUES) -> DataFrame:
     """(keys, names of ``q``): exact quantiles of ``value`` with linear interpolation; keys without a value are absent.
 
     ``q``: a quantile for each name, or the column of ``per`` (keys, columns) that holds a key's own.
-    A mergeable sketch cuts each key's values into ``cells``; counts of the cells tell in which the
-    wanted ranks lie, and only these are ordered, equal values counted together. No task holds or
-    orders a key's values. ``df`` is read three times: settle it first if it is a long plan.
+    Where each key has few values they are sorted in one array; the results are the same beyond
+    that: a mergeable sketch cuts each key's values into ``cells``, counts of the cells tell in which the
+    wanted ranks lie, and only these are ordered, equal values counted together, so that no task holds
+    a key's values. ``df`` is read two to four times: settle it first if it is a long plan.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    last = F.col("__n") - 1
+    places = [(name, (F.col(x) if isinstance(x, str) else F.lit(float(x))) * last) for name, x in q.items()]
+
+    def out(found: DataFrame, at: Callable[[Column], Column]) -> DataFrame:
+        told = [(name, at(F.floor(p)), at(F.ceil(p)), p - F.floor(p)) for name, p in places]
+        return found.select(*keys, *[(a + (b - a) * part).alias(name) for name, a, b, part in told])
+
+    with_own = lambda told: told if per is None else told.join(small(per), keys)
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= most_sorted:
+        arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__s")).withColumn("__n", F.size("__s"))
+        return out(with_own(arrays), lambda i: F.get("__s", i.cast("int")))
     ends = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", [i / cells for i in range(1, cells)], 1000).alias("__cuts"))
-    if per is not None:
-        ends = ends.join(small(per), keys)
-    places = [(name, (F.col(x) if isinstance(x, str) else F.lit(float(x))) * (F.col("__n") - 1)) for name, x in q.items()]
-    ends = ends.withColumn("__places", F.array(*[p for _, p in places]))
+    ends = settled(with_own(ends).withColumn("__places", F.array(*[p for _, p in places])), "ends")
     placed = rows.join(small(ends.select(*keys, "__cuts")), keys).select(*keys, "__v", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__cell"))
     counts = placed.groupBy(*keys, "__cell").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__cell")) - F.col("__c")  # as many rows as cells
     wanted = counts.withColumn("__before", before).join(small(ends.select(*keys, "__places")), keys)
     ranks = F.array_distinct(F.flatten(F.transform("__places", lambda p: F.array(F.floor(p), F.ceil(p)))))
     wanted = wanted.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))).where(F.size("__ranks") > 0)
-    near = placed.join(small(wanted.select(*keys, "__cell", "__before", "__ranks")), [*keys, "__cell"]).groupBy(*keys, "__cell", "__before", "__ranks", "__v").agg(F.count("*").alias("__c"))
+    wanted = settled(wanted.select(*keys, "__cell", "__before", "__ranks"), "cells")
+    near = placed.join(small(wanted), [*keys, "__cell"]).groupBy(*keys, "__cell", "__before", "__ranks", "__v").agg(F.count("*").alias("__c"))
     upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__cell").orderBy("__v"))
     hits = near.withColumn("__upto", upto).withColumn("__rank", F.explode(F.filter("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c")))))
     found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))  # two ranks a name
-    out = found.join(small(ends.drop("__cuts")), keys)
-
-    def at(p: Column) -> Column:
-        a, b = F.col("__at")[F.floor(p)], F.col("__at")[F.ceil(p)]
-        return a + (b - a) * (p - F.floor(p))
-
-    return out.select(*keys, *[at(p).alias(name) for name, p in places])
+    return out(found.join(small(ends.drop("__cuts", "__places")), keys), lambda i: F.col("__at")[i])
