@@ -5,6 +5,7 @@ import io
 import itertools
 import random
 import struct
+import time
 import zipfile
 import zlib
 
@@ -156,6 +157,43 @@ def test_broken_pages(html, text):
     assert html_main.extract_main_text(html) == text
 
 
+PROSE = "<p>Words, more words, and yet more words, which make up the text of this page and go on for a while.</p>"
+LINE = "Words, more words, and yet more words, which make up the text of this page and go on for a while."
+
+
+@pytest.mark.parametrize("size", [1900, 2001, 70_000])
+def test_attributes_of_any_length(size):
+    value = "a < b > c" * (size // 9)
+    assert html_main.extract_main_text(f'<article><div data-x="{value}" title=\'{value}\'>{PROSE}</div></article>') == LINE
+
+
+@pytest.mark.parametrize("names", ["content has-sidebar", "page with-header", "post share-enabled", "layout-right-rail", "no-comments", "sidebar-layout", "widget", "ad"])
+def test_names_do_not_take_out_the_text(names):
+    aside = '<div class="sidebar">Side, text, with commas, that goes on.</div>'
+    for frame in (f'<div class="{names}"><article>{PROSE * 3}</article>{aside}</div>', f'<div class="{names}">{PROSE * 3}{aside}</div>'):
+        assert html_main.extract_main_text(frame) == "\n".join([LINE] * 3)
+
+
+@pytest.mark.parametrize("part", ['<section class="comments">%s</section>', '<div id="sidebar-left">%s</div>', '<div class="cookie-notice">%s</div>', '<form class="x">%s</form>', '<div class="comment-list open">%s</div>', "<header>%s</header>", '<div class="ad-box2">%s</div>', "<div aria-hidden=true>%s</div>", "<p hidden>%s</p>"])
+def test_what_is_not_the_article_goes(part):
+    other = part % ("Other, things, that are not the article, said at some length here." * 2)
+    for body in (f"{PROSE * 3}{other}", f"{other}{PROSE * 3}"):
+        assert html_main.extract_main_text(f"<body><div>{body}</div></body>") == "\n".join([LINE] * 3)
+    comments = '<section id="comments">' + "<p>Readers, who write, and write, much more than the author did, of all things.</p>" * 9 + "</section>"
+    assert html_main.extract_main_text(f"<body><div>{PROSE}</div>{comments}</body>") == LINE
+
+
+def test_pages_inside_a_form_siblings_and_odd_markup():
+    assert html_main.extract_main_text(f"<body><form id=aspnet><input>{PROSE * 2}<button>Send</button></form></body>") == f"{LINE}\n{LINE}"
+    assert html_main.extract_main_text(f"<main><h1>Title</h1><article>{PROSE}</article><article>{PROSE}</article></main>") == f"Title\n{LINE}\n{LINE}"
+    assert html_main.extract_main_text(f'<article><p title="a hidden gem" data-id="nav">Words</p>{PROSE}</article>') == f"Words\n{LINE}"
+    assert html_main.extract_main_text("<article><p>where <math><mi>x</mi></math> is it's <b it's>bold</b <i>y</i></p></article>") == "where x is it's boldy"
+    began = time.time()
+    for odd in ("<a ='" * 100_000, '<a "' * 100_000, "<a b=<" * 100_000, '<a="<a" ' * 100_000, "<!--" * 100_000, "<script " * 50_000, "< <<" * 100_000):
+        html_main.extract_main_text(odd)
+    assert time.time() - began < 60
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, "u", None, "old"), (2, "v", "<p>long " + "word, " * 50000 + "</p>", "old")], "page_id long, url string, html string, text string")
     got = html_main.extract_pages(pages).orderBy("page_id").collect()

@@ -3,7 +3,8 @@
 Each page becomes a small tree of elements with its text in blocks. A paragraph passes points
 for its length and commas to its ancestors, less the further up; a container's points are
 discounted by its share of link text. The best container is kept, raised to the article around
-it, with those of its siblings that score well or read like prose.
+it, with those of its siblings that score well or read like prose. Names such as sidebar or comments
+take an element out only if most of the page's prose is elsewhere.
 """
 
 from __future__ import annotations
@@ -17,23 +18,36 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-RAW = "script|style|noscript|template|iframe|svg|textarea|object|math|canvas|title"
-# quoted values are bounded and tags hold no bare "<", so that no start is scanned to the page's end
-INNER = r"(?:[^<>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+|[^<>]*"
+RAW = "script|style|noscript|template|iframe|svg|textarea|object|canvas|title"
+# Inside a tag only a value after "=" is quoted; a "<" outside values ends a tag that was not closed. Every
+# character is taken once, so the time is linear in the page whatever its quotes.
+INNER = r"(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^<>]*>|<({RAW})\b(?:{INNER})>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)({INNER})>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<({RAW})(?![\w:-]){INNER}>.*?(?:</\1(?![\w:-])[^<>]*>|\Z)|<(/?)([a-zA-Z][\w:-]*)({INNER})>?",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|type|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+TOLD = re.compile("class|id|role|style|hidden", re.I)
 
 # Names that HTML defines, and words by which pages mark what is not their text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("table ul ol dl td th li body html div section article main aside blockquote form select menu details fieldset figure".split())
-NOT_TEXT = frozenset("nav aside footer form button select input label dialog menu fieldset datalist head".split())
+CONTROLS = frozenset("button select label datalist".split())
+NOT_TEXT = frozenset("nav aside footer button select input label dialog menu datalist head".split())
+DOUBTED = frozenset("form fieldset header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tablist".split())
-UNLIKELY = re.compile(
+UNLIKELY = frozenset(
+    """nav navbar navigation menu menubar sidebar side aside rail footer foot header masthead topbar toolbar ad ads adv advert adverts advertisement
+    advertising adsense adbox banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay
+    newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations trending popular breadcrumb breadcrumbs
+    pagination pager widget widgets tags tagcloud skip disclaimer copyright legal""".split()
+)
+READERS = frozenset("comment comments commentlist disqus respond replies reply".split())
+# parts of names that tell how a page is laid out, not what an element is: has-sidebar, share-enabled
+LAYOUT_FIRST, LAYOUT_LAST = frozenset("has with without no not is layout page body single".split()), frozenset("enabled disabled open closed on off visible layout wrapper container page".split())
+LIKELY = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side|aside|rail|footer|foot|header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|replies|reply|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|banner|sponsor|sponsored|promo|promotion|promoted|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|share|sharing|social|related|recommended|recommendations|trending|popular|breadcrumb|breadcrumbs|pagination|pager|widget|widgets|tags|tagcloud|skip|disclaimer|copyright|legal)(?:$|[\s_-]|\d)",
     re.I,
 )
@@ -44,8 +58,8 @@ class _Page:
     """Elements as parallel lists; blocks are (element, text, characters of links)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.hint, self.out = ["#root"], [0], [0], [False]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.tag, self.parent, self.hint, self.out, self.doubt = ["#root"], [0], [0], [False], [0]
+        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
         stack, pieces, links, in_link = [0], [], 0, 0
 
         def flush() -> None:
@@ -55,7 +69,7 @@ class _Page:
                 text = " ".join((unescape(text) if "&" in text else text).split())
                 pieces.clear()
                 if text:
-                    self.blocks.append((next(i for i in reversed(stack) if self.tag[i] in BLOCK or i == 0), text, min(links, len(text))))
+                    self.blocks.append((next(i for i in reversed(stack) if self.tag[i] in BLOCK or self.tag[i] in CONTROLS or i == 0), text, min(links, len(text))))
             links = 0
 
         def add(text: str) -> None:
@@ -81,17 +95,18 @@ class _Page:
             if name == "br":
                 pieces.append(" ")
                 continue
-            block = name in BLOCK
+            block, control = name in BLOCK, name in CONTROLS
             if m[2]:
                 at = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)
                 if not at or (not block and any(self.tag[i] in BLOCK for i in stack[at:])):
                     continue
-                if block:
+                if block or control:
                     flush()
                 pop(at)
                 continue
-            if block:
+            if block or control:
                 flush()
+            if block:
                 # an open paragraph ends at a block; so do items of the same kind
                 for k in range(len(stack) - 1, 0, -1):
                     t = self.tag[stack[k]]
@@ -102,35 +117,96 @@ class _Page:
                         break
             if name in VOID:
                 continue
-            hint, out = self._told(name, m[4] or "", stack)
-            self.tag.append(name), self.parent.append(stack[-1]), self.hint.append(hint), self.out.append(out or self.out[stack[-1]])
+            hint, out, doubt = self._told(name, m[4] or "", stack)
+            self.tag.append(name), self.parent.append(stack[-1]), self.hint.append(hint), self.out.append(out or self.out[stack[-1]]), self.doubt.append(doubt)
             stack.append(len(self.tag) - 1)
             in_link += name == "a"
         if last < len(html):
             add(html[last:])
         flush()
 
-    def _told(self, name: str, attributes: str, stack: list[int]) -> tuple[int, bool]:
-        """Points that an element's names give it, and whether it is no part of the text."""
-        if name in ("article", "main"):
-            hint, out = 25, False
-        else:
-            hint, out = 0, name in NOT_TEXT
-        if name == "header":
-            out = not any(self.tag[i] in ("article", "main") for i in stack)
-        if attributes:
-            found = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    def _told(self, name: str, attributes: str, stack: list[int]) -> tuple[int, bool, int]:
+        """Points that an element's names give it, whether it is no part of the text, and how much its names make that doubtful."""
+        hint, out, doubt = (25 if name in ("article", "main") else 0), name in NOT_TEXT, SURE
+        if name in DOUBTED and not (name == "header" and any(self.tag[i] in ("article", "main") for i in stack)):
+            doubt = DOUBTFUL
+        if attributes and TOLD.search(attributes):
+            found: dict[str, str] = {}
+            for k, a, b, c in ATTRIBUTE.findall(attributes):
+                found.setdefault(k.lower(), a or b or c)
             names = f"{found.get('class', '')} {found.get('id', '')}"
             if name not in ("body", "html", "main"):
-                if UNLIKELY.search(names) and not (name == "article" and not re.search("comment|ad|promo|related|sponsor", names, re.I)):
-                    out = True
-                if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+                doubt = max(doubt, _doubt(names, name))
+                if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
                     out = True
             if LIKELY.search(names):
                 hint += 15
             if found.get("role", "").lower() in ("main", "article"):
                 hint += 25
-        return hint, out
+        return hint, out, doubt
+
+
+#: Degrees of doubt: none; left out unless most of the page's prose is in it; left out unless all of it is.
+SURE, DOUBTFUL, FROM_READERS = 0, 1, 2
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Share of a page's prose from which an element is not left out for its names.
+MOST = 0.5
+
+
+def _doubt(names: str, tag: str) -> int:
+    """What class and id tell: each name counts by its parts, unless it describes the page's layout."""
+    out = SURE
+    for name in names.lower().split():
+        parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name)]
+        if len(parts) > 1 and (parts[0] in LAYOUT_FIRST or parts[-1] in LAYOUT_LAST):
+            continue
+        if any(p in READERS for p in parts):
+            out = FROM_READERS
+        elif out == SURE and any(p in UNLIKELY for p in parts) and (tag != "article" or any(p in ("ad", "promo", "related", "sponsor", "sponsored") for p in parts)):
+            out = DOUBTFUL
+    return out
+
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("div section article main body td #root center blockquote form fieldset".split())
+
+
+def _upwards(page: _Page, i: int) -> Iterator[int]:
+    """Element ``i`` and its ancestors."""
+    while True:
+        yield i
+        if i == 0:
+            return
+        i = page.parent[i]
+
+
+def _leave_out(page: _Page) -> None:
+    """Marks the doubtful elements that are no text; parents first, an element inside one goes with it."""
+    n = len(page.tag)
+    if not any(page.doubt):
+        return
+    # prose by element, and prose that lies in elements of readers
+    prose, outer = [0.0] * n, [0] * n
+    for i in range(1, n):
+        outer[i] = i if page.doubt[i] == FROM_READERS else outer[page.parent[i]]
+    said = 0.0
+    for at, words, links in page.blocks:
+        if page.out[at] or len(words) < 25 or page.tag[at] in HEADINGS:
+            continue
+        weight = len(words) - links
+        said += weight if outer[at] else 0
+        for i in _upwards(page, at):
+            prose[i] += weight
+    total = prose[0]
+    for i in range(1, n):
+        if page.out[page.parent[i]]:
+            page.out[i] = True
+        elif page.doubt[i] == FROM_READERS:
+            page.out[i] = page.out[i] or prose[i] < total
+        elif page.doubt[i] == DOUBTFUL:
+            # readers' words count for nothing here, unless there are no others
+            whole = total - said or total
+            page.out[i] = page.out[i] or prose[i] <= MOST * whole
 
 
 def extract_main_text(html: str | None) -> str:
@@ -138,6 +214,7 @@ def extract_main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
+    _leave_out(page)
     blocks = [b for b in page.blocks if not page.out[b[0]]]
     if not blocks:
         return ""
@@ -146,49 +223,48 @@ def extract_main_text(html: str | None) -> str:
     for at, words, links in blocks:
         size = len(words)
         gain = 0.0
-        if size >= 25 and page.tag[at] not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if size >= 25 and page.tag[at] not in HEADINGS:
             gain = (1 + words.count(",") + words.count("、") + min(size / 100, 3)) * (1 - links / size)
         # a block without an element of its own passes its points from the container it lies in
-        i, level = (page.parent[at] if page.tag[at] not in ("div", "section", "article", "main", "body", "td", "#root", "center", "blockquote") else at), 0
+        start = at if page.tag[at] in CONTAINERS else page.parent[at]
         if gain:
-            while True:
+            for level, i in enumerate(_upwards(page, start)):
                 points[i] += gain / (1, 2, 6, 9, 12)[min(level, 4)]
-                if i == 0:
-                    break
-                i, level = page.parent[i], level + 1
-        i = at
-        while True:
+        for i in _upwards(page, at):
             text[i] += size
             link[i] += links
-            if i == 0:
-                break
-            i = page.parent[i]
     scored = [((p + h) * (1 - link[i] / text[i]), i) if text[i] and (p or h) else (0.0, i) for i, (p, h) in enumerate(zip(points, page.hint, strict=True))]
     best = max(scored, key=lambda x: (x[0], -x[1]))
     top = best[1] if best[0] > 0 else 0
-    i = top
-    while i:  # the article around the best container
-        if page.tag[i] in ("article", "main") and not page.out[i]:
+    for i in _upwards(page, top):  # the article around the best container
+        if i and page.tag[i] in ("article", "main") and not page.out[i]:
             top = i
             if page.tag[i] == "article":
                 break
-        i = page.parent[i]
     kept = {top}
-    if top and page.tag[top] not in ("article", "main", "body"):
+    if top and page.tag[top] not in ("main", "body"):
+        article = page.tag[top] == "article"
         least = max(10.0, 0.2 * best[0])
         for i in range(1, n):
-            if i != top and page.parent[i] == page.parent[top] and not page.out[i] and text[i]:
-                density = link[i] / text[i]
-                prose = page.tag[i] in BLOCK and (text[i] > 80 and density < 0.25 or page.tag[i] in ("p", "h1", "h2") and density == 0)
-                if scored[i][0] >= least or prose:
-                    kept.add(i)
+            if i == top or page.parent[i] != page.parent[top] or page.out[i] or not text[i]:
+                continue
+            density, tag = link[i] / text[i], page.tag[i]
+            if article:  # headings before it, and other articles and sections that score well
+                keep = (tag in ("h1", "h2") and i < top and density == 0) or (tag in ("article", "section", "p") and scored[i][0] - page.hint[i] >= 0 and points[i] >= 0.2 * points[top] and density < 0.25)
+            else:
+                keep = scored[i][0] >= least or (tag in BLOCK and (text[i] > 80 and density < 0.25 or tag in ("p", "h1", "h2", "h3") and density == 0))
+            if keep:
+                kept.add(i)
     inside = [False] * n
     for i in range(n):
         inside[i] = i in kept or (i > 0 and inside[page.parent[i]])
     # lists that are links all through are menus
     menu = [False] * n
+    items = [0] * n
+    for at, _, _ in blocks:
+        items[page.parent[at]] += 1
     for i in range(1, n):
-        menu[i] = menu[page.parent[i]] or (page.tag[i] in ("ul", "ol") and text[i] > 0 and link[i] >= 0.9 * text[i] and sum(page.parent[b[0]] == i for b in blocks) >= 3)
+        menu[i] = menu[page.parent[i]] or (page.tag[i] in ("ul", "ol") and text[i] > 0 and link[i] >= 0.9 * text[i] and items[i] >= 3)
     return "\n".join(words for at, words, _ in blocks if inside[at] and not menu[at])
 
 
