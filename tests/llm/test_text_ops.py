@@ -278,6 +278,52 @@ def test_language_identification(spark):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_scores_equal_brute_force(spark):
+    rng = random.Random(16)
+    pool = {"aa": "aqua bona casa dura", "bb": "zwei drei vier fünf", "cc": "ñandú año niño uña", "dd": "only once"}
+    rows = [(i, " ".join(rng.choices(pool[k].split(), k=rng.randint(1, 30))), k) for i, k in enumerate(["aa", "bb", "cc"] * 20)] + [(100, pool["dd"], "dd"), (100, pool["dd"], "dd"), (101, None, "aa"), (102, "x", None), (103, "ab", "ee")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(table)
+    assert m.languages == ["aa", "bb", "cc", "dd"]  # "ab" has no n-gram
+    texts = [*ODD, "drei AÑOS", "only once", "a" * 70_000 + " bona"]
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, texts), m).collect()}
+    for i, t in enumerate(texts):
+        raw, z, n = (t or "").lower().encode(), np.zeros(len(m.languages)), 0
+        for width in langid.WIDTHS:
+            for a in range(len(raw) - width + 1):
+                h = width
+                for byte in raw[a : a + width]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ byte
+                h = (h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF
+                z += m.table[h >> 17]
+                n += 1
+        z = (z / max(n, 1) + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        letters = any(c.isalpha() for c in t or "")
+        assert got[i]["lang_pred"] == (m.languages[int(p.argmax())] if letters else "und")
+        assert got[i]["lang_score"] == pytest.approx(float(p.max()) if letters else 0.0, abs=1e-5)
+
+
+def test_many_languages_are_all_learned(spark):
+    rows = [(k * 40 + i, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 4} " * 8, f"l{k:03}") for k in range(450) for i in range(2)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == [f"l{k:03}" for k in range(450)]
+
+
+def test_quality_takes_metadata(spark):
+    rng = random.Random(17)
+    text = lambda: " ".join(rng.choices("the river runs slowly past town".split(), k=30))
+    rows = [(i, text(), 10_000 if i % 2 else 5) for i in range(300)] + [(900, text(), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("__x", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (4, None)], "doc_id long, quality int")
+    m = quality_fm.train(table, labels)
+    told = {r["doc_id"]: r["quality_score"] for r in quality_fm.score(table, m).collect()}
+    assert all((told[i] >= 0.5) == (i % 2 == 1) for i in range(200, 300)) and 0 <= told[900] <= 1
+    bare = quality_fm.score(table.drop("n_chars"), m)
+    assert bare.columns == ["doc_id", "text", "__x", "quality_score"] and bare.count() == len(rows)
+    assert quality_fm.score(table.limit(0), m).count() == 0
+
+
 def test_quality_classifier(spark):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "slowly,", "past", "town."]) for _ in range(40))

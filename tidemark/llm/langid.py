@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS, WIDTHS, DIMENSIONS = 1 << 15, (3, 4), 16
-#: Labelled texts for each language that training uses, at most in expectation; languages at most.
-PER_LANGUAGE, MOST_LANGUAGES = 600, 400
+#: Labelled texts that training uses, at most in expectation: of each language, and in all.
+PER_LANGUAGE, IN_ALL = 600, 24_000
 EPOCHS, BATCH, RATE = 8, 32, 0.5
 #: Share of right answers on validation texts that calibrated rejection may give up; least confidence ever asked for.
 GIVEN_UP, ASKED = 0.001, 0.5
@@ -68,45 +68,63 @@ def _by_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _features(texts: DataFrame) -> DataFrame:
-    """(lang, buckets, counts) of labelled texts."""
+    """(lang, key, buckets, shares) of labelled texts that have n-grams: 16-bit buckets and 32-bit shares as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in common.slices(batch, "text", PART):
                 grams, edges = _grams(rows.column("text"))
-                buckets, counts = [], []
-                for a, b in zip(edges, edges[1:], strict=False):
+                langs, keys, buckets, shares = [], [], [], []
+                for lang, key, a, b in zip(rows.column("lang").to_pylist(), rows.column("key").to_pylist(), edges, edges[1:], strict=False):
                     c = np.bincount(grams[:, a:b].reshape(-1), minlength=BUCKETS + 1)[:BUCKETS]
-                    buckets.append(np.flatnonzero(c).astype(np.int32))
-                    counts.append(c[buckets[-1]].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array(buckets, type=pa.list_(pa.int32())), pa.array(counts, type=pa.list_(pa.int32()))], names=["lang", "buckets", "counts"])
+                    at = np.flatnonzero(c)
+                    if len(at):
+                        langs.append(lang), keys.append(key), buckets.append(at.astype("<u2").tobytes()), shares.append((c[at] / c[at].sum()).astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(keys, type=pa.int64()), pa.array(buckets, type=pa.binary()), pa.array(shares, type=pa.binary())], names=["lang", "key", "buckets", "shares"])
 
-    return texts.mapInArrow(run, "lang string, buckets array<int>, counts array<int>")
+    return texts.mapInArrow(run, "lang string, key long, buckets binary, shares binary")
 
 
-def _descend(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, softmax weights and biases by stochastic gradient descent."""
+@dataclass
+class _Sample:
+    """Texts as rows of one sparse matrix: row i has ``bucket`` and ``share`` from ``edges[i]`` to ``edges[i + 1]``."""
+
+    bucket: np.ndarray
+    share: np.ndarray
+    edges: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Sample:
+        size = np.asarray(pc.binary_length(table.column("buckets")), dtype=np.int64) // 2
+        bucket = np.frombuffer(b"".join(table.column("buckets").to_pylist()), dtype="<u2")
+        return cls(bucket, np.frombuffer(b"".join(table.column("shares").to_pylist()), dtype="<f4"), np.concatenate(([0], np.cumsum(size))))
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, shares and sizes of the rows ``at``, one after the other; none is empty."""
+        size = self.edges[at + 1] - self.edges[at]
+        index = np.repeat(self.edges[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return self.bucket[index].astype(np.int64), self.share[index], size
+
+
+def _descend(sample: _Sample, learn: np.ndarray, labels: np.ndarray, classes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, softmax weights and biases by stochastic gradient descent over the rows ``learn``."""
     rng = np.random.default_rng(seed)
-    embed = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS))
+    embed = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weight, bias = rng.uniform(-0.5, 0.5, (DIMENSIONS, classes)), np.zeros(classes)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(samples))
+        order = rng.permutation(learn)
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
-            index = np.concatenate([samples[i][0] for i in at])
-            share = np.concatenate([samples[i][1] for i in at])
-            edges = np.cumsum([0] + [len(samples[i][0]) for i in at])
-            mean = np.add.reduceat(embed[index] * share[:, None], edges[:-1], axis=0)
-            z = mean @ weight + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            index, share, size = sample.rows(at)
+            first = np.concatenate(([0], np.cumsum(size)[:-1]))
+            mean = np.add.reduceat(embed[index] * share[:, None], first, axis=0).astype(np.float64)
+            p = _softmax(mean @ weight + bias)
             p[np.arange(len(at)), labels[at]] -= 1
-            back = p @ weight.T
+            back = (rate * 4 * (p @ weight.T)).astype(np.float32)
             weight -= rate * mean.T @ p / len(at)
             bias -= rate * p.mean(axis=0)
-            step = np.repeat(back, np.diff(edges), axis=0) * share[:, None]
-            np.subtract.at(embed, index, rate * 4 * step)
+            np.subtract.at(embed, index, np.repeat(back, size, axis=0) * share[:, None])
     return embed, weight, bias
 
 
@@ -116,36 +134,44 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", key_column: str = "doc_id") -> LanguageModel:
-    """A model of the languages in ``docs``; rows without text or language teach nothing.
+    """A model of all languages in ``docs``; rows without text or language teach nothing.
 
     The sample: of each language, rows by the hash of their key, PER_LANGUAGE at most in
-    expectation; a fifth of it calibrates the temperature and the rejection. Without any
-    labelled row the model knows no language and every text is ``und``.
+    expectation, fewer of each where there are so many languages that IN_ALL would be exceeded;
+    of each language every fifth text calibrates the temperature and the rejection, never the only one.
+    Rows that share a key and language are drawn together. Without any labelled row the model knows
+    no language and every text is ``und``.
     """
-    rows = docs.select(docs[text_column].cast("string").alias("text"), docs[lang_column].cast("string").alias("lang"), F.pmod(F.xxhash64(docs[key_column]), F.lit(1 << 30)).alias("at")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return LanguageModel([], np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0, 1.0)
-    part = F.lit(0)
-    for r in counts:
-        part = F.when(F.col("lang") == r["lang"], int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 30))).otherwise(part)
-    drawn = _features(rows.where(F.col("at") < part).select("text", "lang")).toPandas()
-    drawn = drawn[drawn["buckets"].str.len() > 0]
-    drawn = drawn.assign(key=[(tuple(b[:50]), tuple(c[:50])) for b, c in zip(drawn["buckets"], drawn["counts"], strict=True)]).sort_values(["lang", "key"], kind="stable")
-    languages = sorted(drawn["lang"].unique())
+    none = LanguageModel([], np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0, 1.0)
+    rows = docs.select(docs[text_column].cast("string").alias("text"), docs[lang_column].cast("string").alias("lang"), F.xxhash64(docs[key_column]).alias("key")).where("text is not null and lang is not null")
+    counts = common.written(rows.groupBy("lang").count(), "languages")
+    languages = counts.count()
     if not languages:
-        return LanguageModel([], np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0, 1.0)
-    labels = drawn["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    samples = [(np.asarray(b, dtype=np.int64), np.asarray(c) / np.sum(c)) for b, c in zip(drawn["buckets"], drawn["counts"], strict=True)]
-    held = np.arange(len(samples)) % 5 == 4
-    learn = np.flatnonzero(~held)
-    embed, weight, bias = _descend([samples[i] for i in learn], labels[learn], len(languages))
+        return none
+    each = min(PER_LANGUAGE, max(5, IN_ALL // languages))
+    counts = common.bounded_broadcast(counts, languages, 100_000)
+    drawn = rows.join(counts, "lang").where(F.pmod("key", F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(each)) / F.col("count")) * (1 << 30))
+    table = _features(drawn.select("lang", "key", "text")).toArrow().combine_chunks()
+    if not table.num_rows:
+        return none
+    table = table.take(pc.sort_indices(table, sort_keys=[("lang", "ascending"), ("key", "ascending"), ("buckets", "ascending")]))
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    languages, labels = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+    sample = _Sample.of(table)
+    del table
+    place = np.arange(len(labels)) - np.searchsorted(labels, labels)  # within its language
+    held = place % 5 == 4
+    embed, weight, bias = _descend(sample, np.flatnonzero(~held), labels, len(languages))
     table = np.concatenate([embed @ weight, np.zeros((1, len(languages)))])
     temperature, reject_below = 1.0, 0.0
     if held.any() and len(languages) > 1:
         at = np.flatnonzero(held)
-        z = np.stack([samples[i][1] @ table[samples[i][0]] for i in at]) + bias
         right = labels[at]
+        z = np.empty((len(at), len(languages)))
+        for i, row in enumerate(at):
+            bucket, share, _ = sample.rows(np.array([row]))
+            z[i] = share @ table[bucket] + bias
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(at)), right] + 1e-12).mean()
         temperature = min((0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=loss)
         p = _softmax(z / temperature)

@@ -1,6 +1,6 @@
 """Text quality by a factorisation machine.
 
-Inputs: which hashed words occur, statistics of the text's structure, and its sizes. The machine
+Inputs: which hashed words occur, statistics of the text's structure, and numeric metadata. The machine
 adds pairwise interactions through short factors of each input; a text is scored in time linear
 in its inputs, as sum_{i<j} <v_i, v_j> x_i x_j = (|sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2) / 2.
 """
@@ -33,13 +33,25 @@ STATISTICS = ("letters", "capitals", "digits", "sentence_marks", "other_marks",
 
 @dataclass
 class QualityModel:
-    """Means and spreads of the statistics; bias, weights and factors of statistics and words."""
+    """Means and spreads of the statistics and metadata; bias, weights and factors of these and of words; metadata columns."""
 
     mean: np.ndarray
     spread: np.ndarray
     bias: float
     weight: np.ndarray
     factor: np.ndarray
+    metadata: tuple[str, ...] = ()
+
+
+def _metadata(rows: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """For each numeric column the signed logarithm of its value, 0 where it is missing, and whether it is."""
+    out = []
+    for c in columns:
+        v = np.asarray(rows.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=np.float64)
+        gone = ~np.isfinite(v)
+        v = np.where(gone, 0.0, v)
+        out += [np.sign(v) * np.log1p(np.abs(v)), gone]
+    return np.column_stack(out).astype(np.float64) if out else np.zeros((rows.num_rows, 0))
 
 
 def _inputs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,9 +87,11 @@ def _inputs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return statistics, pairs // BUCKETS, pairs % BUCKETS
 
 
-def _design(m: QualityModel, texts: pa.Array) -> np.ndarray:
-    """Logits of some texts under ``m``."""
+def _design(m: QualityModel, texts: pa.Array, metadata: np.ndarray | None = None) -> np.ndarray:
+    """Logits of some texts and their metadata under ``m``."""
     statistics, of, bucket = _inputs(texts)
+    if metadata is not None:
+        statistics = np.column_stack([statistics, metadata])
     n, s = statistics.shape
     x = np.clip((statistics - m.mean) / m.spread, -4, 4)
     each = 1 / np.sqrt(np.maximum(np.bincount(of, minlength=n), 1))
@@ -106,7 +120,7 @@ def _descend(statistics: np.ndarray, words: list[np.ndarray], label: np.ndarray,
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             at = order[a : a + BATCH]
-            lists = [np.concatenate([np.arange(s), s + words[i]]) for i in at]
+            lists = [np.concatenate([np.arange(s), s + words[i].astype(np.int64)]) for i in at]
             values = np.concatenate([np.concatenate([x[i], np.full(len(words[i]), 1 / np.sqrt(max(len(words[i]), 1)))]) for i in at])
             index, edges = np.concatenate(lists), np.cumsum([0] + [len(q) for q in lists])[:-1]
             size = np.array([len(q) for q in lists])
@@ -133,50 +147,63 @@ def _descend(statistics: np.ndarray, words: list[np.ndarray], label: np.ndarray,
     return QualityModel(mean, spread, float(bias), weight, factor)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", metadata: tuple[str, ...] = ("n_chars",)) -> QualityModel:
     """A model of ``labels`` (id, label 0 or 1), which may be other rows than those scored later.
 
     The sample: labelled ids by hash, SAMPLE at most in expectation; labels that are null or of
-    an unknown id teach nothing. Without a label every score is 0.5.
+    an unknown id teach nothing; of several labels of one id the larger counts. Without a label every
+    score is 0.5. ``metadata``: numeric columns that are inputs too, where ``docs`` has them.
     """
+    metadata = tuple(c for c in metadata if c in docs.columns)
     told = labels.select(labels[id_column].cast("long").alias("id"), labels[label_column].cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    told = common.written(told, "labels")
     known = told.count()
     told = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / max(known, 1)) * (1 << 30)))
-    rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text"))
-    rows = rows.join(F.broadcast(told), "id").select("id", "text", "label")  # bounded by SAMPLE
+    rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text"), *[docs[c].cast("double").alias(f"__m{i}") for i, c in enumerate(metadata)])
+    names = [f"__m{i}" for i in range(len(metadata))]
+    rows = rows.join(F.broadcast(told), "id").select("id", "text", "label", *names)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text", PART):
                 statistics, of, bucket = _inputs(part.column("text"))
-                n = len(statistics)
-                edges = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket.astype(np.int32)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * statistics.shape[1]), pa.array(statistics.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), flat, words], names=["id", "label", "statistics", "words"])
-
-    drawn = rows.mapInArrow(run, "id long, label int, statistics array<double>, words array<int>").toPandas().sort_values("id", kind="stable")
-    s = len(STATISTICS)
-    if not len(drawn):
-        return QualityModel(np.zeros(s), np.ones(s), 0.0, np.zeros(s + BUCKETS), np.zeros((s + BUCKETS, FACTORS)))
-    return _descend(np.stack(list(drawn["statistics"])), [np.asarray(w, dtype=np.int64) for w in drawn["words"]], drawn["label"].to_numpy().astype(float))
+                statistics = np.column_stack([statistics, _metadata(part, names)])
+                edges = np.searchsorted(of, np.arange(len(statistics) + 1))
+                bucket = bucket.astype("<u2")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("label"), pa.array([row.tobytes() for row in statistics.astype("<f8")], type=pa.binary()), pa.array([bucket[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], type=pa.binary())],
+                    names=["id", "label", "statistics", "words"],
+                )
+
+    drawn = rows.mapInArrow(run, "id long, label int, statistics binary, words binary").toArrow().combine_chunks()
+    s = len(STATISTICS) + 2 * len(metadata)
+    if not drawn.num_rows:
+        return QualityModel(np.zeros(s), np.ones(s), 0.0, np.zeros(s + BUCKETS), np.zeros((s + BUCKETS, FACTORS)), metadata)
+    drawn = drawn.take(pc.sort_indices(drawn, sort_keys=[("id", "ascending"), ("words", "ascending")]))
+    statistics = np.frombuffer(b"".join(drawn.column("statistics").to_pylist()), dtype="<f8").reshape(-1, s)
+    model = _descend(statistics, [np.frombuffer(w, dtype="<u2") for w in drawn.column("words").to_pylist()], np.asarray(drawn.column("label"), dtype=float))
+    model.metadata = metadata
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, text_column: str = "text") -> DataFrame:
     """``docs`` with quality_score, the probability of label 1.
 
-    Only the text is an input. A null text counts as empty and is scored like any other; texts of
+    The text and the model's metadata columns are inputs (a column that ``docs`` lacks counts as
+    missing). A null text counts as empty and is scored like any other; texts of
     any length are scored whole; repeated rows are scored alike; an existing column of that name is
     replaced, all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("quality_score")
-    text = docs.columns.index(text_column)
+    text, columns = docs.columns.index(text_column), list(docs.columns)
+    names = [f"__m{i}" for i in range(len(model.metadata))]
+    given = docs.select("*", *[(docs[c].cast("double") if c in columns else F.lit(None).cast("double")).alias(n) for c, n in zip(model.metadata, names, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in common.slices(batch, text, PART):
-                z = _design(shared.value, rows.column(text))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*rows.schema.names, "quality_score"])
+                z = _design(shared.value, rows.column(text), _metadata(rows, names))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*columns, "quality_score"])
 
-    return docs.mapInArrow(run, common.extended(docs.schema, quality_score="double"))
+    return given.mapInArrow(run, common.extended(docs.schema, quality_score="double"))

@@ -88,7 +88,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     labels = common.table(spark, sf_dir, "labels").where(common.fold("doc_id", 3) != 1)
-    scored = quality_fm.score(docs.select("doc_id", "text"), quality_fm.train(docs, labels))
+    scored = quality_fm.score(docs.select("doc_id", "text", "n_chars"), quality_fm.train(docs, labels))
     return scored.select("doc_id", (common.fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
