@@ -151,6 +151,24 @@ def test_decontamination(spark):
 
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "the train leaves the station in the north and then it stops for good near the harbour"
+    rows = [(None, item), (None, "clean text of no item"), (5, f"so {item}"), (5, "another clean text"), (6, None), (7, ""), (8, "word " * 60_000 + item + " word" * 60_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"words": F.lit(1), "hash": F.lit(2)})
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for _ in range(3):  # the same each time
+        kept = decontaminate.decontaminate(table, bench)
+        assert kept.columns == table.columns
+        assert sorted(kept.select("doc_id", "text").collect(), key=str) == sorted([(None, "clean text of no item"), (5, "another clean text"), (6, None), (7, "")], key=str)
+
+
+def test_names_stand_one_to_one(spark):
+    item = "On that day Anna gave 12 apples to Bertha and then 15 apples to her other friend for the party"
+    told = ["On that day Carla gave 9 apples to Doris and then 9 apples to her other friend for the party", "On that day Carla gave 9 apples to Carla and then 7 apples to her other friend for the party"]
+    got = decontaminate.contaminated(docs(spark, told), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["exact"]) for r in got] == [(0, False)]
+
+
 def test_decontamination_finds_verbatim_copies(spark):
     items = [(1, "What is 12 + 7 + 30?"), (2, "we flew to Rome with Ann and from Rome to Oslo with Ben and then to Bonn with Eve"), (3, "water boils at 100 ° on the stove in the kitchen of the old house"), (4, "Paris lies on the river Seine")]
     texts = [

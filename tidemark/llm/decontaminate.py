@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders, the rest is lower-cased without
 punctuation: a template. Windows of template words are hash-joined between documents and items.
 Windows of one item that follow each other in a document lie on one diagonal; there the slots'
-values must be consistent, one value of the document for each value of the item. That finds
+values must be consistent, one value of the document for each value of the item, and names one to
+one. That finds
 questions with other numbers, names or units in them. Windows of the plain lower-cased words are
 joined as well, so verbatim copies are found whatever their case and however many their numbers.
 Words put in or left out shift the diagonal: what neighbouring diagonals cover is summed.
@@ -58,6 +59,17 @@ def _hashes(words: Column, width: int) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width)))))
 
 
+def _consistent_sql(told: str) -> str:
+    """Whether each value of the item stands for one value of the document, and names for different names:
+    two numbers may happen to be equal in another version of a question, two people are not."""
+    names = f"filter({told}, t -> t.named)"
+    return f"size({told}) = size(array_distinct(transform({told}, t -> t.theirs))) and size({names}) = size(array_distinct(transform({names}, t -> t.ours)))"
+
+
+def _consistent(told: str) -> Column:
+    return F.expr(_consistent_sql(told))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(doc_id, item_id, found, words, slots, exact) for each item found in a document.
 
@@ -108,8 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     places = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1))))
     pairs = pairs.withColumn("places", places)
     cut = f"filter(places, p -> words[p] rlike '{SLOT}' and p + diagonal >= 0 and p + diagonal < size(own))"
-    pairs = pairs.withColumn("told", F.expr(f"array_distinct(transform({cut}, p -> struct(values[p] as theirs, own[p + diagonal] as ours)))"))
-    pairs = pairs.where(F.size("told") == F.expr("size(array_distinct(transform(told, t -> t.theirs)))"))
+    pairs = pairs.withColumn("told", F.expr(f"array_distinct(transform({cut}, p -> struct(values[p] as theirs, own[p + diagonal] as ours, words[p] rlike '{NAME}' as named)))"))
+    pairs = pairs.where(_consistent("told"))
     slots = F.expr(f"filter(sequence(0, size(words) - 1), p -> words[p] rlike '{SLOT}')").alias("slots")
     pairs = pairs.select("doc_id", "item", "item_id", F.size("words").alias("words"), slots, (F.col("diagonal") / F.size("words")).alias("shift"), "diagonal", "places", "told")
     # from each diagonal on, as many as an item has words times DRIFT at most
@@ -118,8 +130,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     pairs = pairs.withColumn(
         "sum",
         F.expr(
-            """aggregate(near, cast(named_struct('places', array(), 'told', array()) as struct<places:array<int>,told:array<struct<theirs:string,ours:string>>>), (sum, line) ->
-               if(size(array_union(sum.told, line.told)) = size(array_distinct(transform(array_union(sum.told, line.told), t -> t.theirs))),
+            f"""aggregate(near, cast(named_struct('places', array(), 'told', array()) as struct<places:array<int>,told:array<struct<theirs:string,ours:string,named:boolean>>>), (sum, line) ->
+               if({_consistent_sql("array_union(sum.told, line.told)")},
                   named_struct('places', array_union(sum.places, line.places), 'told', array_union(sum.told, line.told)), sum))"""
         ),
     )
@@ -130,9 +142,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     return best.select("doc_id", "item_id", "b.found", "b.words", "b.slots", "b.exact")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those in which an item of ``benchmark`` is found; all columns stay."""
-    hits = contaminated(docs, benchmark, id_column=id_column, **options).select(F.col("doc_id").alias("__hit")).distinct()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without those in which an item of ``benchmark`` is found; all columns stay. Each row is
+    judged by its own text, also where ids are missing or shared."""
+    key = F.xxhash64(docs[id_column], docs[text_column])
+    own = docs.select(key.alias("__key"), docs[text_column].alias("__text"))
+    hits = contaminated(own, benchmark, id_column="__key", text_column="__text", **options).select(F.col("doc_id").alias("__hit")).distinct()
     hits = common.written(hits, "hits")
     hits = common.bounded_broadcast(hits, hits.count())
-    return docs.join(hits, docs[id_column].cast("long").eqNullSafe(hits["__hit"]), "left_anti")
+    return docs.join(hits, key == hits["__hit"], "left_anti")
