@@ -226,3 +226,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert 82 in near and 82 not in bench and set(range(60)) <= bench
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == bench
+
+
+def test_pipeline_stages_of_awkward_tables(spark, tmp_path):
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(5))
+    clean = lambda: ". ".join(" ".join(["the", word(), "and", word(), "with", word()]).capitalize() for _ in range(8)) + "."
+    schema = "doc_id long, text string, lang string, source string, n_chars long, words string, component_id long, hash long"
+    texts = [clean() for _ in range(12)]
+    rows = [(i, t, "en", "s", 1, "w", 7, 8) for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en", "s", 1, "w", 7, 8), (4, texts[5], "en", "s", 1, "w", 7, 8), (None, texts[6], "en", None, None, None, None, None), (None, clean(), None, "s", 1, "w", 7, 8), (50, None, "en", "s", 1, "w", 7, 8), (51, "", "en", "s", 1, "w", 7, 8)]
+    rows += [(4, clean(), "en", "s", 1, "w", 7, 8), (60, " ".join([texts[0]] * 1500), "en", "s", 1, "w", 7, 8)]
+    frame = spark.createDataFrame(rows, schema)
+    near = corpus_pipeline.near_duplicates(spark, frame, str(tmp_path))
+    left = sorted(near.select("doc_id", "text").collect(), key=str)
+    gone = [(3, texts[3]), (5, texts[5]), (None, texts[6]), (60, rows[-1][1])]  # a repeated row, the later ids of two copies, a text repeated within itself
+    expected = [(r[0], r[1]) for r in rows]
+    for g in gone:
+        expected.remove(g)
+    assert near.columns == frame.columns and left == sorted(expected, key=str)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, frame.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        if name != "packing":
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == frame.columns
+            kept = {r["text"] for r in out.select("text").collect()}
+            assert kept >= set(texts) and (name == "language ID") == (None not in kept)
