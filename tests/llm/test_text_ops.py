@@ -23,6 +23,18 @@ def docs(spark, texts, start=0):
     return spark.createDataFrame(rows, "doc_id long, text string, token string")  # token: a name that clashes inside
 
 
+@pytest.mark.parametrize("most", [300_000, 40])
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_of_slice_after_slice(path, most, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST", most)
+    rng, e = random.Random(21), tokens.Encoder(path)
+    for _ in range(6):
+        texts = rng.sample(ODD, 5) + ["".join(rng.choice(["tea", "B", "é", " ", "\n", ".", ",", "'s", "1"]) for _ in range(30)) for _ in range(40)]
+        ids, edges = e.encode(pa.array(texts, type=pa.string()), 7)
+        whole = e.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(edges.tolist())] == [w.ids + [7] for w in whole]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_ids_are_the_tokenizers(path):
     rng = random.Random(1)

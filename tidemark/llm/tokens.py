@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a public tokenizer, each distinct chunk encoded once.
+"""Token ids of whole texts with a public tokenizer, each distinct chunk of a slice encoded once.
 
 A chunk is a run of white space with the run of other characters after it. Both supported
 tokenizers cut their pre-tokens at every change from other characters to white space, so the
@@ -17,13 +17,16 @@ import pyarrow.compute as pc
 #: Unicode's white space, as the tokenizers' patterns take it (fixed values).
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-INNER = re.compile(f"[^{SPACE}][{SPACE}]")
+#: White space after something else; marks behind a letter or digit at the end (for Arrow's expressions).
+INNER, ENDED = r"[^\t-\r\x{85}\p{Z}][\t-\r\x{85}\p{Z}]", r"[\p{L}\p{N}][,.;:!?]+\z"
 #: A single space with white space before it and white space or the end behind it.
 UNSAFE = r"[\t-\r\x{85}\p{Z}] (?:[\t-\r\x{85}\p{Z}]|\z)"
-PLAIN = re.compile(f" ?[^{SPACE}\\x01]+")
+PLAIN = r"\A ?[^\t-\r\x{85}\p{Z}\x01]+\z"
 MARKS = ",.;:!?"
-#: Entries of a generation; two generations are kept between batches.
-MOST = 150_000
+#: Chunks that are encoded in one call, between separators; calls in a batch.
+TOGETHER, CALLS = 400, 16
+#: Pieces kept from slice to slice; beyond that only those of the last slice stay.
+MOST = 300_000
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -37,8 +40,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # pieces of slices before, and their ids as in _pieces
+        self.known, self.ids, self.start, self.length = pa.array([], type=pa.string()), np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         # between two chunks stands a piece that is one token of its own and in no plain chunk
         self.between, self.mark = next(((gap, ids[0]) for gap in ("\n", " \x01 ") if len(ids := self._ids(gap)) == 1 and self._ids(f"a{gap} b") == [*self._ids("a"), *ids, *self._ids(" b")]), (None, None))
 
@@ -47,54 +50,94 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _resolve(self, chunks: list[str]) -> None:
-        """Fills in ``chunks``. Marks after a letter or digit up to the chunk's end are a pre-token of
-        their own, so a chunk that ends in them is its stem and the marks."""
-        ended, several, wanted, known = [], [], set(), self.known
-        for c in chunks:
-            if INNER.search(c):  # more than one chunk: white space inside
-                several.append((c, CHUNK.findall(c)))
-                wanted.update(several[-1][1])
-                continue
-            stem = c.rstrip(MARKS)
-            if stem != c and stem[-1:].isalnum():
-                ended.append((c, stem, c[len(stem) :]))
-                wanted.update((stem, c[len(stem) :]))
-            else:
-                wanted.add(c)
-        self._learn([c for c in wanted if c not in known])
-        for c, stem, marks in ended:
-            known[c] = known[stem] + known[marks]
-        for c, parts in several:
-            known[c] = b"".join(map(known.__getitem__, parts))
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain, odd = [], []
-        for c in chunks:
-            (plain if self.between and PLAIN.fullmatch(c) else odd).append(c)
-        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for i in range(0, len(groups), 16):
-            part = groups[i : i + 16]
-            for group, e in zip(part, self.tokenizer.encode_batch_fast([self.between.join(g) for g in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype="<u4")
-                cuts = np.flatnonzero(ids == self.mark)
-                if len(cuts) != len(group) - 1:
-                    odd += group
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct ``pieces`` in one row, and each piece's first place and number in it.
+
+        Plain pieces go to the tokenizer many at a time, with a separator between them that is a token of
+        its own; the others, and any group in which the separators do not come back, one by one.
+        """
+        easy = np.asarray(pc.match_substring_regex(pieces, PLAIN)) if self.between else np.zeros(len(pieces), dtype=bool)
+        at, odd = np.flatnonzero(easy), [np.flatnonzero(~easy)]
+        plain = pieces.take(pa.array(at)).to_pylist()
+        index, sizes, ids = [], [], []
+        starts = range(0, len(plain), TOGETHER)
+        for a in range(0, len(starts), CALLS):
+            part = starts[a : a + CALLS]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([self.between.join(plain[i : i + TOGETHER]) for i in part], add_special_tokens=False), strict=True):
+                got, own = np.array(e.ids, dtype="<u4"), at[i : i + TOGETHER]
+                cut = got == self.mark
+                cuts = np.flatnonzero(cut)
+                if len(cuts) != len(own) - 1:
+                    odd.append(own)
                     continue
-                raw = ids.tobytes()
-                edges = [-4, *(cuts * 4).tolist(), len(raw)]
-                for c, a, b in zip(group, edges, edges[1:], strict=False):
-                    self.known[c] = raw[a + 4 : b]
+                index.append(own), sizes.append(np.diff(cuts, prepend=-1, append=len(got)) - 1), ids.append(got[~cut])
+        odd = np.concatenate(odd)
         for i in range(0, len(odd), 512):
-            part = odd[i : i + 512]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+            own = odd[i : i + 512]
+            for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(own)).to_pylist(), add_special_tokens=False):
+                sizes.append(np.array([len(e.ids)])), ids.append(np.array(e.ids, dtype="<u4"))
+            index.append(own)
+        length, start = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        if index:
+            index, sizes = np.concatenate(index), np.concatenate(sizes)
+            length[index], start[index] = sizes, np.cumsum(sizes) - sizes
+        return np.concatenate(ids) if ids else np.zeros(0, dtype="<u4"), start, length
+
+    def _recalled(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_pieces``, which is asked for those that were not in slices before."""
+        at = np.asarray(pc.fill_null(pc.index_in(pieces, value_set=self.known), -1))
+        hit = at >= 0
+        new = pieces.filter(pa.array(~hit))
+        own, first, size = self._pieces(new)
+        ids, start, length = np.concatenate([self.ids, own]), np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        start[hit], length[hit] = self.start[at[hit]], self.length[at[hit]]
+        start[~hit], length[~hit] = first + len(self.ids), size
+        if len(self.known) + len(new) <= MOST:
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids, self.start, self.length = ids, np.concatenate([self.start, first + len(self.ids)]), np.concatenate([self.length, size])
+        else:
+            upto = np.cumsum(length)
+            self.known, self.start, self.length = pieces, upto - length, length
+            self.ids = ids[np.repeat(start - self.start, length) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, start, length
 
-    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """For each text its pieces as numbers, the texts' edges in them, and the distinct pieces.
+    def _resolve(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct ``chunks`` in one row, and each chunk's first place and number in it.
+
+        Marks after a letter or digit up to the chunk's end are a pre-token of their own, so a chunk that
+        ends in them is its stem and the marks.
+        """
+        n = len(chunks)
+        several = pc.match_substring_regex(chunks, INNER)  # white space inside: more than one chunk
+        ended = pc.and_not(pc.match_substring_regex(chunks, ENDED), several)
+        none = pc.equal(pc.binary_length(chunks), 0)
+        whole = pc.invert(pc.or_(pc.or_(several, ended), none))
+        marked = chunks.filter(ended)
+        stems = pc.utf8_rtrim(marked, MARKS)
+        marks = [c[len(stem) :] for c, stem in zip(marked.to_pylist(), stems.to_pylist(), strict=True)]
+        parts = [CHUNK.findall(c) for c in chunks.filter(several).to_pylist()]
+        count = np.ones(n, dtype=np.int64)
+        several, ended, whole = (np.flatnonzero(np.asarray(m)) for m in (several, ended, whole))
+        count[np.asarray(none)], count[ended] = 0, 2
+        count[several] = [len(p) for p in parts]
+        first = np.concatenate(([0], np.cumsum(count)))
+        every = pa.concat_arrays([chunks.take(pa.array(whole)), stems, pa.array(marks, type=pa.string()), pa.array([x for p in parts for x in p], type=pa.string())]).dictionary_encode()
+        code = np.asarray(every.indices, dtype=np.int64)
+        piece = np.empty(first[-1], dtype=np.int64)
+        a, b, c = np.cumsum([len(whole), len(ended), len(ended)])
+        piece[first[whole]], piece[first[ended]], piece[first[ended] + 1] = code[:a], code[a:b], code[b:c]
+        size = count[several]
+        piece[np.repeat(first[several] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = code[c:]
+        ids, start, length = self._recalled(every.dictionary)
+        upto = np.concatenate(([0], np.cumsum(length[piece])))
+        flat = ids[np.repeat(start[piece] - upto[:-1], length[piece]) + np.arange(upto[-1])]
+        return flat, upto[first[:-1]], upto[first[1:]] - upto[first[:-1]]
+
+    def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """For each text its chunks as numbers, the texts' edges in them, and the distinct chunks.
 
         Where white space is dropped: the words. Else the parts between single spaces, each with its
-        space in front; a text in which such a cut may fall inside a run of white space is one piece.
+        space in front; a text in which such a cut may fall inside a run of white space is one chunk.
         """
         if self.drops_space:
             lists = pc.ascii_split_whitespace(texts)
@@ -103,42 +146,33 @@ class Encoder:
         edges = np.asarray(lists.offsets, dtype=np.int64)
         flat, edges = lists.values.slice(edges[0], edges[-1] - edges[0]), edges - edges[0]
         coded = flat.dictionary_encode()
-        code, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
+        code, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
         if self.drops_space:
             return code, edges, names
         # a text's first part has no space in front of it: it gets a number of its own
         first = edges[:-1]
-        once = {}
-        own = np.array([once.setdefault(c, len(names) + len(once)) for c in code[first].tolist()], dtype=np.int64)
+        heads, own = np.unique(code[first], return_inverse=True)
         code = code.copy()
-        code[first] = own
-        names = [" " + n for n in names] + [names[c] for c in once]
+        code[first] = own + len(names)
+        names = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" "), names, ""), names.take(pa.array(heads))])
         odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, UNSAFE)))
         if len(odd):
             keep = np.ones(len(code), dtype=bool)
             size = np.diff(edges)
-            for i in odd.tolist():
+            for k, i in enumerate(odd.tolist()):
                 keep[edges[i] + 1 : edges[i + 1]] = False
-                code[edges[i]] = len(names)
-                names.append(texts[i].as_py())
+                code[edges[i]] = len(names) + k
                 size[i] = 1
+            names = pa.concat_arrays([names, texts.take(pa.array(odd))])
             code, edges = code[keep], np.concatenate(([0], np.cumsum(size)))
         return code, edges, names
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``, and the texts' edges in them; null counts as empty."""
         code, edges, names = self._chunks(pc.fill_null(texts, ""))
-        if len(self.known) > MOST:
-            self.known, self.older = {}, self.known
-        new = {n for n in names if n and n not in self.known}
-        again = new & self.older.keys()
-        self.known.update((c, self.older[c]) for c in again)
-        self._resolve(list(new - again))
-        known = self.known
-        ids = [known[n] if n else b"" for n in names] + [np.array([end], dtype="<u4").tobytes()]
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate(([0], np.cumsum(length)[:-1]))
-        # the end's number behind every text's pieces
+        flat, start, length = self._resolve(names)
+        # the end's number behind every text's chunks
+        start, length, flat = np.append(start, len(flat)), np.append(length, 1), np.append(flat, np.uint32(end)).astype("<u4")
         n = len(edges) - 1
         every = np.full(len(code) + n, len(names), dtype=np.int64)
         every[np.arange(len(code)) + np.repeat(np.arange(n), np.diff(edges))] = code
