@@ -95,7 +95,7 @@ def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
             columns = [pa.array([s for s, _, _ in places], type=pa.int32()), pa.array(pack(h), type=pa.binary()), pa.array(pack(v) if pairs else [None] * len(places), type=pa.binary()), pa.array(pack(c.astype(np.uint32)), type=pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "h", "v", "c"])
 
-    return docs.mapInArrow(run, "shard int, h binary, v binary, c binary")
+    return docs.mapInArrow(common.lean(run), "shard int, h binary, v binary, c binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], keys) -> Iterator[tuple]:

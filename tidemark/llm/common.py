@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder of this machine is
-    set, and removed at exit.
+    Where it is unset, a local session (tests, a laptop) gets a temporary folder of this machine, removed at
+    exit; a cluster, whose machines would not see it, gets an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         own = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -72,6 +75,32 @@ def fold(column: str, n: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+# --------------------------------------------------------------- Python workers
+def _returns_memory() -> ctypes.CDLL | None:
+    """Makes this worker map large arrays one by one, so that each goes back when it is freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: from 2 MB on, for good
+        libc.malloc_trim  # noqa: B018
+    except (OSError, AttributeError):  # not glibc
+        return None
+    return libc
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow in a worker that gives its memory back between large arrays and at the
+    partition's end: workers are used again by later stages, whose memory adds to what is kept."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _returns_memory()
+        yield from run(batches)
+        if libc is not None:
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 # --------------------------------------------------------------- Arrow slices and words
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about ``most`` bytes in the string ``column``; a longer row stands alone."""
@@ -137,7 +166,7 @@ def chain(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 # --------------------------------------------------------------- components
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (a, b): the smallest id reachable.
 
     Alternates star contractions: every node's neighbours are hung below its smallest
@@ -147,7 +176,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
     now = written(both, "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         # larger neighbours go to the smallest neighbour of the node
         way = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = way.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -161,7 +190,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots)

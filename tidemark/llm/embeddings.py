@@ -77,7 +77,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
                 d.append(len(v)), unit.append(u.tobytes()), prints.append(xxhash.xxh3_128_digest((v + 0.0).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(d, type=pa.int32()), pa.array(unit, type=pa.binary()), pa.array(prints, type=pa.binary())], names=["id", "d", "unit", "print"])
 
-    return vectors.mapInArrow(run, "id long, d int, unit binary, print binary")
+    return vectors.mapInArrow(common.lean(run), "id long, d int, unit binary, print binary")
 
 
 def _fit(classes: DataFrame, rows: int, d: int) -> np.ndarray:
@@ -111,7 +111,7 @@ def _cells(classes: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
                     out = rows.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(cell)), cell])
                     yield pa.RecordBatch.from_pandas(out[["d", "cell", "angle", "rep", "size", "unit"]], preserve_index=False)
 
-    return classes.select("d", "rep", "size", "unit").mapInArrow(run, "d int, cell int, angle double, rep long, size long, unit binary")
+    return classes.select("d", "rep", "size", "unit").mapInArrow(common.lean(run), "d int, cell int, angle double, rep long, size long, unit binary")
 
 
 @dataclass
@@ -176,7 +176,7 @@ def _dealt(cells: DataFrame, plans: dict[int, Plan], reach: float) -> DataFrame:
                     out = rows.iloc[at].assign(i=np.minimum(own[at], other).astype(np.int32), j=np.maximum(own[at], other).astype(np.int32), block=own[at].astype(np.int32))
                     yield pa.RecordBatch.from_pandas(out[["d", "i", "j", "block", "cell", "angle", "rep", "size", "unit"]], preserve_index=False)
 
-    return cells.mapInArrow(run, "d int, i int, j int, block int, cell int, angle double, rep long, size long, unit binary")
+    return cells.mapInArrow(common.lean(run), "d int, i int, j int, block int, cell int, angle double, rep long, size long, unit binary")
 
 
 def _spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

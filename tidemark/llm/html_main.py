@@ -286,4 +286,4 @@ def extract_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in keep), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=[*(rows.schema.names[i] for i in keep), "text", "n_chars"])
 
     rest = pages.drop(html_column).schema
-    return pages.mapInArrow(run, common.extended(rest, text="string", n_chars="long"))
+    return pages.mapInArrow(common.lean(run), common.extended(rest, text="string", n_chars="long"))

@@ -71,7 +71,8 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
             for rows in common.slices(batch, "text", 2 << 20):
                 sets = list(shingle_sets(rows.column("text"), width))
                 every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-                np.add(counts, np.bincount((every & mask).astype(np.int64), minlength=len(counts)).astype(np.uint32), out=counts)
+                at, often = np.unique(every & mask, return_counts=True)
+                counts[at] += often.astype(np.uint32)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
@@ -82,7 +83,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         k = len(parts)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([p[0] for p in parts], type=pa.int32()), pa.array([p[1] for p in parts], type=pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, chunk int, counts binary")
+    return docs.mapInArrow(common.lean(run), "doc_id long, n long, print binary, chunk int, counts binary")
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
@@ -99,7 +100,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), pa.array([level.tobytes()], type=pa.binary())], names=["chunk", "levels"])
 
     levels = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for row in sketch.repartition(64, "chunk").mapInArrow(run, "chunk int, levels binary").collect():  # 4 MB in all
+    for row in sketch.repartition(64, "chunk").mapInArrow(common.lean(run), "chunk int, levels binary").collect():  # 4 MB in all
         levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], dtype=np.uint8)
     return levels
 
@@ -127,7 +128,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray) ->
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)), pa.array(histograms, type=pa.binary())], names=["doc_id", "n", "prefix", "histogram"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>, histogram binary")
+    return docs.mapInArrow(common.lean(run), "doc_id long, n long, prefix array<long>, histogram binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -142,7 +143,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["id", "shingles"])
 
     ids = common.bounded_broadcast(ids, ids.count(), BROADCAST_IDS)
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInArrow(common.lean(run), "id long, shingles array<long>")
 
 
 def _needed(percent: int, n: F.Column, m: F.Column) -> F.Column:
@@ -176,7 +177,7 @@ def _possible(pairs: DataFrame, histograms: DataFrame, percent: int) -> DataFram
 
     of = lambda side: histograms.select(F.col("doc_id").alias(side), F.col("histogram").alias(f"h{side}"))
     told = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "na", "b", "nb", "ha", "hb")
-    return told.mapInArrow(run, "a long, na long, b long, nb long").distinct()
+    return told.mapInArrow(common.lean(run), "a long, na long, b long, nb long").distinct()
 
 def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.

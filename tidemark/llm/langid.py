@@ -82,7 +82,7 @@ def _features(texts: DataFrame) -> DataFrame:
                         langs.append(lang), keys.append(key), buckets.append(at.astype("<u2").tobytes()), shares.append((c[at] / c[at].sum()).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(keys, type=pa.int64()), pa.array(buckets, type=pa.binary()), pa.array(shares, type=pa.binary())], names=["lang", "key", "buckets", "shares"])
 
-    return texts.mapInArrow(run, "lang string, key long, buckets binary, shares binary")
+    return texts.mapInArrow(common.lean(run), "lang string, key long, buckets binary, shares binary")
 
 
 @dataclass
@@ -216,4 +216,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") ->
                 names = [m.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, type=pa.string()), pa.array(score), pa.array(~letters | (score < m.reject_below))], names=[*rows.schema.names, *new])
 
-    return docs.mapInArrow(run, common.extended(docs.schema, lang_pred="string", lang_score="double", lang_rejected="boolean"))
+    return docs.mapInArrow(common.lean(run), common.extended(docs.schema, lang_pred="string", lang_score="double", lang_rejected="boolean"))

@@ -188,4 +188,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int
         yield packer.taken()
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return narrow.mapInArrow(pack, SCHEMA)
+    return narrow.mapInArrow(common.lean(pack), SCHEMA)

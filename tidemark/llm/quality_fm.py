@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                     names=["id", "label", "statistics", "words"],
                 )
 
-    drawn = rows.mapInArrow(run, "id long, label int, statistics binary, words binary").toArrow().combine_chunks()
+    drawn = rows.mapInArrow(common.lean(run), "id long, label int, statistics binary, words binary").toArrow().combine_chunks()
     s = len(STATISTICS) + 2 * len(metadata)
     if not drawn.num_rows:
         return QualityModel(np.zeros(s), np.ones(s), 0.0, np.zeros(s + BUCKETS), np.zeros((s + BUCKETS, FACTORS)), metadata)
@@ -206,4 +206,4 @@ def score(docs: DataFrame, model: QualityModel, text_column: str = "text") -> Da
                 z = _design(shared.value, rows.column(text), _metadata(rows, names))
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=[*columns, "quality_score"])
 
-    return given.mapInArrow(run, common.extended(docs.schema, quality_score="double"))
+    return given.mapInArrow(common.lean(run), common.extended(docs.schema, quality_score="double"))

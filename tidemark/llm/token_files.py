@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         "parquet.page.row.count.limit": str(page_rows),
         "compression": "zstd",
     }
-    ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**options).parquet(path)
+    ordered.mapInArrow(common.lean(encode), FILE_SCHEMA).write.options(**options).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -91,4 +91,4 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             keep = [batch.column(c) for c in ("doc_id", "part", "part_start")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(edges) // 4), pa.array(crc, type=pa.int64())], names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "part", "part_start", "tokens").mapInArrow(check, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "part", "part_start", "tokens").mapInArrow(common.lean(check), "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")

@@ -98,7 +98,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                 packed.writestr(zipfile.ZipInfo(INDEX), "\n".join(index))
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n]), pa.array([at])], names=["file", "records", "bytes"])
 
-    return common.written(records.mapInArrow(write, "file string, records long, bytes long"), "archives")
+    return common.written(records.mapInArrow(common.lean(write), "file string, records long, bytes long"), "archives")
 
 
 # --------------------------------------------------------------- reading
@@ -184,7 +184,7 @@ def locate_ranges(files: DataFrame) -> DataFrame:
                         ranges += [(start + begin, length)] if length else []
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(ranges), type=pa.string()), pa.array([r[0] for r in ranges], type=pa.int64()), pa.array([r[1] for r in ranges], type=pa.int64())], names=["file", "start", "length"])
 
-    return files.select("file").mapInArrow(locate, "file string, start long, length long")
+    return files.select("file").mapInArrow(common.lean(locate), "file string, start long, length long")
 
 
 def _records(source: pa.NativeFile, start: int, length: int) -> Iterator[bytes]:
@@ -261,7 +261,7 @@ def read_records(ranges: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return ranges.mapInArrow(read, schema)
+    return ranges.mapInArrow(common.lean(read), schema)
 
 
 def with_payloads(records: DataFrame) -> DataFrame:
