@@ -285,6 +285,33 @@ def test_language_model_in_many_shards(spark, monkeypatch):
     assert whole["score"].tolist() == pytest.approx(exact, rel=0.01)
 
 
+def test_probabilities_sum_to_one_over_the_vocabulary(spark):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 4000}" for _ in range(250)) for _ in range(120)]
+    model = bloom_lm.train(docs(spark, texts))
+    c = collections.Counter(w for t in texts for w in t.split())
+    ranked = [w for w, _ in c.most_common()]
+    some = [ranked[0], ranked[1], next(w for w in ranked if c[w] <= 40), next(w for w in ranked if c[w] <= 5), *rng.sample([w for w in ranked if c[w] == 1], 3)]
+    shards = {(r["kind"], r["shard"]): r for r in model.shards.collect()}
+    h = {w: np.uint64(x) for w, x in zip(ranked, common.hash_words(ranked), strict=True)}
+    every = np.array([h[w] for w in ranked])
+    known = {k: np.concatenate([np.frombuffer(r[k], dtype=np.uint64 if k == "x" else np.int64) for (kind, _), r in sorted(shards.items()) if kind == 1]) for k in "xyz"}
+    after = dict(zip(known["x"].tolist(), known["z"].tolist(), strict=True))
+    n = model.tokens + 0.1 * (model.types + 1)
+    now = np.array([c[w] for w in ranked])
+    for v in some:
+        pairs = bloom_lm._pair(np.stack([np.full(len(every), h[v]), every], axis=1).ravel(), np.arange(1, 2 * len(every), 2))
+        level = np.zeros(len(pairs), dtype=np.int64)
+        order, places = bloom_lm._shards_of(pairs, model.filters)
+        for s, a, b in places:
+            level[order[a:b]] = bloom_lm._levels(np.frombuffer(shards[2, s]["x"], dtype=np.uint8), pairs[order[a:b]])
+        one = lambda x: np.full(len(now), x)
+        p = bloom_lm._probability(level, now, one(c[v]), one(after[int(h[v])]), (now + 0.1) / n, model.types, model.false)
+        ends = sum(t.split()[-1] == v for t in texts)  # the end and unknown words are the rest of the sum
+        end = bloom_lm._probability(bloom_lm._level(np.array([max(ends, 1)])) * (ends > 0), np.array([len(texts)]), np.array([c[v]]), np.array([after[int(h[v])]]), np.array([(len(texts) + 0.2) / n]), model.types, model.false)
+        assert p.sum() + end[0] == pytest.approx(1, abs=0.05), (v, c[v])
+
+
 def test_filter_counts_are_quantised_and_never_too_low():
     h = np.arange(1, 2000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     c = np.arange(1, 2000)

@@ -4,7 +4,9 @@ Counts are quantised on a logarithmic scale, q(c) = 1 + floor(log_b c), and a bi
 filter q(c) times, as (bigram, 1) ... (bigram, q). A worker asks for (bigram, 1), (bigram, 2) and
 on until a miss: the last hit is the count's level. Probabilities are smoothed by absolute discounting:
 p(w | v) = (c(v, w) - d) / c(v) + d T(v) / c(v) p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
-where T(v) is the number of distinct bigrams that begin with v; c(v), c(w) and T(v) are exact.
+where T(v) is the number of distinct bigrams that begin with v; c(v), c(w) and T(v) are exact. The whole
+is divided by 1 + f V (1 - d) / c(v), f being the share of absent bigrams that the filter takes for
+present, so that p sums to 1 over the vocabulary. Bigrams have hashes of 40 bits.
 
 No n-gram is cut. Words and the filter are dealt by hash into shards of about one size, as many as
 the corpus needs, and a task holds one of them at a time. Texts are scored in batches: a batch's
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Quantisation base, discount, least weight of the prior after a known word, hash functions, bits for each entry aimed at.
-BASE, DISCOUNT, FLOOR, PROBES, BITS = 1.5, 0.5, 0.02, 4, 10
+BASE, DISCOUNT, FLOOR, PROBES, BITS = 1.5, 0.5, 0.02, 12, 24
 #: Bits of a shard of the filter (1 MB), as a power of two; bytes of text for each shard of words.
 SHARD_BITS, WORDS_BYTES = 23, 64 << 20
 #: Stands before and after a text; no word holds a space.
+HIGH = np.uint64(0xFFFFFFFFFF000000)
 EDGE = np.uint64(xxhash.xxh3_64_intdigest(" edge"))
 GATHER = 1_000_000
 
@@ -48,17 +51,33 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts if n else np.zeros(1, dtype=np.int64)
 
 
+def _pair(hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """40-bit hashes of the tokens ``at`` with their predecessors (the low 24 bits are 0)."""
+    return common.chain([hashed[at - 1], hashed[at]]) & HIGH if len(at) else hashed[:0]
+
+
+def _packed(h: np.ndarray) -> bytes:
+    """The upper 40 bits of each, five bytes each."""
+    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _bigrams(hashed: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token (words and final edge): the place in ``hashed``; the hash of it with its predecessor."""
     token = np.ones(len(hashed), dtype=bool)
     token[starts[:-1]] = False
     at = np.flatnonzero(token)
-    return at, common.chain([hashed[at - 1], hashed[at]]) if len(at) else np.zeros(0, dtype=np.uint64)
+    return at, _pair(hashed, at)
 
 
 def _shards_of(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of ``h`` by shard, and (shard, first place, end) of those that occur."""
-    shard = ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    shard = ((h >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     present, first = np.unique(shard[order], return_index=True)
     edges = [*first.tolist(), len(h)]
@@ -86,13 +105,14 @@ def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
     def keys(hashed: np.ndarray, at: np.ndarray) -> tuple:
         if not pairs:
             return hashed[at], None
-        return common.chain([hashed[at - 1], hashed[at]]) if len(at) else hashed[:0], hashed[at - 1]
+        return _pair(hashed, at), hashed[at - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, v, c in _gathered(batches, keys):
             order, places = _shards_of(h, shards)
             pack = lambda x: [x[order[a:b]].tobytes() for _, a, b in places]  # noqa: B023, E731
-            columns = [pa.array([s for s, _, _ in places], type=pa.int32()), pa.array(pack(h), type=pa.binary()), pa.array(pack(v) if pairs else [None] * len(places), type=pa.binary()), pa.array(pack(c.astype(np.uint32)), type=pa.binary())]
+            short = lambda x: [_packed(x[order[a:b]]) for _, a, b in places]  # noqa: B023, E731
+            columns = [pa.array([s for s, _, _ in places], type=pa.int32()), pa.array(short(h) if pairs else pack(h), type=pa.binary()), pa.array(short(v) if pairs else [None] * len(places), type=pa.binary()), pa.array(pack(c.astype(np.uint32)), type=pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", "h", "v", "c"])
 
     return docs.mapInArrow(common.lean(run), "shard int, h binary, v binary, c binary")
@@ -126,24 +146,32 @@ def _level(c: np.ndarray) -> np.ndarray:
 
 
 def _value(q: np.ndarray) -> np.ndarray:
-    """The count that level q stands for: the middle of its range; 0 for none."""
-    return np.where(q > 0, (np.ceil(BASE ** (q - 1.0) - 1e-9) + np.maximum(np.ceil(BASE**q - 1e-9) - 1, np.ceil(BASE ** (q - 1.0) - 1e-9))) / 2, 0.0)
+    """The count that level q stands for: the mean of its range where a count's weight falls with its
+    square, as counts of words do; 0 for none."""
+    low = np.ceil(BASE ** (q - 1.0) - 1e-9)
+    high = np.maximum(np.ceil(BASE**q - 1e-9) - 1, low)
+    below, above = low - 0.5, high + 0.5
+    mean = np.log(above / below) / (1 / below - 1 / above)
+    return np.where(q > 0, np.where(high > low, mean, low), 0.0)
 
 
-def _places(h: np.ndarray, j: int) -> Iterator[np.ndarray]:
-    """Bits of the shard for entry (bigram, j)."""
+def _key(h: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of entry (bigram, j) begin, and how far they lie apart."""
     key = common.mix(h + np.uint64(((2 << 32) + j) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    first, step = key, (key >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((first + np.uint64(i) * step) & np.uint64((1 << SHARD_BITS) - 1)).astype(np.int64)
+    return key, (key >> np.uint64(32)) | np.uint64(1)
+
+
+def _bit(first: np.ndarray, step: np.ndarray, i: int) -> np.ndarray:
+    return ((first + np.uint64(i) * step) & np.uint64((1 << SHARD_BITS) - 1)).astype(np.int64)
 
 
 def _filled(h: np.ndarray, c: np.ndarray) -> bytes:
     """A shard of the filter with the bigrams ``h``."""
     bits, level, j = np.zeros(1 << SHARD_BITS, dtype=bool), _level(c), 1
     while len(h):
-        for place in _places(h, j):
-            bits[place] = True
+        first, step = _key(h, j)
+        for i in range(PROBES):
+            bits[_bit(first, step, i)] = True
         j += 1
         h, level = h[level >= j], level[level >= j]
     return np.packbits(bits, bitorder="little").tobytes()
@@ -153,10 +181,11 @@ def _levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Levels of the bigrams ``h`` by probing a shard until a miss."""
     level, live, j = np.zeros(len(h), dtype=np.uint8), np.arange(len(h)), 1
     while len(live):
-        hit = np.ones(len(live), dtype=bool)
-        for bit in _places(h[live], j):
-            hit &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-        live = live[hit]
+        first, step = _key(h[live], j)
+        for i in range(PROBES):  # most that are absent are gone after a probe or two
+            bit = _bit(first, step, i)
+            hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            live, first, step = live[hit], first[hit], step[hit]
         level[live] = j
         j += 1
     return level
@@ -164,13 +193,28 @@ def _levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What training leaves: N, V, and the shards of the words (kind 1) and of the filter (kind 2) with their numbers."""
+    """What training leaves: N, V, the shards of the words (kind 1) and of the filter (kind 2) with their numbers,
+    and the share of absent bigrams that the filter takes for present."""
 
     tokens: int
     types: int
     words: int
     filters: int
     shards: DataFrame
+    false: float
+
+
+def _probability(level: np.ndarray, now: np.ndarray, before: np.ndarray, after: np.ndarray, prior: np.ndarray, types: int, false: float) -> np.ndarray:
+    """p(w | v) of bigrams: the filter's levels, c(w), c(v), T(v) and p(w).
+
+    The edge as a context was seen once a text, as it was as a token. An unknown v leaves p(w).
+    """
+    context = np.maximum(before, 1)
+    seen = np.maximum(np.minimum(_value(level), np.minimum(now, before)) - DISCOUNT, 0)
+    rest = np.where(before > 0, np.clip(DISCOUNT * after / context, FLOOR, 1.0), 1.0)
+    # what absent bigrams that seem present once add up to over all words
+    whole = np.where(before > 0, 1 + false * types * (1 - DISCOUNT) / context, 1.0)
+    return (seen / context + rest * prior) / whole
 
 
 def _bytes(texts: DataFrame) -> int:
@@ -193,35 +237,38 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     filters = -(-tokens * BITS // (1 << SHARD_BITS)) or 1
 
     def fill(rows: pa.Table) -> pa.Table:
-        v = _joined(rows.column("v"), np.uint64)
-        h, c, first = _summed(_joined(rows.column("h"), np.uint64), _joined(rows.column("c"), np.uint32))
+        v = _unpacked(b"".join(rows.column("v").to_pylist()))
+        h, c, first = _summed(_unpacked(b"".join(rows.column("h").to_pylist())), _joined(rows.column("c"), np.uint32))
         v, t, _ = _summed(v[first], np.ones(len(h), dtype=np.int64))
         order, places = _shards_of(v, words)
-        pack = lambda x: [None, *[x[order[a:b]].tobytes() for _, a, b in places]]
-        n = len(places)
+        pack = lambda x, f=np.ndarray.tobytes: [None, *[f(x[order[a:b]]) for _, a, b in places]]
+        n, bits = len(places), _filled(h, c)
         return pa.table(
             {
                 "kind": pa.array([2] + [1] * n, type=pa.int32()),
                 "shard": pa.array([rows.column("shard")[0].as_py(), *[s for s, _, _ in places]], type=pa.int32()),
-                "bits": pa.array([_filled(h, c), *[None] * n], type=pa.binary()),
-                "h": pa.array(pack(v), type=pa.binary()),
+                "bits": pa.array([bits, *[None] * n], type=pa.binary()),
+                "fill": pa.array([int(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).sum()) / (1 << SHARD_BITS), *[None] * n], type=pa.float64()),
+                "h": pa.array(pack(v, _packed), type=pa.binary()),
                 "t": pa.array(pack(t.astype(np.uint32)), type=pa.binary()),
             }
         )
 
-    two = common.written(_partial(texts, True, filters).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, h binary, t binary"), "bigrams")
+    two = common.written(_partial(texts, True, filters).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, fill double, h binary, t binary"), "bigrams")
+    # how often a probe of a bigram that is not there hits: the fill of the shards to the power of the probes
+    false = two.where("kind = 2").agg(F.sum(F.pow("fill", F.lit(float(PROBES))))).first()[0] or 0.0
 
     def follow(of: pa.Table, after: pa.Table) -> pa.Table:
         h, c = _joined(of.column("h"), np.uint64), _joined(of.column("c"), np.int64)
-        v, types_after, _ = _summed(_joined(after.column("h"), np.uint64), _joined(after.column("t"), np.uint32))
+        v, types_after, _ = _summed(_unpacked(b"".join(after.column("h").to_pylist())), _joined(after.column("t"), np.uint32))
         t = np.zeros(len(h), dtype=np.int64)
-        t[np.searchsorted(h, v)] = types_after  # what precedes a token is one
+        t[np.searchsorted(h & HIGH, v)] = types_after  # what precedes a token is one; the words are in order, by 40 bits too
         return pa.table({"kind": pa.array([1], type=pa.int32()), "shard": of.column("shard")[:1].cast(pa.int32()), "x": pa.array([h.tobytes()], type=pa.binary()), "y": pa.array([c.tobytes()], type=pa.binary()), "z": pa.array([t.tobytes()], type=pa.binary())})
 
     ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(follow, "kind int, shard int, x binary, y binary, z binary")
     none = F.lit(None).cast("binary")
     shards = common.written(ones.unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z"))), "model")
-    return Model(tokens, types, words, filters, shards)
+    return Model(tokens, types, words, filters, shards, false / filters)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -233,7 +280,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     doc_id is carried; an empty training set leaves N = V = 0 and all tokens unknown; other columns
     are not read. ``docs`` is read three times; a batch holds all rows that share id and text.
     """
-    tokens, types, words, filters = model.tokens, model.types, model.words, model.filters
+    tokens, types, words, filters, model_false = model.tokens, model.types, model.words, model.filters, model.false
     total = tokens + 0.1 * (types + 1)
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     batches = -(-_bytes(narrow) // common.SLICE_BYTES) or 1
@@ -251,7 +298,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         for kind, h, n in ((1, one, words), (2, two, filters)):
             order, places = _shards_of(h, n)
             for s, a, b in places:
-                kinds.append(kind), shards.append(s), packed.append(h[order[a:b]].tobytes())
+                kinds.append(kind), shards.append(s), packed.append(h[order[a:b]].tobytes() if kind == 1 else _packed(h[order[a:b]]))
         return pa.table({"kind": pa.array(kinds, type=pa.int32()), "shard": pa.array(shards, type=pa.int32()), "batch": pa.array([rows.column("batch")[0].as_py()] * len(kinds), type=pa.int64()), "h": pa.array(packed, type=pa.binary())})
 
     def answer(shard: pa.Table, asked: pa.Table) -> pa.Table:
@@ -259,7 +306,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         kind = asked.column("kind")[0].as_py() if asked.num_rows else 0
         known = [_joined(shard.column(x), np.uint8) for x in ("x", "y", "z")]
         for raw in asked.column("h").to_pylist():
-            h = np.frombuffer(raw, dtype=np.uint64)
+            h = np.frombuffer(raw, dtype=np.uint64) if kind == 1 else _unpacked(raw)
             if kind == 2:
                 c.append((_levels(known[0], h) if len(known[0]) else np.zeros(len(h), dtype=np.uint8)).tobytes()), t.append(None)
                 continue
@@ -286,11 +333,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         owner = np.repeat(np.arange(n), size)
         now, before = code[at], code[at - 1]
         prior = (c + 0.1) / total
-        # the edge as a context was seen once a text, as it was as a token
-        seen = np.minimum(_value(level)[pair], np.minimum(c[now], c[before]))
-        context = np.maximum(c, 1)
-        rest = np.where(c > 0, np.clip(DISCOUNT * t / context, FLOOR, 1.0), 1.0)
-        p = np.maximum(seen - DISCOUNT, 0) / context[before] + rest[before] * prior[now]
+        p = _probability(level[pair], c[now], c[before], t[before], prior[now], types, model_false)
         by = lambda v: np.bincount(owner, weights=v, minlength=n)
         return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(by(c[now] > 0).astype(np.int64)), "base_score": pa.array(by(np.log10(prior[now]))), "score": pa.array(by(np.log10(np.minimum(p, 1.0))))})
 
