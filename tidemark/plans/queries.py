@@ -344,13 +344,31 @@ for name, expr in FILL.items():
         body = f"SELECT panel_id, channel, ts, coalesce(value, avg(value) OVER (PARTITION BY panel_id, channel)) AS value, observed FROM ({body})"
     add(f"impute_{name}", lambda s, d, name=name: I.impute(hourly(s, d), name), select(CARRIED, body), "ts", "value")
 add("impute_linear_interpolation", panel, select(PANEL, "SELECT * FROM panel"), "ts", "value")
-add("impute_seasonal", lambda s, d: I.impute(hourly(s, d).where("value is not null or hour(ts) <> 5"), "seasonal", period=24))
+add("impute_seasonal", lambda s, d: I.impute(hourly(s, d), "seasonal", period=24))
 for name, params in (("spline_interpolation", {}), ("knn_temporal", {"n_neighbors": 3}), ("rolling_mean", {"window": 5}), ("psm", {})):
     add(f"impute_{name}", lambda s, d, name=name, params=params: I.impute(hourly(s, d), name, **params))
 add("impute_channels", lambda s, d: I.impute_channels(hourly(s, d), {"click": {"method": "forward_fill"}}), select(PANEL, "SELECT p.panel_id, p.channel, p.ts, CASE WHEN p.channel = 'click' THEN coalesce(pv, nv) ELSE p.value END AS value, observed FROM panel p JOIN carried c ON c.panel_id = p.panel_id AND c.channel = p.channel AND c.ts = p.ts"), "ts", "value")
 add("impute_frame", lambda s, d: I.impute_frame(hourly(s, d), "backward_fill", ["view"]), select(CARRIED, "SELECT panel_id, channel, ts, CASE WHEN channel = 'view' THEN coalesce(nv, pv) ELSE value END AS value, CAST(value IS NOT NULL AS INTEGER) AS observed FROM carried"), "ts", "value")
 BLANK = PANEL + KNOWN + f", blank AS (SELECT panel_id, channel, ts, CASE WHEN {HIT.format(3600)} THEN NULL ELSE value END AS value, observed FROM panel p)"
-add("reimpute_known", lambda s, d: I.reimpute_known(panel(s, d), intervals(s), 3600), select(BLANK + ", bc AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN ts END) OVER b AS pt, last_value(value IGNORE NULLS) OVER b AS pv, min(CASE WHEN value IS NOT NULL THEN ts END) OVER f AS nt, first_value(value IGNORE NULLS) OVER f AS nv FROM blank WINDOW b AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", "SELECT panel_id, channel, ts, coalesce(value, pv + (nv - pv) * (epoch_us(ts) - epoch_us(pt)) / nullif(epoch_us(nt) - epoch_us(pt), 0), pv, nv) AS value, CASE WHEN value IS NULL THEN 0 ELSE observed END AS observed FROM bc"), "ts", "value")
+AGAIN = select(BLANK + ", bc AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN ts END) OVER b AS pt, last_value(value IGNORE NULLS) OVER b AS pv, min(CASE WHEN value IS NOT NULL THEN ts END) OVER f AS nt, first_value(value IGNORE NULLS) OVER f AS nv FROM blank WINDOW b AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))", "SELECT panel_id, channel, ts, coalesce(value, pv + (nv - pv) * (epoch_us(ts) - epoch_us(pt)) / nullif(epoch_us(nt) - epoch_us(pt), 0), pv, nv) AS value, CASE WHEN value IS NULL THEN 0 ELSE observed END AS observed FROM bc")
+add("reimpute_known", lambda s, d: I.reimpute_known(panel(s, d), intervals(s), 3600), AGAIN, "ts", "value")
+
+
+def filled(s: SparkSession, d: str) -> DataFrame:
+    """Values of hour 5 blanked and filled by two methods, beside what they were."""
+    told = hourly(s, d).where("value is not null").select(*K, "ts", F.col("value").alias("original"), (F.hour("ts") == 5).alias("injected"))
+    holes = told.select(*K, "ts", F.when(~F.col("injected"), F.col("original")).alias("value"))
+    one = lambda name: I.impute(holes, name).join(told, [*K, "ts"]).withColumn("method", F.lit(name))
+    return one("iterative").unionByName(one("backward_fill"))
+
+
+FILLED = HOURLY + """, hol AS (SELECT panel_id, channel, ts, value AS original, hour(ts) = 5 AS injected, CASE WHEN hour(ts) <> 5 THEN value END AS v FROM hourly WHERE value IS NOT NULL),
+fl AS (SELECT *, avg(v) OVER (PARTITION BY panel_id, channel) AS m, first_value(v IGNORE NULLS) OVER (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,
+ last_value(v IGNORE NULLS) OVER (PARTITION BY panel_id, channel ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv FROM hol),
+al AS (SELECT 'iterative' AS method, *, coalesce(v, m) AS f FROM fl UNION ALL SELECT 'backward_fill', *, coalesce(v, nv, pv) FROM fl),
+im AS (SELECT method, panel_id, channel, avg(abs(f - original)) AS mae, sqrt(avg(pow(f - original, 2))) AS rmse, avg(CASE WHEN abs(original) > 1e-10 THEN abs((f - original) / original) * 100 END) AS mape, count(*) AS n FROM al WHERE injected GROUP BY ALL)"""
+add("imputation_metrics", lambda s, d: A.imputation_metrics(filled(s, d)), select(FILLED, "SELECT * FROM im"), "", "mae rmse mape")
+add("summarize_methods", lambda s, d: A.summarize_methods(A.imputation_metrics(filled(s, d))), select(FILLED, "SELECT *, method = (SELECT method FROM im GROUP BY method ORDER BY avg(mae), method LIMIT 1) AS best FROM (SELECT method, avg(mae) AS mae_mean, stddev_samp(mae) AS mae_std, avg(rmse) AS rmse_mean, stddev_samp(rmse) AS rmse_std, avg(mape) AS mape_mean, stddev_samp(mape) AS mape_std, count(*) AS runs FROM im GROUP BY method)"), "", "mae_mean mae_std rmse_mean rmse_std mape_mean mape_std")
 add("inject_gaps", lambda s, d: I.inject_gaps(hourly(s, d), 5, 10))
 add("benchmark_imputation", lambda s, d: A.summarize_methods(I.benchmark_imputation(hourly(s, d), ["mean", "forward_fill", "linear_interpolation"])))
 
@@ -362,7 +380,7 @@ add("fit_ridge", lambda s, d: M.fit_linear(panel(s, d), "ridge", 1, alpha=10.0).
 for kind in ("lasso", "elasticnet", "bayesianridge"):
     add(f"fit_{kind}", lambda s, d, kind=kind: M.fit_linear(panel(s, d), kind, 3, alpha=0.01).select(*K, "model", "intercept", F.array_join(F.transform("coef", lambda c: F.round(c, 4).cast("string")), ",").alias("coef")))
 add("fit_huber", lambda s, d: M.fit_huber(panel(s, d), 2, rounds=2).select(*K, "model", "intercept"))
-add("fit_trees", lambda s, d: A.forecast_metrics(M.fit_trees(panel(s, d), 3, 2, 2)))
+add("fit_trees", lambda s, d: A.forecast_metrics(M.fit_trees(panel(s, d))))
 add("fit_nystroem", lambda s, d: A.forecast_metrics(M.fit_nystroem(panel(s, d), 3, 16)))
 add("auto_clean", lambda s, d: M.auto_clean(panel(s, d), 3).select(*K, "ts", "cleaned"))
 add("prepare_channels", lambda s, d: M.prepare_channels(panel(s, d), 6).select(*K).distinct(), select(PANEL, "SELECT panel_id, channel FROM panel GROUP BY ALL HAVING count(value) >= 16"))
@@ -400,7 +418,9 @@ ds AS (SELECT u.panel_id, u.ts, any_value(ev) AS ev, min(observed) AS o, pow(sum
 dt AS (SELECT panel_id, quantile_cont(score, 0.9) AS threshold, quantile_cont(score, 0.01) AS q_low FROM ds WHERE NOT ev AND o = 1 GROUP BY panel_id)"""
 add("detect", lambda s, d: C.combine_groups(D.detect(panel(s, d), None, D.no_bounds(raw(s, d)), hist=24, q=0.9)).drop("winner"), select(DETECT, "SELECT ds.panel_id, ts, score AS anomaly_score, CASE WHEN threshold > q_low THEN least(greatest((score - q_low) / (threshold - q_low), 0), 1) END AS anomaly_score_normalized, threshold AS anomaly_threshold, CAST(coalesce(score >= threshold, false) AS INTEGER) AS anomaly_flag FROM ds LEFT JOIN dt ON ds.panel_id = dt.panel_id WHERE ev"), "ts", "anomaly_score anomaly_score_normalized anomaly_threshold")
 add("score_all", system_scores, select(SYSTEM, "SELECT * FROM scores"), "ts", "anomaly_score anomaly_score_normalized anomaly_threshold")
-add("compare_scopes", lambda s, d: D.compare_scopes(D.detect(panel(s, d), None, D.no_bounds(raw(s, d)), hist=24, q=0.9), D.score_all(panel(s, d), None))[1].withColumnRenamed("group", "grp"))
+SCOPES = DETECT + ", whole AS (SELECT * FROM dn WHERE pred IS NOT NULL)" + SCORED
+add("compare_scopes", lambda s, d: D.compare_scopes(D.detect(panel(s, d), None, D.no_bounds(raw(s, d)), hist=24, q=0.9), D.score_told(naive(s, d)))[1].withColumnRenamed("group", "grp"), select(SCOPES, "SELECT panel_id, 'system' AS grp, count(*) AS rows, CAST(sum(f) AS BIGINT) AS flags, avg(f) AS rate, max(threshold) AS threshold, 'unseen' AS scope FROM (SELECT ds.panel_id, CAST(coalesce(score >= threshold, false) AS INTEGER) AS f, threshold FROM ds LEFT JOIN dt ON ds.panel_id = dt.panel_id WHERE ev) GROUP BY panel_id UNION ALL SELECT panel_id, 'system', count(*), CAST(sum(anomaly_flag) AS BIGINT), avg(anomaly_flag), max(anomaly_threshold), 'all' FROM scores GROUP BY panel_id"), "", "rate threshold")
+add("detect_observed", lambda s, d: C.combine_groups(D.detect(panel(s, d), None, D.no_bounds(raw(s, d)), hist=24, q=0.9, observed_only=True)).select("panel_id", "ts", "anomaly_score", "anomaly_flag"), select(DETECT, "SELECT ds.panel_id, ts, score AS anomaly_score, CAST(coalesce(score >= threshold, false) AS INTEGER) AS anomaly_flag FROM ds LEFT JOIN dt ON ds.panel_id = dt.panel_id WHERE ev AND o = 1"), "ts", "anomaly_score")
 add("replay_known", lambda s, d: D.replay_known(panel(s, d), None, intervals(s).where("start_ts <= end_ts"), D.no_bounds(raw(s, d)), hist=24, q=0.9).select("panel_id", "window_id", "ts", "anomaly_score", "anomaly_flag"))
 
 
@@ -463,4 +483,5 @@ add("fetch_window", lambda s, d: T.fetch_window(raw(s, d), F.expr(NOW)), select(
 
 # ------------------------------------------------------------------ composites
 add("process", lambda s, d: P.process(raw(s, d), views(s, d), bounds=bounds(s), median="click", average="i"))
-add("prepare_panel", lambda s, d: P.prepare_panel(panel(s, d), intervals(s), 3600).select(*K, "ts", "value", "observed", "role"))
+with_, _, body = AGAIN.rpartition(MAIN)
+add("prepare_panel", lambda s, d: P.prepare_panel(panel(s, d), intervals(s), 3600).select(*K, "ts", "value", "observed", "role"), select(with_, f"SELECT *, CASE WHEN channel LIKE '%\\_\\_weight' ESCAPE '\\' THEN 'weight' WHEN channel LIKE 'exogenous\\_%' ESCAPE '\\' THEN 'exog' ELSE 'target' END AS role FROM ({body})"), "ts", "value")
