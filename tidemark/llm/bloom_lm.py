@@ -99,8 +99,17 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return h[first], np.add.reduceat(c[order].astype(np.int64), first), order[first]
 
 
+def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an ordered ``v``, each once, and how often each stands there."""
+    first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    return v[first], np.diff(np.append(first, len(v))).astype(np.uint32)
+
+
 def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
-    """(shard, h, v, c): packed counts of bigrams (``pairs``; v the first token) or tokens, of some texts each."""
+    """(shard, h, v, n, c): packed counts of bigrams (``pairs``) or tokens, of some texts each.
+
+    Bigrams stand by their first token: v names each of these once, n says how many bigrams it has.
+    """
 
     def keys(hashed: np.ndarray, at: np.ndarray) -> tuple:
         if not pairs:
@@ -109,13 +118,22 @@ def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, v, c in _gathered(batches, keys):
+            if pairs:
+                by = np.argsort(v, kind="stable")
+                h, v, c = h[by], v[by], c[by]
             order, places = _shards_of(h, shards)
-            pack = lambda x: [x[order[a:b]].tobytes() for _, a, b in places]  # noqa: B023, E731
-            short = lambda x: [_packed(x[order[a:b]]) for _, a, b in places]  # noqa: B023, E731
-            columns = [pa.array([s for s, _, _ in places], type=pa.int32()), pa.array(short(h) if pairs else pack(h), type=pa.binary()), pa.array(short(v) if pairs else [None] * len(places), type=pa.binary()), pa.array(pack(c.astype(np.uint32)), type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "h", "v", "c"])
+            packed = {"h": [], "v": [], "n": [], "c": []}
+            for _, a, b in places:
+                i = order[a:b]
+                packed["h"].append(_packed(h[i]) if pairs else h[i].tobytes())
+                packed["c"].append(c[i].astype(np.uint32).tobytes())
+                first, n = _runs(v[i]) if pairs else (None, None)
+                packed["v"].append(_packed(first) if pairs else None)
+                packed["n"].append(n.tobytes() if pairs else None)
+            columns = [pa.array([s for s, _, _ in places], type=pa.int32()), *[pa.array(x, type=pa.binary()) for x in packed.values()]]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", *packed])
 
-    return docs.mapInArrow(common.lean(run), "shard int, h binary, v binary, c binary")
+    return docs.mapInArrow(common.lean(run), "shard int, h binary, v binary, n binary, c binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], keys) -> Iterator[tuple]:
@@ -237,7 +255,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     filters = -(-tokens * BITS // (1 << SHARD_BITS)) or 1
 
     def fill(rows: pa.Table) -> pa.Table:
-        v = _unpacked(b"".join(rows.column("v").to_pylist()))
+        v = np.repeat(_unpacked(b"".join(rows.column("v").to_pylist())), _joined(rows.column("n"), np.uint32))
         h, c, first = _summed(_unpacked(b"".join(rows.column("h").to_pylist())), _joined(rows.column("c"), np.uint32))
         v, t, _ = _summed(v[first], np.ones(len(h), dtype=np.int64))
         order, places = _shards_of(v, words)
@@ -267,7 +285,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
 
     ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(follow, "kind int, shard int, x binary, y binary, z binary")
     none = F.lit(None).cast("binary")
-    shards = common.written(ones.unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z"))), "model")
+    shards = common.written(ones, "model").unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z")))
     return Model(tokens, types, words, filters, shards, false / filters)
 
 
