@@ -34,7 +34,8 @@ SHARD_BITS, WORDS_BYTES = 23, 64 << 20
 #: Stands before and after a text; no word holds a space.
 HIGH = np.uint64(0xFFFFFFFFFF000000)
 EDGE = np.uint64(xxhash.xxh3_64_intdigest(" edge"))
-GATHER = 1_000_000
+#: Tokens that are counted together, slices of text in a batch: the more they are, the less is sent twice.
+GATHER, BATCH = 3_000_000, 4
 
 
 def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +302,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     tokens, types, words, filters, model_false = model.tokens, model.types, model.words, model.filters, model.false
     total = tokens + 0.1 * (types + 1)
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    batches = -(-_bytes(narrow) // common.SLICE_BYTES) or 1
+    batches = -(-_bytes(narrow) // (BATCH * common.SLICE_BYTES)) or 1
     narrow = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
     def distinct(rows: pa.Table) -> tuple:
