@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, common, decontaminate, embeddings, html_main, jaccard, langid, packing, quality_fm, token_files, tokens, warc_zip
+from . import bloom_lm, common, decontaminate, embeddings, html_main, jaccard, langid, packing, quality_fm, spelling, token_files, tokens, url_filters, vector_codes, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,66 @@ FROM told
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+    rules = [*[url_filters.host_rule(*r) for r in hosts], *url_filters.PATTERNS]
+    judged = url_filters.judge(common.table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", *[F.col(f"url_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+# the host rules by comparing hosts and paths, the method's patterns as plain regular expressions
+ORACLES["op11_url_filters"] = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS name, rest FROM cut),
+told AS (SELECT page_id, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(name) + 1) AS tail FROM named),
+urls AS (SELECT page_id, host, regexp_extract(tail, '^[^?#]*') AS path, tail FROM told),
+rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(h, p, verdict)),
+fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE
+  WHEN regexp_matches(host || tail, '/robots\.txt$', 'i') THEN 'allow'
+  WHEN regexp_matches(host, '(^|\.)(adult-|adult\.|casino-|casino\.|ads\.|adserver\.|track\.|tracker\.)', 'i') THEN 'block'
+  WHEN regexp_matches(tail, '/casino/|/wp-login\.php|/wp-admin/|/(login|signin|cart|checkout)([^A-Za-z0-9_.%-]|$)', 'i') THEN 'block'
+  ELSE 'allow' END) AS verdict
+FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id
+"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """All rounds one after the other, every part against every entry."""
+    near = """near{0} AS MATERIALIZED (SELECT vec_id, p, any_value(q) AS q, min(struct_pack(d := d, e := e)) AS m FROM (
+  SELECT a.vec_id, a.p, a.q, b.e, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: (a.q[i] - b.q[i]) * (a.q[i] - b.q[i]))) AS d FROM parts a JOIN book{0} b ON a.p = b.p) GROUP BY vec_id, p)"""
+    book = """book{1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.q, b.q) AS q FROM book{0} b LEFT JOIN (
+  SELECT p, e, list(CAST(floor(s / c) AS BIGINT) ORDER BY i) AS q FROM (
+    SELECT p, m.e AS e, i, sum(q[i]) AS s, count(*) AS c FROM near{0}, range(1, 9) t(i) GROUP BY ALL) GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)"""
+    steps = [x.format(k, k + 1) for k in range(rounds) for x in (near, book)] + [near.format(rounds)]
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * 8 + 1 : p * 8 + 8] AS q FROM kept, range(8) t(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, q FROM parts QUALIFY e < 16),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT k.vec_id, k.label, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(q, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept k JOIN coded c ON k.vec_id = c.vec_id"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # of every 97th word of a document, by hash, one code point is deleted
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = F.pmod(h, F.length("run")).cast("int")
+    spelt = F.when(h % 97 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling.variants(spelling.vocabulary(found.select(spelt.alias("word"))))
