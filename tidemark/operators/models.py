@@ -2,7 +2,8 @@
 
 Linear models need only sums of products of the lagged values (the Gram matrix): one partial and
 final aggregate keyed by series, then a small solve for each series. A model is a row: model, lags,
-coef, intercept, n, mu, sigma.
+coef, intercept, n, mu, sigma. Boosted trees and kernel models are rows too, with a column trees or kernel
+beside these; what they add is evaluated on the inputs that the coefficients (then zeros) would meet.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from . import windows
+from . import trees, windows
 from .aggregates import median_mad
 from .panel import K, bounded, exact_quantiles, settled, small
 
+#: Kinds that grow boosted trees (the names of the libraries whose role they take, too) and that map inputs by a kernel.
+TREE_KINDS = ("trees", "lightgbm", "xgboost", "catboost")
+KERNEL_KINDS = ("nystroem", "kernelridgeapprox")
+#: A kernel model: intercept + sum of weights * exp(-gamma * squared distance of the standardised inputs to each mark).
+KERNEL = "struct<marks:array<array<double>>,weights:array<double>,gamma:double,center:array<double>,scale:array<double>>"
 MODEL = "panel_id string, channel string, model string, lags array<int>, coef array<double>, intercept double, n long, mu double, sigma double"
 
 
@@ -139,46 +145,150 @@ def _inputs(df: DataFrame, steps: list[int], every: int) -> DataFrame:
 
 def fit_specs(df: DataFrame, specs: DataFrame, every: int = 3600, n_exog: int = 0) -> DataFrame:
     """Models by ``specs`` (panel_id, channel, model, params, lags; see ``resolve_specs``): each series its own
-    kind, parameters and lags. One pass of sums for each number of lags in the configuration."""
-    specs = settled(specs, "specs")
-    kinds = specs.select("model", "lags").distinct().collect()  # a configuration's
-    if unknown := sorted({r["model"] for r in kinds} - SOLVERS.keys()):
-        raise ValueError(f"unknown models {unknown}; known: {sorted(SOLVERS)}")
-    told = specs.select(*K, "model", "lags", F.coalesce(F.col("params")["alpha"], F.lit(1.0)).alias("alpha"), F.coalesce(F.col("params")["l1_ratio"], F.lit(0.5)).alias("l1_ratio"))
+    kind, parameters and lags. Linear kinds take one pass of sums for each number of lags in the configuration."""
+    specs = settled(specs.withColumn("kind", F.lower("model")), "specs")
+    kinds = specs.select("kind", "lags").distinct().collect()  # a configuration's
+    if unknown := sorted({r["kind"] for r in kinds} - SOLVERS.keys() - {*TREE_KINDS, *KERNEL_KINDS, "huber"}):
+        raise ValueError(f"unknown models {unknown}; known: {sorted([*SOLVERS, *TREE_KINDS, *KERNEL_KINDS, 'huber'])}")
     out = None
     for lags in sorted({r["lags"] for r in kinds}):
-        own, steps = told.where(F.col("lags") == lags).drop("lags"), list(range(1, lags + 1))
-        part = _solve(gram(_inputs(df.join(small(own.select(*K)), K, "left_semi"), steps, every), lags + n_exog).join(small(own), K), steps, None, 0.0, 0.0)
-        out = part if out is None else out.unionByName(part)
+        steps, here = list(range(1, lags + 1)), {r["kind"] for r in kinds if r["lags"] == lags}
+        families = [(tuple(SOLVERS), _fit_linear_specs), (TREE_KINDS, _fit_tree_specs), (KERNEL_KINDS, _fit_kernel_specs), (("huber",), _fit_huber_specs)]
+        for names, f in families:
+            if not here.isdisjoint(names):
+                own = specs.where((F.col("lags") == lags) & F.col("kind").isin(*names))
+                part = f(df.join(small(own.select(*K)), K, "left_semi"), own, steps, every, n_exog)
+                out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out if out is not None else df.sparkSession.createDataFrame([], MODEL)
 
 
-def fit_huber(df: DataFrame, lags: int = 6, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 6, every: int = 3600) -> DataFrame:
-    """Huber regression by reweighting: a Gram pass a round; residuals over epsilon scales weigh less."""
-    steps = list(range(1, lags + 1))
-    lagged = settled(windows.lag_features(df, steps, every).where("value is not null").select(*K, "ts", "value", "lags"), "lags")
-    models = settled(_solve(gram(lagged, lags), steps, "ridge", alpha, 0.0), "models")
+def _fit_linear_specs(df: DataFrame, own: DataFrame, steps: list[int], every: int, n_exog: int) -> DataFrame:
+    told = own.select(*K, F.col("kind").alias("model"), F.coalesce(F.col("params")["alpha"], F.lit(1.0)).alias("alpha"), F.coalesce(F.col("params")["l1_ratio"], F.lit(0.5)).alias("l1_ratio"))
+    return _solve(gram(_inputs(df, steps, every), len(steps) + n_exog).join(small(told), K), steps, None, 0.0, 0.0)
+
+
+def _fit_tree_specs(df: DataFrame, own: DataFrame, steps: list[int], every: int, n_exog: int, in_task: int = trees.IN_TASK) -> DataFrame:
+    """Boosted trees; the coefficients are zeros, one for each input."""
+    p = len(steps) + n_exog
+    grown = trees.fit(_inputs(df, steps, every), own.select(*K, F.lit(0).alias("trial"), "params"), p, in_task)
+    told = grown.join(small(own.select(*K, "model")), K)
+    base = F.col("intercept")
+    return told.select(*K, "model", F.array(*[F.lit(k) for k in steps]).alias("lags"), F.array_repeat(F.lit(0.0), p).alias("coef"), "intercept", "n", base.alias("mu"), F.lit(1.0).alias("sigma"), "trees")
+
+
+def _fit_huber_specs(df: DataFrame, own: DataFrame, steps: list[int], every: int, n_exog: int) -> DataFrame:
+    """Series of equal parameters together: as many fits as the configuration has."""
+    told = own.select(*K, F.coalesce(F.col("params")["epsilon"], F.lit(1.35)).alias("epsilon"), F.coalesce(F.col("params")["alpha"], F.lit(1e-4)).alias("alpha"))
+    out = None
+    for r in told.select("epsilon", "alpha").distinct().collect():
+        mine = told.where((F.col("epsilon") == r["epsilon"]) & (F.col("alpha") == r["alpha"])).select(*K)
+        part = fit_huber(df.join(small(mine), K, "left_semi"), len(steps), r["epsilon"], r["alpha"], every=every, n_exog=n_exog)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def fit_huber(df: DataFrame, lags: int = 6, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 6, every: int = 3600, n_exog: int = 0) -> DataFrame:
+    """Huber regression by reweighting: a Gram pass a round; residuals over epsilon scales weigh less.
+    Rows with weight 0 (column weight, if there) do not count."""
+    steps, p = list(range(1, lags + 1)), lags + n_exog
+    lagged = settled(_inputs(df, steps, every).where("value is not null").select(*K, "ts", "value", "lags"), "lags")
+    models = settled(_solve(gram(lagged, p), steps, "ridge", alpha, 0.0), "models")
     for _ in range(rounds):
         told = lagged.join(small(models.select(*K, "coef", "intercept")), K).withColumn("r", F.abs(F.col("value") - F.col("intercept") - dot("lags", "coef")))
         told = settled(told.drop("coef", "intercept"), "residuals")
         scale = exact_quantiles(told, K, "r", {"scale": 0.5})
         limit = F.lit(epsilon) * F.greatest(F.col("scale") / F.lit(0.6745), F.lit(1e-12))
         weighted = told.join(small(scale), K).withColumn("w", F.when(F.col("r") <= limit, 1.0).otherwise(limit / F.col("r")))
-        models = settled(_solve(gram(weighted, lags, F.col("w")), steps, "ridge", alpha, 0.0), "models")
+        models = settled(_solve(gram(weighted, p, F.col("w")), steps, "ridge", alpha, 0.0), "models")
     return models.withColumn("model", F.lit("huber"))
 
 
+#: Rows of a series that one task maps by its kernel at once.
+KERNEL_ROWS = 50_000
+
+
+def _fit_kernel_specs(df: DataFrame, own: DataFrame, steps: list[int], every: int, n_exog: int) -> DataFrame:
+    """Ridge on an approximate RBF map (Nystroem). Parameters: n_components, gamma, alpha.
+
+    A series' marks are its n_components rows of the smallest hashes, standardised. Each time bucket gives the
+    products of its rows' kernel values (components squared numbers, whatever its rows), which are
+    summed in two steps and solved a series; the model is one row.
+    """
+    p = len(steps) + n_exog
+    rows = settled(_inputs(df, steps, every).where("value is not null").select(*K, "ts", "value", "lags"), "inputs")
+    spread = lambda c: S.guard_zero(F.stddev_pop(c), 1.0)
+    told = rows.groupBy(*K).agg(F.count("*").alias("n"), F.avg("value").alias("mu"), spread("value").alias("sigma"), F.array(*[F.avg(F.col("lags")[i]) for i in range(p)]).alias("center"), F.array(*[spread(F.col("lags")[i]) for i in range(p)]).alias("scale"))
+    told = settled(told.join(small(own.select(*K, "model", *[F.coalesce(F.col("params")[c], F.lit(x)).alias(c) for c, x in (("n_components", 48.0), ("gamma", 0.1), ("alpha", 1.0))])), K), "told")
+    over = F.zip_with(F.zip_with("lags", "center", lambda a, b: a - b), "scale", lambda a, b: a / b)
+    bucket = F.floor(S.micros(F.col("ts")) / F.lit(KERNEL_ROWS * every * S.MICROS))
+    ready = settled(rows.join(small(told), K).select(*K, "ts", bucket.alias("bucket"), over.alias("x"), ((F.col("value") - F.col("mu")) / F.col("sigma")).alias("z"), "n_components"), "standardised")
+    first = Window.partitionBy(*K).orderBy("h", "ts")  # limited before the shuffle
+    ranked = ready.select(*K, "ts", "x", "n_components", F.xxhash64(*K, "ts").alias("h")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= 1 << 16).where(F.col("r") <= F.col("n_components"))
+    marks = ranked.groupBy(*K).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda e: e["x"]).alias("marks"))
+    told = settled(told.join(marks, K), "marks")
+
+    def near(x: np.ndarray, m: np.ndarray, gamma: float) -> np.ndarray:
+        return np.exp(-gamma * ((x**2).sum(axis=1)[:, None] + (m**2).sum(axis=1)[None] - 2 * x @ m.T).clip(0))
+
+    def matrix(lists) -> np.ndarray:
+        return np.array([list(v) for v in lists], dtype=float).reshape(len(lists), p)
+
+    def products(key: tuple, rows_: pd.DataFrame, told_: pd.DataFrame) -> pd.DataFrame:
+        t = told_.iloc[0]
+        m, z = matrix(t["marks"]), rows_["z"].to_numpy()
+        a = np.zeros((len(m) + 2, len(m) + 2))
+        for i in range(0, len(z), 4096):
+            f = np.column_stack([np.ones(len(z[i : i + 4096])), near(matrix(rows_["x"].iloc[i : i + 4096].tolist()), m, t["gamma"]), z[i : i + 4096]])
+            a += f.T @ f
+        return pd.DataFrame([(*key, a.ravel().tolist())], columns=[*K, "bucket", "a"])
+
+    def added(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, np.sum([np.asarray(v) for v in parts["a"]], axis=0).tolist())], columns=[*K, "bucket", "a"])
+
+    def solved(key: tuple, parts: pd.DataFrame, told_: pd.DataFrame) -> pd.DataFrame:
+        t = told_.iloc[0]
+        m = matrix(t["marks"])
+        a = np.sum([np.asarray(v) for v in parts["a"]], axis=0).reshape(len(m) + 2, len(m) + 2)
+        values, vectors = np.linalg.eigh(near(m, m, t["gamma"]))
+        root = vectors / np.sqrt(np.maximum(values, 1e-12))
+        lift = np.zeros((len(m) + 1, len(m) + 1))
+        lift[0, 0], lift[1:, 1:] = 1.0, root
+        ff, fz = lift.T @ a[:-1, :-1] @ lift, lift.T @ a[:-1, -1]
+        b = np.linalg.solve(ff + np.diag([1e-12] + [t["alpha"]] * len(m)), fz)
+        return pd.DataFrame([(*key, float(b[0]), (root @ b[1:]).tolist())], columns=[*K, "b", "weights"])
+
+    parted = "panel_id string, channel string, bucket long, a array<double>"
+    each = ready.select(*K, "bucket").distinct().join(small(told.select(*K, "marks", "gamma")), K)
+    each = each.select(*[F.col(c).alias(c) for c in each.columns])  # columns of its own, beside those of the rows
+    sums = ready.select(*K, "bucket", "x", "z").groupBy(*K, "bucket").cogroup(each.groupBy(*K, "bucket")).applyInPandas(products, parted)
+    sums = sums.withColumn("bucket", F.floor(F.col("bucket") / 64)).groupBy(*K, "bucket").applyInPandas(added, parted)
+    weights = settled(sums.groupBy(*K).cogroup(told.select(*K, "marks", "gamma", "alpha").groupBy(*K)).applyInPandas(solved, "panel_id string, channel string, b double, weights array<double>"), "weights")
+    kernel = F.struct("marks", F.transform("weights", lambda w: w * F.col("sigma")).alias("weights"), "gamma", "center", "scale").cast(KERNEL)
+    intercept = F.col("mu") + F.col("sigma") * F.col("b")
+    return told.join(weights, K).select(*K, "model", F.array(*[F.lit(k) for k in steps]).alias("lags"), F.array_repeat(F.lit(0.0), p).alias("coef"), intercept.alias("intercept"), "n", "mu", "sigma", kernel.alias("kernel"))
+
+
+def kernel_value(kernel: str, x: str) -> Column:
+    """What a kernel model adds to its intercept at ``x``; 0 without one."""
+    k = F.col(kernel)
+    z = F.zip_with(F.zip_with(F.col(x), k["center"], lambda a, b: a - b), k["scale"], lambda a, b: a / b)
+    far = lambda m: F.aggregate(F.zip_with(z, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    each = F.zip_with(k["marks"], k["weights"], lambda m, w: w * F.exp(-k["gamma"] * far(m)))
+    return F.coalesce(F.aggregate(each, F.lit(0.0), lambda s, v: s + v), F.lit(0.0))
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def predict(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | None = None) -> DataFrame:
     """``df`` with pred: one step ahead from observed lags (and exog, where the model has more coefficients
-    than lags); null without model or input. No user code: a dot product.
+    than lags); null without model or input. No user code: a dot product, and what trees and kernels add.
 
     ``reach``: the longest lag, where it is known; else the model table is read for it.
     """
-    m = models.select(*K, F.col("lags").alias("__k"), "coef", "intercept")
+    more = [c for c in ("trees", "kernel") if c in models.columns]
+    m = models.select(*K, F.col("lags").alias("__k"), "coef", "intercept", *[F.col(c).alias(f"__{c}") for c in more])
     if reach is None:
         reach = m.agg(F.max(F.array_max("__k"))).first()[0] or 1
     out = bounded(df, {"__past": lambda w: F.array(*[F.lag("value", k).over(w) for k in range(1, reach + 1)])}, reach * every, 0)
@@ -187,7 +297,12 @@ def predict(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | No
         chosen = F.when(F.size("coef") > F.size("__k"), F.concat(chosen, "exog")).otherwise(chosen)
     out = out.join(small(m), K, "left").withColumn("__x", chosen)
     whole = F.col("coef").isNotNull() & (F.size("__x") == F.size("coef")) & ~F.exists("__x", lambda v: v.isNull())
-    return out.withColumn("pred", F.when(whole, F.col("intercept") + dot("__x", "coef"))).drop("__past", "__k", "coef", "intercept", "__x")
+    pred = F.col("intercept") + dot("__x", "coef")
+    if "trees" in more:
+        pred = pred + trees.evaluated("__trees", "__x")
+    if "kernel" in more:
+        pred = pred + kernel_value("__kernel", "__x")
+    return out.withColumn("pred", F.when(whole, pred)).drop("__past", "__k", "coef", "intercept", "__x", *[f"__{c}" for c in more])
 
 
 def differenced(df: DataFrame, every: int = 3600) -> DataFrame:
@@ -239,9 +354,11 @@ def resolve_specs(channels: DataFrame, specs: DataFrame) -> DataFrame:
     return out.select(*K, model.alias("model"), merged.alias("params"), F.coalesce("lags_2", "lags_1", "lags_0").alias("lags"))
 
 
-def train(df: DataFrame, kind: str = "ridge", lags: int = 6, alpha: float = 1.0, split: tuple[int, int, int] = (80, 10, 10), every: int = 3600, specs: DataFrame | None = None, exog: list[str] = (), difference: bool = False) -> tuple[DataFrame, DataFrame]:
+def train(df: DataFrame, kind: str = "ridge", lags: int = 6, alpha: float = 1.0, split: tuple[int, int, int] = (80, 10, 10), every: int = 3600, specs: DataFrame | None = None, exog: list[str] = (), difference: bool = False, params: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(models, evaluation): fitted on train rows; rmse and mae on val and test rows with real lags.
 
+    ``kind``: of SOLVERS, TREE_KINDS, KERNEL_KINDS or huber; ``params``: its parameters beside ``alpha``.
+
     ``specs``: configured models (see ``resolve_specs``), each series by its own; else all by ``kind``,
     ``lags`` and ``alpha``. ``exog``: channels that are inputs at their timestamp, not targets.
     ``difference``: models of the changes, predictions in raw units. The split frame and the models are settled.
@@ -258,9 +375,11 @@ def train(df: DataFrame, kind: str = "ridge", lags: int = 6, alpha: float = 1.0,
     learn = prepare_channels(sample_weight(learn, lags, every), lags)
     if difference:
         learn = differenced(learn, every)
-    if specs is None:
+    if specs is None and kind in SOLVERS:
         models = fit_linear(learn, kind, lags, alpha, every=every, n_exog=len(exog))
     else:
+        if specs is None:
+            specs = _alike(learn, kind, lags, ({} if kind.lower() == "huber" else {"alpha": alpha}) | (params or {}))
         models = fit_specs(learn, specs, every, len(exog))
     models = settled(models, "models")
     told = (predict_differenced if difference else predict)(parts, models, every, lags)
@@ -271,67 +390,23 @@ def train(df: DataFrame, kind: str = "ridge", lags: int = 6, alpha: float = 1.0,
     return models, scores.groupBy(*K).agg(*[of(s, c) for s in ("val", "test") for c in ("rmse", "mae")])
 
 
-#: Numbers that stand for a series among the trees' inputs.
-SERIES_CODES = 4
+def _alike(df: DataFrame, kind: str, lags: int, params: dict[str, float]) -> DataFrame:
+    """One specification for all series of ``df``."""
+    told = F.create_map(*[F.lit(x) for k, v in params.items() for x in (k, float(v))])
+    return settled(df.select(*K).distinct().select(*K, F.lit(kind).alias("model"), told.alias("params"), F.lit(lags).alias("lags")), "specs")
 
 
-def fit_trees(df: DataFrame, lags: int = 6, depth: int = 4, rounds: int = 10, seed: int = 42, every: int = 3600) -> DataFrame:
-    """``df`` rows that have lags with pred of gradient-boosted trees, pooled over the series.
-
-    Inputs: standardised lags, the series' log spread and mean over spread, and SERIES_CODES numbers
-    hashed from its name, so that trees can tell any number of series apart by thresholds.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = settled(windows.lag_features(df, lags, every).where("value is not null").select(*K, "ts", "value", "lags"), "lags")
-    rows = standardize(rows)
-    codes = [F.pmod(F.xxhash64(*K, F.lit(i)), F.lit(1 << 20)) / F.lit(float(1 << 20)) for i in range(SERIES_CODES)]
-    statistics = [F.log("sigma"), F.col("mu") / F.col("sigma"), *codes]
-    rows = rows.withColumn("x", array_to_vector(F.concat(F.transform("lags", lambda v: (v - F.col("mu")) / F.col("sigma")), F.array(*statistics))))
-    rows = settled(rows.select(*K, "ts", "value", "mu", "sigma", "z", "x"), "inputs")
-    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = GBTRegressor(featuresCol="features", labelCol="z", predictionCol="p", maxDepth=depth, maxIter=rounds, seed=seed, subsamplingRate=1.0).fit(rows)
-    return model.transform(rows).select(*K, "ts", "value", (F.col("p") * F.col("sigma") + F.col("mu")).alias("pred"))
+def fit_trees(df: DataFrame, lags: int = 6, depth: int = 4, rounds: int = 10, every: int = 3600, **params: float) -> DataFrame:
+    """``df`` rows that have lags with pred of boosted trees fitted on them, a model a series (see ``trees``)."""
+    steps, specs = list(range(1, lags + 1)), _alike(df, "trees", lags, {"max_depth": depth, "n_estimators": rounds} | params)
+    return _fitted(df, _fit_tree_specs(df, specs, steps, every, 0), lags, every)
 
 
 def fit_nystroem(df: DataFrame, lags: int = 6, m: int = 48, gamma: float = 0.1, alpha: float = 1.0, every: int = 3600) -> DataFrame:
-    """``df`` rows that have lags with pred of ridge on an approximate RBF map of their standardised lags.
+    """``df`` rows that have lags with pred of ridge on an approximate RBF map of their standardised lags, fitted on them."""
+    steps, specs = list(range(1, lags + 1)), _alike(df, "nystroem", lags, {"n_components": m, "gamma": gamma, "alpha": alpha})
+    return _fitted(df, _fit_kernel_specs(df, specs, steps, every, 0), lags, every)
 
-    Landmarks are the ``m`` rows of the smallest hashes (bounded, broadcast). Each batch gives a
-    partial Gram matrix for each of its series, so a series' sums are small rows, never its data.
-    """
-    rows = standardize(windows.lag_features(df, lags, every).where("value is not null"))
-    rows = rows.withColumn("x", F.transform("lags", lambda v: (v - F.col("mu")) / F.col("sigma"))).select(*K, "ts", "value", "mu", "sigma", "z", "x")
-    marks = np.array([r["x"] for r in rows.orderBy(F.xxhash64(*K, "ts")).limit(m).select("x").collect()], dtype=float).reshape(-1, lags)
-    values, vectors = np.linalg.eigh(np.exp(-gamma * ((marks[:, None] - marks[None]) ** 2).sum(axis=2)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-12))
-
-    def features(x) -> np.ndarray:
-        a = np.array(list(x), dtype=float).reshape(-1, lags)
-        return np.column_stack([np.ones(len(a)), np.exp(-gamma * ((a[:, None] - marks[None]) ** 2).sum(axis=2)) @ root])
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, g in batch.groupby(K):
-                f = features(g["x"])
-                out.append((*key, (f.T @ f).ravel().tolist(), (f.T @ g["z"].to_numpy()).tolist()))
-            yield pd.DataFrame(out, columns=[*K, "ff", "fz"])
-
-    def solve(parts: pd.DataFrame) -> pd.DataFrame:
-        ff, fz = np.sum([np.asarray(x) for x in parts["ff"]], axis=0), np.sum([np.asarray(x) for x in parts["fz"]], axis=0)
-        k = len(fz)
-        b = np.linalg.solve(ff.reshape(k, k) + alpha * np.diag([0.0] + [1.0] * (k - 1)), fz)
-        return pd.DataFrame({K[0]: [parts[K[0]].iloc[0]], K[1]: [parts[K[1]].iloc[0]], "b": [b.tolist()]})
-
-    weights = rows.mapInPandas(sums, "panel_id string, channel string, ff array<double>, fz array<double>").groupBy(*K).applyInPandas(solve, "panel_id string, channel string, b array<double>")
-
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                p = (features(batch["x"]) * np.array(list(batch["b"]), dtype=float)).sum(axis=1)
-                yield batch.assign(pred=p * batch["sigma"] + batch["mu"])[[*K, "ts", "value", "pred"]]
-
-    return rows.join(weights, K).mapInPandas(told, "panel_id string, channel string, ts timestamp, value double, pred double")
+
+def _fitted(df: DataFrame, models: DataFrame, lags: int, every: int) -> DataFrame:
+    return predict(df, models, every, lags).where("pred is not null and value is not null").select(*K, "ts", "value", "pred")

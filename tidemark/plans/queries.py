@@ -379,6 +379,8 @@ add("fit_linear", lambda s, d: M.fit_linear(panel(s, d), "linear", 1).select(*K,
 add("fit_ridge", lambda s, d: M.fit_linear(panel(s, d), "ridge", 1, alpha=10.0).select(*K, F.col("coef")[0].alias("slope"), "intercept", "n"), select(NAIVE, "SELECT panel_id, channel, b AS slope, my - b * mx AS intercept, n FROM (SELECT panel_id, channel, covar_pop(value, pred) * count(*) / (var_pop(pred) * count(*) + 10 * var_pop(value)) AS b, avg(value) AS my, avg(pred) AS mx, count(*) AS n FROM whole GROUP BY ALL)"), "", "slope intercept")
 for kind in ("lasso", "elasticnet", "bayesianridge"):
     add(f"fit_{kind}", lambda s, d, kind=kind: M.fit_linear(panel(s, d), kind, 3, alpha=0.01).select(*K, "model", "intercept", F.array_join(F.transform("coef", lambda c: F.round(c, 4).cast("string")), ",").alias("coef")))
+add("train_trees", lambda s, d: M.train(panel(s, d), "trees", 6)[1])
+add("train_kernel", lambda s, d: M.train(panel(s, d), "nystroem", 6)[1])
 add("fit_huber", lambda s, d: M.fit_huber(panel(s, d), 2, rounds=2).select(*K, "model", "intercept"))
 add("fit_trees", lambda s, d: A.forecast_metrics(M.fit_trees(panel(s, d))))
 add("fit_nystroem", lambda s, d: A.forecast_metrics(M.fit_nystroem(panel(s, d), 3, 16)))
