@@ -287,13 +287,18 @@ def predict(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | No
 
     ``reach``: the longest lag, where it is known; else the model table is read for it.
     """
-    more = [c for c in ("trees", "kernel") if c in models.columns]
-    m = models.select(*K, F.col("lags").alias("__k"), "coef", "intercept", *[F.col(c).alias(f"__{c}") for c in more])
     if reach is None:
-        reach = m.agg(F.max(F.array_max("__k"))).first()[0] or 1
+        reach = models.agg(F.max(F.array_max("lags"))).first()[0] or 1
     out = bounded(df, {"__past": lambda w: F.array(*[F.lag("value", k).over(w) for k in range(1, reach + 1)])}, reach * every, 0)
+    return predict_from_past(out, models)
+
+
+def predict_from_past(out: DataFrame, models: DataFrame) -> DataFrame:
+    """``out`` with pred instead of __past, the values before each row, the last one first."""
+    more = [c for c in ("trees", "kernel") if c in models.columns]
+    m = models.select(*K, F.col("lags").alias("__k"), "coef", "intercept", *[F.col(c).alias(f"__{c}") for c in more])
     chosen = F.transform("__k", lambda k: F.get("__past", k - 1))
-    if "exog" in df.columns:
+    if "exog" in out.columns:
         chosen = F.when(F.size("coef") > F.size("__k"), F.concat(chosen, "exog")).otherwise(chosen)
     out = out.join(small(m), K, "left").withColumn("__x", chosen)
     whole = F.col("coef").isNotNull() & (F.size("__x") == F.size("coef")) & ~F.exists("__x", lambda v: v.isNull())

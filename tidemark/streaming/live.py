@@ -5,7 +5,7 @@ Streams run under any trigger; with ``availableNow`` each gives what its batch c
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import aggregates, joins, ranking, windows
 from ..operators.panel import K, clean, small
+from .store import LiveTable  # noqa: F401 (the table that streams are merged into)
 
 
 def stream_panels(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -55,39 +56,13 @@ def upsert_live(batch: DataFrame, live: DataFrame | None, prefer_observed: bool
     return out.withColumns({"value": F.when(better, F.col("__v")).otherwise(F.col("value")), "observed": F.when(better, 1).otherwise(F.col("observed"))}).drop("__v")
 
 
-class LiveTable:
-    """A table that each merge writes anew beside the one it reads; a small pointer names the current one."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _version(self) -> int:
-        try:
-            return self.spark.read.schema("version int").json(f"{self.path}/current").first()[0]
-        except Exception as e:  # no pointer yet
-            if "PATH_NOT_FOUND" in str(e):
-                return -1
-            raise
-
-    def read(self) -> DataFrame | None:
-        v = self._version()
-        return None if v < 0 else self.spark.read.parquet(f"{self.path}/v{v}")
-
-    def merge(self, batch: DataFrame, how: Callable[[DataFrame, DataFrame | None], DataFrame] = upsert_live) -> None:
-        """Writes the merged table as the next version, then moves the pointer."""
-        v = self._version()
-        how(batch, self.read()).write.mode("overwrite").parquet(f"{self.path}/v{v + 1}")
-        self.spark.createDataFrame([(v + 1,)], "version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/current")
-
-    def follow(self, stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None):
-        """Merges every micro-batch of ``stream``; ``on_batch`` sees the live table after it."""
-
-        def step(batch: DataFrame, number: int) -> None:
-            self.merge(batch)
-            if on_batch:
-                on_batch(self.read(), number)
-
-        return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def renewed(live: DataFrame, baseline: DataFrame, behind: int = 3600) -> DataFrame:
+    """(panel_id, __renew): whether the panel's live rows give way to the baseline's."""
+    ends = lambda df, n: df.groupBy("panel_id").agg(F.max("ts").alias(n))
+    differ = ranking.schema_diff(live, baseline).select("panel_id").distinct().withColumn("differ", F.lit(True))
+    told = ends(baseline, "b").join(ends(live, "l"), "panel_id", "full").join(differ, "panel_id", "left")
+    late = F.col("l").isNull() | F.coalesce(F.col("differ"), F.lit(False)) | (S.micros(F.col("b")) - S.micros(F.col("l")) > behind * S.MICROS)
+    return told.select("panel_id", (F.coalesce(late, F.lit(False)) & F.col("b").isNotNull()).alias("__renew"))
 
 
 def choose_live_base(live: DataFrame | None, baseline: DataFrame | None, behind: int = 3600) -> DataFrame:
@@ -99,11 +74,7 @@ def choose_live_base(live: DataFrame | None, baseline: DataFrame | None, behind:
         return live
     if live is None:
         return baseline
-    ends = lambda df, n: df.groupBy("panel_id").agg(F.max("ts").alias(n))
-    differ = ranking.schema_diff(live, baseline).select("panel_id").distinct().withColumn("differ", F.lit(True))
-    told = ends(baseline, "b").join(ends(live, "l"), "panel_id", "full").join(differ, "panel_id", "left")
-    late = F.col("l").isNull() | F.coalesce(F.col("differ"), F.lit(False)) | (S.micros(F.col("b")) - S.micros(F.col("l")) > behind * S.MICROS)
-    told = small(told.select("panel_id", (F.coalesce(late, F.lit(False)) & F.col("b").isNotNull()).alias("__renew")))
+    told = small(renewed(live, baseline, behind))
     columns = [c for c in live.columns if c in baseline.columns]
     side = lambda df, renew: df.select(*columns).join(told.where(F.col("__renew") if renew else ~F.col("__renew")).select("panel_id"), "panel_id", "left_semi")
     return side(live, False).unionByName(side(baseline, True))
@@ -136,7 +107,8 @@ def stream_score(stream: DataFrame, models: DataFrame) -> DataFrame:
     """(panel_id, ts, channel, value, pred): one-step predictions of a stream with existing models.
 
     ``models`` (panel_id, channel, lags, coef, intercept) is joined as a static table; the state of a
-    series is its last max(lags) values, nothing more. Rows of a batch are taken in time order.
+    series is its last max(lags) values, nothing more. For sources whose rows come in time order over all
+    batches: nothing is held back. Where rows may be late, see ``scores.stream_predictions``.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
