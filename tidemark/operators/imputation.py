@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from . import filters, windows
-from .panel import K, bounded, carried, row_numbers
+from . import filters, matching, splines, windows
+from .panel import K, bounded, carried, row_numbers, settled, small
 
 METHODS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -166,10 +166,25 @@ def _by_series(df: DataFrame, fill: Callable[[np.ndarray], np.ndarray]) -> DataF
     return filled.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
+#: Rows of a series up to which one task fills it where a search covers all of it.
+IN_TASK = 200_000
+
+
+def _by_size(df: DataFrame, in_task: int, short: Callable[[DataFrame], DataFrame], long: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Series of up to ``in_task`` rows by ``short``, the others by ``long``; the results are the same."""
+    df = settled(df, "filling")
+    sizes = df.groupBy(*K).agg(F.count("*").alias("__n"))
+    large = settled(sizes.where(F.col("__n") > in_task).select(*K), "large")
+    if large.isEmpty():
+        return short(df)
+    return short(df.join(small(large), K, "left_anti")).unionByName(long(df.join(small(large), K, "left_semi")))
+
+
 @method("spline_interpolation")
-def spline_interpolation(df: DataFrame, order: int = 3) -> DataFrame:
+def spline_interpolation(df: DataFrame, order: int = 3, in_task: int = IN_TASK, width: int = splines.ROWS) -> DataFrame:
     """A natural cubic spline through a series' observations; linear where there are fewer than four
-    or for order 1; constant outside them. The spline is global: a series is one group."""
+    or for order 1; constant outside them. A series of up to ``in_task`` rows is one group; a longer one is
+    solved in buckets of ``width`` rows (see ``splines``)."""
 
     def fill(v: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(~np.isnan(v))
@@ -200,14 +215,16 @@ def spline_interpolation(df: DataFrame, order: int = 3) -> DataFrame:
         out[gone] = np.where(gone < at[0], y[0], np.where(gone > at[-1], y[-1], curve))
         return out
 
-    return _by_series(df, fill)
+    columns = [*K, "ts", "value", "observed"]
+    return _by_size(df, in_task, lambda d: _by_series(d, fill).select(*columns), lambda d: splines.spline(d, order, width).select(*columns))
 
 
 @method("psm")
-def psm(df: DataFrame, every: int = 3600) -> DataFrame:
+def psm(df: DataFrame, every: int = 3600, in_task: int = IN_TASK, width: int = matching.ROWS) -> DataFrame:
     """Partial subsequence matching after gaps of one: for each gap, shortest first, the values after
     the window most like its left context and those before the one most like its right context,
-    averaged. Each search covers the whole series, so a series is one group."""
+    averaged. Each search covers the whole series: one of up to ``in_task`` rows is one group, a longer
+    one is searched in buckets of ``width`` rows (see ``matching``)."""
 
     def nearest(v: np.ndarray, query: np.ndarray, n: int, offset: int) -> np.ndarray | None:
         """The ``n`` values ``offset`` from the start of the closest whole window whose values are all there."""
@@ -237,7 +254,8 @@ def psm(df: DataFrame, every: int = 3600) -> DataFrame:
                 v[a : a + n] = sum(sides) / len(sides)
         return v
 
-    return _by_series(single_gaps(df, every), fill)
+    columns = [*K, "ts", "value", "observed"]
+    return _by_size(single_gaps(df, every), in_task, lambda d: _by_series(d, fill).select(*columns), lambda d: matching.match_rounds(d, width).select(*columns))
 
 
 def impute_frame(df: DataFrame, name: str = "linear_interpolation", channels: list[str] | None = None, **params) -> DataFrame:

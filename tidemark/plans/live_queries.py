@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators.panel import K, shared_folder
+from ..operators import models as M
+from ..operators import scoring as C
+from ..operators.panel import K, settled, shared_folder
 from ..sources import tables as T
 from ..streaming import live as L
+from ..streaming import scores as X
 from . import queries as Q
 from . import tune as U
 from .queries import add, select
@@ -73,6 +76,26 @@ def stream_score(s: SparkSession, d: str) -> DataFrame:
     return _landed(L.stream_score(_arriving(s, Q.panel(s, d)), Q.fixed_models(s, d)), "scored").select(*K, "ts", "pred")
 
 
+def stream_flags(s: SparkSession, d: str) -> DataFrame:
+    """Flags of the stream against thresholds that the batch scores of the same models give."""
+    rows, fixed = Q.panel(s, d).where("channel <> 'error'"), Q.fixed_models(s, d)
+    told = C.score_norm(M.predict(rows, fixed, reach=3).withColumn("group", F.lit("system")))
+    limits = settled(C.fit_threshold(settled(told.where("score IS NOT NULL"), "scores")), "limits")
+    X.state_in_rocksdb(s)
+    try:
+        return _landed(X.stream_flags(_arriving(s, rows), fixed, limits, 3), "flags").drop("group")
+    finally:
+        s.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def live_versions(s: SparkSession, d: str) -> DataFrame:
+    """The live table after its second merge, and how many rows its first version still shows."""
+    table, base = L.LiveTable(s, f"{_path(s, 'live')}/table"), Q.panel(s, d).select(*K, "ts", "value")
+    table.merge(base.where("ts < '2024-01-20'"))
+    table.merge(_raised(base).where("ts >= '2024-01-18'"))
+    return table.read().withColumn("first_rows", F.lit(table.read(version=0).count()))
+
+
 def upsert_live(s: SparkSession, d: str) -> DataFrame:
     base = Q.panel(s, d).select(*K, "ts", "value", "observed")
     known = base.where("ts < '2024-01-20'").withColumn("value", F.when(F.col("observed") == 1, F.col("value")))
@@ -86,6 +109,10 @@ SESSIONS = Q.SYSTEM + """, hit AS (SELECT panel_id, ts, CASE WHEN ts - lag(ts) O
 run AS (SELECT panel_id, ts, sum(new) OVER (PARTITION BY panel_id ORDER BY ts) AS k FROM hit), sessions AS (SELECT panel_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points FROM run GROUP BY panel_id, k)"""
 add("stream_regions", stream_regions, select(SESSIONS, "SELECT * FROM sessions WHERE end_ts + INTERVAL 90 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOUR FROM hit)"), "start_ts end_ts")
 add("stream_score", stream_score, select(Q.FIXED, "SELECT panel_id, channel, ts, pred FROM fx WHERE channel <> 'error'"), "ts", "pred")
+FLAGGED = Q.FIXED + """, fs AS (SELECT panel_id, ts, CASE WHEN count(value - pred) = count(*) THEN pow(sum(pow(abs(value - pred), 4)), 0.25) END AS score FROM fx WHERE channel <> 'error' GROUP BY panel_id, ts),
+ft AS (SELECT panel_id, quantile_cont(score, 0.99) AS threshold, quantile_cont(score, 0.01) AS q_low FROM fs WHERE score IS NOT NULL GROUP BY panel_id)"""
+add("stream_flags", stream_flags, select(FLAGGED, "SELECT fs.panel_id, ts, score, threshold, CAST(coalesce(score >= threshold, false) AS INTEGER) AS flag, CASE WHEN threshold > q_low THEN least(greatest((score - q_low) / (threshold - q_low), 0), 1) END AS normalized FROM fs JOIN ft ON fs.panel_id = ft.panel_id WHERE ts <= (SELECT max(ts) - INTERVAL 2 HOUR FROM panel)"), "ts", "score threshold normalized")
+add("live_versions", live_versions, select(Q.PANEL, "SELECT panel_id, channel, ts, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN value ELSE value + 1 END AS value, (SELECT count(*) FROM panel WHERE ts < TIMESTAMP '2024-01-20') AS first_rows FROM panel"), "ts", "value")
 add("upsert_live", upsert_live, select(Q.PANEL, "SELECT panel_id, channel, ts, CASE WHEN ts < TIMESTAMP '2024-01-20' AND observed = 1 THEN value ELSE value + 1 END AS value, observed FROM panel"), "ts", "value")
 add("live_table", lambda s, d: _followed(s, Q.hourly(s, d)), select(Q.HOURLY, "SELECT * FROM hourly"), "ts", "value")
 add("stream_freshness", lambda s, d: L.stream_freshness(_followed(s, Q.hourly(s, d)), F.expr(Q.NOW)))
