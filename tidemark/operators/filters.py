@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import intervals as intervals_index
 from .panel import small
 
 
@@ -49,36 +50,22 @@ def mask_maintenance(df: DataFrame, flag_channel: str) -> DataFrame:
     return out.withColumn("value", F.when(~on, F.col("value"))).drop("flag", "has")
 
 
-def _hit(df: DataFrame, intervals: DataFrame, buffer: int) -> DataFrame:
-    """``df`` with known: ts lies in a closed interval (start_ts, end_ts) widened by ``buffer`` seconds.
-
-    Malformed intervals are skipped. The list is a parameter table: a broadcast range join.
-    """
-    wide = intervals.where("start_ts is not null and end_ts is not null and start_ts <= end_ts")
-    wide = wide.select((S.micros(F.col("start_ts")) - buffer * S.MICROS).alias("__a"), (S.micros(F.col("end_ts")) + buffer * S.MICROS).alias("__b"))
-    lists = wide.agg(F.collect_list(F.struct("__a", "__b")).alias("__windows"))  # one row: a configured list
-    t = S.micros(F.col("ts"))
-    return df.crossJoin(F.broadcast(lists)).withColumn("known", F.exists("__windows", lambda w: (t >= w["__a"]) & (t <= w["__b"]))).drop("__windows")
-
-
 def mask_intervals(df: DataFrame, intervals: DataFrame, buffer: int = 0, channels: list[str] | None = None) -> DataFrame:
     """Blanks ``channels`` (all by default) inside known intervals."""
     on = F.col("known") & (F.col("channel").isin(*channels) if channels else F.lit(True))
-    return _hit(df, intervals, buffer).withColumn("value", F.when(~on, F.col("value"))).drop("known")
+    return intervals_index.within(df, intervals, buffer).withColumn("value", F.when(~on, F.col("value"))).drop("known")
 
 
 def filter_intervals(df: DataFrame, intervals: DataFrame, buffer: int = 0, per_window: bool = False) -> DataFrame:
     """Rows inside known intervals, once; or a copy for each interval with its bounds."""
     if not per_window:
-        return _hit(df, intervals, buffer).where("known").drop("known")
-    t = S.micros(F.col("ts"))
-    inside = (t >= S.micros(F.col("start_ts")) - buffer * S.MICROS) & (t <= S.micros(F.col("end_ts")) + buffer * S.MICROS)
-    return df.join(small(intervals.select("start_ts", "end_ts")), inside)
+        return intervals_index.within(df, intervals, buffer).where("known").drop("known")
+    return intervals_index.each_within(df, intervals, buffer)
 
 
 def in_interval(df: DataFrame, intervals: DataFrame) -> DataFrame:
     """``df`` with in_known."""
-    return _hit(df, intervals, 0).withColumnRenamed("known", "in_known")
+    return intervals_index.within(df, intervals).withColumnRenamed("known", "in_known")
 
 
 def drop_imputed_rows(df: DataFrame) -> DataFrame:
