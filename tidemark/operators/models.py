@@ -178,19 +178,21 @@ def _fit_tree_specs(df: DataFrame, own: DataFrame, steps: list[int], every: int,
 
 def _fit_huber_specs(df: DataFrame, own: DataFrame, steps: list[int], every: int, n_exog: int) -> DataFrame:
     """Series of equal parameters together: as many fits as the configuration has."""
+    own = settled(own, "specs")
     told = own.select(*K, F.coalesce(F.col("params")["epsilon"], F.lit(1.35)).alias("epsilon"), F.coalesce(F.col("params")["alpha"], F.lit(1e-4)).alias("alpha"))
     out = None
     for r in told.select("epsilon", "alpha").distinct().collect():
         mine = told.where((F.col("epsilon") == r["epsilon"]) & (F.col("alpha") == r["alpha"])).select(*K)
-        part = fit_huber(df.join(small(mine), K, "left_semi"), len(steps), r["epsilon"], r["alpha"], every=every, n_exog=n_exog)
+        part = fit_huber(df.join(small(mine), K, "left_semi"), steps, r["epsilon"], r["alpha"], every=every, n_exog=n_exog)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def fit_huber(df: DataFrame, lags: int = 6, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 6, every: int = 3600, n_exog: int = 0) -> DataFrame:
+def fit_huber(df: DataFrame, lags: int | list[int] = 6, epsilon: float = 1.35, alpha: float = 1e-4, rounds: int = 6, every: int = 3600, n_exog: int = 0) -> DataFrame:
     """Huber regression by reweighting: a Gram pass a round; residuals over epsilon scales weigh less.
     Rows with weight 0 (column weight, if there) do not count."""
-    steps, p = list(range(1, lags + 1)), lags + n_exog
+    steps = list(range(1, lags + 1)) if isinstance(lags, int) else sorted(lags)
+    p = len(steps) + n_exog
     lagged = settled(_inputs(df, steps, every).where("value is not null").select(*K, "ts", "value", "lags"), "lags")
     models = settled(_solve(gram(lagged, p), steps, "ridge", alpha, 0.0), "models")
     for _ in range(rounds):
