@@ -36,8 +36,6 @@ CHUNK = 1 << 12
 BUCKETS = 128
 #: Ids up to this count may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
-#: Tokens up to this count may be broadcast (8 bytes each).
-BROADCAST_TOKENS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -204,12 +202,13 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column:
     prefixes = common.written(prefixes, "prefixes")
     histograms = prefixes.select("doc_id", "histogram")
     step = math.log(100 / percent)
-    postings = prefixes.select(F.col("doc_id").alias("id"), "n", F.floor(F.log("n") / step + 1e-9).cast("int").alias("level"), F.posexplode("prefix").alias("pos", "token"))
+    # a posting travels as id, token, and size and position in one number
+    postings = prefixes.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token")).select("id", "token", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
 
     # lists of one entry link nothing; each block's head is the member whose token stands first
     lists = common.written(postings.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "lists")
-    lists = common.bounded_broadcast(lists, lists.count(), BROADCAST_TOKENS)
-    shared = common.written(postings.join(lists, "token"), "shared")
+    shared = postings.join(lists, "token").withColumns({"n": F.shiftright("place", 32), "pos": (F.col("place") % F.lit(1 << 32)).cast("int")}).drop("place")
+    shared = common.written(shared.withColumn("level", F.floor(F.log("n") / step + 1e-9).cast("int")), "shared")
     blocks = shared.groupBy("token", "level").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "id", "n")).alias("head")).where("entries > 1").select("token", "level", "head")
     near = shared.join(blocks, ["token", "level"]).where("id <> head.id")
     near = near.where(F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= _needed(percent, F.col("n"), F.col("head.n")))
