@@ -3,8 +3,9 @@
 Each page becomes a small tree of elements with its text in blocks. A paragraph passes points
 for its length and commas to its ancestors, less the further up; a container's points are
 discounted by its share of link text. The best container is kept, raised to the article around
-it, with those of its siblings that score well or read like prose. Names such as sidebar or comments
-take an element out only if most of the page's prose is elsewhere.
+it, with those of its siblings that score well or read like prose. Names such as sidebar or advert
+take an element out if most of the page's prose is elsewhere, or if more of what the page itself
+calls its article is.
 """
 
 from __future__ import annotations
@@ -45,12 +46,10 @@ UNLIKELY = frozenset(
     pagination pager widget widgets tags tagcloud skip disclaimer copyright legal""".split()
 )
 READERS = frozenset("comment comments commentlist disqus respond replies reply".split())
-# parts of names that tell how a page is laid out, not what an element is: has-sidebar, share-enabled
-LAYOUT_FIRST, LAYOUT_LAST = frozenset("has with without no not is layout page body single".split()), frozenset("enabled disabled open closed on off visible layout wrapper container page".split())
-LIKELY = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side|aside|rail|footer|foot|header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|replies|reply|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|banner|sponsor|sponsored|promo|promotion|promoted|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|share|sharing|social|related|recommended|recommendations|trending|popular|breadcrumb|breadcrumbs|pagination|pager|widget|widgets|tags|tagcloud|skip|disclaimer|copyright|legal)(?:$|[\s_-]|\d)",
-    re.I,
-)
+# parts of names that tell what a page has, not what an element is: has-sidebar, share-enabled
+HAS_FIRST, HAS_LAST = frozenset("has with without no not is".split()), frozenset("enabled disabled open closed on off visible".split())
+# a name of such parts alone, one of the first at least, is the text's own: post-content
+OWN, OWN_BESIDE = frozenset("article articlebody content entry main post story".split()), frozenset("body text page blog news inner wrapper container".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|page|post|story|text|blog|news)(?:$|[\s_-])", re.I)
 
 
@@ -58,7 +57,7 @@ class _Page:
     """Elements as parallel lists; blocks are (element, text, characters of links)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.hint, self.out, self.doubt = ["#root"], [0], [0], [False], [0]
+        self.tag, self.parent, self.hint, self.out, self.doubt, self.own = ["#root"], [0], [0], [False], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
         stack, pieces, links, in_link = [0], [], 0, 0
 
@@ -117,17 +116,19 @@ class _Page:
                         break
             if name in VOID:
                 continue
-            hint, out, doubt = self._told(name, m[4] or "", stack)
-            self.tag.append(name), self.parent.append(stack[-1]), self.hint.append(hint), self.out.append(out or self.out[stack[-1]]), self.doubt.append(doubt)
+            hint, out, doubt, own = self._told(name, m[4] or "", stack)
+            self.tag.append(name), self.parent.append(stack[-1]), self.hint.append(hint), self.out.append(out or self.out[stack[-1]]), self.doubt.append(doubt), self.own.append(own and not doubt)
             stack.append(len(self.tag) - 1)
             in_link += name == "a"
         if last < len(html):
             add(html[last:])
         flush()
 
-    def _told(self, name: str, attributes: str, stack: list[int]) -> tuple[int, bool, int]:
-        """Points that an element's names give it, whether it is no part of the text, and how much its names make that doubtful."""
+    def _told(self, name: str, attributes: str, stack: list[int]) -> tuple[int, bool, int, bool]:
+        """Points that an element's names give it, whether it is no part of the text, how much its names make that
+        doubtful, and whether it is called the text itself."""
         hint, out, doubt = (25 if name in ("article", "main") else 0), name in NOT_TEXT, SURE
+        own = hint > 0
         if name in DOUBTED and not (name == "header" and any(self.tag[i] in ("article", "main") for i in stack)):
             doubt = DOUBTFUL
         if attributes and TOLD.search(attributes):
@@ -143,22 +144,30 @@ class _Page:
                 hint += 15
             if found.get("role", "").lower() in ("main", "article"):
                 hint += 25
-        return hint, out, doubt
+                own = True
+            own = own or (name not in ("body", "html") and any(_own(x) for x in names.lower().split()))
+        return hint, out, doubt, own
+
+
+def _own(name: str) -> bool:
+    parts = {p.rstrip("0123456789") for p in re.split(r"[-_]+", name)}
+    return bool(parts & OWN) and parts <= OWN | OWN_BESIDE
 
 
 #: Degrees of doubt: none; left out unless most of the page's prose is in it; left out unless all of it is.
 SURE, DOUBTFUL, FROM_READERS = 0, 1, 2
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Share of a page's prose from which an element is not left out for its names.
-MOST = 0.5
+#: Share of a page's prose from which an element is not left out for its names, and that from which prose
+#: elsewhere, in what the page calls its article, has it left out all the same.
+MOST, OWN_LEAST = 0.5, 0.05
 
 
 def _doubt(names: str, tag: str) -> int:
-    """What class and id tell: each name counts by its parts, unless it describes the page's layout."""
+    """What class and id tell: each name counts by its parts, unless it tells what the page has."""
     out = SURE
     for name in names.lower().split():
         parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name)]
-        if len(parts) > 1 and (parts[0] in LAYOUT_FIRST or parts[-1] in LAYOUT_LAST):
+        if len(parts) > 1 and (parts[0] in HAS_FIRST or parts[-1] in HAS_LAST):
             continue
         if any(p in READERS for p in parts):
             out = FROM_READERS
@@ -187,8 +196,11 @@ def _leave_out(page: _Page) -> None:
         return
     # prose by element, and prose that lies in elements of readers
     prose, outer = [0.0] * n, [0] * n
+    # prose whose nearest element that says anything is called the text
+    own, called = [0.0] * n, [False] * n
     for i in range(1, n):
         outer[i] = i if page.doubt[i] == FROM_READERS else outer[page.parent[i]]
+        called[i] = page.own[i] or (called[page.parent[i]] and not page.doubt[i])
     said = 0.0
     for at, words, links in page.blocks:
         if page.out[at] or len(words) < 25 or page.tag[at] in HEADINGS:
@@ -197,6 +209,7 @@ def _leave_out(page: _Page) -> None:
         said += weight if outer[at] else 0
         for i in _upwards(page, at):
             prose[i] += weight
+            own[i] += weight if called[at] else 0
     total = prose[0]
     for i in range(1, n):
         if page.out[page.parent[i]]:
@@ -206,7 +219,8 @@ def _leave_out(page: _Page) -> None:
         elif page.doubt[i] == DOUBTFUL:
             # readers' words count for nothing here, unless there are no others
             whole = total - said or total
-            page.out[i] = page.out[i] or prose[i] <= MOST * whole
+            elsewhere = own[0] - own[i]
+            page.out[i] = page.out[i] or prose[i] <= MOST * whole or (elsewhere > own[i] and elsewhere >= OWN_LEAST * whole)
 
 
 def extract_main_text(html: str | None) -> str:
@@ -258,13 +272,22 @@ def extract_main_text(html: str | None) -> str:
     inside = [False] * n
     for i in range(n):
         inside[i] = i in kept or (i > 0 and inside[page.parent[i]])
-    # lists that are links all through are menus
+    # lists that are links all through are menus, unless they are in an article or follow prose of their container
     menu = [False] * n
-    items = [0] * n
-    for at, _, _ in blocks:
+    items, prose_at, first = [0] * n, [len(blocks)] * n, [len(blocks)] * n
+    for k, (at, words, links) in enumerate(blocks):
         items[page.parent[at]] += 1
+        for i in _upwards(page, at):
+            first[i] = min(first[i], k)
+        if len(words) >= 25 and links < 0.5 * len(words) and page.tag[at] not in HEADINGS:
+            for i in {at, page.parent[at]}:
+                prose_at[i] = min(prose_at[i], k)
+    in_article = [False] * n
     for i in range(1, n):
-        menu[i] = menu[page.parent[i]] or (page.tag[i] in ("ul", "ol") and text[i] > 0 and link[i] >= 0.9 * text[i] and items[i] >= 3)
+        up = page.parent[i]
+        in_article[i] = in_article[up] or page.tag[i] == "article" or (page.own[i] and page.tag[i] != "main")
+        alone = not in_article[i] and prose_at[up] > first[i]
+        menu[i] = menu[up] or (alone and page.tag[i] in ("ul", "ol") and text[i] > 0 and link[i] >= 0.9 * text[i] and items[i] >= 3)
     return "\n".join(words for at, words, _ in blocks if inside[at] and not menu[at])
 
 
