@@ -5,8 +5,9 @@ filter q(c) times, as (bigram, 1) ... (bigram, q). A worker asks for (bigram, 1)
 on until a miss: the last hit is the count's level. Probabilities are smoothed by absolute discounting:
 p(w | v) = (c(v, w) - d) / c(v) + d T(v) / c(v) p(w), p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 where T(v) is the number of distinct bigrams that begin with v; c(v), c(w) and T(v) are exact. The whole
-is divided by 1 + f V (1 - d) / c(v), f being the share of absent bigrams that the filter takes for
-present, so that p sums to 1 over the vocabulary. Bigrams have hashes of 40 bits.
+is divided by 1 + f V (1 - d) / c(v), f being the share of absent bigrams that seem present, so that p sums
+to 1 over the vocabulary: those that the filter takes for present, and those whose hash is a present one's.
+Bigrams have hashes of 5 to 8 bytes, as many as keep the latter to a fraction of one a context.
 
 No n-gram is cut. Words and the filter are dealt by hash into shards of about one size, as many as
 the corpus needs, and a task holds one of them at a time. Texts are scored in batches: a batch's
@@ -31,8 +32,9 @@ from . import common
 BASE, DISCOUNT, FLOOR, PROBES, BITS = 1.5, 0.5, 0.02, 12, 24
 #: Bits of a shard of the filter (1 MB), as a power of two; bytes of text for each shard of words.
 SHARD_BITS, WORDS_BYTES = 23, 64 << 20
+#: Least bytes of a bigram's hash, and how many absent bigrams of a context may share a present one's.
+LEAST_WIDTH, SHARED = 5, 0.25
 #: Stands before and after a text; no word holds a space.
-HIGH = np.uint64(0xFFFFFFFFFF000000)
 EDGE = np.uint64(xxhash.xxh3_64_intdigest(" edge"))
 #: Tokens that are counted together, slices of text in a batch: the more they are, the less is sent twice.
 GATHER, BATCH = 3_000_000, 4
@@ -52,28 +54,38 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts if n else np.zeros(1, dtype=np.int64)
 
 
-def _pair(hashed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """40-bit hashes of the tokens ``at`` with their predecessors (the low 24 bits are 0)."""
-    return common.chain([hashed[at - 1], hashed[at]]) & HIGH if len(at) else hashed[:0]
+def _width(types: int, tokens: int) -> int:
+    """Bytes of a bigram's hash: each of a context's ``types`` absent bigrams meets one of at most ``tokens`` hashes by chance."""
+    return next((w for w in range(LEAST_WIDTH, 8) if types * tokens <= SHARED * 2.0 ** (8 * w)), 8)
 
 
-def _packed(h: np.ndarray) -> bytes:
-    """The upper 40 bits of each, five bytes each."""
-    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
+def _high(width: int) -> np.uint64:
+    """Selects the upper ``width`` bytes."""
+    return np.uint64((1 << 64) - (1 << (64 - 8 * width)))
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-    out[:, 3:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+def _pair(hashed: np.ndarray, at: np.ndarray, width: int = LEAST_WIDTH) -> np.ndarray:
+    """Hashes of the tokens ``at`` with their predecessors, in the upper ``width`` bytes."""
+    return common.chain([hashed[at - 1], hashed[at]]) & _high(width) if len(at) else hashed[:0]
+
+
+def _packed(h: np.ndarray, width: int) -> bytes:
+    """The upper ``width`` bytes of each."""
+    return np.ascontiguousarray(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, 8 - width :] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
     return out.view(np.uint64).ravel()
 
 
-def _bigrams(hashed: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bigrams(hashed: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each token (words and final edge): the place in ``hashed``; the hash of it with its predecessor."""
     token = np.ones(len(hashed), dtype=bool)
     token[starts[:-1]] = False
     at = np.flatnonzero(token)
-    return at, _pair(hashed, at)
+    return at, _pair(hashed, at, width)
 
 
 def _shards_of(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -106,7 +118,7 @@ def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[first], np.diff(np.append(first, len(v))).astype(np.uint32)
 
 
-def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
+def _partial(docs: DataFrame, pairs: bool, shards: int, width: int = 8) -> DataFrame:
     """(shard, h, v, n, c): packed counts of bigrams (``pairs``) or tokens, of some texts each.
 
     Bigrams stand by their first token: v names each of these once, n says how many bigrams it has.
@@ -115,7 +127,7 @@ def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
     def keys(hashed: np.ndarray, at: np.ndarray) -> tuple:
         if not pairs:
             return hashed[at], None
-        return _pair(hashed, at), hashed[at - 1]
+        return _pair(hashed, at, width), hashed[at - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, v, c in _gathered(batches, keys):
@@ -126,10 +138,10 @@ def _partial(docs: DataFrame, pairs: bool, shards: int) -> DataFrame:
             packed = {"h": [], "v": [], "n": [], "c": []}
             for _, a, b in places:
                 i = order[a:b]
-                packed["h"].append(_packed(h[i]) if pairs else h[i].tobytes())
+                packed["h"].append(_packed(h[i], width) if pairs else h[i].tobytes())
                 packed["c"].append(c[i].astype(np.uint32).tobytes())
                 first, n = _runs(v[i]) if pairs else (None, None)
-                packed["v"].append(_packed(first) if pairs else None)
+                packed["v"].append(_packed(first, width) if pairs else None)
                 packed["n"].append(n.tobytes() if pairs else None)
             columns = [pa.array([s for s, _, _ in places], type=pa.int32()), *[pa.array(x, type=pa.binary()) for x in packed.values()]]
             yield pa.RecordBatch.from_arrays(columns, names=["shard", *packed])
@@ -213,7 +225,7 @@ def _levels(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """What training leaves: N, V, the shards of the words (kind 1) and of the filter (kind 2) with their numbers,
-    and the share of absent bigrams that the filter takes for present."""
+    the share of absent bigrams that seem present, and the bytes of a bigram's hash."""
 
     tokens: int
     types: int
@@ -221,6 +233,7 @@ class Model:
     filters: int
     shards: DataFrame
     false: float
+    width: int = LEAST_WIDTH
 
 
 def _probability(level: np.ndarray, now: np.ndarray, before: np.ndarray, after: np.ndarray, prior: np.ndarray, types: int, false: float) -> np.ndarray:
@@ -254,11 +267,13 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
     tokens, types = sums[0] or 0, sums[1] or 0
     # q(c) <= c, so a bigram's entries are no more than its tokens
     filters = -(-tokens * BITS // (1 << SHARD_BITS)) or 1
+    width = _width(types, tokens)
 
     def fill(rows: pa.Table) -> pa.Table:
-        v = np.repeat(_unpacked(b"".join(rows.column("v").to_pylist())), _joined(rows.column("n"), np.uint32))
-        h, c, first = _summed(_unpacked(b"".join(rows.column("h").to_pylist())), _joined(rows.column("c"), np.uint32))
-        v, t, _ = _summed(v[first], np.ones(len(h), dtype=np.int64))
+        v = np.repeat(_unpacked(b"".join(rows.column("v").to_pylist()), width), _joined(rows.column("n"), np.uint32))
+        h, c, first = _summed(_unpacked(b"".join(rows.column("h").to_pylist()), width), _joined(rows.column("c"), np.uint32))
+        distinct = len(h)
+        v, t, _ = _summed(v[first], np.ones(distinct, dtype=np.int64))
         order, places = _shards_of(v, words)
         pack = lambda x, f=np.ndarray.tobytes: [None, *[f(x[order[a:b]]) for _, a, b in places]]
         n, bits = len(places), _filled(h, c)
@@ -268,26 +283,29 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
                 "shard": pa.array([rows.column("shard")[0].as_py(), *[s for s, _, _ in places]], type=pa.int32()),
                 "bits": pa.array([bits, *[None] * n], type=pa.binary()),
                 "fill": pa.array([int(np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).sum()) / (1 << SHARD_BITS), *[None] * n], type=pa.float64()),
-                "h": pa.array(pack(v, _packed), type=pa.binary()),
+                "distinct": pa.array([distinct, *[None] * n], type=pa.int64()),
+                "h": pa.array(pack(v, lambda x: _packed(x, width)), type=pa.binary()),
                 "t": pa.array(pack(t.astype(np.uint32)), type=pa.binary()),
             }
         )
 
-    two = common.written(_partial(texts, True, filters).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, fill double, h binary, t binary"), "bigrams")
-    # how often a probe of a bigram that is not there hits: the fill of the shards to the power of the probes
-    false = two.where("kind = 2").agg(F.sum(F.pow("fill", F.lit(float(PROBES))))).first()[0] or 0.0
+    two = common.written(_partial(texts, True, filters, width).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, fill double, distinct long, h binary, t binary"), "bigrams")
+    # how often a bigram that is not there seems to be: the fill of the shards to the power of the probes, and
+    # the hashes that are there among all
+    told = two.where("kind = 2").agg(F.sum(F.pow("fill", F.lit(float(PROBES)))), F.sum("distinct")).first()
+    false = (told[0] or 0.0) / filters + (told[1] or 0) / 2.0 ** (8 * width)
 
     def follow(of: pa.Table, after: pa.Table) -> pa.Table:
         h, c = _joined(of.column("h"), np.uint64), _joined(of.column("c"), np.int64)
-        v, types_after, _ = _summed(_unpacked(b"".join(after.column("h").to_pylist())), _joined(after.column("t"), np.uint32))
+        v, types_after, _ = _summed(_unpacked(b"".join(after.column("h").to_pylist()), width), _joined(after.column("t"), np.uint32))
         t = np.zeros(len(h), dtype=np.int64)
-        t[np.searchsorted(h & HIGH, v)] = types_after  # what precedes a token is one; the words are in order, by 40 bits too
+        t[np.searchsorted(h & _high(width), v)] = types_after  # what precedes a token is one; the words are in order, by their upper bytes too
         return pa.table({"kind": pa.array([1], type=pa.int32()), "shard": of.column("shard")[:1].cast(pa.int32()), "x": pa.array([h.tobytes()], type=pa.binary()), "y": pa.array([c.tobytes()], type=pa.binary()), "z": pa.array([t.tobytes()], type=pa.binary())})
 
     ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(follow, "kind int, shard int, x binary, y binary, z binary")
     none = F.lit(None).cast("binary")
     shards = common.written(ones, "model").unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z")))
-    return Model(tokens, types, words, filters, shards, false / filters)
+    return Model(tokens, types, words, filters, shards, false, width)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -299,7 +317,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     doc_id is carried; an empty training set leaves N = V = 0 and all tokens unknown; other columns
     are not read. ``docs`` is read three times; a batch holds all rows that share id and text.
     """
-    tokens, types, words, filters, model_false = model.tokens, model.types, model.words, model.filters, model.false
+    tokens, types, words, filters, model_false, width = model.tokens, model.types, model.words, model.filters, model.false, model.width
     total = tokens + 0.1 * (types + 1)
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     batches = -(-_bytes(narrow) // (BATCH * common.SLICE_BYTES)) or 1
@@ -308,7 +326,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def distinct(rows: pa.Table) -> tuple:
         texts = rows.column("text").combine_chunks()
         hashed, starts = _padded(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts)
-        at, pairs = _bigrams(hashed, starts)
+        at, pairs = _bigrams(hashed, starts, width)
         return starts, at, np.unique(hashed, return_inverse=True), np.unique(pairs, return_inverse=True)
 
     def ask(rows: pa.Table) -> pa.Table:
@@ -317,7 +335,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         for kind, h, n in ((1, one, words), (2, two, filters)):
             order, places = _shards_of(h, n)
             for s, a, b in places:
-                kinds.append(kind), shards.append(s), packed.append(h[order[a:b]].tobytes() if kind == 1 else _packed(h[order[a:b]]))
+                kinds.append(kind), shards.append(s), packed.append(h[order[a:b]].tobytes() if kind == 1 else _packed(h[order[a:b]], width))
         return pa.table({"kind": pa.array(kinds, type=pa.int32()), "shard": pa.array(shards, type=pa.int32()), "batch": pa.array([rows.column("batch")[0].as_py()] * len(kinds), type=pa.int64()), "h": pa.array(packed, type=pa.binary())})
 
     def answer(shard: pa.Table, asked: pa.Table) -> pa.Table:
@@ -325,7 +343,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         kind = asked.column("kind")[0].as_py() if asked.num_rows else 0
         known = [_joined(shard.column(x), np.uint8) for x in ("x", "y", "z")]
         for raw in asked.column("h").to_pylist():
-            h = np.frombuffer(raw, dtype=np.uint64) if kind == 1 else _unpacked(raw)
+            h = np.frombuffer(raw, dtype=np.uint64) if kind == 1 else _unpacked(raw, width)
             if kind == 2:
                 c.append((_levels(known[0], h) if len(known[0]) else np.zeros(len(h), dtype=np.uint8)).tobytes()), t.append(None)
                 continue
