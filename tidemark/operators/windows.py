@@ -211,23 +211,46 @@ def unseen_split(df: DataFrame, models: DataFrame, scope: str = "unseen", train:
     return df.join(stamps.select("panel_id", "ts", "unseen"), ["panel_id", "ts"])
 
 
+class TooFewRows(ValueError):
+    """Panels whose unseen rows do not make an evaluation window; ``panels`` maps each to its problem."""
+
+    def __init__(self, panels: dict[str, str]):
+        super().__init__("; ".join(f"panel {p}: {problem}" for p, problem in sorted(panels.items())))
+        self.panels = panels
+
+
+def _window_ends(placed: DataFrame, hist: int, target, least: int | None, ratio: float) -> DataFrame:
+    """(panel_id, first, n, window_start, window_end, problem) of the unseen timestamps ``placed``."""
+    upto = F.lit(True) if target is None else S.micros(F.col("ts")) <= S.micros(F.lit(target).cast("timestamp"))
+    # unseen timestamps are the last ones of a panel: their places follow each other
+    ends = placed.groupBy("panel_id").agg(F.min("rn").alias("first"), F.count("*").alias("n"), F.count_if(upto).alias("end"))
+    ends = ends.withColumn("start", F.greatest(F.lit(0), F.col("end") - hist))
+    if least is None:
+        problem = F.when(F.col("end") == 0, "no rows in the window").when(F.col("start") == 0, "no rows before the window")
+        return ends.withColumns({"window_start": F.col("start"), "window_end": F.col("end"), "problem": problem})
+    return adjust_window(ends, hist, least, ratio)
+
+
+def window_problems(df: DataFrame, models: DataFrame, hist: int, scope: str = "unseen", target=None, least: int | None = None, ratio: float = 0.6, train: int = 80, val: int = 10) -> DataFrame:
+    """(panel_id, n, problem) of the panels that ``scoring_windows`` gives no whole window, those without an unseen row too."""
+    stamps = settled(df.select("panel_id", "ts").distinct(), "stamps")
+    ends = _window_ends(_placed(stamps, models, scope, train, val).where("unseen"), hist, target, least, ratio)
+    told = stamps.select("panel_id").distinct().join(small(ends.select("panel_id", "n", "problem")), "panel_id", "left")
+    told = told.select("panel_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "no unseen rows").otherwise(F.col("problem")).alias("problem"))
+    return told.where("problem is not null")
+
+
 def scoring_windows(df: DataFrame, models: DataFrame, hist: int, scope: str = "unseen", target=None, least: int | None = None, ratio: float = 0.6, train: int = 80, val: int = 10) -> DataFrame:
     """(panel_id, ts, fit, evaluated) of each unseen timestamp up to the end of the evaluation window.
 
     The window: the last ``hist`` unseen timestamps of a panel, or those that end at the last one not
     after ``target``; what is unseen before it fits the scorer. ``least``: the window gives way where
-    there are too few rows (see ``adjust_window``); a panel for which that fails has no rows.
+    there are too few rows (see ``adjust_window``); a panel for which that fails has no rows
+    here and its problem in ``window_problems``.
     """
     stamps = settled(df.select("panel_id", "ts").distinct(), "stamps")
     placed = settled(_placed(stamps, models, scope, train, val).where("unseen"), "placed")
-    upto = F.lit(True) if target is None else S.micros(F.col("ts")) <= S.micros(F.lit(target).cast("timestamp"))
-    # unseen timestamps are the last ones of a panel: their places follow each other
-    ends = placed.groupBy("panel_id").agg(F.min("rn").alias("first"), F.count("*").alias("n"), F.count_if(upto).alias("end"))
-    ends = ends.withColumn("start", F.greatest(F.lit(0), F.col("end") - hist))
-    if least is None:
-        ends = ends.withColumns({"window_start": F.col("start"), "window_end": F.col("end")})
-    else:
-        ends = adjust_window(ends, hist, least, ratio)
+    ends = _window_ends(placed, hist, target, least, ratio)
     at = F.col("rn") - F.col("first")
     out = placed.join(small(ends.select("panel_id", "first", "window_start", "window_end")), "panel_id").where(at < F.col("window_end"))
     return out.select("panel_id", "ts", (at < F.col("window_start")).alias("fit"), (at >= F.col("window_start")).alias("evaluated"))

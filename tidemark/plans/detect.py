@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import aggregates, filters, joins, models, scoring, windows
+from ..operators import aggregates, filters, joins, models, range_quantiles, scoring, windows
 from ..operators.panel import row_numbers, settled, small
 
 
@@ -35,10 +35,15 @@ def detect(df: DataFrame, trained: DataFrame | None, bounds: DataFrame, groups:
 
     ``target``: the window ends there; ``least``: how it gives way where rows are few (see
     ``windows.scoring_windows``). ``observed_only``: imputed timestamps are not evaluated either.
-    ``strict``: a missing or infinite value among the evaluated rows is an error. ``scorer``: see
+    ``strict``: a missing or infinite value among the evaluated rows is an error, and so is a panel without a whole
+    window (``windows.TooFewRows``; without it see ``windows.window_problems``). ``scorer``: see
     ``ml_scorers.scorer``; the norm of ``order`` by default.
     """
     told = predicted(df, trained, every)
+    if strict:
+        few = windows.window_problems(told, bounds, hist, scope, target, least).collect()  # the panels that fail
+        if few:
+            raise windows.TooFewRows({r["panel_id"]: r["problem"] for r in few})
     marks = windows.scoring_windows(told, bounds, hist, scope, target, least)
     if multipliers is not None:
         # the window counts timestamps that have a multiplier
@@ -79,8 +84,8 @@ def replay_known(df: DataFrame, trained: DataFrame | None, intervals: DataFrame,
     Each window is detected as if it were the last of its panel. Mode ``default``: it lies within the last
     ``hist`` unseen timestamps, which are the evaluation window. ``shift``: it ends before the unseen rows
     begin; its rows count as unseen from ``hist`` + ``slack`` steps before its end. ``target``: any other; the
-    evaluation window ends one step after it. Rows are predicted and scored once; only scores, one row
-    a group and timestamp, meet the windows.
+    evaluation window ends one step after it. Rows are predicted and scored once; a window's thresholds come
+    from counts along the series (see ``range_quantiles``), so that a score is not copied for each window.
     """
     told = predicted(df, trained, every)
     stamps = settled(told.select("panel_id", "ts").distinct(), "stamps")
@@ -89,27 +94,37 @@ def replay_known(df: DataFrame, trained: DataFrame | None, intervals: DataFrame,
     us, step = lambda c: S.micros(F.col(c)), every * S.MICROS
     # one row for each panel and configured window
     asked = ends.join(small(intervals.where("start_ts <= end_ts").select("window_id", "start_ts", "end_ts")), F.lit(True))
-    begin = asked.join(placed.select("panel_id", "rn", F.col("ts").alias("default_ts")), ["panel_id"]).where(F.col("rn") == F.greatest(F.col("from_rn"), F.col("n") - hist + 1)).drop("rn")
+    first = asked.withColumn("rn", F.greatest(F.col("from_rn"), F.col("n") - hist + 1))
+    begin = first.join(placed.select("panel_id", "rn", F.col("ts").alias("default_ts")), ["panel_id", "rn"]).drop("rn")
     mode = F.when(us("end_ts") < us("from_ts"), "shift").when((us("start_ts") >= us("default_ts")) & (us("end_ts") <= us("last_ts")), "default").otherwise("target")
     asked = begin.withColumn("mode", mode)
     upto = F.when(F.col("mode") == "shift", us("end_ts")).when(F.col("mode") == "default", us("last_ts")).otherwise(F.least(us("end_ts") + step, us("last_ts")))
     since = F.when(F.col("mode") == "shift", us("end_ts") - (hist + slack) * step).otherwise(us("from_ts") - 1)
     asked = settled(asked.select("panel_id", "window_id", "start_ts", "end_ts", "mode", since.alias("since"), upto.alias("upto")), "windows")
-    last = placed.join(small(asked), "panel_id").where((us("ts") <= F.col("upto")) & (us("ts") > F.col("since"))).groupBy(*asked.columns).agg(F.max("rn").alias("last_rn"))
+    # the places of the first and the last timestamp of each window's rows, by counting those before
+    sides = F.explode(F.array(F.struct(F.lit("before").alias("side"), (F.col("since") + 1).alias("at")), F.struct(F.lit("last_rn").alias("side"), (F.col("upto") + 1).alias("at"))))
+    at = asked.select("panel_id", "window_id", sides.alias("e")).select("panel_id", F.struct("window_id", "e.side").alias("end"), "e.at")
+    places = range_quantiles.counts_before(placed.select("panel_id", us("ts").alias("pos"), F.lit(0).alias("sub")), at, ["panel_id"], range_quantiles.WIDTH * step)
+    of = lambda side: F.max(F.when(F.col("end.side") == side, F.col("n"))).alias(side)
+    last = asked.join(small(places.groupBy("panel_id", F.col("end.window_id").alias("window_id")).agg(of("before"), of("last_rn"))), ["panel_id", "window_id"]).where("last_rn > before")
     last = settled(last, "windows")
 
+    named = groups if groups is not None else scoring.system_groups(told)
     rows = told.withColumn("ok", F.coalesce(_usable("observed" in told.columns), F.lit(False)))
-    scores = scoring.score_norm(joins.assign_groups(rows, groups if groups is not None else scoring.system_groups(told)), order, ["ok"])
+    scores = scoring.score_norm(joins.assign_groups(rows, named), order, ["ok"])
     scores = settled(scores.join(placed.select("panel_id", "ts", "rn"), ["panel_id", "ts"]), "scores")
-    met = scores.join(small(last), "panel_id").where((us("ts") > F.col("since")) & (F.col("rn") <= F.col("last_rn")))
+    # thresholds: quantiles of the scores of each window's fit rows
+    quantiles = scores.select("panel_id", "group").distinct().join(small(scoring.group_quantiles(named, q)), ["panel_id", "group"], "left").select("panel_id", "group", F.coalesce("q", F.lit(q)).alias("q"))
+    asks = last.join(small(quantiles), "panel_id").select("panel_id", "group", F.col("window_id").alias("ask"), (F.col("before") + 1).alias("lo"), (F.col("last_rn") - hist).alias("hi"), "q", F.lit(0.01).alias("low"))
+    fit = scores.where("ok").select("panel_id", "group", F.col("rn").alias("pos"), F.col("score").alias("value"))
+    limits = range_quantiles.range_quantiles(fit, asks, ["panel_id", "group"], {"threshold": "q", "q_low": "low"})
+    # the rows that each window shows, by buckets of places
+    bucket = lambda c: F.floor(c / F.lit(range_quantiles.WIDTH))
+    shown = last.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest(F.col("last_rn") - hist + 1, F.lit(1))), bucket(F.col("last_rn")))))
+    seen = scores.withColumn("bucket", bucket(F.col("rn"))).join(small(shown), ["panel_id", "bucket"])
+    seen = seen.where((F.col("rn") > F.col("last_rn") - hist) & (F.col("rn") <= F.col("last_rn")) & (us("ts") > F.col("since")) & F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
     key = F.concat_ws("#", "panel_id", F.col("window_id").cast("string"))
-    fit = met.where((F.col("rn") <= F.col("last_rn") - hist) & F.col("ok")).select(key.alias("panel_id"), "group", "score")
-    named = groups if groups is not None else scoring.system_groups(told)
-    quantiles = scoring.group_quantiles(named, q).join(small(last.select("panel_id", "window_id")), "panel_id").select(key.alias("panel_id"), "group", "q")
-    fit = settled(fit, "fit")
-    bare = fit.select("panel_id", "group").distinct().join(small(quantiles), ["panel_id", "group"], "left").select("panel_id", "group", F.coalesce("q", F.lit(q)).alias("q"))
-    seen = met.where((F.col("rn") > F.col("last_rn") - hist) & F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
-    flagged = scoring.flag(seen.select(key.alias("panel_id"), "group", "ts", "score"), scoring.fit_threshold(fit, bare))
+    flagged = scoring.flag(seen.select(key.alias("panel_id"), "group", "ts", "score"), limits.withColumnRenamed("ask", "window_id").select(key.alias("panel_id"), "group", "threshold", "q_low"))
     out = scoring.combine_groups(flagged)
     modes = last.select(key.alias("panel_id"), F.col("panel_id").alias("panel"), "window_id", "mode")
     return out.join(small(modes), "panel_id").drop("panel_id").withColumnRenamed("panel", "panel_id")
