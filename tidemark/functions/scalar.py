@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 
 
-def bonferroni(q: float, n: int) -> float:
+def bonferroni(q: float, n: int | Column) -> float | Column:
     """The quantile for one of ``n`` groups that keeps the whole at ``q``."""
+    if isinstance(n, Column):
+        return F.when(n > 1, 1 - (1 - F.lit(q)) / n).otherwise(F.lit(q))
     return q if n <= 1 else 1 - (1 - q) / n
 
 

@@ -27,7 +27,7 @@ def group_quantiles(groups: DataFrame, q: float = 0.99) -> DataFrame:
     """(panel_id, group, q): a group's own quantile, else the panel's shared one by Bonferroni."""
     per = groups.groupBy("panel_id", "group").agg(F.max("quantile").alias("own"))
     n = F.count("*").over(Window.partitionBy("panel_id"))
-    return per.select("panel_id", "group", F.coalesce("own", F.when(n > 1, 1 - (1 - F.lit(q)) / n).otherwise(F.lit(q))).alias("q"))
+    return per.select("panel_id", "group", F.coalesce("own", S.bonferroni(q, n)).alias("q"))
 
 
 def fit_threshold(fit: DataFrame, q: float | DataFrame = 0.99, low: float = 0.01) -> DataFrame:

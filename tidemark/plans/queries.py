@@ -20,7 +20,7 @@ from ..operators import models as M
 from ..operators import ranking as R
 from ..operators import scoring as C
 from ..operators import windows as W
-from ..operators.panel import K, settled
+from ..operators.panel import K, settled, wide
 from ..sources import tables as T
 from . import detect as D
 from . import process as P
@@ -219,7 +219,7 @@ add("recent_points", lambda s, d: W.recent_points(system_scores(s, d)).select("p
 # ------------------------------------------------------------------ filters
 HIT = "EXISTS (SELECT 1 FROM known k WHERE p.ts BETWEEN k.start_ts - INTERVAL {0} SECOND AND k.end_ts + INTERVAL {0} SECOND)"
 add("classify_channels", lambda s, d: B.classify_channels(J.asof_join(hourly(s, d), views(s, d), ["load"]).withColumn("channel", F.concat(F.when(F.col("channel") == "view", "exogenous_").otherwise(""), "channel", F.when(F.col("channel") == "error", "__weight").otherwise(""))), ["click"], multipliers=["sign"]), select(RAW, "SELECT panel_id, CASE channel WHEN 'view' THEN 'exogenous_view' WHEN 'error' THEN 'error__weight' ELSE channel END AS channel, CASE channel WHEN 'error' THEN 'weight' WHEN 'signup' THEN 'multiplier' WHEN 'purchase' THEN 'target' ELSE 'exog' END AS role, CASE channel WHEN 'click' THEN 0 ELSE 1 END AS ordinal FROM (SELECT DISTINCT panel_id, channel FROM raw)"))
-add("multiplier_channel", lambda s, d: B.multiplier_channel(raw(s, d), ["pur", "sign"]), select(RAW, "SELECT DISTINCT panel_id, 'purchase' AS multiplier FROM raw"))
+add("multiplier_channel", lambda s, d: B.multiplier_channel(raw(s, d), ["pur", "sign"]), select(RAW, "SELECT panel_id, min(channel) AS multiplier FROM raw WHERE starts_with(channel, 'pur') OR starts_with(channel, 'sign') GROUP BY panel_id"))
 add("mask_bounds", lambda s, d: B.mask_bounds(raw(s, d), bounds(s)), select(RAW + BOUNDS, "SELECT r.panel_id, r.channel, ts, CASE WHEN value < lower OR value > upper THEN NULL ELSE value END AS value FROM raw r LEFT JOIN bounds b ON r.panel_id = b.panel_id AND r.channel = b.channel"), "ts", "value")
 add("mask_maintenance", lambda s, d: B.mask_maintenance(hourly(s, d).withColumn("value", F.when(F.col("channel") == "error", (F.col("value") > 60).cast("double")).otherwise(F.col("value"))), "error"), select(HOURLY, "SELECT h.panel_id, h.channel, h.ts, CASE WHEN coalesce(f.value > 60, true) THEN NULL ELSE h.value END AS value FROM hourly h LEFT JOIN hourly f ON f.channel = 'error' AND f.panel_id = h.panel_id AND f.ts = h.ts WHERE h.channel <> 'error'"), "ts", "value")
 add("mask_intervals", lambda s, d: B.mask_intervals(hourly(s, d), intervals(s), 3600, ["click", "view"]), select(HOURLY + KNOWN, f"SELECT panel_id, channel, ts, CASE WHEN channel IN ('click', 'view') AND {HIT.format(3600)} THEN NULL ELSE value END AS value FROM hourly p"), "ts", "value")
@@ -227,11 +227,20 @@ add("filter_intervals", lambda s, d: B.filter_intervals(raw(s, d), intervals(s),
 add("filter_intervals_per_window", lambda s, d: B.filter_intervals(raw(s, d), intervals(s).where("start_ts <= end_ts"), 1800, True).select(*K, "ts", "value", "start_ts"), select(RAW + KNOWN, "SELECT p.*, k.start_ts FROM raw p JOIN known k ON p.ts BETWEEN k.start_ts - INTERVAL 30 MINUTE AND k.end_ts + INTERVAL 30 MINUTE"), "ts start_ts", "value")
 add("in_interval", lambda s, d: B.in_interval(hourly(s, d), intervals(s)).select(*K, "ts", "in_known"), select(HOURLY + KNOWN, f"SELECT panel_id, channel, ts, {HIT.format(0)} AS in_known FROM hourly p"), "ts")
 add("drop_imputed_rows", lambda s, d: B.drop_imputed_rows(panel(s, d)), select(PANEL, "SELECT * FROM panel WHERE (panel_id, ts) IN (SELECT (panel_id, ts) FROM panel GROUP BY panel_id, ts HAVING min(observed) = 1)"), "ts", "value")
-add("drop_invalid_fit_rows", lambda s, d: B.drop_invalid_fit_rows(naive(s, d)).select(*K, "ts"), select(NAIVE, "SELECT panel_id, channel, ts FROM whole"), "ts")
-add("validate_inputs", lambda s, d: B.validate_inputs(M.predict_naive(hourly(s, d))), select(HOURLY, "SELECT count(*) FILTER (value IS NULL) AS value_missing, 0 AS value_infinite, count(*) FILTER (pred IS NULL) AS pred_missing, 0 AS pred_infinite FROM (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM hourly)"))
+SPIKED = HOURLY + ", spiked AS (SELECT panel_id, channel, ts, CASE WHEN value > 97 THEN CAST('Infinity' AS DOUBLE) WHEN value < 2 THEN CAST('-Infinity' AS DOUBLE) ELSE value END AS value FROM hourly)"
+
+
+def spiked(s: SparkSession, d: str) -> DataFrame:
+    """The hourly means with the largest and smallest made infinite."""
+    value = F.when(F.col("value") > 97, float("inf")).when(F.col("value") < 2, float("-inf")).otherwise(F.col("value"))
+    return hourly(s, d).withColumn("value", value)
+
+
+add("drop_invalid_fit_rows", lambda s, d: B.drop_invalid_fit_rows(M.predict_naive(spiked(s, d))).select(*K, "ts"), select(SPIKED, "SELECT panel_id, channel, ts FROM (SELECT *, min(CAST(coalesce(isfinite(value) AND isfinite(pred), false) AS INTEGER)) OVER (PARTITION BY panel_id, ts) AS good FROM (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM spiked)) WHERE good = 1"), "ts")
+add("validate_inputs", lambda s, d: B.validate_inputs(M.predict_naive(spiked(s, d))), select(SPIKED, "SELECT count(*) FILTER (value IS NULL) AS value_missing, count(*) FILTER (isinf(value)) AS value_infinite, count(*) FILTER (pred IS NULL) AS pred_missing, count(*) FILTER (isinf(pred)) AS pred_infinite FROM (SELECT *, lag(value) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS pred FROM spiked)"))
 add("lookback", lambda s, d: B.lookback(raw(s, d), 3), select(RAW, "SELECT r.* FROM raw r JOIN (SELECT panel_id, max(ts) AS m FROM raw GROUP BY panel_id) x ON r.panel_id = x.panel_id WHERE r.ts >= m - INTERVAL 3 DAY"), "ts", "value")
 add("select_series", lambda s, d: B.select_series(raw(s, d), ["1"], ["click", "absent"]), select(RAW, "SELECT * FROM raw WHERE panel_id = '1' AND channel = 'click'"), "ts", "value")
-add("unknown_channels", lambda s, d: B.unknown_channels(raw(s, d), ["click", "absent"]), select(RAW, "SELECT 'absent' AS channel FROM raw LIMIT 1"))
+add("unknown_channels", lambda s, d: B.unknown_channels(raw(s, d), ["click", "absent"]), select(RAW, "SELECT c AS channel FROM (VALUES ('click'), ('absent')) t(c) WHERE c NOT IN (SELECT channel FROM raw)"))
 add("to_zone", lambda s, d: B.to_zone(raw(s, d), "Asia/Tokyo"), select(RAW, "SELECT panel_id, channel, ts + INTERVAL 9 HOUR AS ts, value FROM raw"), "ts", "value")
 add("adjust_by_baseline", lambda s, d: B.adjust_by_baseline(hourly(s, d), "click", "view"), select(HOURLY, "SELECT h.panel_id, h.channel, h.ts, CASE WHEN h.channel = 'click' THEN h.value - v.value ELSE h.value END AS value FROM hourly h LEFT JOIN hourly v ON v.channel = 'view' AND v.panel_id = h.panel_id AND v.ts = h.ts WHERE h.channel <> 'view'"), "ts", "value")
 add("average_channels", lambda s, d: B.average_channels(hourly(s, d), "i", "temperature"), select(HOURLY, "SELECT panel_id, 'temperature' AS channel, ts, avg(value) AS value FROM hourly WHERE contains(channel, 'i') GROUP BY panel_id, ts UNION ALL SELECT * FROM hourly WHERE NOT contains(channel, 'i')"), "ts", "value")
@@ -299,7 +308,7 @@ def model_versions(s: SparkSession, d: str) -> DataFrame:
 
 
 VERSIONS = ", mv AS (SELECT panel_id, channel, version FROM (SELECT DISTINCT panel_id, channel FROM raw), (VALUES ('20240110_000000'), ('20240125_120000'), ('20240130_000000')) v(version) WHERE panel_id = '0' OR version < '20240130')"
-add("readiness", lambda s, d: A.readiness(raw(s, d).select("panel_id").distinct(), raw(s, d), model_versions(s, d), F.expr(NOW), 5), select(RAW, f"SELECT bool_and(m > {HERE} - INTERVAL 5 DAY) AS data_ready, false AS models_ready, false AS ready FROM (SELECT panel_id, max(ts) AS m FROM raw GROUP BY panel_id)"))
+add("readiness", lambda s, d: A.readiness(raw(s, d).select("panel_id").distinct(), raw(s, d), model_versions(s, d), F.expr(NOW), 5), select(RAW + VERSIONS, f"SELECT data_ready, models_ready, data_ready AND models_ready AS ready FROM (SELECT bool_and(m > {HERE} - INTERVAL 5 DAY) AS data_ready, bool_and(coalesce(strptime(v, '%Y%m%d_%H%M%S') > {HERE} - INTERVAL 5 DAY, false)) AS models_ready FROM (SELECT panel_id, max(ts) AS m FROM raw GROUP BY panel_id) a LEFT JOIN (SELECT panel_id, max(version) AS v FROM mv GROUP BY panel_id) b USING (panel_id))"))
 
 
 def strategies(s: SparkSession, d: str) -> DataFrame:
@@ -327,7 +336,7 @@ add("event_contributions", lambda s, d: R.event_contributions(contributed(s, d),
 add("current_status", lambda s, d: R.current_status(system_scores(s, d), panel(s, d)).withColumn("channels", F.array_join("channels", ",")), select(SYSTEM, "SELECT s.panel_id, s.ts, s.anomaly_flag, s.anomaly_score, (SELECT string_agg(channel, ',' ORDER BY value DESC NULLS FIRST, channel) FROM panel p WHERE p.panel_id = s.panel_id AND p.ts = s.ts) AS channels FROM scores s JOIN (SELECT panel_id, max(ts) AS m FROM scores GROUP BY panel_id) x ON s.panel_id = x.panel_id AND s.ts = x.m"), "ts", "anomaly_score")
 add("best_model", lambda s, d: R.best_model(board(s, d).withColumns({"metric": F.col("score"), "trial": F.when(F.col("model") == "last", 0).when(F.col("model") == "none", 1).otherwise(2)})), select(BOARD, "SELECT channel, winner AS model, winner_score AS metric FROM led"), "", "metric")
 add("common_timestamps", lambda s, d: R.common_timestamps(hourly(s, d).where("channel = 'click' and value is not null"), hourly(s, d).where("channel = 'view' and value is not null")), select(HOURLY, "SELECT panel_id, ts FROM hourly WHERE channel = 'click' AND value IS NOT NULL INTERSECT SELECT panel_id, ts FROM hourly WHERE channel = 'view' AND value IS NOT NULL"), "ts")
-add("schema_diff", lambda s, d: R.schema_diff(raw(s, d).where("channel <> 'error'"), raw(s, d).where("channel <> 'view' or panel_id = '0'")), select(RAW, "SELECT DISTINCT panel_id, channel, CASE channel WHEN 'error' THEN 'baseline' ELSE 'live' END AS side FROM raw WHERE channel = 'error' OR (channel = 'view' AND panel_id = '1')"))
+add("schema_diff", lambda s, d: R.schema_diff(raw(s, d).where("channel <> 'error'"), raw(s, d).where("channel <> 'view' or panel_id = '0'")), select(RAW, "SELECT * FROM ((SELECT DISTINCT panel_id, channel, 'live' AS side FROM raw WHERE channel <> 'error' EXCEPT SELECT panel_id, channel, 'live' FROM raw WHERE channel <> 'view' OR panel_id = '0') UNION ALL (SELECT DISTINCT panel_id, channel, 'baseline' FROM raw WHERE channel <> 'view' OR panel_id = '0' EXCEPT SELECT panel_id, channel, 'baseline' FROM raw WHERE channel <> 'error'))"))
 add("union_first", lambda s, d: R.union_first(hourly(s, d).where("value > 50"), panel(s, d).select(*K, "ts", "value"), keys=[*K, "ts"]), select(PANEL, "SELECT panel_id, channel, ts, value FROM panel"), "ts", "value")
 
 # ------------------------------------------------------------------ imputation
@@ -344,7 +353,11 @@ for name, expr in FILL.items():
         body = f"SELECT panel_id, channel, ts, coalesce(value, avg(value) OVER (PARTITION BY panel_id, channel)) AS value, observed FROM ({body})"
     add(f"impute_{name}", lambda s, d, name=name: I.impute(hourly(s, d), name), select(CARRIED, body), "ts", "value")
 add("impute_linear_interpolation", panel, select(PANEL, "SELECT * FROM panel"), "ts", "value")
-add("impute_seasonal", lambda s, d: I.impute(hourly(s, d), "seasonal", period=24))
+# from left to right: a value may use those filled before it
+SEASONAL = HOURLY + """, ser AS (SELECT panel_id, channel, list(value ORDER BY ts) AS v, list(ts ORDER BY ts) AS t, avg(value) AS mean FROM hourly GROUP BY panel_id, channel),
+rec AS (SELECT panel_id, channel, 0 AS i, CAST([] AS DOUBLE[]) AS o, v FROM ser UNION ALL
+ SELECT panel_id, channel, i + 1, list_append(o, coalesce(v[i + 1], (far + v[i + 25]) / 2, far, v[i + 25], (near + v[i + 2]) / 2, near, v[i + 2])), v FROM (SELECT *, CASE WHEN i >= 24 THEN o[i - 23] END AS far, CASE WHEN i >= 1 THEN o[i] END AS near FROM rec WHERE i < len(v)))"""
+add("impute_seasonal", lambda s, d: I.impute(hourly(s, d), "seasonal", period=24), select(SEASONAL, "SELECT panel_id, channel, unnest(s.t) AS ts, coalesce(unnest(r.o), mean) AS value, CAST(unnest(s.v) IS NOT NULL AS INTEGER) AS observed FROM ser s JOIN rec r USING (panel_id, channel) WHERE r.i = len(s.v)"), "ts", "value")
 for name, params in (("spline_interpolation", {}), ("knn_temporal", {"n_neighbors": 3}), ("rolling_mean", {"window": 5}), ("psm", {})):
     add(f"impute_{name}", lambda s, d, name=name, params=params: I.impute(hourly(s, d), name, **params))
 add("impute_channels", lambda s, d: I.impute_channels(hourly(s, d), {"click": {"method": "forward_fill"}}), select(PANEL, "SELECT p.panel_id, p.channel, p.ts, CASE WHEN p.channel = 'click' THEN coalesce(pv, nv) ELSE p.value END AS value, observed FROM panel p JOIN carried c ON c.panel_id = p.panel_id AND c.channel = p.channel AND c.ts = p.ts"), "ts", "value")
@@ -392,7 +405,10 @@ def specs(s: SparkSession) -> DataFrame:
     return s.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), CAST(NULL AS STRING), 'ridge', map('alpha', 1.0D), 6), ('0', NULL, 'lasso', map('alpha', 0.1D), CAST(NULL AS INT)), ('0', 'click', 'lasso', CAST(NULL AS MAP<STRING, DOUBLE>), 12), ('1', 'view', 'ridge', map('alpha', 5.0D), NULL) t(panel_id, channel, model, params, lags)")
 
 
-add("resolve_specs", lambda s, d: M.resolve_specs(raw(s, d), specs(s)).select(*K, "model", F.col("params")["alpha"].alias("alpha"), "lags"), select(RAW, "SELECT panel_id, channel, CASE panel_id WHEN '0' THEN 'lasso' ELSE 'ridge' END AS model, CASE WHEN panel_id = '0' THEN 0.1 WHEN channel = 'view' THEN 5.0 ELSE 1.0 END AS alpha, CASE WHEN panel_id = '0' AND channel = 'click' THEN 12 ELSE 6 END AS lags FROM (SELECT DISTINCT panel_id, channel FROM raw)"), "", "alpha")
+SPECS = """, specs AS (SELECT * FROM (VALUES (NULL, NULL, 'ridge', 1.0, 6), ('0', NULL, 'lasso', 0.1, NULL), ('0', 'click', 'lasso', NULL, 12), ('1', 'view', 'ridge', 5.0, NULL)) t(panel_id, channel, model, alpha, lags)),
+met AS (SELECT c.panel_id, c.channel, s.model, s.alpha, s.lags, CASE WHEN s.channel IS NOT NULL THEN 2 WHEN s.panel_id IS NOT NULL THEN 1 ELSE 0 END AS level FROM (SELECT DISTINCT panel_id, channel FROM raw) c JOIN specs s ON (s.panel_id IS NULL OR s.panel_id = c.panel_id) AND (s.channel IS NULL OR s.channel = c.channel)),
+named AS (SELECT panel_id, channel, arg_max(model, level) AS model, arg_max(lags, level) FILTER (lags IS NOT NULL) AS lags FROM met GROUP BY panel_id, channel)"""
+add("resolve_specs", lambda s, d: M.resolve_specs(raw(s, d), specs(s)).select(*K, "model", F.col("params")["alpha"].alias("alpha"), "lags"), select(RAW + SPECS, "SELECT n.panel_id, n.channel, n.model, arg_max(m.alpha, level) FILTER (m.model = n.model AND m.alpha IS NOT NULL) AS alpha, n.lags FROM named n JOIN met m ON m.panel_id = n.panel_id AND m.channel = n.channel GROUP BY n.panel_id, n.channel, n.model, n.lags"), "", "alpha")
 
 
 def fixed_models(s: SparkSession, d: str) -> DataFrame:
@@ -447,7 +463,8 @@ add("score_iforest", _learned("score_iforest", trees=20))
 
 # ------------------------------------------------------------------ search
 SPACE = {"ridge": {"alpha": [0.01, 10.0, "log10"], "lags": [1, 3]}, "lasso": {"alpha": [0.001, 0.1, "log10"], "lags": [3]}}
-add("trial_budget", lambda s, d: U.trial_budget(raw(s, d), s.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), CAST(NULL AS STRING), 10), ('0', NULL, 20), ('0', 'click', 30) t(panel_id, channel, trials)")), select(RAW, "SELECT panel_id, channel, CASE WHEN panel_id <> '0' THEN 10 WHEN channel = 'click' THEN 30 ELSE 20 END AS trials FROM (SELECT DISTINCT panel_id, channel FROM raw)"))
+BUDGETS = ", budgets AS (SELECT * FROM (VALUES (NULL, NULL, 10), ('0', NULL, 20), ('0', 'click', 30)) t(panel_id, channel, trials))"
+add("trial_budget", lambda s, d: U.trial_budget(raw(s, d), s.sql("SELECT * FROM VALUES (CAST(NULL AS STRING), CAST(NULL AS STRING), 10), ('0', NULL, 20), ('0', 'click', 30) t(panel_id, channel, trials)")), select(RAW + BUDGETS, "SELECT c.panel_id, c.channel, arg_max(b.trials, CAST(b.panel_id IS NOT NULL AS INTEGER) + CAST(b.channel IS NOT NULL AS INTEGER)) AS trials FROM (SELECT DISTINCT panel_id, channel FROM raw) c JOIN budgets b ON (b.panel_id IS NULL OR b.panel_id = c.panel_id) AND (b.channel IS NULL OR b.channel = c.channel) GROUP BY c.panel_id, c.channel"))
 add("one_step_fold", lambda s, d: U.one_step_fold(panel(s, d)).select(*K, "ts", "split"), select(PANEL + ", st AS (SELECT panel_id, ts, row_number() OVER (PARTITION BY panel_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY panel_id) AS n FROM (SELECT DISTINCT panel_id, ts FROM panel))", "SELECT p.panel_id, p.channel, p.ts, CASE WHEN rn <= floor(n * 60 / 100.0) THEN 'train' ELSE 'val' END AS split FROM panel p JOIN st ON st.panel_id = p.panel_id AND st.ts = p.ts WHERE rn <= floor(n * 60 / 100.0) + floor(n * 20 / 100.0)"), "ts")
 for name, expr in (("mae", "avg(abs(value - pred))"), ("mse", "avg(pow(value - pred, 2))"), ("mape", "avg(abs((value - pred) / value))"), ("r2", "-(1 - sum(pow(value - pred, 2)) / nullif(var_pop(value) * count(*), 0))")):
     add(f"metric_{name}", lambda s, d, name=name: U.metric(whole(s, d), name), select(NAIVE, f"SELECT panel_id, channel, {expr} AS metric FROM whole GROUP BY ALL"), "", "metric")
@@ -484,6 +501,33 @@ add("cyclic_fallback", lambda s, d: T.cyclic_fallback(views(s, d).withColumnRena
 add("fetch_window", lambda s, d: T.fetch_window(raw(s, d), F.expr(NOW)), select(RAW, "SELECT min(ts) AS start_ts, max(ts) AS end_ts FROM raw"), "start_ts end_ts")
 
 # ------------------------------------------------------------------ composites
-add("process", lambda s, d: P.process(raw(s, d), views(s, d), bounds=bounds(s), median="click", average="i"))
+PROCESSED = (
+    RAW
+    + VIEWS
+    + """, raw2 AS (SELECT * FROM raw UNION ALL SELECT e.panel_id, 'exogenous_load', e.ts, v.load FROM (SELECT DISTINCT panel_id, ts FROM raw) e ASOF LEFT JOIN views v ON e.ts >= v.ts)"""
+    + HOURLY[len(RAW) :].replace("FROM raw)", "FROM raw2)")
+    + BOUNDS
+    + ", masked AS (SELECT h.panel_id, h.channel, ts, CASE WHEN value < lower OR value > upper THEN NULL ELSE value END AS value FROM hourly h LEFT JOIN bounds b ON h.panel_id = b.panel_id AND h.channel = b.channel)"
+    + CARRIED[len(HOURLY) :].replace("FROM hourly", "FROM masked")
+    + PANEL[len(CARRIED) :]
+    + ", smooth AS (SELECT panel_id, channel, ts, CASE WHEN contains(channel, 'click') THEN list_sort([lag(value, 1, 0.0) OVER w, value, lead(value, 1, 0.0) OVER w])[2] ELSE value END AS value, observed FROM panel WINDOW w AS (PARTITION BY panel_id, channel ORDER BY ts))"
+)
+add("process", lambda s, d: P.process(raw(s, d), views(s, d), bounds=bounds(s), median="click", average="i"), select(PROCESSED, "SELECT panel_id, channel, ts, value, observed FROM smooth WHERE NOT contains(channel, 'i') UNION ALL SELECT panel_id, 'temperature', ts, avg(value), 1 FROM smooth WHERE contains(channel, 'i') GROUP BY panel_id, ts"), "ts", "value")
 with_, _, body = AGAIN.rpartition(MAIN)
 add("prepare_panel", lambda s, d: P.prepare_panel(panel(s, d), intervals(s), 3600).select(*K, "ts", "value", "observed", "role"), select(with_, f"SELECT *, CASE WHEN channel LIKE '%\\_\\_weight' ESCAPE '\\' THEN 'weight' WHEN channel LIKE 'exogenous\\_%' ESCAPE '\\' THEN 'exog' ELSE 'target' END AS role FROM ({body})"), "ts", "value")
+
+
+# ------------------------------------------------------------------ scalar functions
+def standardised(s: SparkSession, d: str) -> DataFrame:
+    p = panel(s, d).withColumn("value", F.when(F.col("channel") == "view", 1.0).otherwise(F.col("value")))
+    m = p.groupBy(*K).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return p.join(m, K).select(*K, "ts", S.zscore(F.col("value"), F.col("mean"), F.col("std")).alias("z"))
+
+
+add("lp_norm", lambda s, d: wide(panel(s, d), ["click", "purchase"]).select("panel_id", "ts", S.lp_norm([F.col("click"), F.col("purchase")], 3.0).alias("norm")), select(PANEL, "SELECT panel_id, ts, pow(sum(pow(abs(value), 3)), 1 / 3.0) AS norm FROM panel WHERE channel IN ('click', 'purchase') GROUP BY panel_id, ts"), "ts", "norm")
+add("zscore", standardised, select(PANEL, "SELECT panel_id, channel, ts, CASE WHEN sd = 0 THEN 0 ELSE (value - m) / sd END AS z FROM (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM (SELECT panel_id, channel, ts, CASE WHEN channel = 'view' THEN 1.0 ELSE value END AS value FROM panel) WINDOW w AS (PARTITION BY panel_id, channel))"), "ts", "z")
+add("argmax_group", lambda s, d: group_scores(s, d).groupBy("panel_id", "ts").agg(S.argmax_group(F.col("group"), F.col("normalized")).alias("winner")), select(GROUPED, "SELECT panel_id, ts, grp AS winner FROM gf QUALIFY row_number() OVER (PARTITION BY panel_id, ts ORDER BY normalized DESC NULLS LAST, grp) = 1"), "ts")
+add("bonferroni", lambda s, d: C.group_quantiles(groups(s)).join(raw(s, d).groupBy("panel_id").count(), "panel_id").select("panel_id", F.col("group").alias("grp"), "q", "count"), select(GROUPED, "SELECT g.panel_id, g.grp, g.q, r.n AS count FROM gq g JOIN (SELECT panel_id, count(*) AS n FROM raw GROUP BY panel_id) r ON r.panel_id = g.panel_id"), "", "q")
+add("format_times", lambda s, d: raw(s, d).groupBy(*K).agg(F.max("ts").alias("ts")).select(*K, S.fmt_version(F.col("ts")).alias("version"), S.iso(F.col("ts")).alias("iso")), select(RAW, "SELECT panel_id, channel, strftime(max(ts), '%Y%m%d_%H%M%S') AS version, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS iso FROM raw GROUP BY panel_id, channel"))
+add("mean_arrays", lambda s, d: W.lag_features(panel(s, d), [1, 3]).select(*K, "ts", F.get(S.mean_arrays(F.col("lags"), F.array("value", "value")), F.lit(1)).alias("mean")), select(PANEL, "SELECT panel_id, channel, ts, (value + l) / 2 AS mean FROM (SELECT *, lag(value, 3) OVER (PARTITION BY panel_id, channel ORDER BY ts) AS l FROM panel) WHERE l IS NOT NULL"), "ts", "mean")
+add("to_json_record", lambda s, d: raw(s, d).groupBy(*K).count().select("panel_id", "channel", S.to_json_record(channel=F.col("channel"), n=F.col("count")).alias("record")), select(RAW, "SELECT panel_id, channel, CAST(json_object('channel', channel, 'n', count(*)) AS VARCHAR) AS record FROM raw GROUP BY panel_id, channel"))
