@@ -11,6 +11,10 @@ from ..functions import scalar as S
 from .panel import settled, small
 
 
+#: Buckets over which one task carries a value.
+PART = 256
+
+
 def asof_join(df: DataFrame, exog: DataFrame, cols: list[str], bucket: int = 3600) -> DataFrame:
     """``df`` with the last value of each of ``cols`` of ``exog`` (ts, cols) at or before its ts; null before the first.
 
@@ -25,8 +29,14 @@ def asof_join(df: DataFrame, exog: DataFrame, cols: list[str], bucket: int = 360
     both = settled(both.where("ts is not null").withColumn("bucket", place), "stamps")
     last = lambda c: F.max(F.when(F.col(f"`{c}`").isNotNull(), F.struct("ts", F.col(f"`{c}`").alias("v"))))["v"]
     ends = both.groupBy("bucket").agg(*[last(c).alias(f"__{c}") for c in cols])
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as buckets
-    ends = ends.select("bucket", *[F.last(f"`__{c}`", ignorenulls=True).over(earlier).alias(f"__{c}") for c in cols])
+    # carried over the buckets of a part, then over the parts: no window without a key
+    ends = ends.withColumn("part", F.floor(F.col("bucket") / PART))
+    along = Window.partitionBy("part").orderBy("bucket")
+    of = lambda c, w: F.last(f"`__{c}`", ignorenulls=True).over(w)
+    ends = settled(ends.select("bucket", "part", *[of(c, along.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__{c}") for c in cols], *[of(c, along).alias(f"__upto_{c}") for c in cols]), "ends")
+    parts = ends.groupBy("part").agg(*[F.max_by(f"`__upto_{c}`", F.when(F.col(f"`__upto_{c}`").isNotNull(), F.col("bucket"))).alias(f"__p_{c}") for c in cols])
+    before = parts.select("part").join(parts.withColumnRenamed("part", "earlier"), F.col("earlier") < F.col("part")).groupBy("part").agg(*[F.max_by(f"`__p_{c}`", F.when(F.col(f"`__p_{c}`").isNotNull(), F.col("earlier"))).alias(f"__p_{c}") for c in cols])
+    ends = ends.join(small(before), "part", "left").select("bucket", *[F.coalesce(F.col(f"`__{c}`"), F.col(f"`__p_{c}`")).alias(f"__{c}") for c in cols])
     # at equal ts the external row stands before the own one
     w = Window.partitionBy("bucket").orderBy("ts", "own")
     filled = both.join(small(ends), "bucket").select("ts", "own", *[F.coalesce(F.last(f"`{c}`", ignorenulls=True).over(w), F.col(f"`__{c}`")).alias(c) for c in cols]).where("own = 1").drop("own")

@@ -109,9 +109,9 @@ def contributions(df: DataFrame, scores: DataFrame) -> DataFrame:
     score; std of the channel by sample, 1 if 0; null where nothing deviates."""
     std = small(df.groupBy("panel_id", "channel").agg(F.stddev_samp("value").alias("__std")))
     d = ((F.col("value") - F.col("pred")) / S.guard_zero(F.coalesce("__std", F.lit(1.0)), 1.0)) ** 2
-    rows = df.join(std, ["panel_id", "channel"]).withColumn("__d", d)
-    total = rows.groupBy("panel_id", "ts").agg(F.sum("__d").alias("__t"))
-    out = rows.join(total, ["panel_id", "ts"]).join(scores.select("panel_id", "ts", "anomaly_score"), ["panel_id", "ts"])
+    total = F.sum("__d").over(Window.partitionBy("panel_id", "ts"))  # a panel's channels
+    rows = df.join(std, ["panel_id", "channel"]).select("panel_id", "channel", "ts", d.alias("__d")).withColumn("__t", total)
+    out = rows.join(scores.select("panel_id", "ts", "anomaly_score"), ["panel_id", "ts"])
     return out.select("panel_id", "channel", "ts", (F.col("__d") / F.nullif(F.col("__t"), F.lit(0.0)) * F.col("anomaly_score")).alias("contribution"))
 
 

@@ -174,7 +174,7 @@ def stitch(*parts: DataFrame, key: str = "ts") -> DataFrame:
 def cyclic_fallback(df: DataFrame, start: Column, end: Column, period: int = 24) -> DataFrame:
     """(ts, value, synthetic): hours from ``start`` to ``end`` with the last ``period`` values again and again; fewer are an error."""
     tail = df.where("value is not null").orderBy(F.desc("ts")).limit(period).select("ts", "value")
-    tail = tail.withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)  # a period of rows
+    tail = tail.agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("a")).select(F.posexplode("a").alias("i", "r")).select("i", "r.*")  # a period of rows
     if tail.count() < period:
         raise ValueError(f"fewer than {period} rows to repeat")
     grid = df.sparkSession.range(1).select(F.explode(F.sequence(start, end, F.expr("interval 1 hour"))).alias("ts"))
