@@ -151,3 +151,13 @@ def test_kernel_model_equals_numpy(spark):
     got = [r["pred"] for r in models.predict(df, spark.createDataFrame([row], models.MODEL + ", kernel " + models.KERNEL), reach=2).orderBy("ts").collect()]
     assert got[:2] == [None, None]
     assert np.abs(np.array(got[2:]) - expected).max() < 1e-3 * np.std(y)
+
+
+def test_trees_walked_in_batches_and_row_by_row_tell_the_same(spark, monkeypatch):
+    df = imputation.impute(series(spark, _bent(200)).unionByName(series(spark, [None, None, *_bent(100, 4)], "b")).unionByName(series(spark, _bent(60, 5), "c")))
+    spec = spark.createDataFrame([(None, None, "trees", {"n_estimators": 7.0, "max_depth": 3.0}, 2), ("p", "c", "ridge", {"alpha": 1.0}, 3)], "panel_id string, channel string, model string, params map<string,double>, lags int")
+    told, _ = models.train(df, specs=spec)
+    rows = lambda: {(r["channel"], r["ts"]): r["pred"] for r in models.predict(df, told, reach=3).collect()}
+    batches = rows()
+    monkeypatch.setattr(trees, "NODES", 0)
+    assert rows() == batches and sum(v is not None for v in batches.values()) > 300

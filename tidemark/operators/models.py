@@ -285,7 +285,7 @@ def dot(a: str, b: str) -> Column:
 
 def predict(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | None = None) -> DataFrame:
     """``df`` with pred: one step ahead from observed lags (and exog, where the model has more coefficients
-    than lags); null without model or input. No user code: a dot product, and what trees and kernels add.
+    than lags); null without model or input. A dot product without user code, and what trees and kernels add.
 
     ``reach``: the longest lag, where it is known; else the model table is read for it.
     """
@@ -298,6 +298,9 @@ def predict(df: DataFrame, models: DataFrame, every: int = 3600, reach: int | No
 def predict_from_past(out: DataFrame, models: DataFrame) -> DataFrame:
     """``out`` with pred instead of __past, the values before each row, the last one first."""
     more = [c for c in ("trees", "kernel") if c in models.columns]
+    grown = trees.added(models) if "trees" in more else None
+    if grown is not None:
+        more.remove("trees")
     m = models.select(*K, F.col("lags").alias("__k"), "coef", "intercept", *[F.col(c).alias(f"__{c}") for c in more])
     chosen = F.transform("__k", lambda k: F.get("__past", k - 1))
     if "exog" in out.columns:
@@ -305,7 +308,9 @@ def predict_from_past(out: DataFrame, models: DataFrame) -> DataFrame:
     out = out.join(small(m), K, "left").withColumn("__x", chosen)
     whole = F.col("coef").isNotNull() & (F.size("__x") == F.size("coef")) & ~F.exists("__x", lambda v: v.isNull())
     pred = F.col("intercept") + dot("__x", "coef")
-    if "trees" in more:
+    if grown is not None:
+        pred = pred + grown("panel_id", "channel", "__x")
+    elif "trees" in more:
         pred = pred + trees.evaluated("__trees", "__x")
     if "kernel" in more:
         pred = pred + kernel_value("__kernel", "__x")

@@ -9,7 +9,7 @@ saves a job a level. Trees are arrays by heap position: the children of node i a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -210,8 +210,56 @@ def fit(rows: DataFrame, specs: DataFrame, p: int, in_task: int = IN_TASK) -> Da
     return settled(out if out is not None else rows.sparkSession.createDataFrame([], GROWN), "trees")
 
 
+#: Nodes of a model table up to which every task holds it (20 bytes each).
+NODES = 2_000_000
+
+
+def forest(told: list[dict]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, and by tree and node the input or -1, threshold and value) of one model's trees, which are of one shape."""
+    of = lambda c, kind: np.array([t[c] for t in told], dtype=kind)
+    return int(told[0]["depth"]), of("feature", np.int64), of("threshold", float), of("value", float)
+
+
+def values(trees: tuple[int, np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The sum of the trees' values at each row of ``x``, all trees a step at once."""
+    depth, feature, threshold, value = trees
+    tree, row = np.arange(len(feature))[None], np.arange(len(x))[:, None]
+    node = np.zeros((len(x), len(feature)), dtype=np.int64)
+    for _ in range(depth):
+        at = feature[tree, node]
+        node = np.where(at >= 0, 2 * node + 1 + (x[row, np.maximum(at, 0)] > threshold[tree, node]), node)
+    out = np.zeros(len(x))
+    for t in range(len(feature)):  # one after the other, as a walk adds them
+        out += value[t, node[:, t]]
+    return out
+
+
+def added(models: DataFrame) -> Callable[[Column, Column, Column], Column] | None:
+    """A function of panel, channel and inputs: what the trees of ``models`` add, in batches; None where the table
+    has over NODES nodes, then see ``evaluated``."""
+    grown = models.where("trees is not null and size(trees) > 0").select(*K, "trees")
+    size = grown.agg(F.sum(F.aggregate("trees", F.lit(0).cast("long"), lambda s, t: s + F.size(t["feature"])))).first()[0] or 0
+    if size > NODES:
+        return None
+    table = {(r["panel_id"], r["channel"]): forest([t.asDict() for t in r["trees"]]) for r in grown.collect()}
+
+    @F.pandas_udf("double")
+    def add(panel: pd.Series, channel: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        there = x.notna()
+        for key, at in pd.Series(np.arange(len(x)))[there.to_numpy()].groupby([panel[there].to_numpy(), channel[there].to_numpy()]):
+            if key in table:
+                rows = at.to_numpy()
+                width = max(len(v) for v in x.iloc[rows])
+                whole = [i for i in rows if len(x.iloc[i]) == width]
+                out[whole] = values(table[key], np.array([np.asarray(x.iloc[i], dtype=float) for i in whole]))
+        return pd.Series(out)
+
+    return add
+
+
 def evaluated(trees: str, x: str) -> Column:
-    """The sum of the trees' values at ``x``, by walking their arrays; 0 without trees."""
+    """The sum of the trees' values at ``x``, by walking their arrays row by row; 0 without trees."""
 
     def value(t: Column) -> Column:
         at = F.aggregate(F.sequence(F.lit(1), t["depth"]), F.lit(0), lambda n, _: F.when(F.get(t["feature"], n) >= 0, 2 * n + 1 + (F.get(F.col(x), F.get(t["feature"], n)) > F.get(t["threshold"], n)).cast("int")).otherwise(n))
