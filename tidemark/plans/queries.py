@@ -212,7 +212,7 @@ add("eval_window", lambda s, d: W.eval_window(panel(s, d), 50, "2024-01-20 12:00
 WINDOW = PANEL + ", b AS (SELECT panel_id, count(DISTINCT ts) AS n, count(DISTINCT ts) - 60 AS start, count(DISTINCT ts) AS \"end\" FROM panel GROUP BY panel_id)"
 add("adjust_window", lambda s, d: W.adjust_window(panel(s, d).groupBy("panel_id").agg(F.count_distinct("ts").alias("n")).selectExpr("panel_id", "n", "n - 60 AS start", "n AS end"), 400), select(WINDOW, "SELECT *, CASE WHEN problem IS NULL THEN a END AS window_start, CASE WHEN problem IS NULL THEN n END AS window_end FROM (SELECT *, CASE WHEN n < 801 AND n < 200 THEN 'too short' END AS problem, greatest(100, n - greatest(100, n - greatest(100, CAST(floor(n * 0.6) AS BIGINT)))) AS a FROM b)").replace("SELECT *, CASE WHEN problem IS NULL THEN a", "SELECT panel_id, n, start, \"end\", problem, CASE WHEN problem IS NULL THEN a"))
 add("unseen_split", lambda s, d: W.unseen_split(panel(s, d), D.no_bounds(panel(s, d)).withColumn("train_end", F.when(F.col("panel_id") == "0", F.lit("2024-01-21 00:00:00").cast("timestamp")))).select(*K, "ts", "unseen"), select(SPLIT, "SELECT p.panel_id, p.channel, p.ts, CASE WHEN p.panel_id = '0' THEN p.ts > TIMESTAMP '2024-01-21 00:00:00' ELSE split = 'test' END AS unseen FROM panel p JOIN split s ON p.panel_id = s.panel_id AND p.ts = s.ts"), "ts")
-add("residual_windows", lambda s, d: W.residual_windows(B.residuals(whole(s, d)), 3).select("panel_id", "ts", "channels", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")))
+add("residual_windows", lambda s, d: W.residual_windows(B.residuals(whole(s, d)), 3).select("panel_id", "ts", "channels", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total")), select(NAIVE, "SELECT panel_id, ts, CAST(count(*) AS INTEGER) AS channels, sum(r + a + b) AS total FROM (SELECT panel_id, ts, value - pred AS r, lag(value - pred) OVER w AS a, lag(value - pred, 2) OVER w AS b FROM whole WINDOW w AS (PARTITION BY panel_id, channel ORDER BY ts)) WHERE b IS NOT NULL GROUP BY panel_id, ts"), "ts", "total")
 add("recent_points", lambda s, d: W.recent_points(system_scores(s, d)).select("panel_id", "ts", "anomaly_score", "anomaly_flag"), select(SYSTEM, "SELECT panel_id, ts, anomaly_score, anomaly_flag FROM scores QUALIFY row_number() OVER (PARTITION BY panel_id ORDER BY ts DESC) <= 12"), "ts", "anomaly_score")
 
 
