@@ -146,7 +146,19 @@ class LiveTable:
         """
         from .live import upsert_live
 
-        batch = settled(batch, "batch")
+        own = f"drafts/batch-{uuid.uuid4().hex}"  # read twice; gone when the merge is
+        batch.write.parquet(f"{self.files.root}/{own}")
+        try:
+            version = self._merged(self.spark.read.schema(batch.schema).parquet(f"{self.files.root}/{own}"), how or upsert_live, tries)
+        finally:
+            self.files.remove(own)
+        if version is None:
+            return None
+        self.vacuum()
+        self._step("vacuumed")
+        return version
+
+    def _merged(self, batch: DataFrame, how: Callable[[DataFrame, DataFrame | None], DataFrame], tries: int) -> int | None:
         days = sorted(r[0] for r in batch.select(day()).distinct().collect())
         self._step("settled")
         if not days:
@@ -156,14 +168,11 @@ class LiveTable:
             live = self._rows(told, days) if told else None
             self._step("read")
             try:
-                version = self._publish(told, (how or upsert_live)(batch, live), days)
-                break
+                return self._publish(told, how(batch, live), days)
             except Conflict:
                 if not left:
                     raise
-        self.vacuum()
-        self._step("vacuumed")
-        return version
+        return None
 
     def replace(self, rows: DataFrame) -> int:
         """A new version that holds ``rows`` alone."""
