@@ -50,9 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors.
+
+    Spark deletes a shuffle's files when the driver's collector finds its plan, which on a heap with room it may
+    not do for the rest of the job; so the driver is asked to collect what earlier tables left before a new one begins.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    spark.sparkContext._jvm.java.lang.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
