@@ -32,31 +32,60 @@ SLOT = "[\ue001-\ue003]"
 UNITS = "mm|cm|dm|m|km|in|inch|inches|ft|feet|foot|yd|yards|yard|mi|miles|mile|mg|g|kg|t|tons|ton|oz|ounces|ounce|lb|lbs|pounds|pound|ml|cl|l|litres|liters|litre|liter|gal|gallons|gallon|ms|s|sec|secs|seconds|second|min|mins|minutes|minute|h|hr|hrs|hours|hour|days|day|weeks|week|months|month|years|year|km/h|kmh|mph|m/s|hz|khz|mhz|ghz|w|kw|mw|v|kv|a|ma|j|kj|cal|kcal|n|pa|kpa|bar|k|c|f|celsius|fahrenheit|degrees|degree|percent|usd|eur|gbp|dollars|dollar|euros|euro|cents|cent|kb|mb|gb|tb|bytes|bits"
 
 
+def _marked(text: Column) -> Column:
+    """The text, which holds no placeholder yet, with names and numbers as placeholders."""
+    # a capitalised word inside a sentence is a name; what stands first is tested first, most places end there
+    t = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{Ll}\p{N},] )\p{Lu}[\p{L}\p{M}\p{N}'’-]*", NAME)
+    return F.regexp_replace(t, r"[+-]?\p{Nd}[\p{Nd}.,:/]*(?<=\p{Nd})", NUMBER)
+
+
+def _typed(marked: Column) -> Column:
+    """The marked text with units as placeholders too, lower-cased."""
+    t = F.regexp_replace(marked, rf"{NUMBER}(\s?)(?i:{UNITS}|°[cf]?)(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
+    return F.lower(t)
+
+
 def template(text: Column) -> Column:
     """The text, which holds no placeholder yet, with placeholders; white space stays as it is."""
-    # a capitalised word inside a sentence is a name
-    t = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},] )\p{Lu}[\p{L}\p{M}\p{N}'’-]*", NAME)
-    t = F.regexp_replace(t, r"[+-]?\p{Nd}[\p{Nd}.,:/]*(?<=\p{Nd})", NUMBER)
-    t = F.regexp_replace(t, rf"(?i)(?<={NUMBER})(\s?)(?:{UNITS}|°[cf]?)(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
-    return F.lower(t)
+    return _typed(_marked(text))
 
 
 def _words(text: Column) -> Column:
-    """Words of letters, marks, digits and placeholders; the rest falls away and may leave empty words."""
-    return F.split(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\s\x{E001}-\x{E003}]+", ""), r"\s+")
+    """Words of letters, marks, digits and placeholders; the rest falls away and may leave empty words, as runs
+    of white space do."""
+    text = F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}\s\x{E001}-\x{E003}]+", "")
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
 
 
 def _shapes(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, words, values): template words and, place by place, the plain words that they stand for."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), SLOT, " ")
-    both = F.zip_with(_words(template(text)), _words(F.lower(text)), lambda w, v: F.struct(w.alias("word"), v.alias("value")))
-    both = texts.select(*keys, F.filter(both, lambda t: (t["word"] != "") | (t["value"] != "")).alias("both"))
-    return both.select(*keys, F.col("both.word").alias("words"), F.col("both.value").alias("values"))
-
-
-def _hashes(words: Column, width: int) -> Column:
-    """Hashes of all windows of ``width`` words, by place; none of a shorter text."""
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(width)))))
+    """(keys, words, values): template words and, place by place, the plain words that they stand for.
+    Where a text has no placeholder both are the same, and words are left out (null)."""
+    texts = texts.select(*keys, F.regexp_replace(F.coalesce("text", F.lit("")), SLOT, " ").alias("text"))
+    texts = texts.withColumn("marked", _marked(F.col("text")))
+    texts = texts.select(*keys, F.when(F.col("marked") != F.col("text"), _words(_typed(F.col("marked")))).alias("typed"), _words(F.lower("text")).alias("plain"))
+    both = F.filter(F.zip_with("typed", "plain", lambda w, v: F.struct(w.alias("word"), v.alias("value"))), lambda t: (t["word"] != "") | (t["value"] != ""))
+    texts = texts.select(*keys, F.when(F.col("typed").isNotNull(), both).alias("both"), F.when(F.col("typed").isNull(), F.array_remove("plain", "")).alias("plain"))
+    return texts.select(*keys, F.col("both.word").alias("words"), F.coalesce("plain", F.col("both.value")).alias("values"))
+
+
+def _hashed(words: Column) -> Column:
+    """A hash of each word; null for no list."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(rows: DataFrame, width: int, *columns: str) -> DataFrame:
+    """``rows`` with the ``columns``, hashes of words, turned into hashes of all windows of ``width`` words, by
+    place; none of a shorter text. Two windows with ``shift`` words between their places make one longer by that."""
+    held = 1
+    while held < width:
+        shift = min(held, width - held)
+        n = lambda c: F.greatest(F.size(c) - shift, F.lit(0))  # noqa: E731, B023
+        longer = {c: F.zip_with(F.slice(c, 1, n(c)), F.slice(c, 1 + shift, n(c)), lambda a, b: F.xxhash64(a, b)) for c in columns}
+        rows = rows.select(*[longer[c].alias(c) if c in longer else c for c in rows.columns])
+        held += shift
+    return rows
 
 
 def _consistent_sql(told: str) -> str:
@@ -86,7 +115,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text_column].cast("string").alias("text"))
-    items = _shapes(items, "item_id").where(F.size("words") >= SHORTEST).withColumn("item", F.xxhash64("item_id", "values", "words"))
+    items = _shapes(items, "item_id").withColumn("words", F.coalesce("words", "values")).where(F.size("words") >= SHORTEST).withColumn("item", F.xxhash64("item_id", "values", "words"))
     items = common.written(items.dropDuplicates(["item"]), "items")
     widths = sorted({min(window, r["n"]) for r in items.select(F.least(F.lit(window), F.size("words")).alias("n")).distinct().collect()})  # window numbers at most
     if not widths:
@@ -95,8 +124,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     sides = []
     for width in widths:
         own = items.where(F.least(F.lit(window), F.size("words")) == width)
-        sides.append(own.select("item", F.posexplode(_hashes(F.col("values"), width)).alias("at", "hash")).select("item", "at", "hash", F.lit(width).alias("width")))
-        sides.append(own.select("item", F.posexplode(_hashes(F.col("words"), width)).alias("at", "hash"), "words").where(literal(F.slice("words", F.col("at") + 1, F.lit(width))) >= min(LITERALS, width)).select("item", "at", "hash", F.lit(width).alias("width")))
+        own = _windows(own.select("item", "words", _hashed(F.col("values")).alias("v"), _hashed(F.col("words")).alias("w")), width, "v", "w")
+        sides.append(own.select("item", F.posexplode("v").alias("at", "hash")).select("item", "at", "hash", F.lit(width).alias("width")))
+        sides.append(own.select("item", F.posexplode("w").alias("at", "hash"), "words").where(literal(F.slice("words", F.col("at") + 1, F.lit(width))) >= min(LITERALS, width)).select("item", "at", "hash", F.lit(width).alias("width")))
     wanted = sides[0]
     for s in sides[1:]:
         wanted = wanted.unionByName(s)
@@ -104,8 +134,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     wanted = common.bounded_broadcast(wanted, wanted.count(), BROADCAST_WINDOWS)
 
     narrow = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    shapes = _shapes(narrow, "doc_id")
-    kinds = [F.struct(F.lit(w).alias("width"), _hashes(F.col(of), w).alias("hashes")) for w in widths for of in ("words", "values")]
+    shapes = _shapes(narrow, "doc_id").select("doc_id", _hashed(F.col("words")).alias("words"), _hashed(F.col("values")).alias("values"))
+    for w in widths:
+        shapes = _windows(shapes.withColumns({f"words{w}": F.col("words"), f"values{w}": F.col("values")}), w, f"words{w}", f"values{w}")
+    kinds = [F.struct(F.lit(w).alias("width"), F.col(f"{of}{w}").alias("hashes")) for w in widths for of in ("words", "values")]
     seen = shapes.select("doc_id", F.explode(F.array(*kinds)).alias("s"))
     seen = seen.select("doc_id", F.col("s.width").alias("w"), F.posexplode("s.hashes").alias("place", "h"))
     met = seen.join(wanted, (F.col("h") == F.col("hash")) & (F.col("w") == F.col("width")))
