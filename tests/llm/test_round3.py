@@ -3,9 +3,10 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontaminate
+from tidemark.llm import common, decontaminate, tokens
 
 
 def test_a_written_tables_shuffle_files_go(spark):
@@ -46,3 +47,13 @@ def test_windows_of_any_width(spark):
             for i, h in enumerate(r["w"]):
                 assert seen.setdefault(tuple(own[i : i + width]), h) == h
         assert len(set(seen.values())) == len(seen)
+
+
+def test_a_lines_first_word_is_no_piece_of_its_own():
+    rng = random.Random(33)
+    texts = ["\n".join("".join(rng.choice("abé1'-") for _ in range(rng.randint(1, 9))) + " x" for _ in range(40)) + rng.choice(["", "\n", "\n\n b", " \n\tb"]) for _ in range(50)]
+    e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    ids, edges = e.encode(pa.array(texts), 0)
+    whole = e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(edges.tolist(), edges.tolist()[1:], strict=False)] == [w.ids + [0] for w in whole]
+    assert not [p for p in e.known.to_pylist() if p[0] == "\n" and p.strip() and not p[1:2].isspace()]

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 #: Unicode's white space, as the tokenizers' patterns take it (fixed values).
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: The same, but a single line end before other characters stands alone.
+LINES = re.compile(f"\n(?=[^{SPACE}])|{CHUNK.pattern}")
 #: White space after something else; marks behind a letter or digit at the end (for Arrow's expressions).
 INNER, ENDED = r"[^\t-\r\x{85}\p{Z}][\t-\r\x{85}\p{Z}]", r"[\p{L}\p{N}][,.;:!?]+\z"
 #: A single space with white space before it and white space or the end behind it.
@@ -45,6 +47,8 @@ class Encoder:
         # between two chunks stands a piece that is one token of its own and in no plain chunk
         self.between, self.mark = next(((gap, ids[0]) for gap in ("\n", " \x01 ") if len(ids := self._ids(gap)) == 1 and self._ids(f"a{gap} b") == [*self._ids("a"), *ids, *self._ids(" b")]), (None, None))
 
+        # where a line end is a pre-token of its own, a line's first word is a plain piece
+        self.cut = LINES if all(self._ids(f"\n{x}") == self._ids("\n") + self._ids(x) for x in ("a", "É", "1", "'s", "-a", "\x01", "木")) else CHUNK
         self.drops_space = self._ids(" a\nb ") == self._ids("a") + self._ids("b") and self._ids("a b") == self._ids("a") + self._ids("b")
 
     def _ids(self, text: str) -> list[int]:
@@ -115,7 +119,7 @@ class Encoder:
         marked = chunks.filter(ended)
         stems = pc.utf8_rtrim(marked, MARKS)
         marks = [c[len(stem) :] for c, stem in zip(marked.to_pylist(), stems.to_pylist(), strict=True)]
-        parts = [CHUNK.findall(c) for c in chunks.filter(several).to_pylist()]
+        parts = [self.cut.findall(c) for c in chunks.filter(several).to_pylist()]
         count = np.ones(n, dtype=np.int64)
         several, ended, whole = (np.flatnonzero(np.asarray(m)) for m in (several, ended, whole))
         count[np.asarray(none)], count[ended] = 0, 2
