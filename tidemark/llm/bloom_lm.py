@@ -12,13 +12,15 @@ Bigrams have hashes of 5 to 8 bytes, as many as keep the latter to a fraction of
 No n-gram is cut. Words and the filter are dealt by hash into shards of about one size, as many as
 the corpus needs, and a task holds one of them at a time. Texts are scored in batches: a batch's
 distinct words and bigrams are asked of their shards, and the answers come back to the batch. What
-travels is packed, one row for each batch and shard.
+travels is packed, one row for each batch and shard; the batches are scored in a few parts, one after
+the other, so that what a part sent is gone from the disk before the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +40,27 @@ LEAST_WIDTH, SHARED = 5, 0.25
 EDGE = np.uint64(xxhash.xxh3_64_intdigest(" edge"))
 #: Tokens that are counted together, slices of text in a batch: the more they are, the less is sent twice.
 GATHER, BATCH = 3_000_000, 4
+#: Parts in which the batches are scored: each sends the model once, and 1 / PARTS of the questions and answers.
+PARTS = 3
 
 
-def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of an edge, the words and an edge for each text; each text's first place in them."""
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order; an edge, the words and an edge of each text as places in them; each text's first."""
     words = common.Words(texts)
-    hashed = common.hash_words(words.vocabulary)[words.code] if len(words.code) else np.zeros(0, dtype=np.uint64)
-    n = len(words)
-    count = np.diff(words.bounds)
-    starts = np.concatenate(([0], np.cumsum(count + 2)))
-    out = np.full(int(starts[-1]), EDGE, dtype=np.uint64)
-    inner = np.ones(len(out), dtype=bool)
+    distinct, place = np.unique(np.append(common.hash_words(words.vocabulary), EDGE), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(np.diff(words.bounds) + 2)))
+    code = np.full(int(starts[-1]), place[-1], dtype=np.int64)
+    inner = np.ones(len(code), dtype=bool)
     inner[starts[:-1]] = inner[starts[1:] - 1] = False
-    out[inner] = hashed
-    return out, starts if n else np.zeros(1, dtype=np.int64)
+    code[inner] = place[words.code]
+    return distinct, code, starts
+
+
+def _tokens(starts: np.ndarray) -> np.ndarray:
+    """The places of the tokens: words and final edges."""
+    token = np.ones(int(starts[-1]), dtype=bool)
+    token[starts[:-1]] = False
+    return np.flatnonzero(token)
 
 
 def _width(types: int, tokens: int) -> int:
@@ -80,21 +89,25 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _bigrams(hashed: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token (words and final edge): the place in ``hashed``; the hash of it with its predecessor."""
-    token = np.ones(len(hashed), dtype=bool)
-    token[starts[:-1]] = False
-    at = np.flatnonzero(token)
-    return at, _pair(hashed, at, width)
-
-
 def _shards_of(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of ``h`` by shard, and (shard, first place, end) of those that occur."""
-    shard = ((h >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    present, first = np.unique(shard[order], return_index=True)
+    """An order of ``h`` by shard, and (shard, first place, end) of those that occur.
+
+    A shard is a range of hashes, told by their upper half: hashes in order are in order of shards too.
+    """
+    shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    if (shard[1:] >= shard[:-1]).all():
+        order = np.arange(len(h))
+    else:  # numpy sorts 16 bits by radix
+        order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+        shard = shard[order]
+    first = np.flatnonzero(_new(shard))
     edges = [*first.tolist(), len(h)]
-    return order, list(zip(present.tolist(), edges, edges[1:], strict=False))
+    return order, list(zip(shard[first].tolist(), edges, edges[1:], strict=False))
+
+
+def _new(v: np.ndarray) -> np.ndarray:
+    """Where an ordered ``v`` has a value for the first time."""
+    return np.concatenate((np.ones(min(len(v), 1), dtype=bool), v[1:] != v[:-1]))
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -102,19 +115,20 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype=kind)
 
 
-def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ``h`` in order, the sums of ``c``, and where each stands first."""
+def _summed(h: np.ndarray, c: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``h`` in order, the sums of ``c`` (None: ones), and a place of each."""
     if not len(h):
-        return h, c.astype(np.int64), np.zeros(0, dtype=np.int64)
-    order = np.argsort(h, kind="stable")
+        return h, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(h)
     h = h[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(c[order].astype(np.int64), first), order[first]
+    first = np.flatnonzero(_new(h))
+    total = np.diff(first, append=len(h)) if c is None else np.add.reduceat(c[order].astype(np.int64), first)
+    return h[first], total, order[first]
 
 
 def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of an ordered ``v``, each once, and how often each stands there."""
-    first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+    first = np.flatnonzero(_new(v))
     return v[first], np.diff(np.append(first, len(v))).astype(np.uint32)
 
 
@@ -124,15 +138,17 @@ def _partial(docs: DataFrame, pairs: bool, shards: int, width: int = 8) -> DataF
     Bigrams stand by their first token: v names each of these once, n says how many bigrams it has.
     """
 
-    def keys(hashed: np.ndarray, at: np.ndarray) -> tuple:
+    def keys(distinct: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple:
         if not pairs:
-            return hashed[at], None
-        return _pair(hashed, at, width), hashed[at - 1]
+            c = np.bincount(code[at], minlength=len(distinct))
+            return distinct[c > 0], None, c[c > 0]
+        hashed = distinct[code]
+        return _pair(hashed, at, width), hashed[at - 1], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, v, c in _gathered(batches, keys):
             if pairs:
-                by = np.argsort(v, kind="stable")
+                by = np.argsort(v)
                 h, v, c = h[by], v[by], c[by]
             order, places = _shards_of(h, shards)
             packed = {"h": [], "v": [], "n": [], "c": []}
@@ -154,16 +170,16 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys) -> Iterator[tuple]:
     parts, held = [], 0
 
     def summed() -> tuple:
-        h, at, c = np.unique(np.concatenate([k for k, _ in parts]), return_index=True, return_counts=True)
-        return h, None if parts[0][1] is None else np.concatenate([v for _, v in parts])[at], c.astype(np.int64)
+        h, v, c = (None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True))
+        h, c, at = _summed(h, c)
+        return h, None if v is None else v[at], c
 
     for batch in batches:
         for part in common.slices(batch, "text"):
-            hashed, starts = _padded(part.column("text"))
-            token = np.ones(len(hashed), dtype=bool)
-            token[starts[:-1]] = False
-            parts.append(keys(hashed, np.flatnonzero(token)))
-            held += len(parts[-1][0])
+            distinct, code, starts = _coded(part.column("text"))
+            at = _tokens(starts)
+            parts.append(keys(distinct, code, at))
+            held += len(at)
             if held >= GATHER:
                 yield summed()
                 parts, held = [], 0
@@ -262,7 +278,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
         h, c, _ = _summed(_joined(rows.column("h"), np.uint64), _joined(rows.column("c"), np.uint32))
         return pa.table({"shard": rows.column("shard")[:1].cast(pa.int32()), "h": pa.array([h.tobytes()], type=pa.binary()), "c": pa.array([c.tobytes()], type=pa.binary()), "types": pa.array([len(h)]), "tokens": pa.array([int(c.sum())])})
 
-    one = common.written(_partial(texts, False, words).groupBy("shard").applyInArrow(count, "shard int, h binary, c binary, types long, tokens long"), "unigrams")
+    one = common.written(_partial(texts, False, words).groupBy("shard").applyInArrow(count, "shard int, h binary, c binary, types long, tokens long"), "unigrams", clean=True)
     sums = one.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = sums[0] or 0, sums[1] or 0
     # q(c) <= c, so a bigram's entries are no more than its tokens
@@ -289,7 +305,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
             }
         )
 
-    two = common.written(_partial(texts, True, filters, width).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, fill double, distinct long, h binary, t binary"), "bigrams")
+    two = common.written(_partial(texts, True, filters, width).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, fill double, distinct long, h binary, t binary"), "bigrams", clean=True)
     # how often a bigram that is not there seems to be: the fill of the shards to the power of the probes, and
     # the hashes that are there among all
     told = two.where("kind = 2").agg(F.sum(F.pow("fill", F.lit(float(PROBES)))), F.sum("distinct")).first()
@@ -304,7 +320,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
 
     ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(follow, "kind int, shard int, x binary, y binary, z binary")
     none = F.lit(None).cast("binary")
-    shards = common.written(ones, "model").unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z")))
+    shards = common.written(ones, "model", clean=True).unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z")))
     return Model(tokens, types, words, filters, shards, false, width)
 
 
@@ -315,7 +331,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     those that training saw. base_score: the exact smoothed unigram log10 probability; score: the
     model's. Cases: a null or empty text is the end alone; repeated rows are scored each; a null
     doc_id is carried; an empty training set leaves N = V = 0 and all tokens unknown; other columns
-    are not read. ``docs`` is read three times; a batch holds all rows that share id and text.
+    are not read. ``docs`` is read a few times; a batch holds all rows that share id and text. Where there
+    are several batches they are scored, in PARTS parts, before this returns.
     """
     tokens, types, words, filters, model_false, width = model.tokens, model.types, model.words, model.filters, model.false, model.width
     total = tokens + 0.1 * (types + 1)
@@ -323,14 +340,16 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     batches = -(-_bytes(narrow) // (BATCH * common.SLICE_BYTES)) or 1
     narrow = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
-    def distinct(rows: pa.Table) -> tuple:
+    def coded(rows: pa.Table) -> tuple:
         texts = rows.column("text").combine_chunks()
-        hashed, starts = _padded(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts)
-        at, pairs = _bigrams(hashed, starts, width)
-        return starts, at, np.unique(hashed, return_inverse=True), np.unique(pairs, return_inverse=True)
+        one, code, starts = _coded(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts)
+        at = _tokens(starts)
+        return one, code, starts, at, _pair(one[code], at, width)
 
     def ask(rows: pa.Table) -> pa.Table:
-        _, _, (one, _), (two, _) = distinct(rows)
+        one, *_, two = coded(rows)
+        two.sort()
+        two = two[_new(two)]
         kinds, shards, packed = [], [], []
         for kind, h, n in ((1, one, words), (2, two, filters)):
             order, places = _shards_of(h, n)
@@ -354,7 +373,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "shard": asked.column("shard"), "c": pa.array(c, type=pa.binary()), "t": pa.array(t, type=pa.binary())})
 
     def told(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        starts, at, (one, code), (two, pair) = distinct(rows)
+        one, code, starts, at, pairs = coded(rows)
+        two, pair = np.unique(pairs, return_inverse=True)
         c, t, level = np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64), np.zeros(len(two), dtype=np.int64)
         order_one, places = _shards_of(one, words)
         of_one = {s: order_one[a:b] for s, a, b in places}
@@ -374,6 +394,13 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         by = lambda v: np.bincount(owner, weights=v, minlength=n)
         return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(by(c[now] > 0).astype(np.int64)), "base_score": pa.array(by(np.log10(prior[now]))), "score": pa.array(by(np.log10(np.minimum(p, 1.0))))})
 
-    asked = narrow.groupBy("batch").applyInArrow(ask, "kind int, shard int, batch long, h binary")
-    answers = model.shards.groupBy("kind", "shard").cogroup(asked.groupBy("kind", "shard")).applyInArrow(answer, "batch long, kind int, shard int, c binary, t binary")
-    return narrow.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(told, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    def scored(part: DataFrame) -> DataFrame:
+        asked = part.groupBy("batch").applyInArrow(ask, "kind int, shard int, batch long, h binary")
+        answers = model.shards.groupBy("kind", "shard").cogroup(asked.groupBy("kind", "shard")).applyInArrow(answer, "batch long, kind int, shard int, c binary, t binary")
+        return part.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(told, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+    parts = min(PARTS, batches)
+    if parts == 1:
+        return scored(narrow)
+    done = [common.written(scored(narrow.where(F.pmod("batch", F.lit(parts)) == k)), "scores", clean=True) for k in range(parts)]
+    return reduce(DataFrame.unionByName, done)
