@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
+#: Pieces whose ids a worker keeps: most of its memory is free here.
+KEPT = 1_000_000
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
 
@@ -34,7 +36,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = tokens.encoder(tokenizer, KEPT), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in common.slices(batch, "text", 8 << 20):
                 ids, edges = encoder.encode(rows.column("text"), end_id)

@@ -14,17 +14,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Unicode's white space, as the tokenizers' patterns take it (fixed values).
 SPACE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: The same, but a single line end before other characters stands alone.
 LINES = re.compile(f"\n(?=[^{SPACE}])|{CHUNK.pattern}")
 #: White space after something else; marks behind a letter or digit at the end (for Arrow's expressions).
-INNER, ENDED = r"[^\t-\r\x{85}\p{Z}][\t-\r\x{85}\p{Z}]", r"[\p{L}\p{N}][,.;:!?]+\z"
+INNER, ENDED = r"[^\t-\r\x{85}\p{Z}][\t-\r\x{85}\p{Z}]", r"[\p{L}\p{N}][!-&(-/:-@\[-`{-~]+\z"
 #: A single space with white space before it and white space or the end behind it.
 UNSAFE = r"[\t-\r\x{85}\p{Z}] (?:[\t-\r\x{85}\p{Z}]|\z)"
 PLAIN = r"\A ?[^\t-\r\x{85}\p{Z}\x01]+\z"
-MARKS = ",.;:!?"
+#: ASCII's but the apostrophe, with which contractions begin.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Chunks that are encoded in one call, between separators; calls in a batch.
 TOGETHER, CALLS = 400, 16
 #: Pieces kept from slice to slice; beyond that only those of the last slice stay.
@@ -36,7 +39,8 @@ _loaded: dict[str, "Encoder"] = {}
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,7 +66,7 @@ class Encoder:
         """
         easy = np.asarray(pc.match_substring_regex(pieces, PLAIN)) if self.between else np.zeros(len(pieces), dtype=bool)
         at, odd = np.flatnonzero(easy), [np.flatnonzero(~easy)]
-        plain = pieces.take(pa.array(at)).to_pylist()
+        plain = common.strings(pieces.take(pa.array(at)))
         index, sizes, ids = [], [], []
         starts = range(0, len(plain), TOGETHER)
         for a in range(0, len(starts), CALLS):
@@ -78,7 +82,7 @@ class Encoder:
         odd = np.concatenate(odd)
         for i in range(0, len(odd), 512):
             own = odd[i : i + 512]
-            for e in self.tokenizer.encode_batch_fast(pieces.take(pa.array(own)).to_pylist(), add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(common.strings(pieces.take(pa.array(own))), add_special_tokens=False):
                 sizes.append(np.array([len(e.ids)])), ids.append(np.array(e.ids, dtype="<u4"))
             index.append(own)
         length, start = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
@@ -96,7 +100,7 @@ class Encoder:
         ids, start, length = np.concatenate([self.ids, own]), np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
         start[hit], length[hit] = self.start[at[hit]], self.length[at[hit]]
         start[~hit], length[~hit] = first + len(self.ids), size
-        if len(self.known) + len(new) <= MOST:
+        if len(self.known) + len(new) <= self.most:
             self.known = pa.concat_arrays([self.known, new])
             self.ids, self.start, self.length = ids, np.concatenate([self.start, first + len(self.ids)]), np.concatenate([self.length, size])
         else:
@@ -118,8 +122,8 @@ class Encoder:
         whole = pc.invert(pc.or_(pc.or_(several, ended), none))
         marked = chunks.filter(ended)
         stems = pc.utf8_rtrim(marked, MARKS)
-        marks = [c[len(stem) :] for c, stem in zip(marked.to_pylist(), stems.to_pylist(), strict=True)]
-        parts = [self.cut.findall(c) for c in chunks.filter(several).to_pylist()]
+        marks = [c[len(stem) :] for c, stem in zip(common.strings(marked), common.strings(stems), strict=True)]
+        parts = [self.cut.findall(c) for c in common.strings(chunks.filter(several))]
         count = np.ones(n, dtype=np.int64)
         several, ended, whole = (np.flatnonzero(np.asarray(m)) for m in (several, ended, whole))
         count[np.asarray(none)], count[ended] = 0, 2
@@ -186,10 +190,11 @@ class Encoder:
         return out, upto[edges + np.arange(n + 1)]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file, loaded once."""
+def encoder(path: str, most: int = MOST) -> Encoder:
+    """The worker's encoder for a tokenizer file, loaded once; it keeps up to ``most`` pieces."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].most = most
     return _loaded[path]
 
 
