@@ -40,6 +40,8 @@ LEAST_WIDTH, SHARED = 5, 0.25
 EDGE = np.uint64(xxhash.xxh3_64_intdigest(" edge"))
 #: Tokens that are counted together, slices of text in a batch: the more they are, the less is sent twice.
 GATHER, BATCH = 3_000_000, 4
+#: Bytes of a batch's texts that are scored at once; a longer text stands alone.
+SCORED_BYTES = 1 << 20
 #: Parts in which the batches are scored: each sends the model once, and 1 / PARTS of the questions and answers.
 PARTS = 3
 
@@ -63,6 +65,43 @@ def _tokens(starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(token)
 
 
+@dataclass
+class _Batch:
+    """A batch's distinct hashes of words (with the edge) and of bigrams in order, and its slices: the places of a
+    slice's words and edges among the former, its texts' first places, and its bigrams' places among the latter.
+    """
+
+    one: np.ndarray
+    two: np.ndarray
+    slices: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+
+
+def _batch(rows: pa.Table, width: int, places: bool) -> _Batch:
+    """The batch ``rows``, a slice at a time, so that few arrays hold all of its tokens; those of bigrams only for ``places``."""
+    found, pairs = [], []
+    for batch in rows.select(["text"]).to_batches():
+        for part in common.slices(batch, "text", SCORED_BYTES):
+            distinct, code, starts = _coded(part.column("text"))
+            pairs.append(_pair(distinct[code], _tokens(starts), width))
+            found.append((distinct, code.astype(np.int32), starts) if places else (distinct, None, None))
+    one = np.unique(np.concatenate([f[0] for f in found])) if found else np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum([len(p) for p in pairs])
+    h = np.concatenate(pairs) if pairs else np.zeros(0, dtype=np.uint64)
+    del pairs
+    if not places:
+        h.sort()
+        return _Batch(one, h[_new(h)], [])
+    order = np.argsort(h)
+    h = h[order]
+    new = _new(h)
+    two = h[new]
+    del h
+    pair = np.empty(len(order), dtype=np.int32)
+    pair[order] = np.cumsum(new, dtype=np.int32) - 1
+    del order, new
+    return _Batch(one, two, [(np.searchsorted(one, distinct).astype(np.int32)[code], starts, of) for (distinct, code, starts), of in zip(found, np.split(pair, ends[:-1]), strict=True)])
+
+
 def _width(types: int, tokens: int) -> int:
     """Bytes of a bigram's hash: each of a context's ``types`` absent bigrams meets one of at most ``tokens`` hashes by chance."""
     return next((w for w in range(LEAST_WIDTH, 8) if types * tokens <= SHARED * 2.0 ** (8 * w)), 8)
@@ -94,15 +133,27 @@ def _shards_of(h: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int,
 
     A shard is a range of hashes, told by their upper half: hashes in order are in order of shards too.
     """
-    shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    shard = _shard(h, shards)
     if (shard[1:] >= shard[:-1]).all():
         order = np.arange(len(h))
     else:  # numpy sorts 16 bits by radix
         order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
         shard = shard[order]
+    return order, _places(shard)
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    shard = h >> np.uint64(32)
+    shard *= np.uint64(shards)
+    shard >>= np.uint64(32)
+    return shard
+
+
+def _places(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first place, end) of each value of an ordered ``shard``."""
     first = np.flatnonzero(_new(shard))
-    edges = [*first.tolist(), len(h)]
-    return order, list(zip(shard[first].tolist(), edges, edges[1:], strict=False))
+    edges = [*first.tolist(), len(shard)]
+    return list(zip(shard[first].tolist(), edges, edges[1:], strict=False))
 
 
 def _new(v: np.ndarray) -> np.ndarray:
@@ -278,7 +329,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
         h, c, _ = _summed(_joined(rows.column("h"), np.uint64), _joined(rows.column("c"), np.uint32))
         return pa.table({"shard": rows.column("shard")[:1].cast(pa.int32()), "h": pa.array([h.tobytes()], type=pa.binary()), "c": pa.array([c.tobytes()], type=pa.binary()), "types": pa.array([len(h)]), "tokens": pa.array([int(c.sum())])})
 
-    one = common.written(_partial(texts, False, words).groupBy("shard").applyInArrow(count, "shard int, h binary, c binary, types long, tokens long"), "unigrams", clean=True)
+    one = common.written(_partial(texts, False, words).groupBy("shard").applyInArrow(common.lean_group(count), "shard int, h binary, c binary, types long, tokens long"), "unigrams", clean=True)
     sums = one.agg(F.sum("tokens"), F.sum("types")).first()
     tokens, types = sums[0] or 0, sums[1] or 0
     # q(c) <= c, so a bigram's entries are no more than its tokens
@@ -305,7 +356,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
             }
         )
 
-    two = common.written(_partial(texts, True, filters, width).groupBy("shard").applyInArrow(fill, "kind int, shard int, bits binary, fill double, distinct long, h binary, t binary"), "bigrams", clean=True)
+    two = common.written(_partial(texts, True, filters, width).groupBy("shard").applyInArrow(common.lean_group(fill), "kind int, shard int, bits binary, fill double, distinct long, h binary, t binary"), "bigrams", clean=True)
     # how often a bigram that is not there seems to be: the fill of the shards to the power of the probes, and
     # the hashes that are there among all
     told = two.where("kind = 2").agg(F.sum(F.pow("fill", F.lit(float(PROBES)))), F.sum("distinct")).first()
@@ -318,7 +369,7 @@ def train(docs: DataFrame, text_column: str = "text") -> Model:
         t[np.searchsorted(h & _high(width), v)] = types_after  # what precedes a token is one; the words are in order, by their upper bytes too
         return pa.table({"kind": pa.array([1], type=pa.int32()), "shard": of.column("shard")[:1].cast(pa.int32()), "x": pa.array([h.tobytes()], type=pa.binary()), "y": pa.array([c.tobytes()], type=pa.binary()), "z": pa.array([t.tobytes()], type=pa.binary())})
 
-    ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(follow, "kind int, shard int, x binary, y binary, z binary")
+    ones = one.select("shard", "h", "c").groupBy("shard").cogroup(two.where("kind = 1").select("shard", "h", "t").groupBy("shard")).applyInArrow(common.lean_cogroup(follow), "kind int, shard int, x binary, y binary, z binary")
     none = F.lit(None).cast("binary")
     shards = common.written(ones, "model", clean=True).unionByName(two.where("kind = 2").select("kind", "shard", F.col("bits").alias("x"), none.alias("y"), none.alias("z")))
     return Model(tokens, types, words, filters, shards, false, width)
@@ -340,21 +391,12 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     batches = -(-_bytes(narrow) // (BATCH * common.SLICE_BYTES)) or 1
     narrow = narrow.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
-    def coded(rows: pa.Table) -> tuple:
-        texts = rows.column("text").combine_chunks()
-        one, code, starts = _coded(pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts)
-        at = _tokens(starts)
-        return one, code, starts, at, _pair(one[code], at, width)
-
     def ask(rows: pa.Table) -> pa.Table:
-        one, *_, two = coded(rows)
-        two.sort()
-        two = two[_new(two)]
+        batch = _batch(rows, width, False)
         kinds, shards, packed = [], [], []
-        for kind, h, n in ((1, one, words), (2, two, filters)):
-            order, places = _shards_of(h, n)
-            for s, a, b in places:
-                kinds.append(kind), shards.append(s), packed.append(h[order[a:b]].tobytes() if kind == 1 else _packed(h[order[a:b]], width))
+        for kind, h, n in ((1, batch.one, words), (2, batch.two, filters)):
+            for s, a, b in _places(_shard(h, n)):
+                kinds.append(kind), shards.append(s), packed.append(h[a:b].tobytes() if kind == 1 else _packed(h[a:b], width))
         return pa.table({"kind": pa.array(kinds, type=pa.int32()), "shard": pa.array(shards, type=pa.int32()), "batch": pa.array([rows.column("batch")[0].as_py()] * len(kinds), type=pa.int64()), "h": pa.array(packed, type=pa.binary())})
 
     def answer(shard: pa.Table, asked: pa.Table) -> pa.Table:
@@ -373,31 +415,31 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         return pa.table({"batch": asked.column("batch"), "kind": asked.column("kind"), "shard": asked.column("shard"), "c": pa.array(c, type=pa.binary()), "t": pa.array(t, type=pa.binary())})
 
     def told(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        one, code, starts, at, pairs = coded(rows)
-        two, pair = np.unique(pairs, return_inverse=True)
-        c, t, level = np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64), np.zeros(len(two), dtype=np.int64)
-        order_one, places = _shards_of(one, words)
-        of_one = {s: order_one[a:b] for s, a, b in places}
-        order_two, places = _shards_of(two, filters)
-        of_two = {s: order_two[a:b] for s, a, b in places}
+        batch = _batch(rows, width, True)
+        of_one, of_two = ({s: slice(a, b) for s, a, b in _places(_shard(h, n))} for h, n in ((batch.one, words), (batch.two, filters)))
+        c, t, level = np.zeros(len(batch.one), dtype=np.int64), np.zeros(len(batch.one), dtype=np.int64), np.zeros(len(batch.two), dtype=np.uint8)
         for r in answers.to_pylist():
             if r["kind"] == 2:
                 level[of_two[r["shard"]]] = np.frombuffer(r["c"], dtype=np.uint8)
             else:
                 c[of_one[r["shard"]]] = np.frombuffer(r["c"], dtype=np.int64)
                 t[of_one[r["shard"]]] = np.frombuffer(r["t"], dtype=np.int64)
-        n, size = len(starts) - 1, np.diff(starts) - 1
-        owner = np.repeat(np.arange(n), size)
-        now, before = code[at], code[at - 1]
         prior = (c + 0.1) / total
-        p = _probability(level[pair], c[now], c[before], t[before], prior[now], types, model_false)
-        by = lambda v: np.bincount(owner, weights=v, minlength=n)
-        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(by(c[now] > 0).astype(np.int64)), "base_score": pa.array(by(np.log10(prior[now]))), "score": pa.array(by(np.log10(np.minimum(p, 1.0))))})
+        columns = []
+        for code, starts, pair in batch.slices:
+            n, size, at = len(starts) - 1, np.diff(starts) - 1, _tokens(starts)
+            owner = np.repeat(np.arange(n), size)
+            now, before = code[at], code[at - 1]
+            p = _probability(level[pair].astype(np.int64), c[now], c[before], t[before], prior[now], types, model_false)
+            by = lambda v: np.bincount(owner, weights=v, minlength=n)  # noqa: B023, E731
+            columns.append((size, by(c[now] > 0).astype(np.int64), by(np.log10(prior[now])), by(np.log10(np.minimum(p, 1.0)))))
+        size, known, base, whole = (np.concatenate(x) for x in zip(*columns, strict=True)) if columns else [np.zeros(0)] * 4
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(size.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(whole)})
 
     def scored(part: DataFrame) -> DataFrame:
-        asked = part.groupBy("batch").applyInArrow(ask, "kind int, shard int, batch long, h binary")
-        answers = model.shards.groupBy("kind", "shard").cogroup(asked.groupBy("kind", "shard")).applyInArrow(answer, "batch long, kind int, shard int, c binary, t binary")
-        return part.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(told, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        asked = part.groupBy("batch").applyInArrow(common.lean_group(ask), "kind int, shard int, batch long, h binary")
+        answers = model.shards.groupBy("kind", "shard").cogroup(asked.groupBy("kind", "shard")).applyInArrow(common.lean_cogroup(answer), "batch long, kind int, shard int, c binary, t binary")
+        return part.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(common.lean_cogroup(told), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
     parts = min(PARTS, batches)
     if parts == 1:

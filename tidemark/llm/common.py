@@ -114,6 +114,32 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """As ``lean``, for applyInArrow of groups."""
+
+    def wrapped(rows: pa.Table) -> pa.Table:
+        libc = _returns_memory()
+        out = run(rows)
+        if libc is not None:
+            libc.malloc_trim(0)
+        return out
+
+    return wrapped
+
+
+def lean_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As ``lean``, for applyInArrow of pairs of groups."""
+
+    def wrapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        libc = _returns_memory()
+        out = run(left, right)
+        if libc is not None:
+            libc.malloc_trim(0)
+        return out
+
+    return wrapped
+
+
 # --------------------------------------------------------------- Arrow slices and words
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about ``most`` bytes in the string ``column``; a longer row stands alone."""
