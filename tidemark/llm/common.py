@@ -70,6 +70,16 @@ def written(df: DataFrame, name: str, clean: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``written`` made, which nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"/tidemark-{spark.sparkContext.applicationId}/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if own in f}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` stay within ``limit``; else as it is."""
     return F.broadcast(df) if rows <= limit else df

@@ -14,6 +14,8 @@
    their overlap is bounded from the two known ones, |x n y| >= |x n p| + |y n p| - |p| and
    |x n y| <= min(|x n p|, |y n p|) + min(|x - p|, |y - p|), so many pairs are answered without
    reading the sets. The rest is compared exactly.
+
+What a step wrote is deleted when no later step reads it, its shuffle files when it is written.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ CHUNK = 1 << 12
 BUCKETS = 128
 #: Ids up to this count may be broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Parts, by token, in which the index lists are gathered: each has 1 / PARTS of their shuffle files on disk.
+PARTS = 3
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -54,6 +59,10 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.uint64)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    return common.written(df, name, clean=True)
+
+
 def _narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
 
@@ -150,13 +159,16 @@ def _needed(percent: int, n: F.Column, m: F.Column) -> F.Column:
 
 
 def _overlaps(docs: DataFrame, pairs: DataFrame, width: int, name: str) -> DataFrame:
-    """``pairs`` (a, na, b, nb) with their exact overlap i."""
-    ids = common.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
-    sets = common.written(_sets(docs, ids, width), f"{name}-sets")
+    """``pairs`` (a, na, b, nb) with their exact overlap i, written."""
+    ids = _written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}-ids")
+    sets = _written(_sets(docs, ids, width), f"{name}-sets")
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     # one row a pair, also where rows share a doc_id
-    return both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i")).groupBy("a", "na", "b", "nb").agg(F.max("i").alias("i"))
+    told = both.select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i")).groupBy("a", "na", "b", "nb").agg(F.max("i").alias("i"))
+    told = _written(told, f"{name}-answers")
+    common.dropped(ids, sets)
+    return told
 
 
 def _possible(pairs: DataFrame, histograms: DataFrame, percent: int) -> DataFrame:
@@ -177,6 +189,7 @@ def _possible(pairs: DataFrame, histograms: DataFrame, percent: int) -> DataFram
     told = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "na", "b", "nb", "ha", "hb")
     return told.mapInArrow(common.lean(run), "a long, na long, b long, nb long").distinct()
 
+
 def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -191,40 +204,48 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column:
     compared by 64-bit hashes, class fingerprints by 128 bits.
     """
     docs = _narrow(docs, id_column, text_column)
-    profiles = common.written(_profiles(docs, width), "profiles")
+    profiles = _written(_profiles(docs, width), "profiles")
     levels = _levels(profiles.where("chunk is not null").select("chunk", "counts"))
     sizes = profiles.where("chunk is null").select("doc_id", "n", "print")
 
     # equal sets are one class, named by its smallest doc_id
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    classes = common.written(classes, "classes")
+    classes = _written(classes, "classes")
     prefixes = _prefixes(docs.where("doc_id is not null"), width, percent, levels).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    prefixes = common.written(prefixes, "prefixes")
-    histograms = prefixes.select("doc_id", "histogram")
+    prefixes = _written(prefixes, "prefixes")
+    histograms = _written(prefixes.select("doc_id", "histogram"), "histograms")
     step = math.log(100 / percent)
     # a posting travels as id, token, and size and position in one number
     postings = prefixes.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token")).select("id", "token", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
 
     # lists of one entry link nothing; each block's head is the member whose token stands first
-    lists = common.written(postings.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "lists")
-    shared = postings.join(lists, "token").withColumns({"n": F.shiftright("place", 32), "pos": (F.col("place") % F.lit(1 << 32)).cast("int")}).drop("place")
-    shared = common.written(shared.withColumn("level", F.floor(F.log("n") / step + 1e-9).cast("int")), "shared")
+    parts = []
+    for k in range(PARTS):
+        some = postings.where(F.pmod("token", F.lit(PARTS)) == k)
+        lists = _written(some.groupBy("token").agg(F.count("*").alias("entries")).where("entries > 1").select("token"), "lists")
+        some = some.join(lists, "token").withColumns({"n": F.shiftright("place", 32), "pos": (F.col("place") % F.lit(1 << 32)).cast("int")}).drop("place")
+        parts.append(_written(some.withColumn("level", F.floor(F.log("n") / step + 1e-9).cast("int")), "shared"))
+        common.dropped(lists)
+    shared = reduce(DataFrame.unionByName, parts)
+    common.dropped(prefixes)
     blocks = shared.groupBy("token", "level").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "id", "n")).alias("head")).where("entries > 1").select("token", "level", "head")
     near = shared.join(blocks, ["token", "level"]).where("id <> head.id")
     near = near.where(F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= _needed(percent, F.col("n"), F.col("head.n")))
     near = near.select(F.col("head.id").alias("a"), F.col("head.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-    near = common.written(_possible(near, histograms, percent), "near")
-    answers = common.written(_overlaps(docs, near, width, "near"), "answers")
+    near = _written(_possible(near, histograms, percent), "near")
+    answers = _overlaps(docs, near, width, "near")
+    common.dropped(near)
     linked = F.col("i") >= _needed(percent, F.col("na"), F.col("nb"))
     links = answers.where(linked).select("a", "b")
-    parts = common.written(common.connected_components(links), "parts")
+    parts = _written(common.connected_components(links), "parts")
 
     # what is left: members of other components in the same list
     placed = shared.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = common.written(placed, "placed")
+    placed = _written(placed, "placed")
+    common.dropped(shared, parts)
     split = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     counted = placed.join(split.select("token"), "token", "left_semi").groupBy("token", "component").agg(F.count("*").alias("entries"))
-    main = common.written(counted.groupBy("token").agg(F.max_by("component", F.struct("entries", "component")).alias("main")), "main")
+    main = _written(counted.groupBy("token").agg(F.max_by("component", F.struct("entries", "component")).alias("main")), "main")
     mixed = placed.join(main, "token")
     reach = lambda n, level: n - _needed(percent, n, F.exp((level + 1) * F.lit(step)))  # noqa: E731  the last position that can do, for sizes up to a level's largest
     probes = mixed.where("component <> main").select("token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"), "main", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
@@ -239,7 +260,7 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column:
     # answers that follow from those of a common pivot
     known = answers.select(F.col("b").alias("id"), F.struct("i", F.col("a").alias("p"), F.col("na").alias("np")).alias("best"))
     known = known.unionByName(answers.select(F.col("a").alias("id"), F.struct(F.col("na").alias("i"), F.col("a").alias("p"), F.col("na").alias("np")).alias("best")))
-    pivots = common.written(known.groupBy("id").agg(F.max("best").alias("best")).select("id", "best.*"), "pivots")
+    pivots = _written(known.groupBy("id").agg(F.max("best").alias("best")).select("id", "best.*"), "pivots")
     of = lambda side: pivots.select(F.col("id").alias(side), F.col("i").alias(f"i{side}"), F.col("p").alias(f"p{side}"), F.col("np").alias(f"np{side}"))
     far = _possible(far, histograms, percent)
     far = far.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -247,10 +268,12 @@ def jaccard_links(docs: DataFrame, width: int = 3, percent: int = 90, id_column:
     need = _needed(percent, F.col("na"), F.col("nb"))
     least = F.when(same, F.col("ia") + F.col("ib") - F.col("npa")).otherwise(0)
     most = F.when(same, F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))).otherwise(F.least("na", "nb"))
-    far = common.written(far.where(most >= need).select("a", "na", "b", "nb", (least >= need).alias("sure")), "far")
-    checked = _overlaps(docs, far.where("not sure").drop("sure"), width, "far").where(linked).select("a", "b")
-    links = links.unionByName(far.where("sure").select("a", "b")).unionByName(checked)
-    merged = common.written(common.connected_components(links), "components")
+    far = _written(far.where(most >= need).select("a", "na", "b", "nb", (least >= need).alias("sure")), "far")
+    common.dropped(histograms, placed, main, pivots)
+    told = _overlaps(docs, far.where("not sure").drop("sure"), width, "far")
+    links = links.unionByName(far.where("sure").select("a", "b")).unionByName(told.where(linked).select("a", "b"))
+    merged = _written(common.connected_components(links), "components")
+    common.dropped(answers, far, told)
 
     named = classes.join(merged, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("component", "rep").alias("component"))
     named = named.withColumn("print", F.col("print"))
